@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import op5_records, op9_packing
+from tarnwork.llm import op4_jaccard_join, op5_records, op9_packing
 
 QUERIES = {
+    "op4_jaccard_join": op4_jaccard_join.query,
     "op5_token_records": op5_records.query,
     "op9_best_fit_packing": op9_packing.query,
 }
