@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import op4_jaccard_join, op5_records, op8_quality, op9_packing
+from tarnwork.llm import op1_url_rules, op4_jaccard_join, op5_records, op8_quality, op9_packing
 
 QUERIES = {
+    "op1_url_rules": op1_url_rules.query,
     "op4_jaccard_join": op4_jaccard_join.query,
     "op5_token_records": op5_records.query,
     "op8_quality_rules": op8_quality.query,
     "op9_best_fit_packing": op9_packing.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_url_rules": op1_url_rules.SQL,
+}
