@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import op1_url_rules, op4_jaccard_join, op5_records, op8_quality, op9_packing
+from tarnwork.llm import op1_url_rules, op2_language, op4_jaccard_join, op5_records, op8_quality, op9_packing
 
 QUERIES = {
     "op1_url_rules": op1_url_rules.query,
+    "op2_language_id": op2_language.query,
     "op4_jaccard_join": op4_jaccard_join.query,
     "op5_token_records": op5_records.query,
     "op8_quality_rules": op8_quality.query,
