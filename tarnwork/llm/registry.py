@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import op1_url_rules, op2_language, op4_jaccard_join, op5_records, op8_quality, op9_packing
+from tarnwork.llm import op10_toxicity, op1_url_rules, op2_language, op4_jaccard_join, op5_records, op8_quality, op9_packing
 
 QUERIES = {
     "op1_url_rules": op1_url_rules.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_token_records": op5_records.query,
     "op8_quality_rules": op8_quality.query,
     "op9_best_fit_packing": op9_packing.query,
+    "op10_toxicity": op10_toxicity.query,
 }
 ORACLES: dict[str, str] = {
     "op1_url_rules": op1_url_rules.SQL,
