@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import op10_toxicity, op1_url_rules, op2_language, op4_jaccard_join, op5_records, op8_quality, op9_packing
+from tarnwork.llm import op10_toxicity, op1_url_rules, op2_language, op3_substring_dedup, op4_jaccard_join, op5_records, op8_quality, op9_packing
 
 QUERIES = {
     "op1_url_rules": op1_url_rules.query,
     "op2_language_id": op2_language.query,
+    "op3_substring_dedup": op3_substring_dedup.query,
     "op4_jaccard_join": op4_jaccard_join.query,
     "op5_token_records": op5_records.query,
     "op8_quality_rules": op8_quality.query,
