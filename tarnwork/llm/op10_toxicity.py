@@ -355,7 +355,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     """doc_id, score, predicted of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    schema = rows.drop("_text").schema.add("score", "double").add("predicted", "int")
+    schema = rows.drop("_text").schema.add("score", "double").add("predicted", "integer")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
