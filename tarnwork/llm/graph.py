@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from tarnwork.llm import common
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, loops: bool = False) -> DataFrame:
     """(node, comp) for each node of ``edges`` (a, b: long); comp is the smallest node of its component.
+    With ``loops`` a node whose only edge is to itself is listed as well.
 
     Each round every node goes to its smallest neighbour or itself, chains of such moves are shortened,
     and edges are drawn between what is left; at least half of the nodes that still have edges go in a
     round. Nothing is gathered on the driver, and each round is cut off by a written table.
     """
     mapping = None
-    edges = common.materialise(edges.filter("a <> b").distinct(), "edges")
+    edges = common.materialise((edges if loops else edges.filter("a <> b")).distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up"))
