@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import op10_toxicity, op1_url_rules, op2_language, op3_substring_dedup, op4_jaccard_join, op5_records, op7_mixing, op8_quality, op9_packing
+from tarnwork.llm import op10_toxicity, op1_url_rules, op2_language, op3_substring_dedup, op4_jaccard_join, op5_records, op6_cover_tree, op7_mixing, op8_quality, op9_packing
 
 QUERIES = {
     "op1_url_rules": op1_url_rules.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup.query,
     "op4_jaccard_join": op4_jaccard_join.query,
     "op5_token_records": op5_records.query,
+    "op6_embedding_dedup": op6_cover_tree.query,
     "op7_mixing": op7_mixing.query,
     "op8_quality_rules": op8_quality.query,
     "op9_best_fit_packing": op9_packing.query,
