@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _name in ("prep", "corpus", "vocab", "vectors"):
+for _name in ("prep", "corpus", "vocab", "vectors", "runs", "misc"):
     _m = importlib.import_module(f"tarnwork.plans.{_name}")
     QUERIES |= _m.Q
     ORACLES |= _m.O
