@@ -219,8 +219,20 @@ def landmarks(toxic: list[set[bytes]], clean: list[set[bytes]]) -> list[bytes]:
             docs.setdefault(w, set()).add(k)
     least = max(SUPPORT, SHARE * len(toxic))
 
+    # a substring is in no more texts than the rarest of its own parts
+    most: Counter = Counter()
+    for w, ks in docs.items():
+        for g in {w[i : i + 4] for i in range(len(w) - 3)}:
+            most[g] += len(ks)
+
     def grams(w: bytes) -> set[bytes]:
-        return {w[i : i + n] for n in range(4, min(13, len(w)) + 1) for i in range(len(w) - n + 1)}
+        out = set()
+        for i in range(len(w) - 3):
+            for n in range(4, min(13, len(w) - i) + 1):
+                if most[w[i + n - 4 : i + n]] < least:
+                    break
+                out.add(w[i : i + n])
+        return out
 
     within: dict[bytes, list[bytes]] = {}
     for w in sorted(docs):
@@ -346,8 +358,10 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
     n = {r[0]: r[1] for r in marked.groupBy("_y").count().collect()}
     rate = F.when(F.col("_y") == 1, F.lit(int(1e6 * min(1.0, MOST_TEXTS / max(1, n.get(1, 0)))))).otherwise(F.lit(int(1e6 * min(1.0, MOST_TEXTS / max(1, n.get(0, 0))))))
     picked = marked.filter(F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1_000_000)) < rate)
-    found = picked.join(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id").filter(F.col("_text").isNotNull())
-    rows = found.select("_id", "_y", "_text").orderBy("_id", "_text").limit(2 * MOST_TEXTS + MOST_TEXTS // 2).collect()
+    # the sample's ids are few by the rates (the limit is far above what they let through), so texts aren't shuffled
+    bound = 2 * MOST_TEXTS + MOST_TEXTS // 2
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked.limit(bound)), "_id").filter(F.col("_text").isNotNull())
+    rows = found.select("_id", "_y", "_text").orderBy("_id", "_text").limit(bound).collect()
     return fit([r["_text"] for r in rows], [r["_y"] for r in rows])
 
 
