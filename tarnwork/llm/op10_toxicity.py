@@ -12,7 +12,7 @@ gapped copies of them made by rule. Landmarks are substrings that toxic texts ha
 not, chosen greedily by the pieces they explain, and pieces of clean texts for contrast. A linear
 machine is trained on the Nyström features K_zz^(-1/2) k_z(x); it folds into one weight for each
 subsequence, so scoring a piece is a sum over its own. A logistic curve over the training texts' worst
-pieces turns margins into scores.
+pieces, and the landmarks' words alone and gapped, turns margins into scores.
 
 Learning uses a bounded sample (``MOST_TEXTS`` of each class, by a hash of the id) of the labelled rows;
 scoring reads whole texts. Rows with null labels or texts aren't learned from; without both classes
@@ -44,6 +44,8 @@ PIECE = 24
 NEGATIVES = 6000
 #: Weight of the gapped copies of a sign's words against the words.
 GAPPED = 0.5
+#: Weight of a lone or gapped sign against a training text when the curve's middle is chosen.
+LONE = 0.1
 #: A substring that is a landmark occurs in at least so many toxic texts, and in this share of them.
 SUPPORT, SHARE = 6, 0.02
 MAX_PIECES = 1_000_000
@@ -321,7 +323,10 @@ def fit(texts: list[str | None], labels: list[int]) -> Machine:
     alpha = root @ w[:-1]
     machine = Machine(np.flatnonzero(table), rows[table[np.flatnonzero(table)]] @ alpha, float(w[-1]), 1.0, 0.0)
     worst = machine.worst(pa.array(texts, pa.large_string()))
-    machine.slope, machine.middle = _curve(worst, np.array(labels, float))
+    # the signs alone, and gapped, count like toxic texts for the curve's middle
+    lone = [x for ws in found.values() for x in (ws[0], *_gapped(ws[0]))]
+    margins = machine.margin(*_join(lone))
+    machine.slope, machine.middle = _curve(np.concatenate([worst, margins]), np.concatenate([np.array(labels, float), np.ones(len(lone))]), np.concatenate([np.ones(len(labels)), np.full(len(lone), LONE)]))
     return machine
 
 
@@ -339,12 +344,13 @@ def _hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) ->
     return w
 
 
-def _curve(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope, and the middle with the fewest wrong texts (of equal ones the middlemost)."""
+def _curve(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope, and the middle with the least weight on its wrong side (of equal ones that in the widest gap)."""
     order = np.argsort(margin, kind="stable")
     m, y = margin[order], label[order]
-    wrong = np.concatenate([[0], np.cumsum(y)]) + ((1 - y).sum() - np.concatenate([[0], np.cumsum(1 - y)]))
-    best = np.flatnonzero(wrong == wrong.min())
+    up, down = y * weight[order], (1 - y) * weight[order]
+    wrong = np.concatenate([[0], np.cumsum(up)]) + (down.sum() - np.concatenate([[0], np.cumsum(down)]))
+    best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
     edges = np.concatenate([[m[0] - 1], (m[1:] + m[:-1]) / 2, [m[-1] + 1]])
     gap = np.concatenate([[0], np.diff(m), [0]])
     middle = float(edges[best[np.argmax(gap[best])]])
