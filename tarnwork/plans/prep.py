@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.functions import text as T
 from tarnwork.operators import prep as P
+from tarnwork.sources.config import eval_text
 from tarnwork.plans.common import RATED, SOURCED, norm, rated, sourced, table
 
 Q: dict = {}
@@ -93,3 +94,6 @@ SELECT label, source AS top_source, round(cast(n AS double) / a, 4) AS top_share
 MARKERS = ["license", "token", "mail", "http", "@"]
 Q["marker_scan"] = lambda s, d: table(s, d, "documents").withColumn("marker", F.explode(F.filter(F.array(*map(F.lit, MARKERS)), lambda m: F.contains(T.casefold(F.col("text")), m)))).groupBy("marker").agg(F.count("*").alias("n"))
 O["marker_scan"] = "SELECT marker, count(*) AS n FROM documents, (SELECT unnest(['license','token','mail','http','@']) AS marker) WHERE contains(lower(text), marker) GROUP BY marker"
+
+Q["eval_text"] = lambda s, d: eval_text(split(s, d).filter("split = 'train'"), "doc_id").select("doc_id", F.md5("text").alias("h"), "provenance")
+O["eval_text"] = f"WITH {RATED}, {_SPLIT} SELECT doc_id, md5(text) AS h, 'train sample, seed 17' AS provenance FROM split WHERE split = 'train' AND length(text) >= 40 ORDER BY md5('17:' || doc_id), doc_id LIMIT 300"

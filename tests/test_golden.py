@@ -152,3 +152,13 @@ def test_streaming_ingests_each_file_once(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
     rows, skipped = io.scan_runs(spark, f"{tmp_path}/in")
     assert rows.count() == 2 and skipped.first()["n"] == 1
+
+
+def test_config():
+    from tarnwork.sources import config
+
+    assert config.unfilled({"a": [1, {"b": "<FILL me>"}], "c": "x"}) == ["a[1].b"]
+    lock = {"x": config.content_hash(b"a\nb"), "gone": "0"}
+    config.verify_lock({"x": b"a\r\nb"}, {"x": lock["x"]})
+    with pytest.raises(ValueError, match="gone: missing; new: not locked; x: changed"):
+        config.verify_lock({"x": b"other", "new": b""}, lock)
