@@ -6,6 +6,11 @@ smallest id, and in it the first, is kept. A repeated unit alone says little whe
 removed are runs of repeated units, next to each other, that hold ``MIN_RUN`` words or more: repeated
 lines, paragraphs, and passages inside other lines, less a broken unit at either end.
 
+With ``window`` every run of so many words is digested as well, at each word and across all marks, so a
+passage of that length goes wherever it stands, broken units and all. A character of a script without
+spaces (``lone``) is a word of its own there. Of a repeat that overlaps its own first occurrence only what
+lies behind it goes. The registered query and the pipeline have windows of ``MIN_RUN`` words.
+
 The result has the text that is left, and the spans of the original text (in characters) that it is made
 of, so every character can be traced back.
 
@@ -38,6 +43,7 @@ _MARK[[ord(c) for c in ".,!?;:\n"]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _POWER = 0xD1342543DE82EF95
+_WINDOW = np.uint64(0x8BB84B93962EACC9)
 
 
 def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -59,7 +65,38 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[first], digest, last - first, starts[first], ends[last - 1]
 
 
-def _scan(buckets: int, local: bool):
+def lone(low: np.ndarray) -> np.ndarray:
+    """Places of characters (of three bytes) of scripts without spaces: kana, Han, Thai, Lao, Myanmar, Khmer."""
+    if not len(low) or low.max() < 0xE0:
+        return np.zeros(0, np.int64)
+    after = np.append(low[1:], np.uint8(0))
+    found = (low >= 0xE3) & (low <= 0xE9)
+    found |= (low == 0xE0) & (after >= 0xB8) & (after <= 0xBB)
+    found |= (low == 0xE1) & (((after >= 0x80) & (after <= 0x82)) | (after == 0x9E) | (after == 0x9F))
+    return np.flatnonzero(found)
+
+
+def windows(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Of rows the starts of their words, and of each run of ``size`` words: its first word, row and digest."""
+    low = _LOWER[data]
+    starts, ends, row = bytehash.words(np.where(_MARK[low], np.uint8(32), low), offsets)
+    own = lone(low)
+    if len(own):
+        behind = own + 3
+        behind = behind[behind < ends[np.searchsorted(starts, own, "right") - 1]]
+        cuts = np.unique(np.concatenate([starts, own, behind]))
+        word = np.searchsorted(starts, cuts, "right") - 1
+        starts, ends, row = cuts, np.minimum(np.append(cuts[1:], len(low)), ends[word]), row[word]
+    n = max(0, len(starts) - size + 1)
+    w = bytehash.slices(low, starts, ends)
+    up, down = bytehash._power_tables(_POWER, len(w) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * up[: len(w)], dtype=np.uint64)])
+    at = np.flatnonzero(row[:n] == row[size - 1 :][:n])
+    digest = bytehash.mix((sums[at + size] - sums[at]) * down[at] + _WINDOW)
+    return starts, at, row[at], digest
+
+
+def _scan(buckets: int, local: bool, window: int):
     """Rows (doc_id, text). With ``local`` the digests (packed, by document) that a smaller id in the task has; else, packed by bucket, each digest of the task with its smallest id."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,31 +105,50 @@ def _scan(buckets: int, local: bool):
             key = batch.column(0).to_numpy()
             data, offsets = bytehash.buffers(batch.column(1))
             for i, j in bytehash.split_rows(offsets, BATCH_BYTES):
-                row, digest, *_ = units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                digests.append(digest)
-                ids.append(key[i:j][row])
-                held += len(digest)
-            if held > FLUSH:
-                yield from _sent(digests, ids, buckets, local)
-                digests, ids, held = [], [], 0
+                part, edges = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                row, digest, *_ = units(part, edges)
+                found = [(row, digest), windows(part, edges, window)[2:]] if window else [(row, digest)]
+                for row, digest in found:
+                    digests.append(digest)
+                    ids.append(key[i:j][row])
+                    held += len(digest)
+                if held > FLUSH:
+                    yield from _sent(digests, ids, buckets, local)
+                    digests, ids, held = [], [], 0
         if held:
             yield from _sent(digests, ids, buckets, local)
 
     return run
 
 
-def _sent(digests: list, ids: list, buckets: int, local: bool) -> Iterator[pa.RecordBatch]:
-    digest, doc = np.concatenate(digests), np.concatenate(ids).astype(np.int64)
-    group = digest % np.uint64(buckets)
-    order = np.lexsort((doc, digest, group))
-    digest, doc, group = digest[order], doc[order], group[order].astype(np.int64)
+def _owned(digest: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by digest: digests and documents; the place of each distinct digest's first, and its smallest document."""
+    order = np.argsort(digest)
+    digest, doc = digest[order], doc[order]
     first = np.ones(len(digest), bool)
     first[1:] = digest[1:] != digest[:-1]
+    first = np.flatnonzero(first)
+    return digest, doc, first, np.minimum.reduceat(doc, first)
+
+
+def _sent(digests: list, ids: list, buckets: int, local: bool) -> Iterator[pa.RecordBatch]:
+    digest, doc, first, owner = _owned(np.concatenate(digests), np.concatenate(ids).astype(np.int64))
     if local:
-        owner = doc[np.flatnonzero(first)][np.cumsum(first) - 1]
+        owner = np.repeat(owner, np.diff(np.append(first, len(digest))))
         yield from _by_key(doc[doc != owner], digest[doc != owner])
-    else:
-        yield from _by_key(group[first], digest[first], doc[first])
+        return
+    digest = digest[first]
+    # buckets are ranges of the digest; a bucket's documents are sent once each, with the 4 bytes of a place for each digest
+    group = ((digest >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    edges = np.searchsorted(group, np.arange(buckets + 1))
+    table, place = np.unique(owner, return_inverse=True)
+    for g in np.flatnonzero(np.diff(edges)).tolist():
+        a, b = int(edges[g]), int(edges[g + 1])
+        used = np.zeros(len(table), bool)
+        used[place[a:b]] = True
+        at = (np.cumsum(used) - 1)[place[a:b]].astype(np.uint32)
+        blob = np.int64(b - a).tobytes() + digest[a:b].tobytes() + at.tobytes() + table[used].tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([blob], pa.binary())], names=["key", "data"])
 
 
 def _by_key(key: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -110,15 +166,11 @@ def _global(table: pa.Table) -> pa.Table:
     """Of one bucket: the digests, packed by document, that a smaller id in another task has."""
     digest, doc = [], []
     for blob in table["data"].to_pylist():
-        x = np.frombuffer(blob, np.uint64)
-        digest.append(x[: len(x) // 2])
-        doc.append(x[len(x) // 2 :].view(np.int64))
-    digest, doc = np.concatenate(digest), np.concatenate(doc)
-    order = np.lexsort((doc, digest))
-    digest, doc = digest[order], doc[order]
-    first = np.ones(len(digest), bool)
-    first[1:] = digest[1:] != digest[:-1]
-    owner = doc[np.flatnonzero(first)][np.cumsum(first) - 1]
+        n = int(np.frombuffer(blob, np.int64, 1)[0])
+        digest.append(np.frombuffer(blob, np.uint64, n, 8))
+        doc.append(np.frombuffer(blob[8 + 12 * n :], np.int64)[np.frombuffer(blob, np.uint32, n, 8 + 8 * n)])
+    digest, doc, first, owner = _owned(np.concatenate(digest), np.concatenate(doc))
+    owner = np.repeat(owner, np.diff(np.append(first, len(digest))))
     return pa.Table.from_batches(_by_key(doc[doc != owner], digest[doc != owner]), pa.schema([("key", pa.int64()), ("data", pa.binary())]))
 
 
@@ -131,10 +183,11 @@ def _zip_texts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary()), *batch.columns[2:]], names=["key", "data", *batch.schema.names[2:]])
 
 
-def cut(text: bytes, repeated: np.ndarray, min_run: int) -> tuple[list[tuple[int, int]], int, int]:
-    """Spans of the text that are kept, units and words removed; ``repeated``: digests that smaller ids have."""
+def cut(text: bytes, repeated: np.ndarray, min_run: int, window: int = 0) -> tuple[list[tuple[int, int]], int, int]:
+    """Spans of the text that are kept, units of which something and words that are removed; ``repeated``: digests that smaller ids have."""
     data = np.frombuffer(text, np.uint8)
-    _, digest, n, start, end = units(data, np.array([0, len(data)]))
+    offsets = np.array([0, len(data)])
+    _, digest, n, start, end = units(data, offsets)
     if not len(digest):
         return [(0, len(text))] if text else [], 0, 0
     again = np.isin(digest, repeated)
@@ -142,27 +195,46 @@ def cut(text: bytes, repeated: np.ndarray, min_run: int) -> tuple[list[tuple[int
     seen[np.unique(digest, return_index=True)[1]] = False
     again |= seen
     edge = np.flatnonzero(np.diff(np.concatenate([[0], again.view(np.int8), [0]])))
-    spans, at, out_units, out_words = [], 0, 0, 0
+    runs = [(a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if int(n[a:b].sum()) >= min_run]
+    if not window:
+        starts, first = start, np.arange(len(start) + 1)
+        words = n
+    else:
+        starts, at, _, found = windows(data, offsets, window)
+        first = np.append(np.searchsorted(starts, start), len(starts))
+        words = np.ones(len(starts), np.int64)
+    # +1 where removed words (units without windows) begin, -1 behind their end
+    change = np.zeros(len(starts) + 1, np.int64)
+    for a, b in runs:
+        change[first[a]] += 1
+        change[first[b]] -= 1
+    if window and len(found):
+        distinct, place, inverse = np.unique(found, return_index=True, return_inverse=True)
+        elsewhere = np.isin(distinct, repeated)[inverse]
+        begin = np.where(elsewhere, at, np.maximum(at, at[place][inverse] + window))
+        gone = elsewhere | (at != at[place][inverse])
+        np.add.at(change, begin[gone], 1)
+        np.add.at(change, at[gone] + window, -1)
+    gone = np.cumsum(change[:-1]) > 0
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
+    spans, at = [], 0
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-        if (size := int(n[a:b].sum())) >= min_run:
-            if start[a] > at:
-                spans.append((at, int(start[a])))
-            at = int(start[b]) if b < len(start) else len(text)
-            out_units += b - a
-            out_words += size
+        if starts[a] > at:
+            spans.append((at, int(starts[a])))
+        at = int(starts[b]) if b < len(starts) else len(text)
     if at < len(text):
         spans.append((at, len(text)))
-    return spans, out_units, out_words
+    return spans, int(np.logical_or.reduceat(gone, first[:-1]).sum()), int(words[gone].sum())
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, window: int = 0) -> DataFrame:
     """``docs`` with its text reduced, and _spans, _units_removed, _words_removed."""
     spark = docs.sparkSession
     width = common.shuffle_width(spark)
     buckets = 4 * width
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    inside = rows.mapInArrow(_scan(buckets, True), "key long, data binary")
-    across = rows.mapInArrow(_scan(buckets, False), "key long, data binary").groupBy("key").applyInArrow(_global, "key long, data binary")
+    inside = rows.mapInArrow(_scan(buckets, True, window), "key long, data binary")
+    across = rows.mapInArrow(_scan(buckets, False, window), "key long, data binary").groupBy("key").applyInArrow(_global, "key long, data binary")
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     kept = docs.select(F.col(id_col), *others).schema
     texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"), F.struct(F.col(id_col), *others).alias("rest"))
@@ -190,7 +262,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_r
                     found = (None, None, 0, 0)
                 else:
                     text = codec.decompress(data)
-                    spans, n, w = cut(text, np.concatenate(repeated) if repeated else np.zeros(0, np.uint64), min_run) if key is not None else ([(0, len(text))], 0, 0)
+                    spans, n, w = cut(text, np.concatenate(repeated) if repeated else np.zeros(0, np.uint64), min_run, window) if key is not None else ([(0, len(text))], 0, 0)
                     chars = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
                     found = (b"".join(text[a:b] for a, b in spans).decode(), [{"start": int(chars[a]), "end": int(chars[b])} for a, b in spans], n, w)
                 for c, v in zip(cols, found):
@@ -206,5 +278,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_r
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text"), window=MIN_RUN)
     return out.select("doc_id", "text", F.col("_spans").alias("spans"), F.col("_units_removed").alias("units_removed"), F.col("_words_removed").alias("words_removed"))

@@ -154,6 +154,27 @@ def test_substring_dedup(spark, corpus, min_run):
         assert got[i]["lang"] == "en" and got[i]["rep"] == 1
 
 
+def test_substring_dedup_whole_passages(spark):
+    """A passage without marks inside differing sentences, in any place, goes to its ends; shorter ones stay."""
+    r = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(50))
+    own = lambda k: " ".join(word(r) + str(k) for _ in range(7))
+    ends = [(own(k), own(-k)) for k in range(1, 9)]
+    texts = [f"{a} {passage} {b}." for a, b in ends]
+    han = "".join(chr(0x4E00 + i) for i in range(40))
+    texts += [f"一{han}二", f"三四{han}五六。", "w " * 60, f"{own(90)} p1 p2 p3 p4 p5 p6 p7 p8 p9 p10 p11 p12 p13 p14 p15 p16 p17 p18 p19 {own(91)}"]
+    got = {x["doc_id"]: x for x in op3_substring_dedup.dedup(docs(spark, texts).repartition(5), window=20).collect()}
+    assert got[0]["text"] == texts[0] and got[0]["_words_removed"] == 0
+    for k in range(1, 8):
+        assert got[k]["text"] == f"{ends[k][0]} {ends[k][1]}." and got[k]["_words_removed"] == 50 and got[k]["_units_removed"] == 1
+        assert "".join(texts[k][s["start"] : s["end"]] for s in got[k]["_spans"]) == got[k]["text"]
+    assert got[8]["text"] == texts[8] and got[9]["text"] == "三四五六。"
+    assert got[10]["text"].split() == ["w"] * 20
+    assert got[11]["text"] == texts[11]
+    plain = {x["doc_id"]: x["text"] for x in op3_substring_dedup.dedup(docs(spark, texts)).collect()}
+    assert plain[3] == texts[3]  # units alone leave it
+
+
 def test_substring_dedup_odd_rows(spark):
     t = " ".join(f"w{i}" for i in range(30))
     more = [(None, t, None, None, None, 0, 0, 0), (5, t, None, None, None, 0, 0, 0), (5, t, None, None, None, 0, 0, 0)]
