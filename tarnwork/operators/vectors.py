@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Anchors whose matrix is sent to every task, at most; beyond it the join form runs.
 MOST_ANCHORS = 200_000
+#: Rows of a block of targets or anchors in the join form, about; and targets compared at once.
+BLOCK, SLICE = 20_000, 256
 
 
 def norm(v: Column) -> Column:
@@ -27,15 +30,15 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def _matrix(anchors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    rows = anchors.select("id", "vec").orderBy("id").limit(MOST_ANCHORS + 1).collect()
-    if len(rows) > MOST_ANCHORS:
-        raise ValueError(f"over {MOST_ANCHORS} anchors: use cosine_topk_join")
+    rows = anchors.select("id", "vec").orderBy("id").collect()
     m = np.array([r["vec"] for r in rows], np.float64)
     return np.array([r["id"] for r in rows], np.int64), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-8)
 
 
 def cosine_topk(targets: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
-    """targets, anchors (id, vec) -> id, rank, anchor_id, cosine of the k nearest; ties by anchor id. One pass over the targets, anchors sent to the tasks."""
+    """targets, anchors (id, vec) -> id, rank, anchor_id, cosine of the k nearest; ties by anchor id. One pass over the targets, anchors sent to the tasks; more than ``MOST_ANCHORS`` in blocks."""
+    if anchors.count() > MOST_ANCHORS:
+        return cosine_topk_join(targets, anchors, k)
     shared = targets.sparkSession.sparkContext.broadcast(_matrix(anchors))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,6 +56,39 @@ def cosine_topk(targets: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
     return targets.select("id", "vec").mapInPandas(run, "id long, rank long, anchor_id long, cosine double")
 
 
+def cosine_topk_join(targets: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
+    """The same as cosine_topk: each block of targets meets each block of anchors in a task, and a target's k nearest of every block are merged."""
+    return _nearest_join(targets, anchors, k).select("id", "rank", "anchor_id", "cosine")
+
+
+def _nearest_join(targets: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
+    """_row (of the target, so that repeated ids stay apart), id, rank, anchor_id, cosine, _at (the anchor's vector), _vec (the target's own, at rank 1)."""
+    n_t, n_a = (max(1, math.ceil(d.count() / BLOCK)) for d in (targets, anchors))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    t = targets.select(F.monotonically_increasing_id().alias("_row"), "id", "vec").withColumn("_t", F.pmod(F.xxhash64("_row"), F.lit(n_t)).cast("int")).withColumn("_a", each(n_a))
+    a = anchors.select("id", "vec").withColumn("_a", F.pmod(F.xxhash64("id"), F.lit(n_a)).cast("int")).withColumn("_t", each(n_t))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            right = right.sort_values("id", kind="stable")
+            ids, raw = right["id"].to_numpy(), np.stack(right["vec"].to_numpy()).astype(np.float64)
+            m = raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-8)
+            for i in range(0, len(left), SLICE):
+                p = left.iloc[i : i + SLICE]
+                x = np.stack(p["vec"].to_numpy()).astype(np.float64)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
+                sim = np.round(x @ m.T, 9)
+                best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+                n = best.shape[1]
+                out.append(pd.DataFrame({"_row": np.repeat(p["_row"].to_numpy(), n), "id": np.repeat(p["id"].to_numpy(), n), "anchor_id": ids[best].ravel(), "cosine": np.take_along_axis(sim, best, 1).ravel(), "_at": list(raw[best.ravel()]), "_vec": [v if r == 0 else None for v in p["vec"] for r in range(n)]}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("_row", "id", "anchor_id", "cosine", "_at", "_vec")})
+
+    found = t.groupBy("_t", "_a").cogroup(a.groupBy("_t", "_a")).applyInPandas(run, "_row long, id long, anchor_id long, cosine double, _at array<double>, _vec array<double>")
+    rank = F.row_number().over(Window.partitionBy("_row").orderBy(F.desc("cosine"), "anchor_id")).cast("long")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def mean_weights(top: DataFrame, k: int) -> DataFrame:
     """Weight 1/k on the k nearest."""
     return top.filter(F.col("rank") <= k).select("id", "anchor_id", (1.0 / F.count("*").over(Window.partitionBy("id"))).alias("w"))
@@ -87,8 +123,33 @@ def omp(target: np.ndarray, atoms: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.array(chosen, np.int64), weights
 
 
+def _sparse(key: int, vec: np.ndarray, ids: np.ndarray, atoms: np.ndarray, k: int) -> list[tuple]:
+    """Rows of omp_weights for one target."""
+    t = np.asarray(vec, np.float64)
+    t = t / max(float(np.linalg.norm(t)), 1e-8)
+    at, w = omp(t, atoms, k)
+    made = w @ atoms[at] if len(at) else np.zeros_like(t)
+    cos = float(made @ t / max(float(np.linalg.norm(made)), 1e-8))
+    return [(key, int(ids[a]), float(x), float(np.linalg.norm(t - made)), cos) for a, x in zip(at, w)]
+
+
 def omp_weights(targets: DataFrame, anchors: DataFrame, k: int, candidates: int) -> DataFrame:
     """Sparse weights over the nearest ``candidates`` anchors of each target, with the reconstruction's error and cosine."""
+    schema = "id long, anchor_id long, w double, error double, cosine double"
+    if anchors.count() > MOST_ANCHORS:
+        near = _nearest_join(targets, anchors, candidates).groupBy("_row", "id")
+        near = near.agg(F.first("_vec", ignorenulls=True).alias("vec"), F.sort_array(F.collect_list(F.struct("rank", "anchor_id", "_at"))).alias("near"))
+
+        def joined(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in parts:
+                out = []
+                for key, vec, near in zip(p["id"], p["vec"], p["near"]):
+                    m = np.stack([np.asarray(x["_at"], np.float64) for x in near])
+                    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-8)
+                    out += _sparse(key, vec, np.array([x["anchor_id"] for x in near], np.int64), m, k)
+                yield pd.DataFrame(out, columns=["id", "anchor_id", "w", "error", "cosine"])
+
+        return near.select("id", "vec", "near").mapInPandas(joined, schema)
     shared = targets.sparkSession.sparkContext.broadcast(_matrix(anchors))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,13 +160,10 @@ def omp_weights(targets: DataFrame, anchors: DataFrame, k: int, candidates: int)
                 t = np.asarray(vec, np.float64)
                 t = t / max(float(np.linalg.norm(t)), 1e-8)
                 near = np.lexsort((ids, -np.round(m @ t, 9)))[:candidates]
-                at, w = omp(t, m[near], k)
-                made = w @ m[near[at]] if len(at) else np.zeros_like(t)
-                cos = float(made @ t / max(float(np.linalg.norm(made)), 1e-8))
-                out += [(key, int(ids[near[a]]), float(x), float(np.linalg.norm(t - made)), cos) for a, x in zip(at, w)]
+                out += _sparse(key, vec, ids[near], m[near], k)
             yield pd.DataFrame(out, columns=["id", "anchor_id", "w", "error", "cosine"])
 
-    return targets.select("id", "vec").mapInPandas(run, "id long, anchor_id long, w double, error double, cosine double")
+    return targets.select("id", "vec").mapInPandas(run, schema)
 
 
 def random_weights(top: DataFrame, k: int, seed: str) -> DataFrame:

@@ -162,3 +162,19 @@ def test_config():
     config.verify_lock({"x": b"a\r\nb"}, {"x": lock["x"]})
     with pytest.raises(ValueError, match="gone: missing; new: not locked; x: changed"):
         config.verify_lock({"x": b"other", "new": b""}, lock)
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    """Beyond the bound of anchors the blocks give what one matrix gives, ties and repeated ids too."""
+    r = np.random.default_rng(3)
+    v = r.integers(-2, 3, (90, 6)).astype(float)
+    frame = lambda a, b: spark.createDataFrame([(i, v[i].tolist()) for i in range(a, b)], "id long, vec array<double>")
+    targets, anchors = frame(0, 30).unionByName(frame(4, 5)), frame(30, 90)
+    every = lambda: (sorted(map(tuple, vectors.cosine_topk(targets, anchors, 5).collect())), sorted(map(tuple, vectors.omp_weights(targets, anchors, 3, 8).collect())))
+    top, weights = every()
+    monkeypatch.setattr(vectors, "MOST_ANCHORS", 10)
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    monkeypatch.setattr(vectors, "SLICE", 4)
+    top_b, weights_b = every()
+    assert len(top) == 31 * 5 and [x[:3] for x in top_b] == [x[:3] for x in top] and np.allclose([x[3] for x in top_b], [x[3] for x in top])
+    assert [x[:2] for x in weights_b] == [x[:2] for x in weights] and np.allclose([x[2:] for x in weights_b], [x[2:] for x in weights])
