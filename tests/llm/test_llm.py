@@ -453,6 +453,16 @@ def test_registered(spark, name):
         assert sorted(repr(tuple(r[i] for i in at)) for r in c.fetchall()) == rows
 
 
+def test_pipeline_keeps_one_row_of_an_id(spark):
+    import corpus_pipeline as p
+
+    t, u = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, t, "en", "s", 3), (1, t, "en", "s", 3), (2, t, "en", "s", 3), (3, u, "en", "s", 3), (3, f"{u} c", "en", "s", 3), (None, "c d e f g h", "en", "s", 3), (None, t, "en", "s", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [sorted(map(repr, p.near_duplicates(spark, df.repartition(n), SF).collect())) for n in (1, 5)]
+    assert got[0] == got[1] and [x.split(",")[0][11:] for x in got[0]] == ["1", "3", "None", "None"]
+
+
 def test_pipeline(spark, tokenizer):
     import corpus_pipeline as p
 
