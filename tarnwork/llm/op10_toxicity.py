@@ -8,8 +8,8 @@ Instances are the pieces of sentences: lower-cased words, words without the mark
 very short words joined (an insult spelled with spaces). A sentence is as toxic as its worst piece, a
 text as its worst sentence; so training is multiple-instance: labelled sentences of clean texts give
 negative pieces, and of each toxic text the pieces that its landmarks point at give positives, with
-gapped copies of them made by rule. Landmarks are substrings that toxic texts have and clean texts have
-not, chosen greedily by the pieces they explain, and pieces of clean texts for contrast. A linear
+gapped copies of them made by rule. Landmarks are substrings that toxic texts have and clean texts hardly
+have (a clean text that quotes an insult doesn't hide it), chosen greedily by the pieces they explain, and pieces of clean texts for contrast. A linear
 machine is trained on the Nyström features K_zz^(-1/2) k_z(x); it folds into one weight for each
 subsequence, so scoring a piece is a sum over its own. A logistic curve over the training texts' worst
 pieces, and the landmarks' words alone and gapped, turns margins into scores.
@@ -46,8 +46,10 @@ NEGATIVES = 6000
 GAPPED = 0.5
 #: Weight of a lone or gapped sign against a training text when the curve's middle is chosen.
 LONE = 0.1
-#: A substring that is a landmark occurs in at least so many toxic texts, and in this share of them.
-SUPPORT, SHARE = 6, 0.02
+#: A substring that is a landmark occurs in at least so many toxic texts.
+SUPPORT = 6
+#: A word or substring is no sign if clean texts have it this often for each toxic one, by the shares of their classes.
+QUOTED = 0.02
 MAX_PIECES = 1_000_000
 BATCH_BYTES = 1_500_000
 START = 1
@@ -212,14 +214,21 @@ def _distinct(text: str | None) -> set[bytes]:
     return {raw[x:y] for x, y in zip(a.tolist(), b.tolist())}
 
 
+def usual(toxic: list[set[bytes]], clean: list[set[bytes]]) -> set[bytes]:
+    """Pieces of clean texts, but those that are rare there against toxic texts."""
+    up, down = Counter(w for x in toxic for w in x), Counter(w for x in clean for w in x)
+    scale = len(toxic) / max(1, len(clean))
+    return {w for w, n in down.items() if up[w] < SUPPORT or n * scale > QUOTED * up[w]}
+
+
 def landmarks(toxic: list[set[bytes]], clean: list[set[bytes]]) -> list[bytes]:
-    """Substrings of pieces that clean texts don't have, by the number of toxic texts; the pieces that one explains count for no other."""
-    known = set().union(*clean)
+    """Substrings of pieces that clean texts hardly have, by the number of toxic texts; the pieces that one explains count for no other."""
+    known = usual(toxic, clean)
     docs: dict[bytes, set[int]] = {}
     for k, words in enumerate(toxic):
         for w in words - known:
             docs.setdefault(w, set()).add(k)
-    least = max(SUPPORT, SHARE * len(toxic))
+    least = SUPPORT
 
     # a substring is in no more texts than the rarest of its own parts
     most: Counter = Counter()
@@ -246,10 +255,10 @@ def landmarks(toxic: list[set[bytes]], clean: list[set[bytes]]) -> list[bytes]:
         against.update({g for w in words for g in grams(w) if g in within})
     scale = len(toxic) / max(1, len(clean))
     support = {g: len(set().union(*(docs[w] for w in ws))) for g, ws in within.items()}
-    support = {g: n for g, n in support.items() if against[g] * scale <= 0.02 * n}
+    support = {g: n for g, n in support.items() if against[g] * scale <= QUOTED * n}
     chosen: list[bytes] = []
     gone: set[bytes] = set()
-    while support and len(chosen) < LANDMARKS // 2:
+    while support:
         g = max(support, key=lambda g: (support[g], len(g), g))
         if support[g] < least:
             break
@@ -284,13 +293,14 @@ def fit(texts: list[str | None], labels: list[int]) -> Machine:
     signs = landmarks(toxic, clean) if toxic and clean else []
     if not signs:
         return nothing
-    pool = sorted(set().union(*clean), key=_order)
+    pool = sorted(usual(toxic, clean), key=_order)
     # contrast: the clean pieces nearest to each sign, and some at large
     table, rows = _dense(signs)
     near = np.concatenate([kernels(pool[i : i + 5000], table, rows) for i in range(0, len(pool), 5000)])
-    each = max(1, (LANDMARKS - len(signs)) * 2 // 3 // len(signs))
+    most = max(LANDMARKS, 2 * len(signs))
+    each = max(1, (most - len(signs)) * 2 // 3 // len(signs))
     close = {pool[i] for k in range(len(signs)) for i in np.argsort(-near[:, k], kind="stable")[:each]}
-    marks = signs + sorted(close) + pool[: max(0, LANDMARKS - len(signs) - len(close))]
+    marks = signs + sorted(close) + pool[: max(0, most - len(signs) - len(close))]
     table, rows = _dense(marks)
     negative = [pool[i] for i in np.argsort(-near.max(1), kind="stable")[:NEGATIVES]] + pool[: NEGATIVES // 4]
     known = set(pool)
@@ -302,7 +312,7 @@ def fit(texts: list[str | None], labels: list[int]) -> Machine:
     # each sign weighs the same, however many words hold it
     positive, cost = [], []
     for s, ws in found.items():
-        ws = ws[: NEGATIVES // 4 // len(signs)]
+        ws = ws[: max(1, NEGATIVES // 4 // len(signs))]
         more = [g for w in ws if len(w) <= 14 for g in _gapped(w)]
         positive += ws + more
         cost += [1 / len(ws)] * len(ws) + [GAPPED / len(more)] * len(more)

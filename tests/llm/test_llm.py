@@ -428,6 +428,22 @@ def test_toxicity(spark):
     assert op10_toxicity.score(df.limit(0), m).count() == 0
 
 
+def test_toxicity_quoted_and_rare_insults():
+    """One clean text that quotes each insult, and insults in 1 % of the toxic texts, leave them learnable."""
+    r = random.Random(6)
+    bad = ["".join(r.choice("klmnopqrstuvwz") for _ in range(8)) for _ in range(60)]
+    text = lambda w: ". ".join(" ".join(word(r) for _ in range(8)) for _ in range(4)) + w
+    toxic = [text(f" {bad[i % 60]} {word(r)}") for i in range(900)]
+    clean = [text("") for _ in range(900)]
+    common, quoted = "zorkhead", [text(" zorkhead")] + clean[1:]
+    m = op10_toxicity.fit([text(f" {common}") for _ in range(200)] + quoted, [1] * 200 + [0] * 900)
+    assert m.scores(pa.array([text(f" {common} {word(r)}")]))[0] >= 0.5 and m.scores(pa.array([text("")]))[0] < 0.5
+    m = op10_toxicity.fit(toxic + clean, [1] * 900 + [0] * 900)
+    found = m.scores(pa.array([text(f" {b} {word(r)}") for b in bad])) >= 0.5
+    wrong = m.scores(pa.array([text("") for _ in range(100)])) >= 0.5
+    assert found.sum() >= 57 and wrong.sum() <= 3, (found.sum(), wrong.sum())
+
+
 def test_kernel_tolerates_gaps():
     table, rows = op10_toxicity._dense([b"\x01idiot"])
     k = op10_toxicity.kernels([b"\x01idiot", b"\x01idxiot", b"\x01thing"], table, rows)[:, 0]
