@@ -56,8 +56,8 @@ def truncation(measured: DataFrame, by: str, caps: tuple[int, ...] = (128, 256))
     return g.select(by, "cap", "n", "n_over", "pct", F.round(F.col("pct") - F.col("pct_all"), 2).alias("delta"), (F.abs(F.round(F.col("pct") - F.col("pct_all"), 2)) >= 1.0).alias("alarm"))
 
 
-def equal_first(df: DataFrame, by: str, order: str, cap: int = 2000) -> DataFrame:
-    """The first n rows of each group, n the smallest group's size, ``cap`` at most (a limit that the measure asks for)."""
+def equal_first(df: DataFrame, by: str, order: str, cap: int | None = 2000) -> DataFrame:
+    """The first n rows of each group, n the smallest group's size, ``cap`` at most if there is one (a limit that the raw overlap asks for)."""
     n = df.groupBy(by).agg(F.count("*").alias("n")).agg(F.least(F.min("n"), F.lit(cap)).alias("_n"))
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(order))).join(F.broadcast(n)).filter("_r <= _n").drop("_r", "_n")
 

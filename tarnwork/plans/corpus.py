@@ -41,15 +41,15 @@ def _overlap(t: str) -> str:
 v AS (SELECT *, round(cast(100 AS double) * shared / greatest(a_types, 1), 2) AS a_covered_pct, round(cast(shared AS double) / greatest(a_types + b_types - shared, 1), 4) AS jaccard FROM o)"""
 
 
-def typed(s, d, alpha):
-    return C.types(C.equal_first(table(s, d, "documents").select("doc_id", "lang", "text"), "lang", "doc_id"), "lang", alpha)
+def typed(s, d, alpha, cap=2000):
+    return C.types(C.equal_first(table(s, d, "documents").select("doc_id", "lang", "text"), "lang", "doc_id", cap), "lang", alpha)
 
 
 Q["type_overlap"] = lambda s, d: C.type_overlap(typed(s, d, False), "lang", "fr")
 O["type_overlap"] = f"WITH {_T}, {_overlap('t')} SELECT * FROM v"
-Q["type_overlap_alpha"] = lambda s, d: C.type_overlap(typed(s, d, True), "lang", "fr")
+Q["type_overlap_alpha"] = lambda s, d: C.type_overlap(typed(s, d, True, None), "lang", "fr")
 O["type_overlap_alpha"] = f"WITH {_T}, {_overlap('ta')} SELECT * FROM v"
-Q["relatedness"] = lambda s, d: C.relatedness(C.type_overlap(typed(s, d, True), "lang", "fr"), "lang", "es")
+Q["relatedness"] = lambda s, d: C.relatedness(C.type_overlap(typed(s, d, True, None), "lang", "fr"), "lang", "es")
 O["relatedness"] = f"""WITH {_T}, {_overlap('ta')}, x AS (SELECT max(a_covered_pct) FILTER (WHERE lang = 'es') AS rel, avg(a_covered_pct) FILTER (WHERE lang <> 'es') AS base, max(a_covered_pct) FILTER (WHERE lang <> 'es') AS hi, min(a_covered_pct) FILTER (WHERE lang <> 'es') AS lo, max(a_types) AS a FROM v),
 y AS (SELECT *, round(rel - base, 2) AS lift, round(hi - lo, 2) AS spread FROM x)
 SELECT rel AS related_pct, round(base, 2) AS baseline_pct, spread AS spread_points, lift AS lift_points, round(rel / greatest(base, 1e-9), 3) AS ratio, round(cast(100 AS double) * (rel - base) / greatest(100 - base, 1e-9), 2) AS headroom_share_pct, cast(round_even(a * (rel - base) / cast(100 AS double), 0) AS bigint) AS n_specific_est,

@@ -178,3 +178,11 @@ def test_nearest_in_blocks(spark, monkeypatch):
     top_b, weights_b = every()
     assert len(top) == 31 * 5 and [x[:3] for x in top_b] == [x[:3] for x in top] and np.allclose([x[3] for x in top_b], [x[3] for x in top])
     assert [x[:2] for x in weights_b] == [x[:2] for x in weights] and np.allclose([x[2:] for x in weights_b], [x[2:] for x in weights])
+
+
+def test_alpha_overlap_is_not_capped(spark, tmp_path):
+    from tarnwork.plans import corpus
+
+    rows = [(2 * i + k, lang, "abc" if i < 2050 else "xyz") for i in range(2100) for k, lang in enumerate(("fr", "es"))]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(corpus.Q[q](spark, str(tmp_path)).first())[1:4] for q in ("type_overlap_alpha", "type_overlap")] == [(2, 2, 2), (1, 1, 1)]
