@@ -127,7 +127,7 @@ def positional_cut(df: DataFrame, order: str, part: float = 0.9) -> DataFrame:
 
 
 def candidate_profile(df: DataFrame, group: str, text: str = "text", label: str = "label") -> DataFrame:
-    """Of each candidate data set: rows, distinct texts, classes, the largest class's share, and pass."""
+    """Of each candidate data set: rows, distinct texts, classes, the largest class's share, and pass (without the reference's criterion of headroom, a classifier's macro-F1)."""
     by = df.groupBy(group, label).agg(F.count("*").alias("n"))
     top = by.groupBy(group).agg(F.count("*").alias("n_classes"), F.max("n").alias("top"), F.sum("n").alias("rows"))
     distinct = df.groupBy(group, F.md5(T.normalise(F.col(text))).alias("k")).agg(F.lit(1).alias("x")).groupBy(group).agg(F.count("*").alias("n_distinct"))
