@@ -17,10 +17,11 @@ import pyarrow as pa
 
 from tarnwork.llm import bytehash
 
-#: Pieces that a worker keeps; beyond it the table starts anew (bounded memory).
-MAX_PIECES = 2_500_000
-#: Bytes of text that are encoded in one go.
-BATCH_BYTES = 2_000_000
+#: Places of the table of known pieces (22 bytes each), and ids that it keeps (4 bytes each). A piece takes the
+#: place of another with the same place; when the ids are full the table starts anew. So memory is bounded.
+PLACES, KEPT_IDS = 1 << 19, 1 << 21
+#: Bytes of text that are encoded in one go; the arrays made on the way are some dozens of bytes for each.
+BATCH_BYTES = 1 << 19
 #: White space outside ASCII, as UTF-8 (fixed values).
 WIDE_SPACES = "\u0085                 　"
 _WIDE = {n: np.array([int.from_bytes(c.encode(), "big") for c in WIDE_SPACES if len(c.encode()) == n]) for n in (2, 3)}
@@ -70,50 +71,55 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # sorted hashes of the known pieces
-        self.check = np.zeros(0, np.uint64)  # a second hash of each
-        self.where = np.zeros(0, np.int64)  # index into start
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 14, np.int64)
-        self.pieces = self.used = 0
+        self.keys, self.check = np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.uint64)  # two hashes of the piece in each place
+        self.begin, self.count = np.zeros(PLACES, np.int64), np.zeros(PLACES, np.int32)  # its ids; 0 of them if there is no piece
+        self.ids, self.used = np.zeros(KEPT_IDS, np.uint32), 0
 
     def _one(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def _store(self, keys: np.ndarray, check: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        n, m = self.pieces, self.pieces + len(keys)
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while m + 1 > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.start[n + 1 : m + 1] = self.used + np.cumsum(counts)
-        self.used, self.pieces = self.used + len(ids), m
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.check = np.concatenate([self.check, check])[order]
-        self.where = np.concatenate([self.where, np.arange(n, m)])[order]
-
-    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, check: np.ndarray) -> None:
-        """Encodes new pieces. Those that open with their only space go to the library many in a call: a token opening with a space starts the next piece."""
+    def _fresh(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after the other, and their numbers. Those that open with their only space go to the library many in a call: a token opening with a space starts the next piece."""
         raw = data.tobytes()
         spaces = np.concatenate([[0], np.cumsum(data == 32)])
         joined = (data[starts] == 32) & (spaces[ends] - spaces[starts] == 1)
-        for i in range(0, len(starts), 20_000):
-            k = np.flatnonzero(joined[i : i + 20_000]) + i
-            alone = np.flatnonzero(~joined[i : i + 20_000]) + i
-            if len(k):
-                pieces = [raw[a:b] for a, b in zip(starts[k].tolist(), ends[k].tolist())]
-                ids, _ = self._many([b"".join(pieces[j : j + 500]).decode() for j in range(0, len(pieces), 500)])
-                at = np.flatnonzero(self.opens[ids])
-                if len(at) == len(k):
-                    self._store(keys[k], check[k], np.diff(np.append(at, len(ids))), ids)
-                else:  # not with a byte-level file; this is exact for any
-                    alone = np.concatenate([alone, k])
-            if len(alone):
-                ids, counts = self._many([raw[a:b].decode() for a, b in zip(starts[alone].tolist(), ends[alone].tolist())])
-                self._store(keys[alone], check[alone], counts, ids)
+        k = np.flatnonzero(joined)
+        if len(k):
+            pieces = [raw[a:b] for a, b in zip(starts[k].tolist(), ends[k].tolist())]
+            some, _ = self._many([b"".join(pieces[j : j + 500]).decode() for j in range(0, len(pieces), 500)])
+            at = np.flatnonzero(self.opens[some])
+            if len(at) != len(k):  # not with a byte-level file; all alone is exact for any
+                joined[:], k = False, k[:0]
+        if not len(k):
+            some, at = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        rest = np.flatnonzero(~joined)
+        more, n = self._many([raw[a:b].decode() for a, b in zip(starts[rest].tolist(), ends[rest].tolist())])
+        counts, begin = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        counts[k], begin[k] = np.diff(np.append(at, len(some))), at
+        counts[rest], begin[rest] = n, len(some) + np.cumsum(n) - n
+        return np.concatenate([some, more])[bytehash.ragged(begin, counts)], counts
+
+    def _look_up(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of distinct pieces begin in ``self.ids``, and how many they are; new pieces are encoded first."""
+        place = (keys & np.uint64(PLACES - 1)).astype(np.int64)
+        known = (self.count[place] > 0) & (self.keys[place] == keys) & (self.check[place] == check)
+        begin, count = self.begin[place], self.count[place].astype(np.int64)
+        new = np.flatnonzero(~known)
+        if not len(new):
+            return begin, count
+        ids, n = self._fresh(text, starts[new], ends[new])
+        if self.used + len(ids) > len(self.ids) and self.used:
+            self._clear()
+            return self._look_up(text, starts, ends, keys, check)
+        if len(ids) > len(self.ids):
+            self.ids = np.zeros(len(ids), np.uint32)  # until the table starts anew
+        self.ids[self.used : self.used + len(ids)] = ids
+        begin[new], count[new] = self.used + np.cumsum(n) - n, n
+        self.used += len(ids)
+        at, first = np.unique(place[new], return_index=True)  # of several pieces for one place the first
+        k = new[first]
+        self.keys[at], self.check[at], self.begin[at], self.count[at] = keys[k], check[k], begin[k], count[k]
+        return begin, count
 
     def _many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         each = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -133,43 +139,52 @@ class Encoder:
         text = data[bytehash.ragged(a, b - a)]  # the distinct pieces once more, for a second hash
         stop = np.cumsum(b - a)
         check = bytehash.slices(text, stop - (b - a), stop, bytehash.BASE_B)
-        if self.pieces > MAX_PIECES:
-            self._clear()
-        at = np.searchsorted(self.keys, keys)
-        new = np.ones(len(keys), bool)
-        if len(self.keys):
-            new = self.keys[np.minimum(at, len(self.keys) - 1)] != keys
-        if new.any():
-            self._learn(text, (stop - (b - a))[new], stop[new], keys[new], check[new])
-            at = np.searchsorted(self.keys, keys)
-        if (self.check[at] != check).any():  # two pieces share a hash: the library decides
-            raw, o = data.tobytes(), offsets.tolist()
-            each = [self._one(raw[o[i] : o[i + 1]].decode()) for i in range(len(o) - 1)]
-            return np.array([x for e in each for x in e], np.uint32), np.array([len(e) for e in each], np.int64)
-        where = self.where[at]
-        n = (self.start[where + 1] - self.start[where])[inverse]
-        flat = self.ids[bytehash.ragged(self.start[where][inverse], n)]
+        begin, count = self._look_up(text, stop - (b - a), stop, keys, check)
+        n = count[inverse]
+        flat = self.ids[bytehash.ragged(begin[inverse], n)]
         total = np.concatenate([[0], np.cumsum(n)])
         edges = total[np.searchsorted(starts, offsets, "left")]
         return flat, np.diff(edges)
 
+    def _long(self, data: np.ndarray) -> np.ndarray:
+        """Ids of one long row, window by window; windows end at cuts."""
+        out, at, size = [], 0, BATCH_BYTES
+        while at < len(data):
+            part = data[at : at + size]
+            if at + size < len(data):
+                cut = _cuts(part)
+                cut = cut[(cut > 0) & (cut <= size - 8)]  # what is behind a later one may matter
+                if not len(cut):
+                    size *= 2
+                    continue
+                part = part[: cut.max()]
+            out.append(self._some(part, np.array([0, len(part)]))[0])
+            at, size = at + len(part), BATCH_BYTES
+        return np.concatenate(out)
+
     def encode(self, texts: pa.Array):
         """Yields (first row, ids of some rows one after the other, ids in each of those rows)."""
         data, offsets = bytehash.buffers(texts)
-        odd = np.zeros(len(offsets) - 1, bool)
-        for s in self.special:
-            raw, at = memoryview(data).tobytes() if len(data) else b"", -1
-            while (at := raw.find(s, at + 1)) >= 0:
-                odd[np.searchsorted(offsets, at, "right") - 1] = True
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], odd.view(np.int8), [0]])))
         for i, j in bytehash.split_rows(offsets, BATCH_BYTES):
-            for x, y in _runs(i, j, edges):
+            part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            odd = np.zeros(j - i, bool)
+            raw = part.tobytes()
+            for s in self.special:
+                k = raw.find(s)
+                while k >= 0:
+                    odd[np.searchsorted(at, k, "right") - 1] = True
+                    k = raw.find(s, k + 1)
+            edges = [0, *(np.flatnonzero(np.diff(odd.view(np.int8))) + 1).tolist(), j - i]
+            for x, y in zip(edges[:-1], edges[1:]):
                 if odd[x]:
                     for k in range(x, y):
-                        ids = np.array(self._one(data[offsets[k] : offsets[k + 1]].tobytes().decode()), np.uint32)
-                        yield k, ids, np.array([len(ids)], np.int64)
+                        ids = np.array(self._one(raw[at[k] : at[k + 1]].decode()), np.uint32)
+                        yield i + k, ids, np.array([len(ids)], np.int64)
+                elif len(part) > 2 * BATCH_BYTES:
+                    ids = self._long(part)
+                    yield i, ids, np.array([len(ids)], np.int64)
                 else:
-                    yield x, *self._some(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
+                    yield i + x, *self._some(part[at[x] : at[y]], at[x : y + 1] - at[x])
 
     def each(self, texts: pa.Array):
         """The ids of each text in turn."""
@@ -177,11 +192,6 @@ class Encoder:
             yield from np.split(flat, np.cumsum(counts)[:-1])
 
 
-def _runs(i: int, j: int, edges: np.ndarray):
-    stops = [i, *edges[(edges > i) & (edges < j)].tolist(), j]
-    return zip(stops[:-1], stops[1:])
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One for each worker process."""

@@ -17,7 +17,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        n = max(n, 1 << 20)
+        n = 1 << max(16, (n - 1).bit_length())
         inverse = pow(base, -1, 1 << 64)
         out = []
         for b in (base, inverse):
@@ -96,3 +96,15 @@ def ragged(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     ends = np.cumsum(n)
     total = int(ends[-1]) if len(ends) else 0
     return np.repeat(begin - (ends - n), n) + np.arange(total)
+
+
+def blobs(column: pa.Array, dtype) -> list[np.ndarray]:
+    """The values of a binary column as arrays on its own memory."""
+    column = column.cast(pa.large_binary())
+    n, _, at = len(column), *column.buffers()[:2]
+    if not n:
+        return []
+    offsets = np.frombuffer(at, np.int64, n + 1, column.offset * 8).tolist()
+    raw = column.buffers()[2]
+    width = np.dtype(dtype).itemsize
+    return [np.frombuffer(raw, dtype, (b - a) // width, a) if b > a else np.zeros(0, dtype) for a, b in zip(offsets[:-1], offsets[1:])]
