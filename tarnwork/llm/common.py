@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,17 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a narrow table (some dozens of bytes each) that is broadcast, at most.
+FEW_ROWS = 200_000
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path below the folder that driver and executors share.
+    """A fresh path below the folder that driver and executors share; it goes with the session at the latest.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; only where it is unset (tests on one
-    machine) a temporary folder takes its place.
+    The cluster names that folder in ``spark.checkpoint.dir``; only where it is unset and the master is this
+    machine (tests) a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="tarnwork-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _file_system(spark, path)[0].deleteOnExit(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
+    return path
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
@@ -35,14 +45,32 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialise`` that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.scratch_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch path through Hadoop's file system, wherever it is."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+    fs.cancelDeleteOnExit(p)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def few(table: DataFrame) -> DataFrame:
+    """A narrow written table, to be broadcast if it has FEW_ROWS rows at most."""
+    return F.broadcast(table) if table.count() <= FEW_ROWS else table
 
 
 def words_of(text):

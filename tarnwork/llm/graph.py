@@ -21,18 +21,23 @@ def components(edges: DataFrame, loops: bool = False) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up"))
-        up = common.materialise(up, "up")
+        once = common.materialise(up, "up")
+        up = once
         for _ in range(2):  # shorten chains: node -> up -> up of it
             top = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
             up = up.join(top, "up").select("node", F.col("top").alias("up"))
         up = common.materialise(up, "up")
+        common.release(once)
+        old = mapping
         if mapping is None:
             mapping = up.select("node", F.col("up").alias("comp"))
         else:
             mapping = mapping.join(up.select(F.col("node").alias("comp"), "up"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
         mapping = common.materialise(mapping, "mapping")
         a, b = up.select(F.col("node").alias("a"), F.col("up").alias("x")), up.select(F.col("node").alias("b"), F.col("up").alias("y"))
-        edges = edges.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct()
-        edges = common.materialise(edges, "edges")
+        left = common.materialise(edges.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct(), "edges")
+        common.release(edges, up, *([old] if old else []))
+        edges = left
         if edges.isEmpty():
+            common.release(edges)
             return mapping

@@ -165,3 +165,13 @@ def dedup(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id",
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(common.table(spark, sf_dir, "embeddings"))
+
+
+SQL = f"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: cast(x AS double)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS MATERIALIZED (SELECT vec_id, label, len(e) AS d, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM v),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.d = b.d AND a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) >= {THRESHOLD}),
+r(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a),
+c AS (SELECT x, min(y) AS c FROM r GROUP BY x), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM embeddings JOIN c ON x = vec_id LEFT JOIN n ON a = vec_id"""

@@ -18,4 +18,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_url_rules": op1_url_rules.SQL,
+    "op4_jaccard_join": op4_jaccard_join.SQL,
+    "op6_embedding_dedup": op6_cover_tree.SQL,
+    "op8_quality_rules": op8_quality.SQL,
 }

@@ -1,5 +1,6 @@
 """Training-data operators against brute force, round trips and held-out accuracy, with odd rows in every table."""
 
+import itertools
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,11 +306,54 @@ def test_quality(spark, corpus):
     assert op8_quality.judge(docs(spark, [])).count() == 0
 
 
-def test_limits_follow_the_groups(spark):
-    rows = [(i, "aaaa bbbb", g, "s", k, 0, 0, 0) for g, n, base in (("en", 300, 0.0), ("de", 300, 0.05), ("fr", 5, 0.0)) for i, k in [(j, 0) for j in range(n)]]
-    df = spark.createDataFrame(rows, DOC).select("lang", "source", F.lit(False).alias("base_failed"), F.when(F.col("lang") == "de", 0.05).otherwise(0.0).alias("symbol_share"), F.lit(0.0).alias("dup_line_share"), F.lit(0.0).alias("repeat_share"), F.lit(4.0).alias("word_length"))
-    up = {r["lang"]: r["up_symbol_share"] for r in op8_quality.limits(df, ["lang", "source"]).collect()}
-    assert up["en"] == pytest.approx(0.02) and up["de"] == pytest.approx(0.07) and up["fr"] is not None
+def limits_by_force(rows):
+    """rows: (group, values of op8_quality.MEASURES) of texts that pass; the quartiles exactly, drawn towards the language's and the corpus's."""
+    def quartiles(some):
+        cols = [sorted(c) for c in zip(*some)]
+        return [[c[-(-len(c) * k // 4) - 1] for k in (1, 2, 3)] for c in cols]
+
+    def drawn(some, parent):
+        return [[(len(some) * x + op8_quality.SHRINK * y) / (len(some) + op8_quality.SHRINK) for x, y in zip(a, b)] for a, b in zip(quartiles(some), parent)]
+
+    whole = quartiles([v for _, v in rows])
+    lang = {g: drawn([v for (x, _), v in rows if x == g], whole) for g in {x for (x, _), _ in rows}}
+    out = {}
+    for g in {g for g, _ in rows}:
+        q = dict(zip(op8_quality.MEASURES, drawn([v for x, v in rows if x == g], lang[g[0]])))
+        out[g] = [q[m][2] + 3 * (q[m][2] - q[m][0]) + 4 * unit / max(1, q[size][1]) for m, (_, size, unit) in op8_quality.SHARES.items()]
+        spread = 3 * (q["word_length"][2] - q["word_length"][0])
+        out[g] += [q["word_length"][2] + spread, q["word_length"][0] - spread]
+    return out
+
+
+def test_limits_against_exact_quantiles(spark):
+    r = random.Random(12)
+    rows = []
+    for i in range(900):
+        g = r.choice([("en", "a"), ("en", "b"), ("en", "b"), ("de", "a"), (None, "a"), ("fr", None)])
+        n, noisy = r.randint(20, 300), g[1] == "b"
+        chars, lines, symbols = n * r.randint(4, 7), r.randint(1, 30), r.randint(5, 40) if noisy else r.choice([0, 0, 0, 2])
+        dup, rep = r.randint(0, lines // 2), r.choice([0, 0, 6, 10])
+        rows.append((i, *g, n, chars, symbols, lines, dup, rep))
+    df = op8_quality.shares(spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"))
+    measured = [tuple(x) for x in df.filter(~F.col("base_failed")).select("lang", "source", *op8_quality.MEASURES).collect()]
+    want = limits_by_force([(x[:2], x[2:]) for x in measured])
+    got = [{(x["lang"], x["source"]): [x[c] for c in op8_quality.LIMITS] for x in op8_quality.limits(df.repartition(n), ["lang", "source"]).collect()} for n in (1, 7)]
+    assert got[0] == got[1] and set(got[0]) == set(want)
+    for g, v in want.items():
+        assert got[0][g][:3] == pytest.approx(v[:3], rel=0.08) and got[0][g][3:] == pytest.approx(v[3:], abs=0.25), g  # buckets are 1 % wide
+    assert got[0][("en", "b")][0] > 1.5 * got[0][("en", "a")][0]
+
+
+def test_quality_of_the_documents(spark):
+    """Texts full of symbols go, nearly all others stay, whatever the partitions."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("n_lines", F.lit(1))
+    a, b = ({x["doc_id"]: tuple(x) for x in op8_quality.judge(df.repartition(n)).collect()} for n in (2, 9))
+    assert a == b
+    bad = dict(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality").collect())
+    at = [x for x in op8_quality.judge(df).collect() if not x["base_failed"] and x["doc_id"] in bad]
+    assert sum(x["kept"] for x in at if bad[x["doc_id"]] == 1) >= 0.99 * sum(bad[x["doc_id"]] == 1 for x in at)
+    assert sum(x["kept"] for x in at if bad[x["doc_id"]] == 0) <= 0.1 * sum(bad[x["doc_id"]] == 0 for x in at)
 
 
 # --- mixing
@@ -444,12 +489,57 @@ def test_toxicity_quoted_and_rare_insults():
     assert found.sum() >= 57 and wrong.sum() <= 3, (found.sum(), wrong.sum())
 
 
+def subsequences(w):
+    """Weights of the character subsequences of length three within a span of six, by counting them."""
+    out = Counter()
+    for i, j, k in itertools.combinations(range(len(w)), 3):
+        if k - i < 6:
+            out[bytes((w[i], w[j], w[k]))] += op10_toxicity.DECAY ** (k - i + 1)
+    return out
+
+
+def test_kernel_against_counting():
+    r = random.Random(8)
+    words = [bytes(r.choice(b"abcde") for _ in range(r.randint(1, 14))) for _ in range(60)]
+    marks = [w for w in words if len(w) > 4][:10]
+    got = op10_toxicity.kernels(words, *op10_toxicity._dense(marks))
+    norm = lambda c: sum(v * v for v in c.values()) ** 0.5 or 1.0
+    for i, w in enumerate(words):
+        for j, m in enumerate(marks):
+            a, b = subsequences(w), subsequences(m)
+            assert got[i, j] == pytest.approx(sum(a[s] * b[s] for s in a) / norm(a) / norm(b)), (w, m)
+
+
 def test_kernel_tolerates_gaps():
-    table, rows = op10_toxicity._dense([b"\x01idiot"])
-    k = op10_toxicity.kernels([b"\x01idiot", b"\x01idxiot", b"\x01thing"], table, rows)[:, 0]
+    table, rows = op10_toxicity._dense([b"\x01idiot\x02"])
+    k = op10_toxicity.kernels([b"\x01idiot\x02", b"\x01idxiot\x02", b"\x01thing\x02"], table, rows)[:, 0]
     assert k[0] == pytest.approx(1) and k[0] > k[1] > 0.4 > k[2]
 
 
+def test_toxicity_held_out():
+    """Quality on the held-out labelled rows, with two samples; insults alone and disguised."""
+    t = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).to_pydict()
+    label = dict(zip(*pq.read_table("/root/testdata/sf0.1/labels.parquet", columns=["doc_id", "toxic"]).to_pydict().values()))
+    rows = [(i, x, label[i]) for i, x in zip(t["doc_id"], t["text"]) if label.get(i) is not None]
+    train, test = ([r for r in rows if (zlib.crc32(str(r[0]).encode()) % 5 == 0) == held] for held in (False, True))
+    for seed in range(2):
+        some = sorted(train, key=lambda r: zlib.crc32(f"{seed}:{r[0]}".encode()))
+        some = [x for y in (1, 0) for x in [r for r in some if r[2] == y][:1500]]
+        m = op10_toxicity.fit([r[1] for r in some], [r[2] for r in some], sum(r[2] for r in train) / len(train))
+        hit = m.scores(pa.array([r[1] for r in test])) >= 0.5
+        real = np.array([r[2] for r in test]) == 1
+        found, wrong = int((hit & real).sum()), int((hit & ~real).sum())
+        assert found >= 0.85 * real.sum() and found >= 0.9 * (found + wrong), (found, wrong, real.sum())
+        alone = ["idiot", "trash", "pathetic", "disgusting", "loser", "worthless", "scum", "moron", "clown", "stupid", "id1ot", "stu pid", "i d i o t", "m0ron", "st-upid", "idxiot"]
+        assert (m.scores(pa.array(alone)) >= 0.5).all(), dict(zip(alone, m.scores(pa.array(alone))))
+
+
+def test_near_copies_count_once():
+    bags = [{bytes([65 + i, k]) for k in range(20)} for i in range(4)]
+    merged, group = op10_toxicity.grouped([bags[0], bags[0] | {b"x"}, bags[1], bags[0], bags[2], set(), set()])
+    assert group.tolist() == [0, 0, 1, 0, 2, 3, 4] and merged[0] == bags[0] | {b"x"}
+
+
 # --- registered queries and the pipeline
 
 
@@ -463,7 +553,8 @@ def test_registered(spark, name):
         assert len(rows) == spark.read.parquet(f"{SF}/{table}.parquet").count()
     if name in registry.ORACLES:
         con = duckdb.connect()
-        con.execute(f"create view pages as select * from '{SF}/pages.parquet'")
+        for t in ("pages", "documents", "embeddings"):
+            con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
         c = con.execute(registry.ORACLES[name])
         at = [[x[0] for x in c.description].index(k) for k in cols]
         assert sorted(repr(tuple(r[i] for i in at)) for r in c.fetchall()) == rows
