@@ -28,7 +28,7 @@ MOST_RULES = 20_000
 
 HOST_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
-#: Patterns on the lower-cased host and path, with literal tokens that each needs.
+#: Patterns on the host and path with A-Z lower-cased, with literal tokens that each needs.
 PATTERN_RULES = [
     ("block", r"(^|[.-])spam-farm\.", ["spam", "farm"]),
     ("block", r"(^|[.-])cheap-pills\.", ["cheap", "pills"]),
@@ -41,6 +41,7 @@ PATTERN_RULES = [
     ("block", r"(^|\.)doubleclick\.", ["doubleclick"]),
 ]
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULE_SCHEMA = "rule string, verdict string, host string, path string, pattern string, literals array<string>"
 
 
@@ -57,7 +58,7 @@ def rules(spark: SparkSession, hosts=HOST_RULES, patterns=PATTERN_RULES) -> Data
 
 
 def host_of(url: Column) -> Column:
-    return F.translate(F.coalesce(F.regexp_extract(url, r"^(?s).*?://([^/?#]*)", 1), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(F.coalesce(F.regexp_extract(url, r"^(?s).*?://([^/?#]*)", 1), F.lit("")), UPPER, LOWER)
 
 
 def path_of(url: Column) -> Column:
@@ -66,7 +67,7 @@ def path_of(url: Column) -> Column:
 
 def tokens_of(text: Column) -> Column:
     """Distinct tokens, and the empty one."""
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    lower = F.translate(text, UPPER, LOWER)
     return F.array_distinct(F.concat(F.array(F.lit("")), F.split(lower, "[^a-z0-9]+")))
 
 
@@ -87,7 +88,7 @@ def judge(pages: DataFrame, rule_table: DataFrame, id_col: str = "page_id", url_
     index = literals.join(held, "token", "left").groupBy("k").agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token"))
     index = common.materialise(index.join(listed.drop("literals"), "k"), "index").drop("k")
     candidates = exploded.join(hint(index.withColumnsRenamed({"host": "r_host", "path": "r_path"})), "token")
-    fits = F.when(F.col("pattern").isNull(), ((F.col("host") == F.col("r_host")) | F.endswith("host", F.concat(F.lit("."), "r_host"))) & F.startswith("path", "r_path")).otherwise(F.expr("concat(host, lower(path)) rlike pattern"))
+    fits = F.when(F.col("pattern").isNull(), ((F.col("host") == F.col("r_host")) | F.endswith("host", F.concat(F.lit("."), "r_host"))) & F.startswith("path", "r_path")).otherwise(F.expr(f"concat(host, translate(path, '{UPPER}', '{LOWER}')) rlike pattern"))
     key = F.struct(F.col("pattern").isNull().alias("host_rule"), F.coalesce(F.length("rule"), F.lit(0)).alias("length"), (F.col("verdict") == "block").alias("block"))
     won = candidates.filter(fits).groupBy("host", "path").agg(F.max(F.struct(key.alias("key"), F.struct("rule", "verdict", "pattern").alias("r"))).alias("w"))
     won = won.select("host", "path", "w.r.rule", "w.r.verdict", "w.r.pattern")
@@ -110,5 +111,5 @@ WITH u AS (
 r AS (SELECT *, CASE {_CASES} END AS rule FROM u)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IS NOT NULL THEN CASE WHEN {_BLOCKED} THEN 'block' ELSE 'allow' END
-            WHEN regexp_matches(concat(host, lower(path)), '{_PATTERNS}') THEN 'block' ELSE 'allow' END AS verdict
+            WHEN regexp_matches(concat(host, translate(path, '{UPPER}', '{LOWER}')), '{_PATTERNS}') THEN 'block' ELSE 'allow' END AS verdict
 FROM r"""
