@@ -6,15 +6,17 @@ are counted for each language, and the counts are corrected for false positives:
 that answers yes by chance at rate f lets N f pass, so (count - N f) / (1 - f) remain. The language with
 the most decides; the score is its part of all languages' corrected counts.
 
-The filters are learned from a bounded sample of labelled texts (``PER_LANG`` texts for each language,
-picked by a hash of the id): an n-gram belongs to a language if it makes up RARE of the language's n-grams
+The filters are learned from a bounded sample of labelled texts (``PER_LANG`` texts for each of the ``MOST_LANGS``
+most frequent languages, picked by a hash of the id): an n-gram belongs to a language if it makes up RARE of the language's n-grams
 or more (so at most 1 / RARE of them), and at least CLEAN of its largest share in any language, which
-keeps passages in other languages out. Prediction reads the whole text and nothing else.
+keeps passages in other languages out. With so many languages that this would be more than MOST_GRAMS n-grams
+or TABLE_BYTES of filters, RARE is higher and the filters are shorter, and let more n-grams pass by chance. Prediction reads the whole text and nothing else.
 
 Null texts and texts without a letter are ``und`` with score 0. A text with letters but no known n-gram
 gets the most frequent language with score 0. Ties go to the language first in order. Rows with null
 labels, or of languages with fewer than MIN_DOCS texts, are not learned from. Without any learned
-language all is ``und``. Repeated rows are predicted each; other columns are ignored.
+language all is ``und``. Repeated rows are predicted each; other columns are ignored, and those to keep come
+through whatever their names, but ``lang_pred`` and ``score``, which are replaced.
 """
 
 from __future__ import annotations
@@ -32,12 +34,13 @@ from tarnwork.llm import bytehash, common
 
 PER_LANG = 4000
 MIN_DOCS = 5
+MOST_LANGS, MOST_GRAMS, TABLE_BYTES = 4096, 2_000_000, 64 << 20
 RARE = 1e-5
 CLEAN = 0.15
 HASHES = 3
 #: Slots for each n-gram of a language, about.
 SLOTS = 8
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1 << 19
 _LETTER = re.compile(r"[^\W\d_]")
 
 #: Bytes other than letters count as a space.
@@ -76,7 +79,8 @@ class Filters:
 
     def __init__(self, langs: list[str], index: np.ndarray, gram: np.ndarray, frequent: int):
         self.langs, self.frequent = langs, frequent
-        self.slots = min(1 << 21, 1 << max(10, int(np.ceil(np.log2(SLOTS * max(1, len(np.unique(gram))))))))
+        most = min(1 << 21, TABLE_BYTES // 8 // max(1, -(-len(langs) // 64)))
+        self.slots = min(1 << int(np.log2(most)), 1 << max(10, int(np.ceil(np.log2(SLOTS * max(1, len(np.unique(gram))))))))
         kind = np.uint8 if len(langs) <= 8 else np.uint64
         self.words = [np.zeros(self.slots, kind) for _ in range(-(-len(langs) // 64))] or [np.zeros(self.slots, kind)]
         for lang in range(len(langs)):
@@ -101,28 +105,28 @@ class Filters:
 def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
     """Filters from the rows with ``train`` true and a label."""
     rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().filter(F.col("count") >= MIN_DOCS).orderBy(F.desc("count"), "lang").limit(1024).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().filter(F.col("count") >= MIN_DOCS).orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
     langs = sorted(sizes)
     if not langs:
         return Filters([], np.zeros(0, np.int64), np.zeros(0, np.uint32), 0)
-    rate = F.coalesce(*(F.when(F.col("lang") == x, F.lit(int(1e6 * min(1.0, PER_LANG / sizes[x])))) for x in langs), F.lit(0))
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < rate)
-    place = {x: k for k, x in enumerate(langs)}
+    rates = docs.sparkSession.createDataFrame([(x, k, int(1e6 * min(1.0, PER_LANG / sizes[x]))) for k, x in enumerate(langs)], "lang string, place int, rate int")
+    sample = rows.join(F.broadcast(rates), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < F.col("rate"))
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            lang = np.array([place[x] for x in batch.column(1).to_pylist()], np.int64)
+            lang = batch.column(1).to_numpy().astype(np.int64)
             for i, g, at in grams(batch.column(0)):
                 row = np.repeat(lang[i : i + len(at) - 1], np.diff(at))
                 key, n = np.unique(g.astype(np.int64) | row << 32, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-    counted = common.materialise(sample.select("text", "lang").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "grams")
+    counted = common.materialise(sample.select("text", "place").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "grams")
     lang = F.shiftright("key", 32)
-    total = dict(counted.groupBy(lang.alias("l")).agg(F.sum("n")).collect())
-    share = F.col("n") / F.coalesce(*(F.when(lang == k, F.lit(float(v))) for k, v in total.items()), F.lit(1.0)) if total else F.lit(0.0)
-    kept = counted.select("key", share.alias("p")).filter(F.col("p") >= RARE).collect()  # at most 1 / RARE for each language
-    key, p = np.array([r[0] for r in kept], np.int64), np.array([r[1] for r in kept])
+    total = counted.groupBy(lang.alias("l")).agg(F.sum("n").cast("double").alias("total"))  # a row for each language
+    share = counted.join(F.broadcast(total), lang == F.col("l")).select("key", (F.col("n") / F.col("total")).alias("p"))
+    kept = share.filter(F.col("p") >= max(RARE, len(langs) / MOST_GRAMS)).toArrow()  # at most MOST_GRAMS
+    common.release(counted)
+    key, p = kept["key"].to_numpy(), kept["p"].to_numpy()
     gram, index = (key & 0xFFFFFFFF).astype(np.uint32), key >> 32
     _, inverse = np.unique(gram, return_inverse=True)
     top = np.zeros(inverse.max() + 1 if len(inverse) else 0)
@@ -135,8 +139,10 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
     """The columns in ``keep`` (the id and the text's own stay out unless named) with lang_pred and score."""
     keep = [id_col] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(filters)
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
-    schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
+    kept = docs.select(*(F.col(f"`{c}`") for c in keep)).schema
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"u{k}") for k, c in enumerate(keep)), F.col(text_col).alias("text"))
+    schema = kept.add("lang_pred", "string").add("score", "double")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
@@ -152,7 +158,7 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
                     for k in np.flatnonzero(letters[i : i + len(best)]):
                         lang[i + k] = f.langs[best[k] if some[k] else f.frequent]
                         score[i + k] = c[k, best[k]] / total[k] if some[k] else 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang.tolist(), pa.string()), pa.array(score)], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang.tolist(), pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
     return rows.mapInArrow(run, schema)
 
