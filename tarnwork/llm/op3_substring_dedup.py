@@ -18,7 +18,8 @@ A task sends each digest once, with its smallest id; the other documents of the
 already that they repeat it. What travels is 16 bytes for a unit, and the compressed texts once.
 
 Null text stays null, with no spans. Rows that repeat an id count as one document: what they share among
-themselves stays. Rows without an id are left as they are. Other columns come through unchanged.
+themselves stays. Rows without an id are left as they are. Other columns come through unchanged, but those
+named like the three that are added, which are replaced.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ from tarnwork.llm import bytehash, common
 
 #: Words of a run of repeated units that is removed.
 MIN_RUN = 20
-BATCH_BYTES = 2_000_000
-FLUSH = 3_000_000
+BATCH_BYTES = 1 << 19
+FLUSH = 1_500_000
 _SPACE, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _MARK[[ord(c) for c in ".,!?;:\n"]] = True
@@ -96,8 +97,8 @@ def windows(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
     return starts, at, row[at], digest
 
 
-def _scan(buckets: int, local: bool, window: int):
-    """Rows (doc_id, text). With ``local`` the digests (packed, by document) that a smaller id in the task has; else, packed by bucket, each digest of the task with its smallest id."""
+def _scan(buckets: int, window: int):
+    """Rows (doc_id, text). Of kind 0 the digests (packed, by document) that a smaller id in the task has; of kind 1, packed by bucket, each digest of the task with its smallest id."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests, ids, held = [], [], 0
@@ -113,10 +114,10 @@ def _scan(buckets: int, local: bool, window: int):
                     ids.append(key[i:j][row])
                     held += len(digest)
                 if held > FLUSH:
-                    yield from _sent(digests, ids, buckets, local)
+                    yield from _sent(digests, ids, buckets)
                     digests, ids, held = [], [], 0
         if held:
-            yield from _sent(digests, ids, buckets, local)
+            yield from _sent(digests, ids, buckets)
 
     return run
 
@@ -131,12 +132,11 @@ def _owned(digest: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return digest, doc, first, np.minimum.reduceat(doc, first)
 
 
-def _sent(digests: list, ids: list, buckets: int, local: bool) -> Iterator[pa.RecordBatch]:
+def _sent(digests: list, ids: list, buckets: int) -> Iterator[pa.RecordBatch]:
     digest, doc, first, owner = _owned(np.concatenate(digests), np.concatenate(ids).astype(np.int64))
-    if local:
-        owner = np.repeat(owner, np.diff(np.append(first, len(digest))))
-        yield from _by_key(doc[doc != owner], digest[doc != owner])
-        return
+    again = doc != np.repeat(owner, np.diff(np.append(first, len(digest))))
+    for batch in _by_key(doc[again], digest[again]):
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), *batch.columns], names=["kind", "key", "data"])
     digest = digest[first]
     # buckets are ranges of the digest; a bucket's documents are sent once each, with the 4 bytes of a place for each digest
     group = ((digest >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -148,7 +148,7 @@ def _sent(digests: list, ids: list, buckets: int, local: bool) -> Iterator[pa.Re
         used[place[a:b]] = True
         at = (np.cumsum(used) - 1)[place[a:b]].astype(np.uint32)
         blob = np.int64(b - a).tobytes() + digest[a:b].tobytes() + at.tobytes() + table[used].tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([blob], pa.binary())], names=["key", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([g], pa.int64()), pa.array([blob], pa.binary())], names=["kind", "key", "data"])
 
 
 def _by_key(key: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -233,11 +233,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_r
     width = common.shuffle_width(spark)
     buckets = 4 * width
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    inside = rows.mapInArrow(_scan(buckets, True, window), "key long, data binary")
-    across = rows.mapInArrow(_scan(buckets, False, window), "key long, data binary").groupBy("key").applyInArrow(_global, "key long, data binary")
-    others = [c for c in docs.columns if c not in (id_col, text_col)]
-    kept = docs.select(F.col(id_col), *others).schema
-    texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"), F.struct(F.col(id_col), *others).alias("rest"))
+    # one written scan gives both: what a task knows of its own rows must be of the same scan as what it sends
+    schema = "kind int, key long, data binary"
+    out = common.scratch(spark, "units")
+    rows.mapInArrow(_scan(buckets, window), schema).write.partitionBy("kind").parquet(out)
+    scan = spark.read.schema(schema).parquet(out)
+    inside = scan.filter("kind = 0").select("key", "data")
+    across = scan.filter("kind = 1").select("key", "data").groupBy("key").applyInArrow(_global, "key long, data binary")
+    added = ("_spans", "_units_removed", "_words_removed")
+    own = [c for c in docs.columns if c not in added]
+    others = [c for c in own if c not in (id_col, text_col)]
+    kept = docs.select(F.col(id_col), *(F.col(f"`{c}`") for c in others)).schema
+    texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"), F.struct(F.col(id_col), *(F.col(f"`{c}`") for c in others)).alias("rest"))
     texts = texts.mapInArrow(_zip_texts, StructType().add("key", "long").add("data", "binary").add("rest", kept))
     marks = inside.unionByName(across).withColumn("rest", F.lit(None).cast(texts.schema["rest"].dataType)).withColumn("kind", F.lit(0))
     both = marks.unionByName(texts.withColumn("kind", F.lit(1)))
@@ -273,7 +280,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_r
 
     schema = StructType().add("rest", kept).add("text", "string").add("spans", ArrayType(StructType().add("start", "integer").add("end", "integer"))).add("units", "long").add("words", "long")
     out = both.select("key", "data", "rest", "kind").mapInArrow(run, schema)
-    back = [F.col("text").alias(text_col) if c == text_col else F.col("rest").getField(c).alias(c) for c in docs.columns]
+    back = [F.col("text").alias(text_col) if c == text_col else F.col("rest").getField(c).alias(c) for c in own]
     return out.select(*back, F.col("spans").alias("_spans"), F.col("units").alias("_units_removed"), F.col("words").alias("_words_removed"))
 
 
