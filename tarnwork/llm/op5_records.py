@@ -8,7 +8,7 @@ bits and adds 0xA282EAD8, so that a sum stored inside summed bytes does not upse
 Documents are dealt to shards by ranges of their id and written in ascending order, so the shards one
 after the other hold the corpus in id order. A task writes its shard under a name of its own and the
 index (a Parquet table: shard, doc_id, offset, length, n_tokens) names only the files of the attempts
-that Spark committed, so repeated or lost attempts leave no trace in it. Null texts are empty and hold
+that Spark committed; files of repeated or lost attempts are deleted in the end. Null texts are empty and hold
 just the end id; repeated ids are kept, in any order among themselves; other columns are ignored.
 """
 
@@ -32,7 +32,7 @@ HEAD = struct.Struct("<QI")
 LEAD = struct.Struct("<qIB")
 
 END_ID = 2
-#: Encoded bytes of text for a shard, about.
+#: Bytes of text for a shard, about; small inputs have as many shards as shuffles have partitions.
 SHARD_BYTES = 64 << 20
 
 
@@ -84,7 +84,9 @@ INDEX = "shard string, doc_id long, offset long, length long, n_tokens long"
 def write(docs: DataFrame, out: str, tokenizer: str | None = None, end_id: int = END_ID, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes ``out/data/*.rec`` and the index ``out/index``; returns the index, read back."""
     spark = docs.sparkSession
-    shards = shards or common.shuffle_width(spark)
+    if not shards:
+        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        shards = max(common.shuffle_width(spark), -(-size // SHARD_BYTES))
     given = tokenizer
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +111,21 @@ def write(docs: DataFrame, out: str, tokenizer: str | None = None, end_id: int =
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
     rows.mapInArrow(encode, INDEX).write.parquet(f"{out}/index")
-    return spark.read.schema(INDEX).parquet(f"{out}/index")
+    index = spark.read.schema(INDEX).parquet(f"{out}/index")
+    sweep(index, out)
+    return index
+
+
+def sweep(index: DataFrame, out: str) -> None:
+    """Deletes the files of attempts that weren't committed; only their names come to the driver."""
+    spark = index.sparkSession
+    data = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/data")
+    store = data.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(data):
+        found = [(x.getPath().getName(),) for x in store.listStatus(data)]  # one for each shard, and strays
+        strays = spark.createDataFrame(found, "shard string").filter(F.col("shard").endswith(".rec")).join(index.select("shard").distinct(), "shard", "left_anti").collect() if found else []
+        for x in strays:
+            store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{out}/data/{x['shard']}"), False)
 
 
 def read(spark: SparkSession, out: str) -> DataFrame:
