@@ -117,6 +117,9 @@ def _task(threshold: float):
         rep, count, own = table["rep"].to_numpy()[order], table["m"].to_numpy()[order], own[order]
         flat = table["embedding"].combine_chunks()
         x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)[order]
+        large = np.abs(x).max(axis=1)
+        far = (large < 1e-100) | (large > 1e100)  # whose squares would be lost or infinite
+        x[far] /= large[far, None]
         x = x / np.linalg.norm(x, axis=1)[:, None]
         small = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold))) / 2
         n = int((own == i).sum())
