@@ -16,7 +16,7 @@ Tokens are words here; any long column can be named instead. Null language or so
 own. Rows that repeat an id are taken or left together; their tokens count each. Null ids are hashed like
 one id. Null texts have no tokens and cost nothing: they are in each whole epoch, and in the part of one
 that their hash falls in. Leaves with weight 0 get nothing. An empty table gives an empty result; other
-columns come through.
+columns come through, whatever their names, but those named like the three that are added, which are replaced.
 """
 
 from __future__ import annotations
@@ -77,10 +77,12 @@ def budgets(leaves: DataFrame, weights: dict[str, float], total: float | Column,
 
 def select(docs: DataFrame, domain: Column, tokens: Column, weights: dict[str, float], total: float | None = None, part: float = 1.0, max_epochs: int = 1, seed: int = SEED, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """``docs`` once for each epoch that a document is in, with _domain, _tokens and _epoch (from 0)."""
-    rows = docs.select("*", domain.alias("_domain"), F.coalesce(tokens, F.lit(0)).cast("long").alias("_tokens"))
-    levels = [F.col("_domain").alias("domain"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")]
+    added = ("_domain", "_tokens", "_epoch")
+    own = [c for c in docs.columns if c not in added]
+    n_tokens = F.coalesce(tokens, F.lit(0)).cast("long")
+    levels = [domain.alias("domain"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")]
     # tokens are counted once, in a narrow table; the texts are only read again to be handed on
-    narrow = common.materialise(rows.select(F.col(id_col).alias("id"), *levels, F.col("_tokens").alias("tokens")), "tokens")
+    narrow = common.materialise(docs.select(F.col(id_col).alias("id"), *levels, n_tokens.alias("tokens")), "tokens")
     leaves = common.materialise(narrow.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "leaves")
     given = F.lit(float(total)) if total is not None else F.lit(part) * F.lit(float(leaves.agg(F.sum("tokens")).first()[0] or 0))
     plan = budgets(leaves, weights, given, max_epochs)
@@ -112,13 +114,16 @@ def select(docs: DataFrame, domain: Column, tokens: Column, weights: dict[str, f
     cuts = plan.alias("p").join(over.alias("o"), same("p", "o"), "left").select("p.*", "stop", F.xxhash64(*(F.coalesce(F.col(f"p.{c}"), F.lit("\0null")) for c in LEVELS)).alias("leaf"))
     cuts = common.materialise(cuts, "cuts")
 
-    leaf = F.xxhash64(*(F.coalesce(c, F.lit("\0null")) for c in (F.col("_domain"), F.col(lang_col), F.col(source_col))))
-    found = rows.withColumn("_leaf", leaf).join(cuts.select(F.col("leaf").alias("_leaf"), "whole", "rest", "stop"), "_leaf")
+    common.release(narrow, leaves, plan, one, ends)
+    # the columns of docs are numbered here, so that no name clashes
+    leaf = F.xxhash64(*(F.coalesce(c, F.lit("\0null")) for c in (domain, F.col(lang_col), F.col(source_col))))
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"u{k}") for k, c in enumerate(own)), domain.alias("domain"), n_tokens.alias("tokens"), leaf.alias("leaf"), F.col(id_col).alias("id"))
+    found = rows.join(cuts.select("leaf", "whole", "rest", "stop"), "leaf")
     # a prefix without an end takes the whole epoch
-    partly = (F.col("rest") > 0) & (F.col("stop").isNull() | (key(F.col(id_col), F.col("whole")) < F.col("stop")))
+    partly = (F.col("rest") > 0) & (F.col("stop").isNull() | (key(F.col("id"), F.col("whole")) < F.col("stop")))
     epochs = F.col("whole") + partly.cast("long")
-    found = found.filter(epochs > 0).withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs - 1)))
-    return found.drop("_leaf", "whole", "rest", "stop")
+    found = found.filter(epochs > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs - 1)))
+    return found.select(*(F.col(f"u{k}").alias(c) for k, c in enumerate(own)), F.col("domain").alias("_domain"), F.col("tokens").alias("_tokens"), F.col("epoch").alias("_epoch"))
 
 
 def words(text: Column) -> Column:
