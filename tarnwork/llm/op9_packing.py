@@ -4,8 +4,11 @@ A document longer than the capacity is cut from its end into pieces of the full
 is its first piece. Full pieces are sequences of their own. The others are dealt evenly to groups of
 bounded size, each packed best-fit in decreasing order. Bins that are nearly full are done; the rest go
 up a tree, several groups to one, as items of their filled size, and are packed best-fit again, until
-one group holds them all or nothing merges any more. A bin never opens again, so an offset in a
-sequence is the sum of the offsets along the tree.
+one group is left. A bin never opens again, so an offset in a sequence is the sum of the offsets along the tree.
+
+Best fit leaves at most one bin of a group half full or less, and two that are fuller can't merge. So of FAN_IN
+groups that meet, at most FAN_IN bins can go into others, and no more than FAN_IN bins of each filled size can
+take one in: no others go up the tree, and a task has at most FAN_IN * FAN_IN * capacity items, whatever the input.
 
 Groups are dealt by a hash of the row's place, so rows that repeat an id spread as well. Null texts are
 empty: one piece with the end id. Repeated rows are packed each. No rows give no rows.
@@ -80,13 +83,18 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, offsets
 
 
-def _pack_group(keys: list[str], capacity: int, level: int):
-    """For one group: adds bin (level, group and number) and offset to its rows, in an order that doesn't depend on how they came."""
+def _pack_group(keys: list[str], capacity: int, level: int, nearly: int, fan_in: int):
+    """For one group: adds bin (level, group and number), offset and whether the bin goes up to its rows, in an order that doesn't depend on how they came."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([(k, "ascending") for k in keys])
         bins, offsets = best_fit(table["length"].to_numpy(), capacity)
         group = table["grp"][0].as_py()
+        filled = np.bincount(bins, table["length"].to_numpy()).astype(np.int64)
+        order = np.argsort(filled, kind="stable")
+        rank = np.empty(len(filled), np.int64)  # among the bins filled alike
+        rank[order] = np.arange(len(filled)) - np.searchsorted(filled[order], filled[order])
+        table = table.append_column("goes_up", pa.array(((filled < capacity - nearly) & (rank < fan_in))[bins]))
         return table.append_column("bin", pa.array(((level * (1 << 24) + group) << 32) + bins)).append_column("bin_offset", pa.array(offsets))
 
     return run
@@ -100,17 +108,18 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_IT
     rest = items.filter(F.col("length") < capacity)
     groups = max(1, -(-rest.count() // group_items))
     dealt = rest.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "deal"), F.lit(groups)))
-    first = dealt.groupBy("grp").applyInArrow(_pack_group(["doc_id", "piece", "ids_crc32", "deal"], capacity, 0), f"{PIECES}, grp long, bin long, bin_offset long")
+    first = dealt.groupBy("grp").applyInArrow(_pack_group(["doc_id", "piece", "ids_crc32", "deal"], capacity, 0, nearly, fan_in), f"{PIECES}, grp long, goes_up boolean, bin long, bin_offset long")
     first = common.materialise(first, "packed")
-    filled = first.groupBy("bin", "grp").agg(F.sum("length").alias("length"))
-    open_bins = common.materialise(filled.filter(F.col("length") < capacity - nearly), "open")
+    filled = lambda df: df.filter("goes_up").groupBy("bin", "grp").agg(F.sum("length").alias("length"))
+    open_bins = common.materialise(filled(first), "open")
     moved = None  # bin of the first round -> sequence, offset
     level = 1
     while True:
         groups = -(-groups // fan_in)
         up = open_bins.select("bin", "length", F.floor(F.col("grp") / fan_in).cast("long").alias("grp"))
-        up = up.withColumnRenamed("bin", "item").groupBy("grp").applyInArrow(_pack_group(["item"], capacity, level), "item long, length long, grp long, bin long, bin_offset long")
+        up = up.withColumnRenamed("bin", "item").groupBy("grp").applyInArrow(_pack_group(["item"], capacity, level, nearly, fan_in), "item long, length long, grp long, goes_up boolean, bin long, bin_offset long")
         up = common.materialise(up, "packed")
+        common.release(open_bins)
         step = up.select(F.col("item").alias("bin"), F.col("bin").alias("to"), F.col("bin_offset").alias("by"))
         if moved is None:
             moved = step.select("bin", F.col("to").alias("seq"), F.col("by").alias("shift"))
@@ -119,7 +128,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_IT
             moved = moved.join(s, "seq", "left").select("bin", F.coalesce("to", "seq").alias("seq"), (F.col("shift") + F.coalesce("by", F.lit(0))).alias("shift"))
         if groups == 1:
             break
-        open_bins = common.materialise(up.groupBy("bin", "grp").agg(F.sum("length").alias("length")).filter(F.col("length") < capacity - nearly), "open")
+        open_bins = common.materialise(filled(up), "open")
         level += 1
     # every full piece stands alone, numbered below zero by its place
     alone = full.select(*keep, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
