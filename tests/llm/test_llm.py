@@ -185,6 +185,17 @@ def test_substring_dedup_odd_rows(spark):
     assert op3_substring_dedup.dedup(docs(spark, [])).count() == 0
 
 
+def test_substring_dedup_flushes_and_clashes(spark, corpus, monkeypatch):
+    """Small flushes in each task, and columns named like those that are added."""
+    monkeypatch.setattr(op3_substring_dedup, "FLUSH", 200)
+    d = docs(spark, corpus)
+    plain = {x["doc_id"]: (x["text"], x["_spans"]) for x in op3_substring_dedup.dedup(d.repartition(3), window=20).collect()}
+    named = d.withColumns({"_spans": F.lit("mine"), "key": F.lit(1), "data": F.lit(2), "rest": F.lit(3), "a.b": F.lit(4)})
+    out = op3_substring_dedup.dedup(named.repartition(5), window=20)
+    assert len(set(out.columns)) == len(out.columns) and {"key", "data", "rest", "a.b"} <= set(out.columns)
+    assert {x["doc_id"]: (x["text"], x["_spans"]) for x in out.collect()} == plain
+
+
 # --- token ids: records and packing
 
 
@@ -259,6 +270,35 @@ def test_packing_repeated_rows(spark):
     assert len(rows) == 4 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 4
 
 
+def test_packing_groups_stay_small(spark):
+    """Bins that can't merge don't go up the tree: no task gets all of them."""
+    rows = [(i, 0, 0, 600 if i % 400 else 30, i, i) for i in range(6400)]
+    items = spark.createDataFrame(rows, op9_packing.PIECES)
+    got = op9_packing.pack(items, group_items=100).collect()
+    assert len(got) == 6400 and len({r["sequence_id"] for r in got}) == 6384
+    r = random.Random(4)
+    sizes = [r.randint(1, 959) for _ in range(5000)]
+    out = op9_packing._pack_group(["item"], 1024, 1, 64, 8)(pa.table({"item": list(range(5000)), "length": sizes, "grp": [3] * 5000}))
+    filled, up = Counter(), {}
+    for b, n, goes in zip(*(out[c].to_pylist() for c in ("bin", "length", "goes_up"))):
+        filled[b] += n
+        up[b] = goes
+    assert sum(v <= 512 for v in filled.values()) <= 1  # so no more than one bin of a group can go into another
+    open_ = Counter(v for b, v in filled.items() if up[b])
+    assert max(open_.values()) <= 8 and all(open_[v] == min(8, n) for v, n in Counter(filled.values()).items() if v < 960)
+
+
+def test_records_shards_and_strays(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(op5_records, "SHARD_BYTES", 50)
+    d = docs(spark, [f"text number {i}" for i in range(40)])
+    out = f"file://{tmp_path}/rec"
+    index = op5_records.write(d, out)
+    assert index.select("shard").distinct().count() == 11  # 550 bytes
+    (tmp_path / "rec" / "data" / "lost.rec").write_bytes(b"half a rec")
+    op5_records.sweep(index, out)
+    assert not (tmp_path / "rec" / "data" / "lost.rec").exists() and op5_records.read(spark, out).count() == 40
+
+
 # --- embeddings
 
 
@@ -283,6 +323,14 @@ def test_cover_tree(spark):
     assert op6_cover_tree.dedup(df.limit(0)).count() == 0
 
 
+def test_cover_tree_extreme_norms(spark):
+    """Doubles whose squares are lost or infinite."""
+    rows = [(i, [x * v for v in (1.0, 2.0, -3.0, 0.5)], 1) for i, x in enumerate((1.0, 1e-200, 1e200, 3e-310, -1e-200))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in op6_cover_tree.dedup(df).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (0, 4)}
+
+
 # --- quality rules
 
 
@@ -410,6 +458,30 @@ def test_mixing_is_repeatable(spark):
     assert run(1) == run(7) and 0 < len(run(1)) < 300
 
 
+def test_mixing_prefix_and_clashes(spark):
+    """The part of an epoch is the prefix by hash, up to the last document that fits; clashing columns come through."""
+    r = random.Random(3)
+    rows = [(i, " ".join("w" * r.randint(0, 9)), "en", f"src{i % 2}", 0, 1, 2, 3) for i in range(200)]
+    d = spark.createDataFrame(rows, DOC).withColumns({c: F.lit(7) for c in ("rest", "stop", "whole", "leaf", "_tokens", "_leaf", "u0", "id", "tokens")})
+    out = op7_mixing.select(d.repartition(3), F.lit("web"), op7_mixing.words(F.col("text")), {}, part=0.5)
+    assert len(set(out.columns)) == len(out.columns) and {"rest", "stop", "whole", "leaf", "_leaf", "u0", "id", "tokens"} <= set(out.columns)
+    got = {x["doc_id"] for x in out.collect()}
+    keys = {x["doc_id"]: x["h"] for x in d.select("doc_id", F.xxhash64(F.lit(op7_mixing.SEED), F.lit(0).cast("long"), "doc_id").alias("h")).collect()}
+    n = {x[0]: len(x[1].split()) for x in rows}
+    total = sum(n.values())
+    for source in ("src0", "src1"):
+        leaf = sorted((x[0] for x in rows if x[3] == source), key=keys.get)
+        tokens, want, budget = 0, set(), 0.5 * total / 2
+        caps = {s: sum(n[x[0]] for x in rows if x[3] == s) for s in ("src0", "src1")}
+        assert all(c > budget for c in caps.values())
+        for i in leaf:
+            tokens += n[i]
+            if tokens > budget:
+                break
+            want.add(i)
+        assert {i for i in got if rows[i][3] == source} == want
+
+
 # --- URLs
 
 
@@ -426,6 +498,12 @@ def test_urls(spark):
     assert op1_url_rules.judge(df.limit(0), op1_url_rules.rules(spark)).count() == 0
 
 
+def test_patterns_and_tokens_lower_alike(spark):
+    df = spark.createDataFrame([(1, "http://x.net/\u212aasino"), (2, "http://x.net/CASINO"), (3, "http://x.net/por\u212a")], "page_id long, url string")
+    rules = op1_url_rules.rules(spark, [], [("block", "/(casino|kasino|por\u212a)$", [])])
+    assert {r["page_id"]: r["verdict"] for r in op1_url_rules.judge(df, rules).collect()} == {1: "allow", 2: "block", 3: "block"}
+
+
 def test_literal_tokens_are_whole():
     assert op1_url_rules.literal_tokens("example.org", "/en/1") == ["en", "example", "org"]
     assert op1_url_rules.literal_tokens("org", "/") == ["org"]
@@ -454,6 +532,42 @@ def test_language_filters_hold_their_grams():
     assert c[0].argmax() == 69
 
 
+def test_language_counts_against_exact_sets(spark):
+    """The Bloom counts, less chance, are near the exact numbers of a text's n-grams that a language has."""
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    f = op2_language.learn(df, ~op2_language.held_out())
+    texts = {x["lang"]: [] for x in df.select("lang").distinct().collect() if x["lang"]}
+    for x in df.filter(~op2_language.held_out()).select("lang", "text").collect():
+        if x["lang"] and x["text"]:
+            texts[x["lang"]].append(x["text"])
+    share = []
+    for lang in f.langs:
+        c = Counter(g for _, gs, _ in op2_language.grams(pa.array(texts[lang])) for g in gs.tolist())
+        share.append({g: v / sum(c.values()) for g, v in c.items()})
+    top = Counter()
+    for s in share:
+        for g, v in s.items():
+            top[g] = max(top[g], v)
+    exact = [{g for g, v in s.items() if v >= op2_language.RARE and v >= op2_language.CLEAN * top[g]} for s in share]
+    for t in (t for ts in texts.values() for t in ts[:5]):
+        _, gs, at = next(op2_language.grams(pa.array([t])))
+        found = f.counts(gs, at)[0]
+        for k, own in enumerate(exact):
+            assert abs(found[k] - sum(g in own for g in gs.tolist())) <= 2 + 0.03 * len(gs)
+
+
+def test_language_many_languages_and_clashes(spark):
+    r = random.Random(1)
+    langs = [f"l{k:04}" for k in range(1100)]
+    rows = [(6 * k + j, " ".join("".join(chr(97 + (k * 7 + i * i + k // 26 * 3) % 26) for i in range(8 + j)) for _ in range(6)), x, "s", 0, 1, 2, 3) for k, x in enumerate(langs) for j in range(6)]
+    df = spark.createDataFrame(r.sample(rows, len(rows)), DOC)
+    f = op2_language.learn(df, F.lit(True))
+    assert f.langs == langs and f.slots * 8 * len(f.words) <= op2_language.TABLE_BYTES
+    named = df.limit(20).withColumns({"text2": F.lit(1), "_text": F.lit(2), "score": F.lit(3)})
+    out = op2_language.predict(named, f, keep=named.columns)
+    assert sorted(out.columns) == sorted([*named.columns, "lang_pred"]) and out.filter("_text = 2").count() == 20
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     bad = ["grumblewitz", "zorkhead", "plimfarb"]
@@ -570,6 +684,40 @@ def test_pipeline_keeps_one_row_of_an_id(spark):
     assert got[0] == got[1] and [x.split(",")[0][11:] for x in got[0]] == ["1", "3", "None", "None"]
 
 
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    import types
+
+    from tarnwork.llm import common
+
+    far = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *a: None), sparkContext=types.SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        common.scratch(far, "x")
+    df = common.materialise(spark.range(3), "x")
+    common.release(df)
+    with pytest.raises(Exception):
+        spark.read.schema("id long").parquet(df.scratch_path).count()
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Each stage: nulls in any column, empty and long texts, repeated rows and ids, extra columns, an empty table."""
+    import corpus_pipeline as p
+
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    long = " ".join(f"w{i % 5000}x{i}" for i in range(60_000))
+    rows = [(9001, "", "en", "src1", 0), (9002, long, None, None, None), (9003, "the and of was that this with", "en", None, 1), (9003, "the and of was that this with", "en", None, 1), (None, "the and of with that", None, "src3", None), (9004, " \n", "", "", 1)]
+    df = source.unionByName(spark.createDataFrame(rows, source.schema)).withColumns({c: F.lit(1) for c in ("rest", "_spans", "_tokens", "name", "comp", "key", "lang_pred", "_one")})
+    for name, stage in p.STAGES:
+        out = stage(spark, df, SF)
+        if name != "packing":
+            assert out.columns == p.COLUMNS, name
+            assert stage(spark, df.limit(0), SF).count() == 0, name
+        assert out.count() > 0
+        if name == "substring_dedup":  # rows of one id are one document; what has no words goes
+            assert out.filter("doc_id = 9003").count() == 2 and out.filter("doc_id IN (9001, 9004)").count() == 0
+        if name == "jaccard_join":
+            assert out.filter("doc_id = 9003").count() == 1 and out.filter("doc_id IS NULL").count() == 1
+
+
 def test_pipeline(spark, tokenizer):
     import corpus_pipeline as p
 
