@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +11,14 @@ from tarnwork.functions import text as T
 
 #: Prefixes of an abstention, and the labels digits stand for (fixed values).
 ABSTAIN = ["bilmir", "unclear", "n/a", "na", "?", "-"]
-DIGITS = {"1": "negative", "2": "neutral", "3": "positive"}
+DIGITS = {"1": "positive", "2": "neutral", "3": "negative"}
 #: Points: humans below this agree too little; margins of data set against humans.
 TOO_SUBJECTIVE, PROCEED, CAVEAT = 60.0, 5.0, 12.0
 TIERS = ["PROCEED", "PROCEED_WITH_CAVEAT", "STOP_LABELS_UNRELIABLE", "STOP_TASK_TOO_SUBJECTIVE"]
-FORBIDDEN = ["label", "gold", "gold_label", "gold_label_name", "prediction", "pred", "model", "confidence", "score"]
+#: Columns of a blind sheet that may carry the answer (fixed values).
+FORBIDDEN = ["label", "labels", "gold", "gold_label", "gold_label_name", "label_name", "verdict", "answer", "correct"]
+#: Rows of undisputed meaning that tell which digit stands for which label: idx, label, digit (fixed values).
+PROBES = [(38, "positive", "1"), (48, "negative", "3"), (57, "neutral", "2")]
 
 
 def abstains(c: Column) -> Column:
@@ -55,6 +60,48 @@ def agreement(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return j.select(*by, "n", F.round(100.0 * po, 2).alias("agreement_pct"), F.when((F.col("labels") >= 2) & (pe < 1), F.round((po - pe) / (1 - pe), 4)).alias("kappa"), F.round(100.0 * F.col("unclear") / F.greatest("rows", F.lit(1)), 2).alias("unclear_pct"), (100.0 * F.col("unclear") / F.greatest("rows", F.lit(1)) > 15).alias("concern"))
 
 
+def class_accuracy(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """Of each label of a, the rows on which b gives an answer, and the part of them that agrees."""
+    g = pairs.filter(F.col(b) != "unclear").groupBy(*by, F.col(a).alias("class")).agg(F.count("*").alias("n"), F.count_if(F.col(a) == F.col(b)).alias("correct"))
+    return g.withColumn("accuracy", F.round(F.col("correct") / F.col("n"), 4))
+
+
+def polarity_subset(sheets: DataFrame, gold: str, a: str, b: str) -> DataFrame:
+    """Rows on which the data set and both annotators name a pole, and the annotators' agreement on them in percent (null without rows)."""
+    poles = F.lit(True)
+    for c in (gold, a, b):
+        poles = poles & ~F.col(c).isin("neutral", "unclear")
+    g = sheets.filter(poles).agg(F.count("*").alias("n"), F.count_if(F.col(a) == F.col(b)).alias("k"))
+    return g.select("n", F.when(F.col("n") > 0, F.round(100.0 * F.col("k") / F.greatest("n", F.lit(1)), 2)).alias("hh_agreement_pct"))
+
+
+def agreement_intervals(pairs: DataFrame, by: list[str], a: str, b: str, order: str, draws: int = 10_000) -> DataFrame:
+    """95 % intervals of percent agreement and kappa over the rows that b answers, by PCG64 resampling in ``order``; a sheet is small, so one task draws it."""
+    names = ", ".join(f"{k} {t}" for k, t in pairs.select(*by).dtypes)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        codes = pd.factorize(pd.concat([pdf[a], pdf[b]], ignore_index=True))[0]
+        x, y, n, k = codes[: len(pdf)], codes[len(pdf) :], len(pdf), int(codes.max()) + 1
+        out = []
+        for what in range(2):
+            rng, draw = np.random.default_rng(0), []
+            for at in range(0, draws, 500):
+                pick = rng.integers(0, n, size=(min(500, draws - at), n))
+                same = (x[pick] == y[pick]).mean(1)
+                if what:
+                    row = np.arange(len(pick))[:, None] * k
+                    share = [np.bincount((row + z[pick]).ravel(), minlength=len(pick) * k).reshape(len(pick), k) / n for z in (x, y)]
+                    chance = (share[0] * share[1]).sum(1)
+                    draw.append(np.where(np.abs(1 - chance) < 1e-12, np.nan, (same - chance) / np.where(chance == 1, np.nan, 1 - chance)))
+                else:
+                    draw.append(100.0 * same)
+            out += [round(float(v), 4) for v in np.percentile(np.concatenate(draw), [2.5, 97.5])]
+        return pd.DataFrame([(*key, *out)], columns=[*by, "agree_lo", "agree_hi", "kappa_lo", "kappa_hi"])
+
+    return pairs.filter(F.col(b) != "unclear").select(*by, order, a, b).groupBy(*by).applyInPandas(run, f"{names}, agree_lo double, agree_hi double, kappa_lo double, kappa_hi double")
+
+
 def decompose(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Disagreements at the neutral border and flips of polarity, in percent of all disagreements."""
     dis = F.col(a) != F.col(b)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwork.functions import encoding
 from tarnwork.functions import text as T
 
 #: Characters of a token of the piece tokenizer, which stands in for a trained one.
@@ -24,6 +25,29 @@ def lengths(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select("*", F.size("_w").cast("long").alias("n_words"), F.aggregate("_w", F.lit(0), lambda a, x: a + F.ceil(F.char_length(x) / PIECE).cast("int")).cast("long").alias("n_tokens")).drop("_w")
 
 
+def encoded_lengths(df: DataFrame, file, text: str = "text", unknown: int = -1) -> DataFrame:
+    """``df`` with n_words (white-space separated), n_word_chars, n_tokens and n_unknown by a tokenizer file."""
+    d = encoding.encoded(df.withColumn("_w", T.split_words(F.col(text))), text, file, "_ids")
+    chars = F.aggregate("_w", F.lit(0).cast("long"), lambda a, x: a + F.char_length(x))
+    return d.select(*(F.col(f"`{c}`") for c in df.columns), F.size("_w").cast("long").alias("n_words"), chars.alias("n_word_chars"), F.size("_ids").cast("long").alias("n_tokens"), F.size(F.filter("_ids", lambda i: i == unknown)).cast("long").alias("n_unknown"))
+
+
+def sample_fertility(measured: DataFrame, by: str) -> DataFrame:
+    """Of each group: words, tokens, tokens a word, characters of words a token, unknown tokens."""
+    g = measured.groupBy(by).agg(F.sum("n_words").alias("n_words"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_word_chars").alias("c"), F.sum("n_unknown").alias("n_unknown"))
+    return g.select(by, "n_words", "n_tokens", F.round(F.col("n_tokens") / F.greatest("n_words", F.lit(1)), 3).alias("fertility"), F.round(F.col("c") / F.greatest("n_tokens", F.lit(1)), 3).alias("chars_per_token"), "n_unknown")
+
+
+def truncation_between(a: DataFrame, b: DataFrame, by: str, caps: tuple[int, ...] = (128, 256)) -> DataFrame:
+    """Of each group and cap the percent of texts longer than it under two setups (n_tokens), their difference, and an alarm from a point on."""
+    def rates(df: DataFrame, name: str) -> DataFrame:
+        long = df.select(by, "n_tokens", F.explode(F.array(*map(F.lit, caps))).alias("cap"))
+        return long.groupBy(by, F.col("cap").cast("long").alias("cap")).agg(F.round(100.0 * F.count_if(F.col("n_tokens") > F.col("cap")) / F.count("*"), 2).alias(name))
+
+    delta = F.round(F.col("pct_b") - F.col("pct_a"), 2)
+    return rates(a, "pct_a").join(rates(b, "pct_b"), [by, "cap"]).select(by, "cap", "pct_a", "pct_b", delta.alias("delta"), (F.abs(delta) >= 1.0).alias("alarm"))
+
+
 def fertility(measured: DataFrame, by: str, text: str = "text") -> DataFrame:
     """Tokens a word: over all words, and over texts (those without words left out); rounded."""
     d = measured.filter("n_words > 0").withColumn("f", F.col("n_tokens") / F.col("n_words"))
@@ -103,8 +127,9 @@ def letter_counts(words_df: DataFrame, letters: list[str], by: str) -> DataFrame
     return hit.groupBy(by, "letter").agg(F.count_distinct("word").alias("n"))
 
 
-def bits_per_char(lines: DataFrame) -> DataFrame:
-    """Over lines (nats, masked, tokens, chars, correct): bits a character, top-1 accuracy."""
+def bits_per_char(lines: DataFrame, vocab_size: int | None = None) -> DataFrame:
+    """Over lines (nats, masked, tokens, chars, correct): bits a character, top-1 accuracy; with a vocabulary's size also a random guess's accuracy and how often better."""
     g = lines.agg(*(F.sum(c).alias(c) for c in ("nats", "masked", "tokens", "chars", "correct")))
     bits = F.col("nats") / F.greatest("masked", F.lit(1)) * F.col("tokens") / F.log(F.lit(2.0))
-    return g.select("masked", "tokens", "chars", F.round(bits / F.greatest("chars", F.lit(1)), 4).alias("bpc"), F.round(F.col("correct") / F.greatest("masked", F.lit(1)), 4).alias("top1"))
+    guess = [] if vocab_size is None else [F.round(F.lit(1.0 / vocab_size), 8).alias("random_guess"), F.round(F.col("correct") / F.greatest("masked", F.lit(1)) * vocab_size, 2).alias("over_random")]
+    return g.select("masked", "tokens", "chars", *guess, F.round(bits / F.greatest("chars", F.lit(1)), 4).alias("bpc"), F.round(F.col("correct") / F.greatest("masked", F.lit(1)), 4).alias("top1"))

@@ -25,6 +25,13 @@ def expand(bases: DataFrame, conditions: DataFrame, reference: int, seeds: list[
     return q.withColumn("pos", (F.row_number().over(order) - 1).cast("long")).drop("base_pos", "size_pos", "cond_pos", "seed_pos")
 
 
+def tranche(queue: DataFrame, bases: list[str] | None = None, conditions: list[str] | None = None, sizes: list[int] | None = None, seeds: list[int] | None = None) -> DataFrame:
+    """The part of the queue that all filters given let through."""
+    for c, some in (("base", bases), ("condition", conditions), ("size", sizes), ("seed", seeds)):
+        queue = queue.filter(F.col(c).isin(some)) if some is not None else queue
+    return queue
+
+
 def shared_stages(queue: DataFrame, needs: str, keys: list[str]) -> DataFrame:
     """Requests for a shared stage and the distinct stages to build."""
     n = queue.filter(F.col(needs))

@@ -31,10 +31,13 @@ def encode_labels(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def dedup(df: DataFrame, order: str, text: str = "text", label: str = "label") -> DataFrame:
-    """One row (the first by ``order``) for each normalised text; texts with several labels go entirely."""
-    rest = [c for c in df.columns]
-    g = df.withColumn("_k", T.normalise(F.col(text))).groupBy("_k").agg(F.min_by(F.struct(*rest), F.col(order)).alias("r"), F.min(label).alias("lo"), F.max(label).alias("hi"))
-    return g.filter(F.col("lo") == F.col("hi")).select("r.*")
+    """One row (the first by ``order``, which is unique) for each normalised text; texts with several labels go entirely.
+
+    Only digests, orders and labels are grouped; the rows are then picked by their order.
+    """
+    g = df.groupBy(F.md5(T.normalise(F.col(text))).alias("_k")).agg(F.min(order).alias("_first"), F.min(label).alias("lo"), F.max(label).alias("hi"))
+    keep = g.filter(F.col("lo") == F.col("hi")).select("_first")
+    return df.join(keep, df[order] == keep["_first"], "left_semi")
 
 
 def dedup_stats(df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
@@ -45,13 +48,48 @@ def dedup_stats(df: DataFrame, text: str = "text", label: str = "label") -> Data
     return s.select("n_before", "n_after", "conflicts", removed.alias("duplicates_removed"), pct.alias("duplicate_pct"), F.when(pct >= 40, "RECONSIDER").when(pct >= 25, "WARN").otherwise("OK").alias("gate"))
 
 
+#: Ranges of the seeded hash, by its first hexadecimal digits.
+DIGITS = 3
+
+
+def cuts(df: DataFrame, by: str, seed: str, key: str, quotas: dict[str, Column]) -> DataFrame:
+    """Of each group ``_by`` (null is one) its rows ``n``, and for each quota the (hash, key) of the last of so many rows in seeded order, null for none.
+
+    Quotas may use n, ``all`` rows and the number of ``groups``. Hash ranges are counted first and only the ranges in which quotas end are
+    ordered, each a 4,096th of its group, so no task orders a group; texts stay where they are, a row is in if its own (hash, key) is not
+    behind the cut.
+    """
+    narrow = df.select(F.col(by).alias("_by"), T.seeded(seed, F.col(key)).alias("h"), F.col(key).alias("k")).withColumn("r", F.substring("h", 1, DIGITS))
+    w = Window.partitionBy("_by")
+    counts = narrow.groupBy("_by", "r").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(w.orderBy("r"))).withColumn("n", F.sum("c").over(w))
+    sizes = counts.groupBy("_by").agg(F.sum("c").alias("n"))
+    whole = sizes.agg(F.sum("n").alias("all"), F.count("*").alias("groups"))  # one row
+    asked = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), q.cast("long").alias("q")) for name, q in quotas.items())))
+    ends = counts.join(F.broadcast(whole)).select("_by", "r", "upto", "c", asked.alias("x")).filter((F.col("x.q") <= F.col("upto")) & (F.col("x.q") > F.col("upto") - F.col("c")))
+    ends = ends.select(F.col("_by").alias("_g"), F.col("r").alias("_r"), "x.name", (F.col("x.q") - F.col("upto") + F.col("c")).alias("left"))
+    inside = narrow.join(ends, F.col("_by").eqNullSafe(F.col("_g")) & (F.col("r") == F.col("_r")))
+    last = inside.withColumn("at", F.row_number().over(Window.partitionBy("_by", "name").orderBy("h", "k"))).filter(F.col("at") == F.col("left"))
+    found = last.groupBy(F.col("_by").alias("_g")).agg(*(F.max(F.when(F.col("name") == name, F.struct("h", "k"))).alias(name) for name in quotas))
+    out = sizes.join(F.broadcast(whole)).join(found, F.col("_by").eqNullSafe(F.col("_g")), "left")
+    # a quota beyond the group takes all of it
+    most = F.struct(F.lit("g").alias("h"), F.lit(None).cast(df.schema[key].dataType).alias("k"))
+    return out.select("_by", "n", "all", "groups", *(F.when(q.cast("long") >= F.col("n"), most).otherwise(F.col(name)).alias(name) for name, q in quotas.items()))
+
+
+def _with_cuts(df: DataFrame, by: str, seed: str, key: str, quotas: dict[str, Column]) -> DataFrame:
+    c = cuts(df, by, seed, key, quotas)
+    c = c.withColumnsRenamed({x: f"_{x}" for x in c.columns if x != "_by"})
+    return df.join(c, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_at", F.struct(T.seeded(seed, F.col(key)).alias("h"), F.col(key).alias("k")))
+
+
+_CUT = ["_by", "_n", "_all", "_groups", "_at"]
+
+
 def stratified_split(df: DataFrame, key: str, label: str = "label", val: float = 0.10, test: float = 0.15, seed: str = "17") -> DataFrame:
     """``df`` with split: within each label, in seeded order, floor(n val) go to val, floor(n test) to test, the rest to train."""
-    w = Window.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(T.seeded(seed, F.col(key)), key))
-    n = F.count("*").over(w)
-    n_val, n_test = F.floor(n * F.lit(float(val))), F.floor(n * F.lit(float(test)))
-    return df.withColumn("split", F.when(rank <= n_val, "val").when(rank <= n_val + n_test, "test").otherwise("train"))
+    n_val, n_test = F.floor(F.col("n") * F.lit(float(val))), F.floor(F.col("n") * F.lit(float(test)))
+    d = _with_cuts(df, label, seed, key, {"val": n_val, "test": n_val + n_test})
+    return d.withColumn("split", F.when(F.col("_at") <= F.col("_val"), "val").when(F.col("_at") <= F.col("_test"), "test").otherwise("train")).drop(*_CUT, "_val", "_test")
 
 
 def label_distribution(df: DataFrame, *by: str) -> DataFrame:
@@ -60,20 +98,16 @@ def label_distribution(df: DataFrame, *by: str) -> DataFrame:
 
 def subsample_proportional(df: DataFrame, n: int, key: str, label: str = "label", seed: str = "17") -> DataFrame:
     """Up to n rows: of each class round-half-even(n * share), then the first n in seeded order; all rows if there are no more than n."""
-    w = Window.partitionBy(label)
-    total = df.select(F.count("*").alias("_all"))
-    ranked = df.join(F.broadcast(total)).withColumn("_r", F.row_number().over(w.orderBy(T.seeded(seed, F.col(key)), key))).withColumn("_n", F.count("*").over(w))
-    quota = F.bround(F.lit(float(n)) * F.col("_n") / F.col("_all")).cast("long")
-    kept = ranked.filter((F.col("_all") <= n) | (F.col("_r") <= quota))
-    return kept.orderBy(T.seeded(f"{seed}x", F.col(key)), key).limit(n).drop("_r", "_n", "_all") if n else kept.limit(0)
+    d = _with_cuts(df, label, seed, key, {"cut": F.when(F.col("all") <= n, F.col("n")).otherwise(F.bround(F.lit(float(n)) * F.col("n") / F.col("all")))})
+    kept = d.filter(F.col("_at") <= F.col("_cut"))
+    return kept.orderBy(T.seeded(f"{seed}x", F.col(key)), key).limit(n).drop(*_CUT, "_cut") if n else df.limit(0)
 
 
 def subsample_balanced(df: DataFrame, n: int, key: str, label: str = "label", seed: str = "17") -> DataFrame:
     """n rows with equal counts: max(1, n // classes) of each class, filled from the rest at random (by hash)."""
-    classes = df.select(F.count_distinct(label).alias("_c"))
-    ranked = df.join(F.broadcast(classes)).withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(T.seeded(seed, F.col(key)), key)))
-    first = F.col("_r") <= F.greatest(F.lit(1), F.floor(F.lit(n) / F.col("_c")))
-    return ranked.orderBy(first.desc(), T.seeded(f"{seed}x", F.col(key)), F.col(key)).limit(n).drop("_r", "_c")
+    d = _with_cuts(df, label, seed, key, {"cut": F.greatest(F.lit(1), F.floor(F.lit(n) / F.col("groups")))})
+    first = F.coalesce(F.col("_at") <= F.col("_cut"), F.lit(False))
+    return d.orderBy(first.desc(), T.seeded(f"{seed}x", F.col(key)), F.col(key)).limit(n).drop(*_CUT, "_cut")
 
 
 def leakage(df: DataFrame, text: str = "text", split: str = "split") -> DataFrame:
@@ -92,15 +126,28 @@ def overlap_count(a: DataFrame, b: DataFrame, text: str = "text") -> DataFrame:
     return ka.join(kb, "k", "left_semi").agg(F.count("*").alias("shared")).select("shared", (F.col("shared") == 0).alias("disjoint"))
 
 
+#: Digests that one task of the manifest joins, about.
+MANIFEST_GROUP = 4096
+
+
 def manifest(df: DataFrame, split: str = "split", text: str = "text", label: str = "label") -> DataFrame:
     """n and an order-free SHA-256 of each split.
 
-    Each row is digested; rows are summed up in 256 ordered groups by the digest's first byte and those
-    once more, so no task holds more than a group.
+    Each row is digested. Digests that begin alike are joined in order and digested again, two hexadecimal digits fewer at a time. The tree
+    is as deep as the largest split needs (one level to a million rows), so no task joins more than some thousands.
     """
     d = df.select(F.col(split).alias("split"), F.sha2(F.concat(T.normalise(F.col(text)), F.lit("\t"), F.col(label).cast("string")), 256).alias("h"))
-    part = d.groupBy("split", F.substring("h", 1, 2).alias("p")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("h"))
-    return part.groupBy("split").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("p", "h"))), "\n"), 256).alias("sha256"))
+    most = d.groupBy("split").count().agg(F.max("count")).first()[0] or 0
+    digits = 2
+    while most > MANIFEST_GROUP * 16**digits:
+        digits += 2
+    level = d.select("split", F.substring("h", 1, digits).alias("p"), "h", F.lit(1).cast("long").alias("n"), F.lit("").alias("q"))
+    while True:
+        level = level.groupBy("split", "p").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("q", "h"))), "\n"), 256).alias("h"))
+        if digits == 0:
+            return level.select("split", "n", F.col("h").alias("sha256"))
+        digits -= 2
+        level = level.select("split", F.substring("p", 1, digits).alias("p"), "h", "n", F.col("p").alias("q"))
 
 
 def scramble(text: Column, seed: str, key: Column) -> Column:
@@ -117,23 +164,53 @@ def scramble_invariants(df: DataFrame, key: str, text: str = "text", seed: str =
 
 
 def positional_cut(df: DataFrame, order: str, part: float = 0.9) -> DataFrame:
-    """The first part of the rows by ``order`` is train, the rest val; the cut is found from counts of ranges, not by one sorted task."""
-    ranges = df.groupBy(F.floor(F.col(order) / 1024).alias("_b")).agg(F.count("*").alias("_n"))
-    w = Window.orderBy("_b")
-    ranges = ranges.withColumn("_before", F.sum("_n").over(w) - F.col("_n")).withColumn("_all", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    d = df.withColumn("_b", F.floor(F.col(order) / 1024)).join(ranges, "_b")
-    at = F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy(order))
-    return d.withColumn("split", F.when(at <= F.floor(F.lit(float(part)) * F.col("_all")), "train").otherwise("val")).drop("_b", "_n", "_before", "_all")
-
-
-def candidate_profile(df: DataFrame, group: str, text: str = "text", label: str = "label") -> DataFrame:
-    """Of each candidate data set: rows, distinct texts, classes, the largest class's share, and pass (without the reference's criterion of headroom, a classifier's macro-F1)."""
-    by = df.groupBy(group, label).agg(F.count("*").alias("n"))
-    top = by.groupBy(group).agg(F.count("*").alias("n_classes"), F.max("n").alias("top"), F.sum("n").alias("rows"))
-    distinct = df.groupBy(group, F.md5(T.normalise(F.col(text))).alias("k")).agg(F.lit(1).alias("x")).groupBy(group).agg(F.count("*").alias("n_distinct"))
-    share = F.round(F.col("top") / F.col("rows"), 4)
-    dup = F.round(100.0 * (F.col("rows") - F.col("n_distinct")) / F.col("rows"), 2)
-    return top.join(distinct, group).select(group, "rows", "n_distinct", "n_classes", share.alias("majority_share"), dup.alias("duplicate_pct"), ((F.col("n_classes") >= 2) & (share < 0.8) & (dup < 25) & (F.col("rows") >= 100)).alias("passes"))
+    """The first floor(part * n) rows by ``order`` (numbers, unique) are train, the rest val.
+
+    Approximate quantiles bound the cut on both sides; the rows below are counted, and only those between are ordered.
+    """
+    n = df.count()
+    want, width, last = int(part * n), 2e-4, None
+    while want and last is None:
+        lo, hi = df.agg(F.percentile_approx(order, F.lit(max(0.0, part - width)), 20_000), F.percentile_approx(order, F.lit(min(1.0, part + width)), 20_000)).first()
+        left = want - df.filter(F.col(order) < lo).count()
+        if left > 0:
+            row = df.filter(F.col(order).between(lo, hi)).select(order).orderBy(order).offset(left - 1).limit(1).first()
+            last = row[0] if row else None
+        width *= 8  # the bounds missed it: farther apart
+    return df.withColumn("split", F.when(F.col(order) <= F.lit(last), "train").otherwise("val") if want else F.lit("val"))
+
+
+#: What a candidate data set must have: rows after dedup, the largest class's share at most, classes, and the band of its headroom (fixed values).
+MIN_ROWS, MAX_MAJORITY, MIN_CLASSES, HEADROOM = 10_000, 0.90, 2, (0.60, 0.85)
+#: Words of a description that hint at how labels were made (fixed values).
+MARKERS = ["emoji", "rule-based", "rule based", "automatically labeled", "automatically labelled", "heuristic", "keyword", "weak supervision", "distant supervision", "wikipedia", "translated", "synthetic"]
+
+
+def candidate_profile(df: DataFrame, group: str, text: str = "text", label: str = "label", min_rows: int = MIN_ROWS, max_majority: float = MAX_MAJORITY, min_classes: int = MIN_CLASSES, scores: DataFrame | None = None) -> DataFrame:
+    """Of each candidate data set: rows before and after dedup (texts with several labels go), classes, the largest class's share, and its criteria.
+
+    ``scores`` (group, headroom, gated), where it is known, adds the criteria of headroom, a plain classifier's macro-F1 that must lie in a
+    band, and of free access, and the whole verdict.
+    """
+    k = df.groupBy(group, F.md5(T.normalise(F.col(text))).alias("_k")).agg(F.min(label).alias("lo"), F.max(label).alias("hi"), F.count("*").alias("c"))
+    by = k.groupBy(group, F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("l")).agg(F.count("*").alias("n"), F.sum("c").alias("c"))
+    kept = F.when(F.col("l").isNotNull(), F.col("n"))
+    g = by.groupBy(group).agg(F.sum("c").alias("rows_raw"), F.coalesce(F.sum(kept), F.lit(0)).alias("rows_after_dedup"), F.count(kept).alias("n_classes"), F.coalesce(F.max(kept) / F.sum(kept), F.lit(1.0)).alias("m"))
+    rows_ok, classes_ok, majority_ok = F.col("rows_after_dedup") >= min_rows, F.col("n_classes") >= min_classes, F.col("m") <= max_majority
+    out = g.select(group, "rows_raw", "rows_after_dedup", "n_classes", F.round("m", 4).alias("majority_share"), majority_ok.alias("majority_ok"), rows_ok.alias("rows_ok"), classes_ok.alias("classes_ok"), (rows_ok & classes_ok & majority_ok).alias("passes_without_headroom"))
+    if scores is None:
+        return out
+    fits = F.coalesce(F.col("headroom").between(*HEADROOM), F.lit(False))
+    free = ~F.coalesce("gated", F.lit(False))
+    return out.join(scores, group, "left").withColumn("headroom_ok", fits).withColumn("not_gated", free).withColumn("passes", F.col("passes_without_headroom") & fits & free)
+
+
+def marker_counts(docs: DataFrame, text: str = "text", markers: list[str] = MARKERS) -> DataFrame:
+    """How many texts hold each marker, case aside."""
+    names = F.array(*map(F.lit, markers))
+    found = docs.select(F.explode(F.filter(names, lambda m: F.contains(T.casefold(F.col(text)), m))).alias("marker")).groupBy("marker").agg(F.count("*").alias("n"))
+    every = docs.sparkSession.createDataFrame([(m,) for m in markers], "marker string")
+    return every.join(found, "marker", "left").select("marker", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def top_source_by_label(df: DataFrame, source: str, label: str = "label") -> DataFrame:

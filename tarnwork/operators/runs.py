@@ -78,3 +78,59 @@ def history_rules() -> dict[str, Column]:
         "terminal_is_last": F.col("terminal_step") == F.array_max(F.transform(h, lambda x: x["step"])),
         "first_escape_in_history": F.col("first_escape").isNull() | F.array_contains(F.transform(h, lambda x: x["step"]), F.col("first_escape")),
     }
+
+
+#: Keys that a run record, its settings and each row of its history must have (fixed names), and its verdicts and ways of selection.
+RECORD_KEYS = [
+    "run_result_schema_version", "escaped", "escape_step", "selected_step", "selected_validation_macro_f1", "terminal_step", "terminal_validation_macro_f1", "escaped_but_terminal_collapsed",
+    "test_comparison", "max_steps", "steps_per_epoch", "effective_epochs", "step_history", "per_run_verdict", "eval_split", "training_settings",
+]
+SETTINGS_KEYS = ["max_steps", "eval_every_steps", "metric_for_best_model", "early_stopping_patience", "load_best_model_at_end"]
+HISTORY_KEYS = ["step", "eval_loss", "eval_macro_f1", "validation_prediction_counts"]
+VERDICTS = ["ESCAPED", "NOT_ESCAPED", "UNRESOLVED"]
+SELECTIONS = ["best_validation_checkpoint", "final_step"]
+
+
+def record_rules(version: int = 4) -> dict[str, Column]:
+    """Rules of a run record parsed by ``sources.io.parse_runs`` (value, r); all must hold before it is written. One that can't be judged counts as broken."""
+    def has(keys: Column, needed: list[str]) -> Column:
+        return F.size(F.array_except(F.array(*map(F.lit, needed)), F.coalesce(keys, F.array().cast("array<string>")))) == 0
+
+    h, t = F.col("r.step_history"), F.col("r.test_comparison")
+    last = F.get(h, F.size(h) - 1)
+    steps = F.transform(h, lambda x: x["step"])
+    over = F.filter(h, lambda x: x["eval_macro_f1"] > ESCAPE)
+    first_over = F.array_min(F.transform(over, lambda x: x["step"]))
+    classes = F.array_sort(F.transform(F.sequence(F.lit(0), F.col("r.n_labels") - 1), lambda i: i.cast("string")))
+    best = t["selection"] == SELECTIONS[0]
+    step = F.when(best, F.col("r.selected_step")).otherwise(F.col("r.terminal_step"))
+    score = F.when(best, F.col("r.selected_validation_macro_f1")).otherwise(F.col("r.terminal_validation_macro_f1"))
+    tested = F.col("r.eval_split") == "test"
+    rows = F.from_json(F.get_json_object("value", "$.step_history"), "array<map<string,string>>")
+    return {
+        "has_keys": has(F.json_object_keys("value"), RECORD_KEYS),
+        "has_version": F.col("r.run_result_schema_version") == version,
+        "has_settings": has(F.json_object_keys(F.get_json_object("value", "$.training_settings")), SETTINGS_KEYS),
+        "has_escaped": F.col("r.escaped").isNotNull(),
+        "has_steps": F.size(h) > 0,
+        "verdict_known": F.col("r.per_run_verdict").isin(VERDICTS),
+        "history_has_keys": F.forall(rows, lambda x: has(F.map_keys(x), HISTORY_KEYS)),
+        "steps_increase": F.forall(F.transform(h, lambda x, i: F.struct(x["step"].alias("s"), F.coalesce(F.get(steps, i - 1), F.lit(-1)).alias("p"))), lambda x: x["s"] > x["p"]),
+        "classes_complete": F.forall(h, lambda x: F.array_sort(F.map_keys(x["validation_prediction_counts"])) == classes),
+        "counts_whole": F.forall(h, lambda x: F.forall(F.map_values(x["validation_prediction_counts"]), lambda v: (v >= 0) & (v == F.floor(v)))),
+        "selected_in_history": F.array_contains(steps, F.col("r.selected_step")),
+        "escaped_matches": F.col("r.escaped") == (F.size(over) > 0),
+        "escape_step_matches": F.col("r.escape_step").eqNullSafe(first_over),
+        "terminal_step_is_last": F.col("r.terminal_step") == last["step"],
+        "terminal_score_is_last": F.col("r.terminal_validation_macro_f1") == last["eval_macro_f1"],
+        "collapse_matches": F.col("r.escaped_but_terminal_collapsed") == (F.col("r.escaped") & (last["eval_macro_f1"] <= ESCAPE)),
+        "comparison_split_matches": t["eval_split"] == F.col("r.eval_split"),
+        "selection_known": t["selection"].isin(SELECTIONS),
+        "restored_verified": ~best | t["restored_validation_macro_f1"].isNotNull(),
+        "restored_matches": ~best | (F.abs(t["restored_validation_macro_f1"] - F.col("r.selected_validation_macro_f1")) <= 1e-4),
+        "matched_step": t["matched_step"] == step,
+        "matched_score": t["validation_macro_f1_matched"] == score,
+        "test_score_where_tested": ~tested | t["test_macro_f1"].isNotNull(),
+        "matched_delta": ~tested | (t["delta_test_minus_validation_matched"] == F.round(t["test_macro_f1"] - score, 6)),
+        "no_test_score_elsewhere": tested | t["test_macro_f1"].isNull(),
+    }

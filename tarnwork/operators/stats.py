@@ -33,27 +33,33 @@ def wilson(k: Column, n: Column) -> tuple[Column, Column]:
     return F.when(some, F.greatest(F.lit(0.0), mid - half)), F.when(some, F.least(F.lit(1.0), mid + half))
 
 
-def log_factorials(spark, most: int) -> DataFrame:
-    """i, ln(i!) for 0..most"""
-    w = Window.orderBy("i")
-    return spark.range(most + 1).withColumnRenamed("id", "i").select("i", F.sum(F.log(F.greatest(F.col("i"), F.lit(1)).cast("double"))).over(w).alias("lf"))
+_SMALL = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 256)))])
+
+
+def log_factorial(n: np.ndarray) -> np.ndarray:
+    """ln(n!) of whole numbers, by a table and Stirling's series."""
+    x = np.maximum(np.asarray(n, np.float64), 1.0)
+    far = x * np.log(x) - x + 0.5 * np.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return np.where(x < 256, _SMALL[np.minimum(x, 255).astype(np.int64)], far)
+
+
+@F.pandas_udf(DoubleType())
+def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    """Two-sided p of tables: the sum of all tables' probabilities, with the same margins, that are no larger."""
+    out = []
+    for a_, b_, c_, d_ in zip(a, b, c, d):
+        x = np.arange(max(0, a_ + c_ - (c_ + d_)), min(a_ + c_, a_ + b_) + 1)
+        w = -(log_factorial(x) + log_factorial(a_ + b_ - x) + log_factorial(a_ + c_ - x) + log_factorial(d_ - a_ + x))
+        q = np.exp(w - w.max())
+        out.append(min(1.0, float(q[q <= q[a_ - x[0]] * (1 + 1e-9)].sum() / q.sum())))
+    return pd.Series(out, dtype="float64")
 
 
 def fisher(tables: DataFrame, keys: list[str]) -> DataFrame:
-    """Two-sided exact test of (a, b, c, d): odds ratio (null if infinite) and p, rounded; the tables' hypergeometric terms are rows."""
-    spark = tables.sparkSession
-    t = tables.withColumn("r1", F.col("a") + F.col("b")).withColumn("r2", F.col("c") + F.col("d")).withColumn("_m1", F.col("a") + F.col("c"))
-    most = t.agg(F.max(F.col("r1") + F.col("r2"))).first()[0] or 0
-    lf = F.broadcast(log_factorials(spark, int(most)))
-    x = t.select(*keys, "a", "b", "c", "d", "r1", "r2", "_m1", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_m1") - F.col("r2")), F.least("_m1", "r1"))).alias("x"))
-    for name, of in (("l1", F.col("x")), ("l2", F.col("r1") - F.col("x")), ("l3", F.col("_m1") - F.col("x")), ("l4", F.col("r2") - F.col("_m1") + F.col("x"))):
-        x = x.withColumn("_i", of).join(lf.select(F.col("i").alias("_i"), F.col("lf").alias(name)), "_i").drop("_i")
-    x = x.withColumn("w", -(F.col("l1") + F.col("l2") + F.col("l3") + F.col("l4")))
-    w = Window.partitionBy(*keys)
-    x = x.withColumn("q", F.exp(F.col("w") - F.max("w").over(w))).withColumn("obs", F.max(F.when(F.col("x") == F.col("a"), F.col("q"))).over(w))
-    g = x.groupBy(*keys).agg(*(F.first(c).alias(c) for c in "abcd"), (F.sum(F.when(F.col("q") <= F.col("obs") * (1 + 1e-9), F.col("q")).otherwise(0.0)) / F.sum("q")).alias("p"))
+    """Two-sided exact test of (a, b, c, d): odds ratio (null if infinite) and p, rounded."""
+    g = tables.select(*keys, *(F.col(x).cast("long").alias(x) for x in "abcd")).withColumn("p", fisher_p("a", "b", "c", "d"))
     odds = F.when((F.col("b") * F.col("c")) > 0, F.round(F.col("a") * F.col("d") / (F.col("b") * F.col("c")).cast("double"), 4))
-    return g.select(*keys, odds.alias("odds_ratio"), F.round(F.least("p", F.lit(1.0)), 5).alias("p"), (F.col("p") < 0.05).alias("significant"))
+    return g.select(*keys, odds.alias("odds_ratio"), F.round("p", 5).alias("p"), (F.col("p") < 0.05).alias("significant"))
 
 
 def moments(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -163,6 +169,49 @@ def pcg_bootstrap(df: DataFrame, keys: list[str], value: str, order: str, draws:
     return df.select(*keys, value, order).groupBy(*keys).applyInPandas(run, f"{names}, lo double, hi double")
 
 
+def bootstrap_difference(a: np.ndarray, b: np.ndarray, draws: int = 10_000, seed: int = 0) -> tuple[float, float]:
+    """95 % interval of mean(b) - mean(a), both resampled from one PCG64 stream, a first."""
+    rng = np.random.default_rng(seed)
+    means = [v[rng.integers(0, len(v), size=(draws, len(v)))].mean(axis=1) for v in (a, b)]
+    lo, hi = np.percentile(means[1] - means[0], [2.5, 97.5])
+    return float(lo), float(hi)
+
+
+def difference_intervals(runs: DataFrame, group: list[str], condition: str, value: str, order: str, draws: int = 10_000) -> DataFrame:
+    """Intervals of the difference of the escaped runs' means for each pair of conditions; null under two runs an arm. Cells hold a few runs each."""
+    lists = runs.filter("escaped").groupBy(*group, condition).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda s: s[value]).alias("v"))
+
+    @F.pandas_udf("lo double, hi double")
+    def both(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        out = [bootstrap_difference(np.asarray(x, float), np.asarray(y, float), draws) if min(len(x), len(y)) >= 2 else (None, None) for x, y in zip(a, b)]
+        return pd.DataFrame(out, columns=["lo", "hi"], dtype="float64")
+
+    p = pairs(lists, group, condition).withColumn("i", both("a_v", "b_v"))
+    return p.select(*group, "c1", "c2", F.round("i.lo", 4).alias("lo"), F.round("i.hi", 4).alias("hi"), ((F.col("i.lo") > 0) | (F.col("i.hi") < 0)).alias("excludes_zero"))
+
+
+def cell_details(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """What a cell's summary holds besides: runs that escaped and fell back, the rate of those that stayed, the source stage's degenerate runs and mean, and the runs' places."""
+    g = runs.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.count_if(F.col("escaped") & F.col("collapsed")).alias("n_escaped_then_collapsed"), F.count_if(F.col("escaped") & ~F.col("collapsed")).alias("s"),
+        F.count_if(F.coalesce("tr_stage_degenerate", F.lit(False))).alias("n_tr_stage_degenerate"), F.round(F.avg("tr_stage_macro_f1"), 4).alias("tr_stage_macro_f1_mean"), F.array_join(F.sort_array(F.collect_list("source_path")), ";").alias("source_paths"),
+    )
+    lo, hi = wilson(F.col("s"), F.col("n"))
+    return g.select(*keys, "n", "n_escaped_then_collapsed", F.round(F.col("s") / F.col("n"), 4).alias("escape_rate_sustained"), F.round(lo, 4).alias("sustained_lo"), F.round(hi, 4).alias("sustained_hi"), "n_tr_stage_degenerate", "tr_stage_macro_f1_mean", "source_paths")
+
+
+def test_table(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Descriptive table of the test split: escaped of all, mean test score of the escaped and of all runs, mean validation score of the escaped, mean matched delta."""
+    g = runs.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("escaped").alias("k"), F.avg(F.when(F.col("escaped"), F.col("test_macro_f1"))).alias("c"), F.avg("test_macro_f1").alias("a"), F.avg(F.when(F.col("escaped"), F.col("selected_validation_macro_f1"))).alias("v"), F.avg("delta_test_minus_validation_matched").alias("d"))
+    return g.select(*keys, "n", F.concat_ws("/", "k", "n").alias("escaped"), F.round("c", 4).alias("test_f1_conditional"), F.round("a", 4).alias("test_f1_all"), F.round("v", 4).alias("validation_f1_conditional"), F.round("d", 4).alias("delta_mean"))
+
+
+def survival(health: DataFrame, least: float = 0.01) -> DataFrame:
+    """(base, accuracy) of remade models: how many of them still predict, and what that says."""
+    g = health.agg(F.count("*").alias("n"), F.count_if(F.coalesce("accuracy", F.lit(0.0)) < least).alias("dead"))
+    return g.select("n", "dead", F.when(F.col("dead") == 0, "SURVIVED").when(F.col("dead") == F.col("n"), "ALL_DESTROYED").otherwise("SOME_DESTROYED").alias("verdict"))
+
+
 def student_p(t: float, df: float) -> float:
     """Two-sided p of Student's t by the continued fraction of the incomplete beta function."""
     if not (math.isfinite(t) and df > 0):

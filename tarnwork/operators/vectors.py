@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +21,13 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
+def scaled(v: Column, by: Column) -> Column:
+    """Each component times ``by``, which is evaluated once for a vector."""
+    return F.get(F.transform(F.array(by), lambda m: F.transform(v, lambda x: x.cast("double") * m)), 0)
+
+
 def normalise(v: Column) -> Column:
-    n = F.greatest(norm(v), F.lit(1e-8))
-    return F.transform(v, lambda x: x.cast("double") / n)
+    return scaled(v, 1.0 / F.greatest(norm(v), F.lit(1e-8)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,6 +40,18 @@ def _matrix(anchors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["id"] for r in rows], np.int64), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-8)
 
 
+def _best(sim: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's k largest values, in falling order, of equal ones the first columns."""
+    if sim.shape[1] > 4 * k:
+        least = -np.partition(-sim, k - 1, axis=1)[:, k - 1]  # the k-th largest; all those as large are candidates
+        out = np.empty((len(sim), k), np.int64)
+        for i, v in enumerate(least):
+            at = np.flatnonzero(sim[i] >= v)
+            out[i] = at[np.argsort(-sim[i, at], kind="stable")[:k]]
+        return out
+    return np.argsort(-sim, axis=1, kind="stable")[:, :k]
+
+
 def cosine_topk(targets: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
     """targets, anchors (id, vec) -> id, rank, anchor_id, cosine of the k nearest; ties by anchor id. One pass over the targets, anchors sent to the tasks; more than ``MOST_ANCHORS`` in blocks."""
     if anchors.count() > MOST_ANCHORS:
@@ -48,10 +65,12 @@ def cosine_topk(targets: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
                 continue
             t = np.stack(p["vec"].to_numpy()).astype(np.float64)
             t /= np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-8)
-            sim = np.round(t @ m.T, 9)
-            best = np.lexsort((np.broadcast_to(ids, sim.shape), -sim), axis=1)[:, :k]
-            n = best.shape[1]
-            yield pd.DataFrame({"id": np.repeat(p["id"].to_numpy(), n), "rank": np.tile(np.arange(1, n + 1), len(p)), "anchor_id": ids[best].ravel(), "cosine": np.take_along_axis(sim, best, 1).ravel()})
+            rows = max(1, min(SLICE, (32 << 20) // 8 // max(1, len(ids))))  # similarities of 32 MB at once
+            for i in range(0, len(t), rows):
+                sim = np.round(t[i : i + rows] @ m.T, 9)
+                best = _best(sim, k)
+                n = best.shape[1]
+                yield pd.DataFrame({"id": np.repeat(p["id"].to_numpy()[i : i + rows], n), "rank": np.tile(np.arange(1, n + 1), len(sim)), "anchor_id": ids[best].ravel(), "cosine": np.take_along_axis(sim, best, 1).ravel()})
 
     return targets.select("id", "vec").mapInPandas(run, "id long, rank long, anchor_id long, cosine double")
 
@@ -79,7 +98,7 @@ def _nearest_join(targets: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
                 x = np.stack(p["vec"].to_numpy()).astype(np.float64)
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
                 sim = np.round(x @ m.T, 9)
-                best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+                best = _best(sim, k)
                 n = best.shape[1]
                 out.append(pd.DataFrame({"_row": np.repeat(p["_row"].to_numpy(), n), "id": np.repeat(p["id"].to_numpy(), n), "anchor_id": ids[best].ravel(), "cosine": np.take_along_axis(sim, best, 1).ravel(), "_at": list(raw[best.ravel()]), "_vec": [v if r == 0 else None for v in p["vec"] for r in range(n)]}))
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("_row", "id", "anchor_id", "cosine", "_at", "_vec")})
@@ -95,10 +114,11 @@ def mean_weights(top: DataFrame, k: int) -> DataFrame:
 
 
 def transfer(weights: DataFrame, base: DataFrame) -> DataFrame:
-    """(id, anchor_id, w) and the base's (id, vec), not normalised -> id, vec = sum of w * vec."""
-    j = weights.join(base.select(F.col("id").alias("anchor_id"), "vec"), "anchor_id").select("id", "w", F.posexplode("vec").alias("i", "x"))
-    g = j.groupBy("id", "i").agg(F.sum(F.col("w") * F.col("x").cast("double")).alias("y"))
-    return g.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "y"))), lambda s: s["y"]).alias("vec"))
+    """(id, anchor_id, w) and the base's (id, vec), not normalised -> id, vec = sum of w * vec. A target has few weights; their vectors are added up in anchor order."""
+    j = weights.join(base.select(F.col("id").alias("anchor_id"), "vec"), "anchor_id").select("id", F.struct("anchor_id", "w", scaled(F.col("vec"), F.col("w")).alias("x")).alias("s"))
+    g = j.groupBy("id").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    zero = F.transform(F.get("s", F.lit(0))["x"], lambda x: x * 0.0)
+    return g.select("id", F.aggregate("s", zero, lambda acc, s: F.zip_with(acc, s["x"], lambda a, x: a + x)).alias("vec"))
 
 
 def omp(target: np.ndarray, atoms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +156,9 @@ def _sparse(key: int, vec: np.ndarray, ids: np.ndarray, atoms: np.ndarray, k: in
 def omp_weights(targets: DataFrame, anchors: DataFrame, k: int, candidates: int) -> DataFrame:
     """Sparse weights over the nearest ``candidates`` anchors of each target, with the reconstruction's error and cosine."""
     schema = "id long, anchor_id long, w double, error double, cosine double"
+    width = anchors.select(F.size("vec")).first()
+    if width and candidates >= width[0]:
+        warnings.warn(f"{candidates} candidates for vectors of {width[0]} components: more atoms than components, greedy choices may be wrong", stacklevel=2)
     if anchors.count() > MOST_ANCHORS:
         near = _nearest_join(targets, anchors, candidates).groupBy("_row", "id")
         near = near.agg(F.first("_vec", ignorenulls=True).alias("vec"), F.sort_array(F.collect_list(F.struct("rank", "anchor_id", "_at"))).alias("near"))
@@ -167,10 +190,11 @@ def omp_weights(targets: DataFrame, anchors: DataFrame, k: int, candidates: int)
 
 
 def random_weights(top: DataFrame, k: int, seed: str) -> DataFrame:
-    """k candidates of each target by a seeded hash, weights uniform in (-1, 1) from it, scaled to absolute sum 1."""
+    """k candidates of each target by a seeded hash, weights normally distributed (Box-Muller on the hash's digits), scaled to absolute sum 1."""
     h = F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string"), F.col("rank").cast("string")))
     r = F.row_number().over(Window.partitionBy("id").orderBy(h))
-    x = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / float(1 << 31) - 1
+    unit = lambda at: (F.conv(F.substring(h, at, 8), 16, 10).cast("double") + 1) / float((1 << 32) + 1)
+    x = F.sqrt(-2 * F.ln(unit(9))) * F.cos(2 * math.pi * unit(17))
     d = top.withColumn("r", r).withColumn("x", x).filter(F.col("r") <= k)
     return d.select("id", "anchor_id", (F.col("x") / F.sum(F.abs("x")).over(Window.partitionBy("id"))).alias("w"))
 
@@ -197,7 +221,7 @@ def norm_health(report: DataFrame, by: str, made: str, anchor: str) -> DataFrame
 def rescale(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     """Rows at the anchors' median norm, directions kept."""
     med = anchors.agg(F.median(norm(F.col("vec"))).alias("_m"))
-    return rows.join(F.broadcast(med)).select("id", F.transform("vec", lambda x: x.cast("double") * F.col("_m") / F.greatest(norm(F.col("vec")), F.lit(1e-8))).alias("vec"))
+    return rows.join(F.broadcast(med)).select("id", scaled(F.col("vec"), F.col("_m") / F.greatest(norm(F.col("vec")), F.lit(1e-8))).alias("vec"))
 
 
 def assemble(ids: DataFrame, anchors: DataFrame, specials: DataFrame, made: DataFrame) -> DataFrame:

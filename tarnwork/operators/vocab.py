@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwork.functions import bytelevel, encoding
+
 #: Word-boundary marks (fixed values) and the shares above which they tell the scheme, in this order.
 PIECE_MARK, BYTE_MARK, CONT_MARK, END_MARK = "▁", "Ġ", "##", "</w>"
 #: Special-token roles, and the role of the base that stands in for a missing one.
@@ -88,6 +90,14 @@ def anchors_encoded(donor: DataFrame, specials: DataFrame) -> DataFrame:
     return good.groupBy("donor_id").agg(F.min_by("col", "pos").alias("base_id"), F.min("pos").alias("p")).select("donor_id", "base_id", F.when(F.col("p") == 0, "standalone").otherwise("leading_space").alias("how"))
 
 
+def anchors_by_encoding(vocab: DataFrame, donor: str, file, refused: DataFrame) -> DataFrame:
+    """Anchors of ``anchors_encoded`` of the donor's tokens, whose surfaces the base's tokenizer file encodes; byte-level tokens are decoded first."""
+    own = bytelevel.decode_vocab(vocab.filter(F.col("tokenizer") == donor))
+    s = own.join(schemes(own), "tokenizer").select(F.col("token_id").alias("donor_id"), surface(F.col("token"), F.col("scheme")).alias("surface")).filter("surface <> ''")
+    both = encoding.encoded(encoding.encoded(s, "surface", file, "alone").withColumn("_s", F.concat(F.lit(" "), "surface")), "_s", file, "spaced")
+    return anchors_encoded(both.select("donor_id", "alone", "spaced"), refused)
+
+
 def anchor_diagnostics(strict: DataFrame, functional: DataFrame) -> DataFrame:
     s, f = strict.select("donor_id", F.lit(1).alias("s")), functional.select("donor_id", F.lit(1).alias("f"))
     j = s.join(f, "donor_id", "full")
@@ -113,10 +123,15 @@ def align_specials(donor: DataFrame, base: DataFrame) -> DataFrame:
     return own.join(alt, "other", "left").select("role", "donor_id", F.coalesce("base_id", "alt_id").alias("base_id")).filter("base_id IS NOT NULL")
 
 
-def partition_ids(vocab: DataFrame, donor: str, anchors: DataFrame) -> DataFrame:
-    """Each donor id is an anchor or unfamiliar."""
+def partition_ids(vocab: DataFrame, donor: str, anchors: DataFrame, specials: DataFrame | None = None) -> DataFrame:
+    """Each donor id is an anchor, an aligned special token, or unfamiliar."""
+    if specials is not None:
+        known = anchors.select("donor_id", F.lit("anchor").alias("part")).unionByName(specials.select("donor_id", F.lit("special").alias("part")))
+        known = known.groupBy("donor_id").agg(F.min("part").alias("part"))
+    else:
+        known = anchors.select("donor_id", F.lit("anchor").alias("part")).distinct()
     v = vocab.filter(F.col("tokenizer") == donor).select(F.col("token_id").alias("donor_id"))
-    return v.join(anchors.select("donor_id", F.lit("anchor").alias("part")).distinct(), "donor_id", "left").select("donor_id", F.coalesce("part", F.lit("unfamiliar")).alias("part"))
+    return v.join(known, "donor_id", "left").select("donor_id", F.coalesce("part", F.lit("unfamiliar")).alias("part"))
 
 
 def ranked_vocab(tokens: DataFrame) -> DataFrame:

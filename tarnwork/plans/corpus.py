@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarnwork.functions import bytelevel as B
+from tarnwork.functions import encoding
 from tarnwork.functions import text as T
 from tarnwork.operators import corpus as C
 from tarnwork.plans.common import table
@@ -31,9 +33,10 @@ O["truncation_rates"] = f"""WITH {_M}, l AS (SELECT lang, n_tokens, cast(cap AS
 a AS (SELECT cap, round(cast(100 AS double) * count(*) FILTER (WHERE n_tokens > cap) / count(*), 2) AS pct_all FROM l GROUP BY cap), x AS (SELECT lang, cap, n, n_over, round(cast(100 AS double) * n_over / greatest(n, 1), 2) AS pct, pct_all FROM g JOIN a USING (cap))
 SELECT lang, cap, n, n_over, pct, round(pct - pct_all, 2) AS delta, abs(round(pct - pct_all, 2)) >= 1.0 AS alarm FROM x"""
 
-_T = r"""e AS (SELECT lang, text FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) WHERE r <= (SELECT least(min(n), 2000) FROM (SELECT count(*) AS n FROM documents GROUP BY lang))),
-w AS (SELECT DISTINCT lang, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS w FROM e), p AS (SELECT lang, substring(w, cast(i AS bigint), 3) AS p FROM (SELECT lang, w, unnest(range(1, length(w) + 1, 3)) AS i FROM w)),
+_EQUAL = "e AS (SELECT lang, text FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) WHERE r <= (SELECT least(min(n), {}) FROM (SELECT count(*) AS n FROM documents GROUP BY lang)))"
+_W = r"""w AS (SELECT DISTINCT lang, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS w FROM e), p AS (SELECT lang, substring(w, cast(i AS bigint), 3) AS p FROM (SELECT lang, w, unnest(range(1, length(w) + 1, 3)) AS i FROM w)),
 t AS (SELECT DISTINCT lang, trim(regexp_replace(regexp_replace(p, '^▁+', ''), '^#+', '')) AS type FROM p WHERE trim(regexp_replace(regexp_replace(p, '^▁+', ''), '^#+', '')) <> ''), ta AS (SELECT * FROM t WHERE regexp_matches(type, '^\p{L}+$'))"""
+_T, _TA, _ALL = f"{_EQUAL.format(2000)}, {_W}", f"{_EQUAL.format('NULL')}, {_W}", f"e AS (SELECT lang, text FROM documents), {_W}"
 
 
 def _overlap(t: str) -> str:
@@ -48,14 +51,14 @@ def typed(s, d, alpha, cap=2000):
 Q["type_overlap"] = lambda s, d: C.type_overlap(typed(s, d, False), "lang", "fr")
 O["type_overlap"] = f"WITH {_T}, {_overlap('t')} SELECT * FROM v"
 Q["type_overlap_alpha"] = lambda s, d: C.type_overlap(typed(s, d, True, None), "lang", "fr")
-O["type_overlap_alpha"] = f"WITH {_T}, {_overlap('ta')} SELECT * FROM v"
+O["type_overlap_alpha"] = f"WITH {_TA}, {_overlap('ta')} SELECT * FROM v"
 Q["relatedness"] = lambda s, d: C.relatedness(C.type_overlap(typed(s, d, True, None), "lang", "fr"), "lang", "es")
-O["relatedness"] = f"""WITH {_T}, {_overlap('ta')}, x AS (SELECT max(a_covered_pct) FILTER (WHERE lang = 'es') AS rel, avg(a_covered_pct) FILTER (WHERE lang <> 'es') AS base, max(a_covered_pct) FILTER (WHERE lang <> 'es') AS hi, min(a_covered_pct) FILTER (WHERE lang <> 'es') AS lo, max(a_types) AS a FROM v),
+O["relatedness"] = f"""WITH {_TA}, {_overlap('ta')}, x AS (SELECT max(a_covered_pct) FILTER (WHERE lang = 'es') AS rel, avg(a_covered_pct) FILTER (WHERE lang <> 'es') AS base, max(a_covered_pct) FILTER (WHERE lang <> 'es') AS hi, min(a_covered_pct) FILTER (WHERE lang <> 'es') AS lo, max(a_types) AS a FROM v),
 y AS (SELECT *, round(rel - base, 2) AS lift, round(hi - lo, 2) AS spread FROM x)
 SELECT rel AS related_pct, round(base, 2) AS baseline_pct, spread AS spread_points, lift AS lift_points, round(rel / greatest(base, 1e-9), 3) AS ratio, round(cast(100 AS double) * (rel - base) / greatest(100 - base, 1e-9), 2) AS headroom_share_pct, cast(round_even(a * (rel - base) / cast(100 AS double), 0) AS bigint) AS n_specific_est,
 CASE WHEN lift >= 10 AND lift >= 3 * greatest(spread, 0.5) THEN 'RELATEDNESS_CONFIRMED' WHEN lift >= 5 THEN 'RELATEDNESS_MODERATE' ELSE 'RELATEDNESS_WEAK' END AS verdict FROM y"""
-Q["specific_types"] = lambda s, d: C.specific_types(typed(s, d, True), "lang", "fr", "es")
-O["specific_types"] = f"WITH {_T} (SELECT type FROM ta WHERE lang = 'fr' INTERSECT SELECT type FROM ta WHERE lang = 'es') EXCEPT SELECT type FROM ta WHERE lang IN ('en', 'de')"
+Q["specific_types"] = lambda s, d: C.specific_types(C.types(table(s, d, "documents").select("lang", "text"), "lang", True), "lang", "fr", "es")
+O["specific_types"] = f"WITH {_ALL} (SELECT type FROM ta WHERE lang = 'fr' INTERSECT SELECT type FROM ta WHERE lang = 'es') EXCEPT SELECT type FROM ta WHERE lang IN ('en', 'de')"
 
 LETTERS = ["é", "ñ", "ß", "ä", "ö", "w", "T"]
 Q["letter_counts"] = lambda s, d: C.letter_counts(table(s, d, "documents").select("lang", F.explode(T.words(F.col("text"))).alias("word")).distinct(), LETTERS, "lang")
@@ -73,3 +76,13 @@ SELECT masked, tokens, chars, round(nats / greatest(masked, 1) * tokens / ln(2)
 Q["line_source"] = lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n"))).filter(F.char_length("col").between(40, 400) & (F.size(T.split_words(F.col("col"))) >= 5)).orderBy("doc_id", "pos").limit(500).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("col").alias("h"))
 O["line_source"] = r"""SELECT doc_id, pos, md5(l) AS h FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)
 WHERE length(l) BETWEEN 40 AND 400 AND len(list_filter(string_split(trim(regexp_replace(l, '[\s\x0B\x1C-\x1F\x85\p{Z}]+', ' ', 'g')), ' '), lambda x: x <> '')) >= 5 ORDER BY doc_id, pos LIMIT 500"""
+
+
+TOKENIZER, OTHER = "byte_bpe_50k.json", "word_bpe_49k.json"
+Q["bpc_baseline"] = lambda s, d: C.bits_per_char(measured(s, d).select(F.lit(1.0).alias("nats"), F.lit(4).cast("long").alias("masked"), F.col("n_tokens").alias("tokens"), F.char_length("text").cast("long").alias("chars"), F.lit(1).cast("long").alias("correct")), 50_257).select("random_guess", "over_random", "top1")
+O["bpc_baseline"] = "SELECT round(cast(1 AS double) / 50257, 8) AS random_guess, round(cast(0.25 AS double) * 50257, 2) AS over_random, cast(0.25 AS double) AS top1"
+Q["fertility_encoded"] = lambda s, d: C.sample_fertility(C.encoded_lengths(table(s, d, "documents").select("lang", "text"), TOKENIZER), "lang")
+Q["truncation_between"] = lambda s, d: (lambda x: C.truncation_between(C.encoded_lengths(x, TOKENIZER), C.encoded_lengths(x, OTHER), "lang"))(table(s, d, "documents").select("lang", "text"))
+Q["accent_flag_delta"] = lambda s, d: (lambda x: C.sample_fertility(C.encoded_lengths(x, TOKENIZER), "lang").select("lang", F.col("fertility").alias("plain")).join(C.sample_fertility(C.encoded_lengths(x.withColumn("text", B.strip_accents(F.lower("text"))), TOKENIZER), "lang").select("lang", F.col("fertility").alias("stripped")), "lang").withColumn("delta", F.round(F.col("plain") - F.col("stripped"), 3)))(table(s, d, "documents").select("lang", F.coalesce("text", F.lit("")).alias("text")))
+PROBE_WORDS = ["gəlmişdilər", "qanunvericilik", "təyyarə", "kompüter", "xəstəxanalarımızda", "əməkdaşlıq", "işləyirlər"]  # fixed values
+Q["probe_words"] = lambda s, d: encoding.encoded(s.createDataFrame([(w,) for w in PROBE_WORDS], "word string"), "word", TOKENIZER).select("word", F.size("ids").cast("long").alias("n_pieces"))

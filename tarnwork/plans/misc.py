@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarnwork.operators import audit as A
@@ -50,7 +51,7 @@ def sheets(s, d):
     """Two annotators of the labelled documents, flipped by a hash, and the data set's own label."""
     h = F.md5(F.col("doc_id").cast("string"))
     gold = F.when(F.substring(h, 5, 1) < "4", "neutral").when(F.col("label") == 1, "positive").otherwise("negative")
-    flip = lambda c, k: F.when(F.substring(h, k, 1) == "0", "bilmirəm").when(F.substring(h, k, 1) == "1", "2").when(F.substring(h, k, 1) == "2", "").when(F.substring(h, k, 1) == "3", F.when(c == "positive", "Negative").otherwise("Positive")).otherwise(c)
+    flip = lambda c, k: F.when(F.substring(h, k, 1) == "0", "bilmirəm").when(F.substring(h, k, 1) == "1", "2").when(F.substring(h, k, 1) == "2", "").when(F.substring(h, k, 1) == "3", F.when(c == "positive", "Negative").otherwise("Positive")).when(F.substring(h, k, 1).isin("4", "5"), F.when(c == "positive", "1").when(c == "neutral", " 2").otherwise("3")).otherwise(c)
     x = rated(s, d).select("doc_id", "text", gold.alias("gold"))
     return x.select("doc_id", "text", "gold", F.coalesce(A.canonical(flip(F.col("gold"), 1)), F.lit("unclear")).alias("h1"), F.coalesce(A.canonical(flip(F.col("gold"), 2)), F.lit("unclear")).alias("h2"))
 
@@ -80,6 +81,24 @@ Q["audit_agreement"] = lambda s, d: scores(s, d).select("pair", "n", "agreement_
 O["audit_agreement"] = f"WITH {_A} SELECT pair, n, agreement_pct, unclear_pct, concern FROM ar"
 Q["audit_kappa"] = lambda s, d: scores(s, d).select("pair", "kappa")
 O["audit_kappa"] = f"WITH {_A} SELECT pair, kappa FROM ar"
+Q["audit_per_class"] = lambda s, d: A.class_accuracy(pairs(s, d).filter("pair <> 'hh'"), ["pair"], "a", "b")
+O["audit_per_class"] = f"WITH {_A} SELECT pair, a AS class, count(*) AS n, count(*) FILTER (WHERE a = b) AS correct, round(count(*) FILTER (WHERE a = b) / cast(count(*) AS double), 4) AS accuracy FROM pp WHERE pair <> 'hh' AND b <> 'unclear' GROUP BY ALL"
+Q["audit_polarity"] = lambda s, d: A.polarity_subset(sheets(s, d), "gold", "h1", "h2")
+O["audit_polarity"] = f"WITH {_A} SELECT count(*) AS n, CASE WHEN count(*) > 0 THEN round(cast(100 AS double) * count(*) FILTER (WHERE h1 = h2) / greatest(count(*), 1), 2) END AS hh_agreement_pct FROM sh WHERE gold NOT IN ('neutral', 'unclear') AND h1 NOT IN ('neutral', 'unclear') AND h2 NOT IN ('neutral', 'unclear')"
+Q["audit_intervals"] = lambda s, d: A.agreement_intervals(sheets(s, d).select(F.lit("hd1").alias("pair"), "doc_id", F.col("gold").alias("a"), F.col("h1").alias("b")), ["pair"], "a", "b", "doc_id", 2000)
+
+
+def probed(s, d):
+    """Sheets as a row for each annotator and place, the places of the probes among them."""
+    x = sheets(s, d).withColumn("idx", F.row_number().over(Window.orderBy("doc_id")) - 1).filter("idx < 100")  # a sheet is small
+    return x.select("idx", F.explode(F.array(F.struct(F.lit("h1").alias("annotator"), F.col("h1").alias("label")), F.struct(F.lit("h2").alias("annotator"), F.col("h2").alias("label")))).alias("x")).select("x.annotator", "idx", "x.label")
+
+
+Q["audit_probes"] = lambda s, d: A.probe_failures(probed(s, d), s.createDataFrame([p[:2] for p in A.PROBES], "idx int, expected string"))
+O["audit_probes"] = f"""WITH {_A}, ix AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM sh), pe AS (SELECT * FROM (VALUES (38, 'positive'), (48, 'negative'), (57, 'neutral')) t(idx, expected)),
+pl AS (SELECT 'h1' AS annotator, idx, h1 AS label FROM ix UNION ALL SELECT 'h2', idx, h2 FROM ix) SELECT annotator, count(*) AS probes, count(*) FILTER (WHERE NOT coalesce(label = expected, false)) AS missed FROM (SELECT n.annotator, pe.idx, expected, label FROM (SELECT DISTINCT annotator FROM pl) n CROSS JOIN pe LEFT JOIN pl ON pl.annotator = n.annotator AND pl.idx = pe.idx) GROUP BY annotator"""
+Q["leak_columns"] = lambda s, d: s.createDataFrame([(c,) for c in sorted(A.leaking_columns(sheets(s, d).withColumnsRenamed({"h1": "Verdict", "h2": "correct"})))], "leaks string")
+O["leak_columns"] = "SELECT unnest(['Verdict', 'correct', 'gold']) AS leaks"
 Q["audit_decomposition"] = lambda s, d: A.decompose(pairs(s, d).filter("a <> 'unclear' AND b <> 'unclear'"), ["pair"], "a", "b")
 O["audit_decomposition"] = f"""WITH {_A}, c AS (SELECT pair, count(*) FILTER (WHERE a = b) AS agreements, count(*) FILTER (WHERE a <> b) AS disagreements, count(*) FILTER (WHERE a <> b AND (a = 'neutral' OR b = 'neutral')) AS neutral_boundary, count(*) FILTER (WHERE a <> b AND a <> 'neutral' AND b <> 'neutral') AS polarity_flip FROM pp WHERE a <> 'unclear' AND b <> 'unclear' GROUP BY pair)
 SELECT *, round(cast(100 AS double) * neutral_boundary / greatest(disagreements, 1), 2) AS neutral_boundary_pct, round(cast(100 AS double) * polarity_flip / greatest(disagreements, 1), 2) AS polarity_flip_pct FROM c"""
@@ -114,3 +133,5 @@ Q["error_taxonomy"] = lambda s, d: E.shares(errors(s, d), "lang")
 O["error_taxonomy"] = f"WITH {_E}, g AS (SELECT lang, category, count(*) AS n FROM er GROUP BY ALL) SELECT lang, category, n, round(cast(100 AS double) * n / sum(n) OVER (PARTITION BY lang), 2) AS share_pct FROM g"
 Q["error_sample"] = lambda s, d: E.sample(errors(s, d), "lang", "doc_id", 5)
 O["error_sample"] = f"WITH {_E} SELECT doc_id, lang, category FROM er QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 5"
+Q["grid_tranche"] = lambda s, d: G.tranche(queue(s, d), ["b1"], ["plain", "swapped"], [2000]).select("base", "condition", "size", "seed")
+O["grid_tranche"] = f"WITH {_G} SELECT base, condition, size, seed FROM q WHERE base = 'b1' AND condition IN ('plain', 'swapped') AND size = 2000"

@@ -83,17 +83,16 @@ Q["positional_cut"] = lambda s, d: P.positional_cut(table(s, d, "documents").sel
 O["positional_cut"] = "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) <= floor(cast(0.9 AS double) * count(*) OVER ()) THEN 'train' ELSE 'val' END AS split FROM documents"
 
 Q["candidate_profile"] = lambda s, d: P.candidate_profile(rated(s, d), "lang")
-O["candidate_profile"] = f"""WITH {RATED}, t AS (SELECT lang, cast(count(*) AS bigint) AS "rows", count(DISTINCT md5({norm('text')})) AS n_distinct, count(DISTINCT label) AS n_classes FROM rated GROUP BY lang),
-b AS (SELECT lang, max(n) AS top FROM (SELECT lang, label, count(*) AS n FROM rated GROUP BY ALL) GROUP BY lang), x AS (SELECT lang, "rows", n_distinct, n_classes, round(cast(top AS double) / "rows", 4) AS majority_share, round(cast(100 AS double) * ("rows" - n_distinct) / "rows", 2) AS duplicate_pct FROM t JOIN b USING (lang))
-SELECT *, n_classes >= 2 AND majority_share < 0.8 AND duplicate_pct < 25 AND "rows" >= 100 AS passes FROM x"""
+O["candidate_profile"] = f"""WITH {RATED}, k AS (SELECT lang, {norm('text')} AS k, min(label) AS lo, max(label) AS hi, count(*) AS c FROM rated GROUP BY ALL), l AS (SELECT lang, lo AS label, count(*) AS n FROM k WHERE lo = hi GROUP BY ALL),
+x AS (SELECT lang, (SELECT cast(sum(c) AS bigint) FROM k WHERE k.lang = l.lang) AS rows_raw, cast(sum(n) AS bigint) AS rows_after_dedup, count(*) AS n_classes, round(cast(max(n) AS double) / sum(n), 4) AS majority_share, cast(max(n) AS double) / sum(n) <= 0.9 AS majority_ok FROM l GROUP BY lang)
+SELECT *, rows_after_dedup >= 10000 AS rows_ok, n_classes >= 2 AS classes_ok, rows_after_dedup >= 10000 AND n_classes >= 2 AND majority_ok AS passes_without_headroom FROM x"""
 
 Q["source_by_label"] = lambda s, d: P.top_source_by_label(rated(s, d), "source")
 O["source_by_label"] = f"""WITH {RATED}, b AS (SELECT label, source, count(*) AS n FROM rated GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, source) AS r, sum(n) OVER (PARTITION BY label) AS a, count(*) OVER (PARTITION BY label) AS n_sources FROM b)
 SELECT label, source AS top_source, round(cast(n AS double) / a, 4) AS top_share, n_sources FROM r WHERE r = 1"""
 
-MARKERS = ["license", "token", "mail", "http", "@"]
-Q["marker_scan"] = lambda s, d: table(s, d, "documents").withColumn("marker", F.explode(F.filter(F.array(*map(F.lit, MARKERS)), lambda m: F.contains(T.casefold(F.col("text")), m)))).groupBy("marker").agg(F.count("*").alias("n"))
-O["marker_scan"] = "SELECT marker, count(*) AS n FROM documents, (SELECT unnest(['license','token','mail','http','@']) AS marker) WHERE contains(lower(text), marker) GROUP BY marker"
+Q["marker_scan"] = lambda s, d: P.marker_counts(table(s, d, "documents"))
+O["marker_scan"] = f"SELECT marker, count(*) FILTER (WHERE contains(lower(text), marker)) AS n FROM documents, (SELECT unnest({P.MARKERS!r}) AS marker) GROUP BY marker"
 
 Q["eval_text"] = lambda s, d: eval_text(split(s, d).filter("split = 'train'"), "doc_id").select("doc_id", F.md5("text").alias("h"), "provenance")
 O["eval_text"] = f"WITH {RATED}, {_SPLIT} SELECT doc_id, md5(text) AS h, 'train sample, seed 17' AS provenance FROM split WHERE split = 'train' AND length(text) >= 40 ORDER BY md5('17:' || doc_id), doc_id LIMIT 300"

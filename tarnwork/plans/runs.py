@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tarnwork.operators import runs as R
 from tarnwork.operators import stats as S
 from tarnwork.plans.common import rated, table
+from tarnwork.sources import io
 
 Q: dict = {}
 O: dict[str, str] = {}
@@ -38,8 +39,40 @@ Q["run_schema_violations"] = lambda s, d: R.violations(runs(s, d).join(steps(s,
 O["run_schema_violations"] = "SELECT unnest(['has_steps', 'steps_increase', 'selected_is_max', 'escape_matches', 'terminal_is_last', 'first_escape_in_history']) AS rule, cast(0 AS bigint) AS n"
 Q["epoch_arithmetic"] = lambda s, d: (lambda e: runs(s, d).select(*KEYS, e[0].alias("steps_per_epoch"), e[1].alias("effective_epochs")))(R.epochs(F.col("seed"), 32, 2, F.col("n_steps")))
 O["epoch_arithmetic"] = f"WITH {_R} SELECT base, condition, seed, cast(ceil(seed / cast(64 AS double)) AS bigint) AS steps_per_epoch, round(n_steps / greatest(ceil(seed / cast(64 AS double)), 1), 4) AS effective_epochs FROM rr"
-Q["history_merge"] = lambda s, d: R.merge_history(steps(s, d).filter("step % 2 = 0"), steps(s, d).filter("step % 3 = 0").withColumn("train_loss", F.round(F.col("f1") / 10, 4)), KEYS).select(*KEYS, "step", "f1", "train_loss")
-O["history_merge"] = f"WITH {_S} SELECT base, condition, seed, step, f1, CASE WHEN step % 3 = 0 THEN round(f1 / 10, 4) END AS train_loss FROM steps WHERE step % 2 = 0"
+Q["history_merge"] = lambda s, d: R.merge_history(steps(s, d), steps(s, d).filter("f1 > 50").withColumn("train_loss", F.round(F.col("f1") / 10, 4)), KEYS).select(*KEYS, "step", "f1", "train_loss")
+O["history_merge"] = f"WITH {_S} SELECT base, condition, seed, step, f1, CASE WHEN f1 > 50 THEN round(f1 / 10, 4) END AS train_loss FROM steps"
+
+
+def records(s, d):
+    """The runs as texts of run records, scores scaled to 0-1; those of the first base are of an older version."""
+    score = lambda c: F.round(F.col(c) / 400, 6)
+    pairs_ = steps(s, d).withColumn("s", score("f1")).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("step", "s"))).alias("h"))
+    history = F.transform("h", lambda x: F.struct(x["step"].alias("step"), F.lit(0.5).alias("eval_loss"), x["s"].alias("eval_macro_f1"), F.create_map(F.lit("0"), F.lit(3), F.lit("1"), F.lit(4)).alias("validation_prediction_counts")))
+    r = R.summarise(steps(s, d).withColumn("f1", score("f1")), KEYS).join(pairs_, KEYS)
+    val = F.col("selected_f1")
+    comparison = F.struct(F.lit("test").alias("eval_split"), F.lit("best_validation_checkpoint").alias("selection"), F.col("selected_step").alias("matched_step"), val.alias("validation_macro_f1_matched"), val.alias("restored_validation_macro_f1"), F.round(val * 0.9, 6).alias("test_macro_f1"), F.round(F.round(val * 0.9, 6) - val, 6).alias("delta_test_minus_validation_matched"))
+    settings = F.struct(F.lit(100).alias("max_steps"), F.lit(1).alias("eval_every_steps"), F.lit("f1").alias("metric_for_best_model"), F.lit(3).alias("early_stopping_patience"), F.lit(True).alias("load_best_model_at_end"))
+    record = F.struct(
+        F.when(F.col("base") == "0", 3).otherwise(4).alias("run_result_schema_version"), F.lit(2).alias("n_labels"), "base", "condition", F.lit(1).alias("condition_id"), F.lit("t").alias("tokenizer"), F.lit("none").alias("turkish"), F.lit(500).alias("train_size"), "seed", "escaped", F.col("first_escape").alias("escape_step"), "selected_step",
+        val.alias("selected_validation_macro_f1"), "terminal_step", F.col("terminal_f1").alias("terminal_validation_macro_f1"), F.col("collapsed").alias("escaped_but_terminal_collapsed"), F.lit("test").alias("eval_split"), F.col("verdict").alias("per_run_verdict"), F.lit(100).alias("max_steps"), F.lit(63).alias("steps_per_epoch"), F.lit(1.5).alias("effective_epochs"),
+        comparison.alias("test_comparison"), history.alias("step_history"), settings.alias("training_settings"),
+    )
+    return r.select(F.to_json(record, {"ignoreNullFields": "false"}).alias("value"), F.concat_ws("/", *KEYS).alias("source_path"))
+
+
+_RS = f"""{_S}, sc AS (SELECT base, condition, seed, step, round(f1 / 400, 6) AS f1 FROM steps), sr AS (SELECT base, condition, seed, count(*) AS n_steps, arg_max(step, {{'f': f1, 's': -step}}) AS selected_step, max(f1) AS selected_f1, bool_or(f1 > 0.4) AS escaped, min(step) FILTER (WHERE f1 > 0.4) AS escape_step, max(step) AS terminal_step, arg_max(f1, step) AS terminal_f1 FROM sc GROUP BY ALL)"""
+Q["run_scan"] = lambda s, d: io.flatten_runs(io.parse_runs(records(s, d)))
+O["run_scan"] = f"""WITH {_RS} SELECT base, 'unknown' AS base_role, condition, cast(1 AS bigint) AS condition_id, 't' AS tokenizer, 'none' AS turkish, cast(500 AS bigint) AS train_size, seed, escaped, escape_step, selected_step, selected_f1 AS selected_validation_macro_f1, terminal_step, terminal_f1 AS terminal_validation_macro_f1,
+escaped AND terminal_f1 <= 0.4 AS escaped_but_terminal_collapsed, 'test' AS eval_split, round(selected_f1 * cast(0.9 AS double), 6) AS test_macro_f1, cast(NULL AS double) AS tr_stage_macro_f1, cast(NULL AS boolean) AS tr_stage_degenerate, round(round(selected_f1 * cast(0.9 AS double), 6) - selected_f1, 6) AS delta_test_minus_validation_matched,
+cast(100 AS bigint) AS max_steps, cast(63 AS bigint) AS steps_per_epoch, cast(1.5 AS double) AS effective_epochs, cast(NULL AS double) AS runtime_sec, base || '/' || condition || '/' || seed AS source_path FROM sr WHERE base <> '0'"""
+Q["run_scan_skipped"] = lambda s, d: io.skipped_runs(io.parse_runs(records(s, d)))
+O["run_scan_skipped"] = f"WITH {_RS} SELECT 3 AS version, count(*) AS n FROM sr WHERE base = '0' HAVING count(*) > 0"
+RULES = [
+    "has_keys", "has_version", "has_settings", "has_escaped", "has_steps", "verdict_known", "history_has_keys", "steps_increase", "classes_complete", "counts_whole", "selected_in_history", "escaped_matches", "escape_step_matches",
+    "terminal_step_is_last", "terminal_score_is_last", "collapse_matches", "comparison_split_matches", "selection_known", "restored_verified", "restored_matches", "matched_step", "matched_score", "test_score_where_tested", "matched_delta", "no_test_score_elsewhere",
+]
+Q["run_record_violations"] = lambda s, d: R.violations(io.parse_runs(records(s, d)), R.record_rules())
+O["run_record_violations"] = f"WITH {_RS} SELECT rule, CASE WHEN rule = 'has_version' THEN (SELECT count(*) FROM sr WHERE base = '0') ELSE 0 END AS n FROM (SELECT unnest({RULES!r}) AS rule)"
 Q["matched_delta"] = lambda s, d: R.matched_delta(runs(s, d).select(*KEYS, F.col("selected_f1").alias("val"), (F.col("selected_f1") * 0.9).alias("test"), F.col("terminal_f1").alias("terminal"))).select(*KEYS, F.round("delta", 4).alias("delta"), F.round("drift", 4).alias("drift"))
 O["matched_delta"] = f"WITH {_R} SELECT base, condition, seed, round(round(selected_f1 * cast(0.9 AS double) - selected_f1, 6), 4) AS delta, round(round(selected_f1 - terminal_f1, 6), 4) AS drift FROM rr"
 
@@ -172,3 +205,20 @@ g AS (SELECT base, condition, seed, avg(f1) FILTER (WHERE r - 2 <= n // 2) AS a,
 SELECT *, CASE WHEN ratio > 1.3 THEN 'DEGRADING' WHEN ratio IS NOT NULL THEN 'STABLE' END AS state FROM x"""
 Q["figure_series"] = lambda s, d: cells(s, d).filter("status = 'MEASURED'").select("base", "condition", "n", "escape_rate", "conditional_f1")
 O["figure_series"] = f"WITH {_C} SELECT base, condition, n, round(k / cast(n AS double), 4) AS escape_rate, round(c, 4) AS conditional_f1 FROM cl WHERE n > 0"
+
+
+def scanned(s, d):
+    """The scanned records, with what a source stage would have left."""
+    return Q["run_scan"](s, d).withColumn("tr_stage_macro_f1", F.round(F.col("selected_validation_macro_f1") / 2, 6)).withColumn("tr_stage_degenerate", F.col("selected_validation_macro_f1") < 0.5).withColumn("collapsed", F.col("escaped_but_terminal_collapsed"))
+
+
+_SCAN = f"{_RS}, sn AS (SELECT *, escaped AND terminal_f1 <= 0.4 AS collapsed, round(selected_f1 / 2, 6) AS tr, round(selected_f1 * cast(0.9 AS double), 6) AS te FROM sr WHERE base <> '0')"
+_WL = "cast(greatest(n, 1) AS double)"
+Q["cell_details"] = lambda s, d: S.cell_details(scanned(s, d), CELL)
+O["cell_details"] = f"""WITH {_SCAN}, g AS (SELECT base, condition, count(*) AS n, count(*) FILTER (WHERE escaped AND collapsed) AS f, count(*) FILTER (WHERE escaped AND NOT collapsed) AS k, count(*) FILTER (WHERE selected_f1 < 0.5) AS dg, round(avg(tr), 4) AS m, string_agg(base || '/' || condition || '/' || seed, ';' ORDER BY base || '/' || condition || '/' || seed) AS sp FROM sn GROUP BY ALL),
+z AS (SELECT *, k / {_WL} AS p, cast({S.Z} AS double) AS z FROM g) SELECT base, condition, n, f AS n_escaped_then_collapsed, round(k / cast(n AS double), 4) AS escape_rate_sustained, round(greatest(0, (p + z*z/(2*n)) / (1 + z*z/n) - z / (1 + z*z/n) * sqrt(p*(1-p)/n + z*z/(4*n*n))), 4) AS sustained_lo, round(least(1, (p + z*z/(2*n)) / (1 + z*z/n) + z / (1 + z*z/n) * sqrt(p*(1-p)/n + z*z/(4*n*n))), 4) AS sustained_hi, dg AS n_tr_stage_degenerate, m AS tr_stage_macro_f1_mean, sp AS source_paths FROM z"""
+Q["test_table"] = lambda s, d: S.test_table(Q["run_scan"](s, d), CELL)
+O["test_table"] = f"WITH {_SCAN} SELECT base, condition, count(*) AS n, count(*) FILTER (WHERE escaped) || '/' || count(*) AS escaped, round(avg(te) FILTER (WHERE escaped), 4) AS test_f1_conditional, round(avg(te), 4) AS test_f1_all, round(avg(selected_f1) FILTER (WHERE escaped), 4) AS validation_f1_conditional, round(avg(round(te - selected_f1, 6)), 4) AS delta_mean FROM sn GROUP BY ALL"
+Q["difference_intervals"] = lambda s, d: S.difference_intervals(runs(s, d), ["base"], "condition", "f1", "seed", 2000)
+Q["survival"] = lambda s, d: S.survival(cells(s, d).groupBy("base").agg((F.max("escape_rate") / 100).alias("accuracy")))
+O["survival"] = f"WITH {_C}, a AS (SELECT base, max(CASE WHEN n > 0 THEN round(k / cast(n AS double), 4) END) / 100 AS a FROM cl GROUP BY base), g AS (SELECT count(*) AS n, count(*) FILTER (WHERE coalesce(a, 0) < 0.01) AS dead FROM a) SELECT n, dead, CASE WHEN dead = 0 THEN 'SURVIVED' WHEN dead = n THEN 'ALL_DESTROYED' ELSE 'SOME_DESTROYED' END AS verdict FROM g"

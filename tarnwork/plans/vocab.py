@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarnwork.functions import encoding
 from tarnwork.functions import text as T
 from tarnwork.operators import corpus as C
 from tarnwork.operators import vocab as V
@@ -55,10 +56,19 @@ Q["anchor_verdict"] = lambda s, d: V.verdict(V.anchors_functional(vocab(s, d), "
 O["anchor_verdict"] = f"WITH {_V} SELECT count(*) AS n_anchors, CASE WHEN count(*) >= 20000 THEN 'GO' WHEN count(*) >= 500 THEN 'GO_WITH_CARE' ELSE 'NO_GO' END AS verdict FROM a_fun"
 Q["raw_token_overlap"] = lambda s, d: V.raw_overlap(vocab(s, d), "de", "en")
 O["raw_token_overlap"] = f"WITH {_V} SELECT count(*) AS shared FROM vocab WHERE tokenizer = 'de' AND token IN (SELECT token FROM vocab WHERE tokenizer = 'en')"
-Q["donor_partition"] = lambda s, d: V.partition_ids(v := vocab(s, d), "de", V.anchors_functional(v, "de", "en"))
-O["donor_partition"] = f"WITH {_V} SELECT token_id AS donor_id, CASE WHEN token_id IN (SELECT donor_id FROM a_fun) THEN 'anchor' ELSE 'unfamiliar' END AS part FROM vocab WHERE tokenizer = 'de'"
+Q["donor_partition"] = lambda s, d: V.partition_ids(v := vocab(s, d), "de", V.anchors_functional(v, "de", "en"), Q["special_align"](s, d))
+O["donor_partition"] = f"WITH {_V} SELECT token_id AS donor_id, CASE WHEN token_id IN (SELECT donor_id FROM a_fun) THEN 'anchor' WHEN token_id IN (0, 1, 2, 3, 4, 5) THEN 'special' ELSE 'unfamiliar' END AS part FROM vocab WHERE tokenizer = 'de'"
 
 DONOR_ROLES = [("cls", 2), ("sep", 3), ("eos", 4), ("pad", 0), ("unk", 1), ("mask", 5)]
 BASE_ROLES = [("bos", 0), ("sep", 2), ("pad", 1), ("unk", 3), ("mask", 250001)]
 Q["special_align"] = lambda s, d: V.align_specials(s.createDataFrame(DONOR_ROLES, "role string, token_id long"), s.createDataFrame(BASE_ROLES, "role string, token_id long"))
 O["special_align"] = "SELECT * FROM (VALUES ('cls', cast(2 AS bigint), cast(0 AS bigint)), ('sep', 3, 2), ('eos', 4, 2), ('pad', 0, 1), ('unk', 1, 3), ('mask', 5, 250001)) t(role, donor_id, base_id)"
+
+
+def by_encoding(s, d):
+    """Anchors of one public vocabulary in another, by encoding."""
+    refused = s.createDataFrame([(i,) for i in sorted(encoding.load(encoding.public_path("byte_bpe_50k.json")).refused)], "token_id long")
+    return V.anchors_by_encoding(encoding.vocabulary(s, "words", "word_bpe_49k.json"), "words", "byte_bpe_50k.json", refused)
+
+
+Q["anchors_by_encoding"] = by_encoding

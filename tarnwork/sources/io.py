@@ -17,12 +17,23 @@ from pyspark.sql import functions as F
 ENCODINGS = ["utf-8-sig", "utf-8", "cp1254", "cp1252", "latin-1"]
 #: Version of run records that is read; others are counted and left out.
 RUN_VERSION = 4
-RUN_DDL = "schema_version int, base string, condition string, train_size int, seed int, f1 double, escaped boolean, step_history array<struct<step:int,epoch:double,eval_loss:double,eval_macro_f1:double,train_loss:double>>, counts map<string,int>"
+#: A run record as it is written (fixed names).
+RUN_DDL = """run_result_schema_version int, n_labels int, base string, base_role string, condition string, condition_id long, tokenizer string, turkish string, train_size long, seed long,
+escaped boolean, escape_step long, selected_step long, selected_validation_macro_f1 double, terminal_step long, terminal_validation_macro_f1 double, escaped_but_terminal_collapsed boolean, eval_split string,
+per_run_verdict string, max_steps long, completed_steps long, steps_per_epoch long, effective_epochs double, runtime_sec double, tr_stage_macro_f1 double, tr_stage_degenerate boolean,
+test_comparison struct<eval_split:string,selection:string,matched_step:long,validation_macro_f1_matched:double,restored_validation_macro_f1:double,test_macro_f1:double,delta_test_minus_validation_matched:double>,
+step_history array<struct<step:long,epoch:double,eval_loss:double,eval_macro_f1:double,train_loss:double,validation_prediction_counts:map<string,double>>>"""
+#: Columns of a flattened record, in this order (fixed names); source_path comes after them.
+RUN_COLUMNS = [
+    "base", "base_role", "condition", "condition_id", "tokenizer", "turkish", "train_size", "seed", "escaped", "escape_step", "selected_step", "selected_validation_macro_f1",
+    "terminal_step", "terminal_validation_macro_f1", "escaped_but_terminal_collapsed", "eval_split", "test_macro_f1", "tr_stage_macro_f1", "tr_stage_degenerate",
+    "delta_test_minus_validation_matched", "max_steps", "steps_per_epoch", "effective_epochs", "runtime_sec",
+]
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One record a line; blank lines are skipped, order is not kept."""
-    return spark.read.schema(schema).json(path).filter(F.lit(True))
+    return spark.read.schema(schema).json(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -99,12 +110,32 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return (r.schema(schema) if schema else r).json(path)
 
 
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Each file of a folder as one record: value (its text) and source_path."""
+    return spark.read.text(path, wholetext=True).withColumn("source_path", F.col("_metadata.file_path"))
+
+
+def parse_runs(raw: DataFrame) -> DataFrame:
+    """``raw`` (value, and whatever is beside it) with the record as struct r; a record without a version has version 0."""
+    return raw.withColumn("r", F.from_json("value", RUN_DDL)).withColumn("version", F.coalesce("r.run_result_schema_version", F.lit(0)))
+
+
+def flatten_runs(parsed: DataFrame) -> DataFrame:
+    """RUN_COLUMNS and source_path of the records of the version that is read; others are never pooled with them."""
+    nested = {"test_macro_f1": "r.test_comparison.test_macro_f1", "delta_test_minus_validation_matched": "r.test_comparison.delta_test_minus_validation_matched"}
+    cols = [F.coalesce("r.base_role", F.lit("unknown")).alias(c) if c == "base_role" else F.col(nested.get(c, f"r.{c}")).alias(c) for c in RUN_COLUMNS]
+    return parsed.filter(F.col("version") == RUN_VERSION).select(*cols, "source_path")
+
+
+def skipped_runs(parsed: DataFrame) -> DataFrame:
+    """How many records there are of each other version."""
+    return parsed.filter(F.col("version") != RUN_VERSION).groupBy("version").agg(F.count("*").alias("n"))
+
+
 def scan_runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Run records of the version that is read, flattened, with their file; and the number of records of each other version."""
-    df = read_json(spark, path, RUN_DDL).withColumn("source_path", F.col("_metadata.file_path"))
-    rows = df.filter(F.col("schema_version") == RUN_VERSION).drop("schema_version")
-    skipped = df.filter(~F.col("schema_version").eqNullSafe(F.lit(RUN_VERSION))).groupBy("schema_version").agg(F.count("*").alias("n"))
-    return rows, skipped
+    """The flattened records of the version that is read, and the number of records of each other version."""
+    parsed = parse_runs(read_runs(spark, path))
+    return flatten_runs(parsed), skipped_runs(parsed)
 
 
 def append_ledger(df: DataFrame, path: str) -> None:

@@ -1,5 +1,6 @@
 """Hand-checked cases of single operators."""
 
+import hashlib
 import json
 import math
 
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tarnwork.functions import bytelevel
-from tarnwork.operators import audit, prep, runs, stats, vectors, vocab
+from tarnwork.operators import audit, corpus, prep, runs, stats, vectors, vocab
 from tarnwork.sources import io
 
 
@@ -141,17 +142,198 @@ def test_sources(spark, tmp_path):
     assert io.pick_tensor(e, 5, ["emb"]).first()[0] == "emb.weight"
 
 
+def record(**other):
+    """A complete run record."""
+    out = {
+        "run_result_schema_version": 4, "n_labels": 2, "base": "b", "condition": "c", "condition_id": 1, "tokenizer": "t", "turkish": "none", "train_size": 500, "seed": 13,
+        "step_history": [{"step": 65, "epoch": 1.0, "eval_loss": 0.8, "eval_macro_f1": 0.5, "train_loss": 0.9, "validation_prediction_counts": {"0": 1400, "1": 1391}}],
+        "escaped": True, "escape_step": 65, "selected_step": 65, "selected_validation_macro_f1": 0.5, "terminal_step": 65, "terminal_validation_macro_f1": 0.5, "escaped_but_terminal_collapsed": False,
+        "test_comparison": {"eval_split": "val", "selection": "best_validation_checkpoint", "matched_step": 65, "validation_macro_f1_matched": 0.5, "restored_validation_macro_f1": 0.5, "test_macro_f1": None, "delta_test_minus_validation_matched": None},
+        "max_steps": 2000, "completed_steps": 2000, "steps_per_epoch": 63, "effective_epochs": 2000 / 63, "per_run_verdict": "ESCAPED", "eval_split": "val",
+        "training_settings": {"max_steps": 2000, "eval_every_steps": 65, "metric_for_best_model": None, "early_stopping_patience": None, "load_best_model_at_end": False},
+    }
+    for path, v in other.items():
+        at, keys = out, path.split("__")
+        for k in keys[:-1]:
+            at = at[int(k) if k.isdigit() else k]
+        if v is ...:
+            del at[keys[-1]]
+        else:
+            at[keys[-1]] = v
+    return out
+
+
 def test_streaming_ingests_each_file_once(spark, tmp_path):
     from tarnwork.streaming.ingest import ingest_runs
 
     (tmp_path / "in").mkdir()
     for i in range(3):
-        (tmp_path / "in" / f"{i}.json").write_text(json.dumps({"schema_version": 4 if i else 3, "base": "b", "seed": i, "f1": 0.5, "escaped": True}))
+        (tmp_path / "in" / f"{i}.json").write_text(json.dumps(record(seed=i, run_result_schema_version=4 if i else 3), indent=1))
+    (tmp_path / "in" / "old.json").write_text(json.dumps({"f1": 0.5}))
     for _ in range(2):
         ingest_runs(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
     rows, skipped = io.scan_runs(spark, f"{tmp_path}/in")
-    assert rows.count() == 2 and skipped.first()["n"] == 1
+    assert rows.columns == [*io.RUN_COLUMNS, "source_path"] and len(rows.columns) == 25
+    got = {r["seed"]: r for r in rows.collect()}
+    assert set(got) == {1, 2} and got[1]["base_role"] == "unknown" and got[1]["selected_validation_macro_f1"] == 0.5 and got[1]["test_macro_f1"] is None and got[1]["source_path"].endswith("1.json")
+    assert dict(skipped.collect()) == {3: 1, 0: 1}
+
+
+BREAKS = {
+    "has_keys": {"escape_step": ...}, "has_version": {"run_result_schema_version": 3}, "has_settings": {"training_settings__max_steps": ...}, "has_escaped": {"escaped": None}, "has_steps": {"step_history": []}, "verdict_known": {"per_run_verdict": "MAYBE"},
+    "history_has_keys": {"step_history__0__eval_loss": ...}, "classes_complete": {"step_history__0__validation_prediction_counts__2": 1}, "counts_whole": {"step_history__0__validation_prediction_counts__0": -1}, "selected_in_history": {"selected_step": 66},
+    "escaped_matches": {"escaped": False}, "escape_step_matches": {"escape_step": 60}, "terminal_step_is_last": {"terminal_step": 1}, "terminal_score_is_last": {"terminal_validation_macro_f1": 0.4}, "collapse_matches": {"escaped_but_terminal_collapsed": True},
+    "comparison_split_matches": {"test_comparison__eval_split": "test"}, "selection_known": {"test_comparison__selection": "luck"}, "restored_verified": {"test_comparison__restored_validation_macro_f1": None}, "restored_matches": {"test_comparison__restored_validation_macro_f1": 0.51},
+    "matched_step": {"test_comparison__matched_step": 64}, "matched_score": {"test_comparison__validation_macro_f1_matched": 0.6}, "test_score_where_tested": {"eval_split": "test"}, "no_test_score_elsewhere": {"test_comparison__test_macro_f1": 0.4},
+}
+
+
+def test_record_rules(spark):
+    """A complete record breaks no rule; each fault breaks its own."""
+    second = {"step": 65, "eval_loss": 0.7, "eval_macro_f1": 0.5, "validation_prediction_counts": {"0": 1, "1": 2}}
+    cases = {"good": {}, **BREAKS, "steps_increase": {"step_history": [record()["step_history"][0], second]}, "matched_delta": {"eval_split": "test", "test_comparison__eval_split": "test", "test_comparison__test_macro_f1": 0.4, "test_comparison__delta_test_minus_validation_matched": -0.2}}
+    raw = spark.createDataFrame([(json.dumps(record(**c)), k) for k, c in cases.items()], "value string, source_path string")
+    rules = runs.record_rules()
+    assert set(rules) == set(cases) - {"good"}
+    for r in io.parse_runs(raw).select("source_path", *(F.coalesce(v, F.lit(False)).alias(k) for k, v in rules.items())).collect():
+        broken = {k for k in rules if not r[k]}
+        assert broken == set() if r["source_path"] == "good" else r["source_path"] in broken, (r["source_path"], broken)
+    ok = record(eval_split="test", test_comparison__eval_split="test", test_comparison__test_macro_f1=0.4, test_comparison__delta_test_minus_validation_matched=-0.1)
+    one = io.parse_runs(spark.createDataFrame([(json.dumps(ok), "x")], "value string, source_path string"))
+    assert all(v == 0 for v in dict(runs.violations(one, rules).collect()).values())
+
+
+def test_digits_and_leaks(spark):
+    df = spark.createDataFrame([(d,) for _, _, d in audit.PROBES] + [(" Bilmirəm",), ("",)], "x string")
+    assert [r[0] for r in df.select(audit.canonical(F.col("x"))).collect()] == [*(w for _, w, _ in audit.PROBES), "unclear", None]
+    blind = spark.createDataFrame([(1, "t", None)], "idx int, text string, your_label string")
+    assert audit.leaking_columns(blind) == [] and audit.is_blind(blind) and not audit.is_blind(blind.fillna("x"))
+    assert audit.leaking_columns(blind.withColumns({c: F.lit(1) for c in ("Labels", "label_name", "verdict", "answer", "correct", "score")})) == ["Labels", "label_name", "verdict", "answer", "correct"]
+
+
+def test_agreement_intervals(spark):
+    r = np.random.default_rng(2)
+    rows = [("p", i, "abc"[r.integers(3)], "abc"[r.integers(3)] if i % 3 else "unclear") for i in range(40)]
+    got = audit.agreement_intervals(spark.createDataFrame(rows, "k string, i int, a string, b string"), ["k"], "a", "b", "i", 700).first()
+    some = [(a, b) for _, _, a, b in rows if b != "unclear"]
+
+    def kappa(x):
+        po = np.mean([a == b for a, b in x])
+        pe = sum(np.mean([a == c for a, _ in x]) * np.mean([b == c for _, b in x]) for c in "abc")
+        return (po - pe) / (1 - pe)
+
+    for stat, cols in ((lambda x: 100 * np.mean([a == b for a, b in x]), ("agree_lo", "agree_hi")), (kappa, ("kappa_lo", "kappa_hi"))):
+        rng = np.random.default_rng(0)
+        draws = [stat([some[k] for k in rng.integers(0, len(some), size=len(some))]) for _ in range(700)]
+        assert [got[c] for c in cols] == pytest.approx(np.percentile(draws, [2.5, 97.5]), abs=1e-3)
+
+
+def test_difference_interval():
+    a, b = np.array([0.5, 0.6, 0.7]), np.array([0.8, 0.9])
+    rng = np.random.default_rng(0)
+    x, y = rng.choice(a, size=(500, 3), replace=True).mean(axis=1), rng.choice(b, size=(500, 2), replace=True).mean(axis=1)
+    assert stats.bootstrap_difference(a, b, 500) == pytest.approx(tuple(np.percentile(y - x, [2.5, 97.5])))
+
+
+def greedy(vocab):
+    """An encoder, defined here so that it travels by value."""
+
+    class Greedy:
+        """Longest known pieces, -1 for unknown characters; a text that begins with a space takes the marked pieces."""
+
+        refused = {0}
+
+        def __init__(self, vocab):
+            self.vocab = vocab
+
+        def encode(self, texts):
+            return [self.one(t) for t in texts]
+
+        def one(self, text):
+            text, ids, i = ("\u2581" + text[1:]) if text.startswith(" ") else text, [], 0
+            while i < len(text):
+                for j in range(len(text), i, -1):
+                    if text[i:j] in self.vocab:
+                        ids.append(self.vocab[text[i:j]])
+                        i = j
+                        break
+                else:
+                    ids.append(-1)
+                    i += 1
+            return ids
+
+    return lambda: Greedy(vocab)
+
+
+def test_anchors_by_encoding(spark):
+    donor = spark.createDataFrame([("d", "di", 1), ("d", "ev</w>", 2), ("d", "xyz</w>", 3), ("d", "un</w>", 4)], "tokenizer string, token string, token_id long")
+    refused = spark.createDataFrame([(0,)], "token_id long")
+    got = vocab.anchors_by_encoding(donor, "d", greedy({"di": 12, "\u2581ev": 30, "un": 0}), refused)
+    assert {tuple(r) for r in got.collect()} == {(1, 12, "standalone"), (2, 30, "leading_space")}
+
+
+def test_encoding_files(spark):
+    from tokenizers import Tokenizer
+
+    from tarnwork.functions import encoding
+
+    texts = ["The small house", None, "", "naïve <|endoftext|> ə", "a" * 700]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("ids", F.lit("mine"))
+    tok = Tokenizer.from_file(encoding.public_path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    got = {r["i"]: r["ids"] for r in encoding.encoded(df, "text", "byte_bpe_50k.json").collect()}
+    assert got == {i: tok.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=encoding.public_path("piece_bpe_32k.model"))
+    got = {r["i"]: r["ids"] for r in encoding.encoded(df, "text", "piece_bpe_32k.model").collect()}
+    assert got == {i: sp.encode(t or "") for i, t in enumerate(texts)}
+    m = corpus.encoded_lengths(df.filter("i = 0").drop("ids"), "byte_bpe_50k.json").first()
+    assert (m["n_words"], m["n_word_chars"], m["n_unknown"]) == (3, 13, 0)
+
+
+def test_profile_criteria(spark):
+    rows = [("a", f"t{i}", i % 3) for i in range(30)] + [("a", "t0", 0), ("a", "t1", 2), ("b", "x", 0)]
+    df = spark.createDataFrame(rows, "g string, text string, label int")
+    scores = spark.createDataFrame([("a", 0.7, None)], "g string, headroom double, gated boolean")
+    got = {r["g"]: r for r in prep.candidate_profile(df, "g", min_rows=20, scores=scores).collect()}
+    assert (got["a"]["rows_raw"], got["a"]["rows_after_dedup"], got["a"]["n_classes"], got["a"]["passes"]) == (32, 29, 3, True)
+    assert not got["b"]["passes"] and not got["b"]["headroom_ok"] and got["b"]["majority_share"] == 1.0
+
+
+def test_seeded_cuts_against_ranks(spark):
+    """The cuts found from ranges give what ordering each group gives, nulls and small groups too."""
+    rows = [(i, "t", None if i % 7 == 0 else "ab"[i % 2] if i % 5 else "c") for i in range(3000)]
+    df = spark.createDataFrame(rows, "k int, text string, label string")
+    got = {r["k"]: r["split"] for r in prep.stratified_split(df, "k").collect()}
+    groups = {}
+    for k, _, label in rows:
+        groups.setdefault(label, []).append((hashlib.md5(f"17:{k}".encode()).hexdigest(), k))
+    for g in groups.values():
+        v, t = int(len(g) * 0.10), int(len(g) * 0.15)
+        for at, (_, k) in enumerate(sorted(g)):
+            assert got[k] == ("val" if at < v else "test" if at < v + t else "train")
+    cut = prep.positional_cut(df, "k", 0.371)
+    assert {r["k"] for r in cut.filter("split = 'train'").collect()} == set(range(1113))
+    assert prep.positional_cut(df.limit(0), "k").count() == 0 and prep.positional_cut(df, "k", 0.0).filter("split = 'train'").count() == 0
+
+
+def test_fisher_and_factorials():
+    import math
+
+    n = np.array([0, 1, 5, 255, 256, 1000, 10**6])
+    assert np.allclose(stats.log_factorial(n), [math.lgamma(x + 1) for x in n.tolist()], rtol=1e-13)
+
+
+def test_random_weights_are_normal(spark):
+    top = spark.createDataFrame([(i, r, 100 + r) for i in range(2000) for r in range(1, 9)], "id int, rank int, anchor_id int")
+    rows = vectors.random_weights(top, 5, "17").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["id"], []).append(r["w"])
+    assert all(len(v) == 5 and abs(sum(map(abs, v)) - 1) < 1e-9 for v in by.values())
+    assert abs(np.mean([w for v in by.values() for w in v])) < 0.02
 
 
 def test_config():
