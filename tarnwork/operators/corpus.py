@@ -65,6 +65,12 @@ def fertility_verdict(fert: DataFrame, by: str, base: str) -> DataFrame:
     return fert.filter(F.col(by) != base).join(F.broadcast(b)).select(by, r.alias("ratio"), F.when(r > 1.15, "HOLDS").when(r > 1.05, "WEAK").otherwise("FAILS").alias("verdict"))
 
 
+def fertility_gain(base: DataFrame, donor: DataFrame, by: str) -> DataFrame:
+    """By how many percent the donor's tokens a word are fewer than the base's."""
+    j = base.select(by, F.col("micro").alias("base_micro")).join(donor.select(by, F.col("micro").alias("donor_micro")), by)
+    return j.withColumn("gain_pct", F.round(100.0 * (F.col("base_micro") - F.col("donor_micro")) / F.greatest("base_micro", F.lit(1e-9)), 2))
+
+
 def length_stats(measured: DataFrame, by: str) -> DataFrame:
     q = lambda p: F.round(F.percentile("n_tokens", F.lit(p)), 4)
     return measured.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg("n_tokens"), 4).alias("mean"), q(0.5).alias("median"), q(0.9).alias("p90"), q(0.99).alias("p99"), F.max("n_tokens").alias("max"))
@@ -127,6 +133,13 @@ def letter_counts(words_df: DataFrame, letters: list[str], by: str) -> DataFrame
     return hit.groupBy(by, "letter").agg(F.count_distinct("word").alias("n"))
 
 
+def mask_positions(tokens: Column, special: Column, key: Column, seed: str = "17", part: float = 0.15) -> Column:
+    """Places to mask of an array of tokens: each place that ``special`` (an array of booleans) doesn't bar by a seeded hash, and the first by it where none is chosen."""
+    at = F.filter(F.transform(tokens, lambda _, i: F.struct(F.substring(T.seeded(seed, key, i), 1, 8).alias("h"), i.alias("i"))), lambda x: ~F.coalesce(F.get(special, x["i"]), F.lit(False)))
+    chosen = F.filter(at, lambda x: x["h"] < F.lit(f"{int(part * (1 << 32)):08x}"))
+    return F.transform(F.when(F.size(chosen) > 0, chosen).otherwise(F.slice(F.array_sort(at), 1, 1)), lambda x: x["i"])
+
+
 def bits_per_char(lines: DataFrame, vocab_size: int | None = None) -> DataFrame:
     """Over lines (nats, masked, tokens, chars, correct): bits a character, top-1 accuracy; with a vocabulary's size also a random guess's accuracy and how often better."""
     g = lines.agg(*(F.sum(c).alias(c) for c in ("nats", "masked", "tokens", "chars", "correct")))

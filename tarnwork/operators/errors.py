@@ -27,6 +27,13 @@ def explode_predictions(runs: DataFrame) -> DataFrame:
     return x.select("condition", "pos", "z.gold", "z.pred").filter("gold <> pred")
 
 
+def rates(runs: DataFrame) -> DataFrame:
+    """(condition, gold, pred: arrays) -> of each condition the predictions, the errors and their rate in percent."""
+    x = runs.select("condition", F.explode(F.arrays_zip("gold", "pred")).alias("z"))
+    g = x.groupBy("condition").agg(F.count("*").alias("n"), F.count_if(F.col("z.gold") != F.col("z.pred")).alias("errors"))
+    return g.withColumn("rate_pct", F.round(100.0 * F.col("errors") / F.col("n"), 2))
+
+
 def shares(errors: DataFrame, by: str) -> DataFrame:
     g = errors.groupBy(by, "category").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy(by))

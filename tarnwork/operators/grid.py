@@ -65,3 +65,9 @@ def stream_cap(requested: int, ceiling: float, per_stream: float) -> int:
 def missing_stages(required: DataFrame, built: DataFrame, keys: list[str]) -> DataFrame:
     """Required stages that a manifest lacks; it may be sealed when there are none."""
     return required.select(*keys).distinct().join(built.select(*keys), keys, "left_anti")
+
+
+def projected_hours(queue: DataFrame, needs: str, keys: list[str], steps: int, stage_steps: int, seconds: float, stage_seconds: float) -> DataFrame:
+    """Hours of a queue from measured seconds a step: ``steps`` of each item, and ``stage_steps`` of each distinct stage that items with ``needs`` share."""
+    g = queue.agg(F.count("*").alias("runs"), F.count_distinct(F.when(F.col(needs), F.struct(*keys))).alias("stages"))
+    return g.withColumn("hours", F.round((F.col("runs") * (steps * seconds) + F.col("stages") * (stage_steps * stage_seconds)) / 3600, 2))

@@ -228,3 +228,16 @@ def assemble(ids: DataFrame, anchors: DataFrame, specials: DataFrame, made: Data
     """A row for each id: the special's vector, else the anchor's, else the reconstructed one, and where it came from."""
     j = ids.join(specials.select("id", F.col("vec").alias("s")), "id", "left").join(anchors.select("id", F.col("vec").alias("a")), "id", "left").join(made.select("id", F.col("vec").alias("r")), "id", "left")
     return j.select("id", F.coalesce("s", "a", "r").alias("vec"), F.when(F.col("s").isNotNull(), "special").when(F.col("a").isNotNull(), "anchor").when(F.col("r").isNotNull(), "reconstructed").alias("origin"))
+
+
+def cross_base(reports: DataFrame) -> DataFrame:
+    """Of remade models (base, tag, n_anchor, n_unfamiliar, measured_tag, delta_bpc, norm_ratio, healthy, mean_cosine) what may be compared.
+
+    The change in bits is withheld where it was measured on another or an unnamed artefact. The worse model is the one with the larger
+    change; norm health corroborates it if the worse is unhealthy and another one is healthy. Cosines are listed, never judged by.
+    """
+    known = F.col("measured_tag").eqNullSafe(F.col("tag"))
+    r = reports.select("base", F.round(100 * F.col("n_anchor") / F.greatest(F.col("n_anchor") + F.col("n_unfamiliar"), F.lit(1)), 2).alias("anchor_share_pct"), "mean_cosine", F.when(known, F.col("delta_bpc")).alias("delta_bpc"), (F.col("delta_bpc").isNotNull() & ~known).alias("withheld"), "norm_ratio", "healthy")
+    g = r.agg(F.max("delta_bpc").alias("hi"), F.count("delta_bpc").alias("k"), F.count_distinct("delta_bpc").alias("values"), F.count_if(F.col("healthy")).alias("sound"))  # one row
+    worse = F.coalesce((F.col("k") >= 2) & (F.col("values") >= 2) & (F.col("delta_bpc") == F.col("hi")), F.lit(False))
+    return r.join(F.broadcast(g)).withColumn("worse", worse).withColumn("corroborated", F.when(worse, F.coalesce(~F.col("healthy"), F.lit(False)) & (F.col("sound") > 0))).drop("hi", "k", "values", "sound")

@@ -86,3 +86,9 @@ Q["truncation_between"] = lambda s, d: (lambda x: C.truncation_between(C.encoded
 Q["accent_flag_delta"] = lambda s, d: (lambda x: C.sample_fertility(C.encoded_lengths(x, TOKENIZER), "lang").select("lang", F.col("fertility").alias("plain")).join(C.sample_fertility(C.encoded_lengths(x.withColumn("text", B.strip_accents(F.lower("text"))), TOKENIZER), "lang").select("lang", F.col("fertility").alias("stripped")), "lang").withColumn("delta", F.round(F.col("plain") - F.col("stripped"), 3)))(table(s, d, "documents").select("lang", F.coalesce("text", F.lit("")).alias("text")))
 PROBE_WORDS = ["gəlmişdilər", "qanunvericilik", "təyyarə", "kompüter", "xəstəxanalarımızda", "əməkdaşlıq", "işləyirlər"]  # fixed values
 Q["probe_words"] = lambda s, d: encoding.encoded(s.createDataFrame([(w,) for w in PROBE_WORDS], "word string"), "word", TOKENIZER).select("word", F.size("ids").cast("long").alias("n_pieces"))
+Q["fertility_gain"] = lambda s, d: C.fertility_gain(C.fertility(measured(s, d), "lang"), C.fertility(measured(s, d).withColumn("n_tokens", F.col("n_words")), "lang"), "lang")
+O["fertility_gain"] = f"WITH {_FERT} SELECT lang, micro AS base_micro, cast(1 AS double) AS donor_micro, round(cast(100 AS double) * (micro - 1) / greatest(micro, 1e-9), 2) AS gain_pct FROM f"
+Q["mask_counts"] = lambda s, d: table(s, d, "documents").select("doc_id", T.split_words(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), C.mask_positions(F.col("w"), F.transform("w", lambda x: F.char_length(x) < 2), F.col("doc_id")).alias("m")).select("doc_id", "n", F.size("m").cast("long").alias("masked"), F.array_min("m").cast("long").alias("first"))
+O["mask_counts"] = r"""WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(text, '[\s\x0B\x1C-\x1F\x85\p{Z}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents), e AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM w),
+h AS (SELECT doc_id, i, left(md5('17:' || doc_id || ':' || i), 8) AS h FROM e WHERE length(x) >= 2), g AS (SELECT doc_id, count(*) FILTER (WHERE h < '26666666') AS k, min(i) FILTER (WHERE h < '26666666') AS f, arg_min(i, {'h': h, 'i': i}) AS b FROM h GROUP BY doc_id)
+SELECT w.doc_id, cast(len(w) AS bigint) AS n, coalesce(greatest(k, 1), 0) AS masked, coalesce(f, b) AS first FROM w LEFT JOIN g USING (doc_id)"""

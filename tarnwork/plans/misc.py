@@ -135,3 +135,17 @@ Q["error_sample"] = lambda s, d: E.sample(errors(s, d), "lang", "doc_id", 5)
 O["error_sample"] = f"WITH {_E} SELECT doc_id, lang, category FROM er QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 5"
 Q["grid_tranche"] = lambda s, d: G.tranche(queue(s, d), ["b1"], ["plain", "swapped"], [2000]).select("base", "condition", "size", "seed")
 O["grid_tranche"] = f"WITH {_G} SELECT base, condition, size, seed FROM q WHERE base = 'b1' AND condition IN ('plain', 'swapped') AND size = 2000"
+Q["grid_hours"] = lambda s, d: G.projected_hours(queue(s, d), "turkish", ["base", "tokenizer", "seed"], 2000, 1126, 0.066, 0.07)
+O["grid_hours"] = f"WITH {_G}, c AS (SELECT count(*) AS runs, count(DISTINCT CASE WHEN turkish THEN base || tokenizer || seed END) AS stages FROM q) SELECT *, round((runs * cast(132 AS double) + stages * cast(78.82 AS double)) / 3600, 2) AS hours FROM c"
+
+
+def predictions(s, d):
+    """Predictions of a keyword rule as arrays by language, in order of the documents; they are few."""
+    x = rated(s, d).withColumn("p", F.when(F.contains("text", F.lit("***")), 0).otherwise(1))
+    return x.groupBy(F.col("lang").alias("condition")).agg(F.sort_array(F.collect_list(F.struct("doc_id", F.col("label").cast("int").alias("g"), "p"))).alias("z")).select("condition", F.col("z.g").alias("gold"), F.col("z.p").alias("pred"))
+
+
+Q["error_rows"] = lambda s, d: E.explode_predictions(predictions(s, d)).withColumn("pos", F.col("pos").cast("long"))
+O["error_rows"] = "SELECT lang AS condition, pos, gold, pred FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, cast(quality AS int) AS gold, CASE WHEN contains(text, '***') THEN 0 ELSE 1 END AS pred FROM documents JOIN labels USING (doc_id)) WHERE gold <> pred"
+Q["error_rates"] = lambda s, d: E.rates(predictions(s, d))
+O["error_rates"] = "WITH x AS (SELECT lang AS condition, quality AS gold, CASE WHEN contains(text, '***') THEN 0 ELSE 1 END AS pred FROM documents JOIN labels USING (doc_id)), g AS (SELECT condition, count(*) AS n, count(*) FILTER (WHERE gold <> pred) AS errors FROM x GROUP BY condition) SELECT *, round(cast(100 AS double) * errors / n, 2) AS rate_pct FROM g"

@@ -75,3 +75,9 @@ def omp(s, d):
 Q["omp_transfer"] = lambda s, d: X.transfer(omp(s, d).select("id", "anchor_id", "w"), base(s, d)).select("id", F.round(X.norm(F.col("vec")), 6).alias("norm"))
 Q["omp_reconstruction"] = lambda s, d: X.reconstruction(omp(s, d))
 Q["random_coef_weights"] = lambda s, d: X.random_weights(top(s, d), 3, "17")
+
+
+CROSS = [("b1", "t", 900, 100, "t", 0.5, 1.4, False, 0.9), ("b2", "t", 800, 300, "t", -0.2, 1.0, True, 0.7), ("b3", "t", 10, 0, "old", -3.0, 1.0, True, 0.99)]
+Q["cross_base_quality"] = lambda s, d: X.cross_base(s.createDataFrame(CROSS, "base string, tag string, n_anchor long, n_unfamiliar long, measured_tag string, delta_bpc double, norm_ratio double, healthy boolean, mean_cosine double"))
+O["cross_base_quality"] = """SELECT * FROM (VALUES ('b1', 90.0::double, 0.9::double, 0.5::double, false, 1.4::double, false, true, true), ('b2', 72.73, 0.7, -0.2, false, 1.0, true, false, NULL), ('b3', 100.0, 0.99, NULL, true, 1.0, true, false, NULL))
+t(base, anchor_share_pct, mean_cosine, delta_bpc, withheld, norm_ratio, healthy, worse, corroborated)"""

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import codecs
 import csv
+import hashlib
 import io
 import json
 import math
 import os
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnwork.functions import text as T
+
 #: Tried in this order; the last one reads any bytes (fixed values).
 ENCODINGS = ["utf-8-sig", "utf-8", "cp1254", "cp1252", "latin-1"]
 #: Version of run records that is read; others are counted and left out.
@@ -154,6 +158,43 @@ def markdown(df: DataFrame, columns: list[str]) -> str:
     return "\n".join("| " + " | ".join(r) + " |" for r in rows) + "\n"
 
 
+def line_file(spark: SparkSession, path: str, n: int, least_words: int = 5) -> DataFrame:
+    """The first n lines of a text file with ``least_words`` words or more, with their place (a limit that callers ask for)."""
+    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
+    return lines.filter(F.size(T.split_words(F.col("value"))) >= least_words).orderBy("line").limit(n).select("line", F.col("value").alias("text"))
+
+
+def parallel_texts(spark: SparkSession, places: dict[str, list[str]], n: int) -> DataFrame:
+    """The same n sentences in several languages (lang, sent_id, text): of each language the first Parquet table that can be read; its column ``sentence``, else ``text``, else its first."""
+    out = None
+    for lang, paths in places.items():
+        table = None
+        for path in paths:
+            try:
+                table = spark.read.parquet(path)
+                break
+            except AnalysisException:
+                continue
+        if table is None:
+            raise ValueError(f"no table of {lang} can be read: {paths}")
+        column = next((c for c in ("sentence", "text") if c in table.columns), table.columns[0])
+        rows = table.select(F.monotonically_increasing_id().alias("m"), F.col(column).cast("string").alias("text")).orderBy("m").limit(n)
+        rows = rows.select(F.lit(lang).alias("lang"), (F.row_number().over(Window.orderBy("m")) - 1).cast("long").alias("sent_id"), "text")  # n rows
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def write_markdown(df: DataFrame, columns: list[str], path: str, sources: list[str]) -> None:
+    """A report table, and beside it (``.sources.json``) the files that it was made from with their hashes."""
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(markdown(df, columns))
+    hashes = {}
+    for s in sources:
+        with open(s, "rb") as f:
+            hashes[s] = hashlib.sha256(f.read()).hexdigest()
+    write_json({"report": os.path.basename(path), "columns": columns, "sources": hashes}, f"{path}.sources.json")
+
+
 def pick_tensor(entries: DataFrame, rows: int, words: list[str]) -> DataFrame:
     """(key, shape) -> the two-dimensional entry with that first dimension; several: the one whose key holds a word, if it is one."""
     fit = entries.filter((F.size("shape") == 2) & (F.get("shape", F.lit(0)) == rows))

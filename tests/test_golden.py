@@ -346,6 +346,103 @@ def test_config():
         config.verify_lock({"x": b"other", "new": b""}, lock)
 
 
+def test_texts_and_caches(spark, tmp_path):
+    from tarnwork.sources import config
+
+    (tmp_path / "lines.txt").write_text("one two three four five\nshort\n\nsix seven eight nine ten eleven\n")
+    lines = f"{tmp_path}/lines.txt"
+    assert [tuple(r) for r in io.line_file(spark, lines, 5).collect()] == [(0, "one two three four five"), (3, "six seven eight nine ten eleven")]
+    train = spark.createDataFrame([(i, "x" * 30 + str(i) * 20) for i in range(9)], "doc_id long, text string")
+    got = [config.resolve_eval_text(spark, path, t, "a\nb") for path, t in ((lines, train), ("/none", train), (None, None))]
+    assert [(r.count(), r.first()["provenance"]) for r in got] == [(3, f"file {lines}"), (9, "train sample, seed 17"), (2, "built in")]
+    assert config.text_or("/none", "x") == "x" and config.text_or(lines, "x").startswith("one")
+    for lang, cols in (("az", ("id", "sentence")), ("tr", ("text", "other")), ("en", ("first", "second"))):
+        spark.createDataFrame([(f"{lang}{i}a", f"{lang}{i}b") for i in range(4)], list(cols)).coalesce(1).write.parquet(f"{tmp_path}/{lang}")
+    p = io.parallel_texts(spark, {"az": ["/none", f"{tmp_path}/az"], "tr": [f"{tmp_path}/tr"], "en": [f"{tmp_path}/en"]}, 3)
+    assert {(r["lang"], r["sent_id"]): r["text"] for r in p.collect()} == {(lang, i): f"{lang}{i}{'b' if lang == 'az' else 'a'}" for lang in ("az", "tr", "en") for i in range(3)}
+    with pytest.raises(ValueError):
+        io.parallel_texts(spark, {"az": ["/none"]}, 3)
+    built = []
+    make = lambda: built.append(1) or spark.range(3)
+    one, two = (config.cached(spark, f"file://{tmp_path}/cache", spec, make) for spec in ({"a": 1, "b": [2]}, {"b": [2], "a": 1}))
+    assert one.count() == two.count() == 3 and built == [1]
+    (next((tmp_path / "cache").iterdir()) / "spec").rename(tmp_path / "gone")
+    spark.createDataFrame([("other",)], "value string").write.text(f"{tmp_path}/cache/{config.content_key({'a': 1, 'b': [2]})}/spec")
+    with pytest.raises(ValueError):
+        config.cached(spark, f"file://{tmp_path}/cache", {"a": 1, "b": [2]}, make)
+    io.write_markdown(p, ["lang", "text"], f"{tmp_path}/t.md", [lines])
+    assert (tmp_path / "t.md").read_text().startswith("| lang | text |") and lines in (tmp_path / "t.md.sources.json").read_text()
+    (tmp_path / "c.yaml").write_text("a: 1\nb: [x, '<FILL me>']\n")
+    with pytest.raises(ValueError, match=r"b\[1\]"):
+        config.load_config(f"{tmp_path}/c.yaml")
+    io.append_ledger(spark.range(2), f"{tmp_path}/ledger")
+    io.append_ledger(spark.range(1), f"{tmp_path}/ledger")
+    assert spark.read.json(f"{tmp_path}/ledger").count() == 3
+    log = spark.createDataFrame([("x STEP 10 took 0.66 s",), ("other",), ("STEP",)], "value string")
+    assert [tuple(r) for r in io.parse_log(log).collect()] == [(10, 0.66), (None, None)]
+
+
+def test_identity_leaves_the_matrix(spark):
+    """With each token its own anchor, assembly and transfer give the matrix back."""
+    r = np.random.default_rng(1)
+    m = r.normal(size=(20, 6))
+    df = spark.createDataFrame([(i, m[i].tolist()) for i in range(20)], "id long, vec array<double>")
+    none = df.limit(0)
+    back = {x["id"]: x["vec"] for x in vectors.assemble(df.select("id"), df, none, none).collect()}
+    assert all(back[i] == m[i].tolist() for i in range(20))
+    own = spark.createDataFrame([(i, i, 1.0) for i in range(20)], "id long, anchor_id long, w double")
+    assert all(x["vec"] == m[x["id"]].tolist() for x in vectors.transfer(own, df).collect())
+    unit = {x["id"]: x["v"] for x in df.select("id", vectors.normalise(F.col("vec")).alias("v")).collect()}
+    assert all(np.allclose(unit[i], m[i] / np.linalg.norm(m[i])) for i in range(20))
+
+
+def test_queries_without_sql_on_values(spark):
+    """Matching pursuit, p-values and PCG64 intervals against numpy."""
+    from tarnwork.plans import runs as R
+    from tarnwork.plans import vectors as V
+
+    sf = "/root/testdata/sf0.001"
+    e = {x["vec_id"]: np.array(x["embedding"], np.float64) for x in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    donor, base = {k: v[:40] for k, v in e.items()}, {k: v[40:64] for k, v in e.items()}
+    anchors = sorted(k for k in e if k % 3)
+    a = np.stack([donor[k] / np.linalg.norm(donor[k]) for k in anchors])
+    made, cos = {}, []
+    for k in e:
+        if k % 3 == 0:
+            t = donor[k] / np.linalg.norm(donor[k])
+            near = np.lexsort((anchors, -np.round(a @ t, 9)))[:32]
+            left, chosen = t, []
+            for _ in range(6):
+                c = np.abs(a[near] @ left)
+                c[chosen] = -1
+                chosen.append(int(c.argmax()))
+                w = np.linalg.lstsq(a[near][chosen].T, t, rcond=None)[0]
+                left = t - w @ a[near][chosen]
+            made[k] = np.linalg.norm(sum(x * base[anchors[near[i]]] for x, i in zip(w, chosen)))
+            cos.append((t - left) @ t / np.linalg.norm(t - left))
+    got = {x["id"]: x["norm"] for x in V.Q["omp_transfer"](spark, sf).collect()}
+    assert set(got) == set(made) and all(abs(got[k] - made[k]) < 1e-5 for k in made)
+    r = V.Q["omp_reconstruction"](spark, sf).first()
+    assert r["n"] == len(cos) and r["mean_cosine"] == pytest.approx(np.mean(cos), abs=1e-4)
+
+    t = {tuple(x)[:3]: (x["t"], x["df"]) for x in R.Q["welch_t"](spark, sf).collect()}
+    for x in R.Q["welch_p"](spark, sf).collect():
+        v, n = t[tuple(x)[:3]]
+        if v is None:
+            assert x["p"] is None
+            continue
+        grid = np.linspace(0, abs(v), 200_001)
+        pdf = np.exp(math.lgamma((n + 1) / 2) - math.lgamma(n / 2)) / math.sqrt(n * math.pi) * (1 + grid**2 / n) ** (-(n + 1) / 2)
+        assert x["p"] == pytest.approx(1 - 2 * np.trapezoid(pdf, grid), abs=2e-5)
+    cells = {}
+    for x in R.runs(spark, sf).filter("escaped").orderBy("seed").collect():
+        cells.setdefault((x["base"], x["condition"]), []).append(x["f1"])
+    for x in R.Q["bootstrap_ci_pcg64"](spark, sf).collect():
+        v = np.array(cells[(x["base"], x["condition"])])
+        want = (v[0], v[0]) if len(v) == 1 else np.quantile(np.random.default_rng(0).choice(v, size=(2000, len(v)), replace=True).mean(axis=1), [0.025, 0.975])
+        assert (x["lo"], x["hi"]) == pytest.approx(tuple(want))
+
+
 def test_nearest_in_blocks(spark, monkeypatch):
     """Beyond the bound of anchors the blocks give what one matrix gives, ties and repeated ids too."""
     r = np.random.default_rng(3)
