@@ -50,11 +50,17 @@ def truncation_between(a: DataFrame, b: DataFrame, by: str, caps: tuple[int, ...
 
 def fertility(measured: DataFrame, by: str, text: str = "text") -> DataFrame:
     """Tokens a word: over all words, and over texts (those without words left out); rounded."""
-    d = measured.filter("n_words > 0").withColumn("f", F.col("n_tokens") / F.col("n_words"))
-    q = lambda p: F.round(F.percentile("f", F.lit(p)), 4)
-    return d.groupBy(by).agg(
-        F.count("*").alias("n"), F.round(F.sum("n_tokens") / F.sum("n_words"), 4).alias("micro"), F.round(F.avg("f"), 4).alias("macro"), F.round(F.stddev_samp("f"), 4).alias("sd"),
-        q(0.5).alias("p50"), q(0.9).alias("p90"), F.round(F.sum(F.char_length(text)) / F.greatest(F.sum("n_tokens"), F.lit(1)), 4).alias("chars_per_token"),
+    # texts with the same counts of words and tokens are one row with a weight
+    d = measured.filter("n_words > 0").groupBy(by, "n_tokens", "n_words").agg(F.count("*").alias("c"), F.sum(F.char_length(text)).alias("chars")).withColumn("f", F.col("n_tokens") / F.col("n_words"))
+    q = lambda p: F.round(F.percentile("f", F.lit(p), F.col("c")), 4)
+    total = lambda x: F.sum(F.col(x) * F.col("c"))
+    mean = F.sum(F.col("f") * F.col("c")) / F.sum("c")
+    centre = d.groupBy(by).agg(mean.alias("m"))  # a row for each group
+    g = d.join(centre, by)
+    return g.groupBy(by).agg(
+        F.sum("c").alias("n"), F.round(total("n_tokens") / total("n_words"), 4).alias("micro"), F.round(F.max("m"), 4).alias("macro"),
+        F.round(F.when(F.sum("c") > 1, F.sqrt(F.sum(F.col("c") * (F.col("f") - F.col("m")) * (F.col("f") - F.col("m"))) / (F.sum("c") - 1))), 4).alias("sd"),
+        q(0.5).alias("p50"), q(0.9).alias("p90"), F.round(F.sum("chars") / F.greatest(total("n_tokens"), F.lit(1)), 4).alias("chars_per_token"),
     )
 
 
@@ -72,8 +78,10 @@ def fertility_gain(base: DataFrame, donor: DataFrame, by: str) -> DataFrame:
 
 
 def length_stats(measured: DataFrame, by: str) -> DataFrame:
-    q = lambda p: F.round(F.percentile("n_tokens", F.lit(p)), 4)
-    return measured.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg("n_tokens"), 4).alias("mean"), q(0.5).alias("median"), q(0.9).alias("p90"), q(0.99).alias("p99"), F.max("n_tokens").alias("max"))
+    """Exact statistics of n_tokens; lengths are counted by value first, so no task holds a group's texts."""
+    counted = measured.groupBy(by, "n_tokens").agg(F.count("*").alias("c"))
+    q = lambda p: F.round(F.percentile("n_tokens", F.lit(p), F.col("c")), 4)
+    return counted.groupBy(by).agg(F.sum("c").alias("n"), F.round(F.sum(F.col("n_tokens") * F.col("c")) / F.sum("c"), 4).alias("mean"), q(0.5).alias("median"), q(0.9).alias("p90"), q(0.99).alias("p99"), F.max("n_tokens").alias("max"))
 
 
 def truncation(measured: DataFrame, by: str, caps: tuple[int, ...] = (128, 256)) -> DataFrame:
@@ -94,7 +102,8 @@ def equal_first(df: DataFrame, by: str, order: str, cap: int | None = 2000) -> D
 
 def types(df: DataFrame, by: str, alpha: bool, text: str = "text") -> DataFrame:
     """Distinct cleaned tokens of each group."""
-    t = df.select(by, F.explode(T.words(F.col(text))).alias("w")).distinct().select(by, F.explode(pieces(F.col("w"))).alias("p")).select(by, T.clean_token(F.col("p")).alias("type")).filter("type <> ''")
+    words = df.select(by, F.explode(F.array_distinct(T.words(F.col(text)))).alias("w")).groupBy("w").agg(F.collect_set(by).alias("groups"))  # each word is cut and cleaned once
+    t = words.select("groups", F.explode(pieces(F.col("w"))).alias("p")).select("groups", T.clean_token(F.col("p")).alias("type")).filter("type <> ''").select(F.explode("groups").alias(by), "type")
     return (t.filter(T.is_alpha(F.col("type"))) if alpha else t).distinct()
 
 

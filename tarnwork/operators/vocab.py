@@ -14,12 +14,27 @@ FALLBACK = {"cls": "bos", "bos": "cls", "sep": "eos", "eos": "sep"}
 GO, CARE = 20_000, 5_000
 
 
+def _scheme(shares: dict[str, Column]) -> Column:
+    return F.when(shares["p"] > 0.05, "sentencepiece").when(shares["b"] > 0.05, "bytelevel").when(shares["c"] > 0.02, "wordpiece").when(shares["e"] > 0.30, "fastbpe").otherwise("plain")
+
+
+def _shares() -> dict[str, Column]:
+    t = F.col("token")
+    marked = {"p": t.startswith(PIECE_MARK), "b": t.startswith(BYTE_MARK), "c": t.startswith(CONT_MARK), "e": t.endswith(END_MARK)}
+    return {k: F.avg(F.when(c, 1.0).otherwise(0.0)) for k, c in marked.items()}
+
+
 def schemes(vocab: DataFrame) -> DataFrame:
     """vocab (tokenizer, token, token_id) -> tokenizer, scheme."""
-    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    t = F.col("token")
-    g = vocab.groupBy("tokenizer").agg(share(t.startswith(PIECE_MARK)).alias("p"), share(t.startswith(BYTE_MARK)).alias("b"), share(t.startswith(CONT_MARK)).alias("c"), share(t.endswith(END_MARK)).alias("e"))
-    return g.select("tokenizer", F.when(F.col("p") > 0.05, "sentencepiece").when(F.col("b") > 0.05, "bytelevel").when(F.col("c") > 0.02, "wordpiece").when(F.col("e") > 0.30, "fastbpe").otherwise("plain").alias("scheme"))
+    g = vocab.groupBy("tokenizer").agg(*(c.alias(k) for k, c in _shares().items()))
+    return g.select("tokenizer", _scheme({k: F.col(k) for k in "pbce"}).alias("scheme"))
+
+
+def keyed(vocab: DataFrame) -> DataFrame:
+    """``vocab`` with its scheme, canonical key and bare surface, in one pass over it."""
+    w = Window.partitionBy("tokenizer")  # a vocabulary is small
+    d = vocab.select("*", *(c.over(w).alias(f"_{k}") for k, c in _shares().items())).withColumn("scheme", _scheme({k: F.col(f"_{k}") for k in "pbce"}))
+    return d.select(*vocab.columns, "scheme", canon(F.col("token"), F.col("scheme")).alias("key"), surface(F.col("token"), F.col("scheme")).alias("bare"))
 
 
 def _after(t: Column, mark: str) -> Column:
@@ -45,41 +60,47 @@ def surface(token: Column, scheme: Column) -> Column:
 
 def canon_vocab(vocab: DataFrame) -> DataFrame:
     """The lowest id of each canonical key."""
-    v = vocab.join(F.broadcast(schemes(vocab)), "tokenizer").withColumn("k", canon(F.col("token"), F.col("scheme")))
-    return v.groupBy("tokenizer", "k").agg(F.min("token_id").alias("token_id")).select("tokenizer", "k.surface", "k.initial", "token_id")
+    return keyed(vocab).groupBy("tokenizer", "key").agg(F.min("token_id").alias("token_id")).select("tokenizer", "key.surface", "key.initial", "token_id")
 
 
 def surface_vocab(vocab: DataFrame) -> DataFrame:
     """The lowest id of each bare surface; empty ones left out."""
-    v = vocab.join(F.broadcast(schemes(vocab)), "tokenizer").withColumn("surface", surface(F.col("token"), F.col("scheme"))).filter("surface <> ''")
-    return v.groupBy("tokenizer", "surface").agg(F.min("token_id").alias("token_id"))
+    return keyed(vocab).filter("bare <> ''").groupBy("tokenizer", F.col("bare").alias("surface")).agg(F.min("token_id").alias("token_id"))
+
+
+def _lowest(*when: Column) -> Column:
+    """The lowest id of a group's tokens for which all hold."""
+    cond = when[0]
+    for c in when[1:]:
+        cond = cond & c
+    return F.min(F.when(cond, F.col("token_id")))
 
 
-def _two(v: DataFrame, donor: str, base: str, on: list[str]) -> DataFrame:
-    d = v.filter(F.col("tokenizer") == donor).select(*on, F.col("token_id").alias("donor_id"))
-    return d.join(v.filter(F.col("tokenizer") == base).select(*on, F.col("token_id").alias("base_id")), on)
+def _meeting(rows: DataFrame, on: str, donor: str, base: str) -> DataFrame:
+    g = rows.groupBy(on).agg(_lowest(F.col("tokenizer") == donor).alias("donor_id"), _lowest(F.col("tokenizer") == base).alias("base_id"))
+    return g.filter("donor_id IS NOT NULL AND base_id IS NOT NULL").select("donor_id", "base_id")
 
 
 def anchors_strict(vocab: DataFrame, donor: str, base: str) -> DataFrame:
-    return _two(canon_vocab(vocab), donor, base, ["surface", "initial"]).select("donor_id", "base_id")
+    return _meeting(keyed(vocab), "key", donor, base)
 
 
 def anchors_surface(vocab: DataFrame, donor: str, base: str) -> DataFrame:
-    return _two(surface_vocab(vocab), donor, base, ["surface"]).select("donor_id", "base_id")
+    return _meeting(keyed(vocab).filter("bare <> ''"), "bare", donor, base)
 
 
 def anchors_functional(vocab: DataFrame, donor: str, base: str) -> DataFrame:
     """Donor tokens whose surface the base encodes as exactly one token, alone or after a space.
 
     With a base that has a token for a surface exactly when its vocabulary lists it, encoding is two look-ups:
-    the surface inside a word, then at a word's start. Other tokenizers pass their encodings to
-    ``anchors_encoded``.
+    the surface inside a word, then at a word's start. Other tokenizers encode: ``anchors_by_encoding``.
     """
-    c = canon_vocab(vocab)
-    d = surface_vocab(vocab).filter(F.col("tokenizer") == donor).select("surface", F.col("token_id").alias("donor_id"))
-    at = lambda initial, name: c.filter((F.col("tokenizer") == base) & (F.col("initial") == initial)).select("surface", F.col("token_id").alias(name))
-    both = d.join(at(False, "inside"), "surface", "left").join(at(True, "start"), "surface", "left")
-    return both.select("donor_id", F.coalesce("inside", "start").alias("base_id"), F.when(F.col("inside").isNotNull(), "standalone").otherwise("leading_space").alias("how")).filter("base_id IS NOT NULL")
+    as_bare, as_key = F.struct(F.col("bare").alias("s"), F.lit("bare").alias("k")), F.struct(F.col("key.surface").alias("s"), F.when(F.col("key.initial"), "start").otherwise("inside").alias("k"))
+    rows = keyed(vocab).select("tokenizer", "token_id", F.explode(F.array(as_bare, as_key)).alias("x")).select("tokenizer", "token_id", "x.s", "x.k")
+    of = lambda who, kind: _lowest(F.col("tokenizer") == who, F.col("k") == kind)
+    g = rows.filter("s <> ''").groupBy("s").agg(of(donor, "bare").alias("donor_id"), of(base, "inside").alias("inside"), of(base, "start").alias("start"))
+    found = g.select("donor_id", F.coalesce("inside", "start").alias("base_id"), F.when(F.col("inside").isNotNull(), "standalone").otherwise("leading_space").alias("how"))
+    return found.filter("donor_id IS NOT NULL AND base_id IS NOT NULL")
 
 
 def anchors_encoded(donor: DataFrame, specials: DataFrame) -> DataFrame:
