@@ -110,6 +110,19 @@ def subsample_balanced(df: DataFrame, n: int, key: str, label: str = "label", se
     return d.orderBy(first.desc(), T.seeded(f"{seed}x", F.col(key)), F.col(key)).limit(n).drop(*_CUT, "_cut")
 
 
+def audit_sample(train: DataFrame, n: int, key: str, label: str = "label", seed: str = "31") -> DataFrame:
+    """max(1, n // classes) rows of each class in seeded order; a class with fewer gives all, and nothing is filled up."""
+    d = _with_cuts(train, label, seed, key, {"cut": F.greatest(F.lit(1), F.floor(F.lit(n) / F.col("groups")))})
+    return d.filter(F.col("_at") <= F.col("_cut")).drop(*_CUT, "_cut")
+
+
+def assert_disjoint(sample: DataFrame, others: DataFrame, text: str = "text") -> None:
+    """Raises if a normalised text of ``sample`` is in ``others``."""
+    n = overlap_count(sample, others, text).first()["shared"]
+    if n:
+        raise ValueError(f"{n} texts of the sample are in the other splits")
+
+
 def leakage(df: DataFrame, text: str = "text", split: str = "split") -> DataFrame:
     """Shared normalised texts of each pair of splits."""
     keys = df.select(F.col(split).alias("s"), F.md5(T.normalise(F.col(text))).alias("k")).distinct()

@@ -63,9 +63,9 @@ f AS (SELECT a.s AS "left", b.s AS "right", count(*) AS shared FROM k a JOIN k b
 Q["benchmark_disjoint"] = lambda s, d: P.overlap_count(table(s, d, "documents"), table(s, d, "benchmark"))
 O["benchmark_disjoint"] = f"SELECT count(*) AS shared, count(*) = 0 AS disjoint FROM (SELECT DISTINCT {norm('text')} AS k FROM documents INTERSECT SELECT {norm('text')} FROM benchmark)"
 
-Q["audit_sample"] = lambda s, d: P.subsample_balanced(split(s, d).filter("split = 'train'"), 60, "doc_id", seed="31").select("doc_id", "label")
+Q["audit_sample"] = lambda s, d: P.audit_sample(split(s, d).filter("split = 'train'"), 60, "doc_id").select("doc_id", "label")
 O["audit_sample"] = f"""WITH {RATED}, {_SPLIT}, r AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('31:' || doc_id), doc_id) AS r, (SELECT count(DISTINCT label) FROM split WHERE split = 'train') AS c FROM split WHERE split = 'train')
-SELECT doc_id, label FROM r ORDER BY (r <= greatest(1, 60 // c)) DESC, md5('31x:' || doc_id), doc_id LIMIT 60"""
+SELECT doc_id, label FROM r WHERE r <= greatest(1, 60 // c)"""
 
 Q["split_manifest"] = lambda s, d: P.manifest(split(s, d))
 O["split_manifest"] = f"""WITH {RATED}, {_SPLIT}, h AS (SELECT split, sha256({norm('text')} || chr(9) || label) AS h FROM split),

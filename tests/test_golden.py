@@ -319,6 +319,15 @@ def test_seeded_cuts_against_ranks(spark):
     assert prep.positional_cut(df.limit(0), "k").count() == 0 and prep.positional_cut(df, "k", 0.0).filter("split = 'train'").count() == 0
 
 
+def test_audit_sample_has_no_fill(spark):
+    df = spark.createDataFrame([(i, f"Text {i}", "a" if i < 3 else "b") for i in range(40)], "k int, text string, label string")
+    got = prep.audit_sample(df, 20, "k").groupBy("label").count().collect()
+    assert dict(got) == {"a": 3, "b": 10}
+    prep.assert_disjoint(df.filter("k < 5"), df.filter("k >= 5"))
+    with pytest.raises(ValueError):
+        prep.assert_disjoint(df.filter("k < 5"), df.select("k", F.upper("text").alias("text"), "label"))
+
+
 def test_fisher_and_factorials():
     import math
 
@@ -382,6 +391,26 @@ def test_texts_and_caches(spark, tmp_path):
     assert [tuple(r) for r in io.parse_log(log).collect()] == [(10, 0.66), (None, None)]
 
 
+def test_degenerate_and_stream_cap(spark):
+    from tarnwork.operators import grid
+
+    df = spark.createDataFrame([(0.9, {"0": 5, "1": 0}), (0.9, {"0": 5, "1": 1}), (0.4, {"0": 5, "1": 1}), (None, {"0": 5})], "f1 double, counts map<string,int>")
+    assert [r[0] for r in df.select(runs.degenerate(F.col("f1"), F.col("counts"))).collect()] == [True, False, True, None]
+    assert [grid.stream_cap(8, c, 7.0) for c in (100.0, 30.0, 8.0)] == [8, 4, 1]
+    with pytest.raises(ValueError):
+        grid.stream_cap(8, 1.0, 7.0)
+
+
+def test_byte_level_vocabularies(spark):
+    from tarnwork.functions import encoding
+
+    v = encoding.vocabulary(spark, "bytes", "byte_bpe_50k.json").unionByName(encoding.vocabulary(spark, "words", "word_bpe_49k.json"))
+    assert dict(bytelevel.is_byte_level(v).collect())["bytes"] is True
+    tokens = {r["token"]: r["token_id"] for r in bytelevel.decode_vocab(v.filter("tokenizer = 'bytes'")).collect()}
+    ids = {t: i for t, i in encoding.load(encoding.public_path("byte_bpe_50k.json")).tokens()}
+    assert tokens[" the"] == ids["Ġthe"] and tokens["ée"] == ids["Ã©e"]
+
+
 def test_identity_leaves_the_matrix(spark):
     """With each token its own anchor, assembly and transfer give the matrix back."""
     r = np.random.default_rng(1)

@@ -18,7 +18,7 @@ def duck():
 
 
 def ordered(rows):
-    """Rows as (what must be equal, numbers that may differ by one in the fourth place: a tie may round either way)."""
+    """Rows as (what must be equal, numbers that are compared to six places)."""
     exact = lambda r: tuple(repr(v) for v in r if not isinstance(v, float))
     return sorted((exact(r), tuple(v for v in r if isinstance(v, float))) for r in rows)
 
@@ -39,7 +39,7 @@ def test_query(spark, duck, name):
     got = ordered(rows)
     assert [x[0] for x in got] == [x[0] for x in want]
     for (_, x), (_, y) in zip(got, want):
-        assert x == pytest.approx(y, abs=1.1e-4)
+        assert x == pytest.approx(y, abs=2e-6)
 
 
 def test_entry(spark):
