@@ -15,7 +15,7 @@ The result has the text that is left, and the spans of the original text (in cha
 of, so every character can be traced back.
 
 A task sends each digest once, with its smallest id; the other documents of the task that have it know
-already that they repeat it. What travels is 16 bytes for a unit, and the compressed texts once.
+already that they repeat it. What travels is about ten bytes for a unit or window, and the compressed texts once.
 
 Null text stays null, with no spans. Rows that repeat an id count as one document: what they share among
 themselves stays. Rows without an id are left as they are. Other columns come through unchanged, but those
@@ -37,7 +37,7 @@ from tarnwork.llm import bytehash, common
 #: Words of a run of repeated units that is removed.
 MIN_RUN = 20
 BATCH_BYTES = 1 << 19
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 _SPACE, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _MARK[[ord(c) for c in ".,!?;:\n"]] = True
@@ -136,9 +136,11 @@ def _sent(digests: list, ids: list, buckets: int) -> Iterator[pa.RecordBatch]:
     digest, doc, first, owner = _owned(np.concatenate(digests), np.concatenate(ids).astype(np.int64))
     again = doc != np.repeat(owner, np.diff(np.append(first, len(digest))))
     for batch in _by_key(doc[again], digest[again]):
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), *batch.columns], names=["kind", "key", "data"])
+        grp = bytehash.mix(batch.column(0).to_numpy().astype(np.uint64)) % np.uint64(buckets)
+        yield _row(0, grp.astype(np.int64), *batch.columns)
     digest = digest[first]
-    # buckets are ranges of the digest; a bucket's documents are sent once each, with the 4 bytes of a place for each digest
+    # buckets are ranges of the digest; a bucket's documents are sent once each, with a place for each digest. The sorted
+    # digests go byte by byte, the highest of all first: those hardly change and are packed well
     group = ((digest >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     edges = np.searchsorted(group, np.arange(buckets + 1))
     table, place = np.unique(owner, return_inverse=True)
@@ -146,9 +148,15 @@ def _sent(digests: list, ids: list, buckets: int) -> Iterator[pa.RecordBatch]:
         a, b = int(edges[g]), int(edges[g + 1])
         used = np.zeros(len(table), bool)
         used[place[a:b]] = True
-        at = (np.cumsum(used) - 1)[place[a:b]].astype(np.uint32)
-        blob = np.int64(b - a).tobytes() + digest[a:b].tobytes() + at.tobytes() + table[used].tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([g], pa.int64()), pa.array([blob], pa.binary())], names=["kind", "key", "data"])
+        docs = table[used]
+        at = (np.cumsum(used) - 1)[place[a:b]].astype("<u2" if len(docs) <= 1 << 16 else "<u4")
+        bytes_ = digest[a:b].astype(">u8").view(np.uint8).reshape(-1, 8).T
+        blob = np.array([b - a, at.itemsize], "<i8").tobytes() + bytes_.tobytes() + at.tobytes() + docs.astype("<i8").tobytes()
+        yield _row(1, np.array([g]), pa.array([None], pa.int64()), pa.array([blob], pa.binary()))
+
+
+def _row(kind: int, grp: np.ndarray, key: pa.Array, data: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(grp), kind, np.int32)), pa.array(grp), key, data], names=["kind", "grp", "key", "data"])
 
 
 def _by_key(key: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -162,13 +170,16 @@ def _by_key(key: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([int(key[a]) for a, _ in ab], pa.int64()), pa.array([b"".join(v[a:b].tobytes() for v in values) for a, b in ab], pa.binary())], names=["key", "data"])
 
 
-def _global(table: pa.Table) -> pa.Table:
-    """Of one bucket: the digests, packed by document, that a smaller id in another task has."""
+def _gather(table: pa.Table) -> pa.Table:
+    """Of one bucket, packed by document: what its tasks know already (kind 0), or the digests that a smaller id in another task has (kind 1)."""
+    if table["kind"][0].as_py() == 0:
+        return table.select(["key", "data"])
     digest, doc = [], []
     for blob in table["data"].to_pylist():
-        n = int(np.frombuffer(blob, np.int64, 1)[0])
-        digest.append(np.frombuffer(blob, np.uint64, n, 8))
-        doc.append(np.frombuffer(blob[8 + 12 * n :], np.int64)[np.frombuffer(blob, np.uint32, n, 8 + 8 * n)])
+        n, width = np.frombuffer(blob, "<i8", 2).tolist()
+        digest.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, 8 * n, 16).reshape(8, n).T).view(">u8").ravel().astype(np.uint64))
+        at = 16 + 8 * n
+        doc.append(np.frombuffer(blob[at + width * n :], "<i8")[np.frombuffer(blob, f"<u{width}", n, at)])
     digest, doc, first, owner = _owned(np.concatenate(digest), np.concatenate(doc))
     owner = np.repeat(owner, np.diff(np.append(first, len(digest))))
     return pa.Table.from_batches(_by_key(doc[doc != owner], digest[doc != owner]), pa.schema([("key", pa.int64()), ("data", pa.binary())]))
@@ -231,22 +242,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_r
     """``docs`` with its text reduced, and _spans, _units_removed, _words_removed."""
     spark = docs.sparkSession
     width = common.shuffle_width(spark)
-    buckets = 4 * width
+    buckets = max(256, 4 * width)
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    # one written scan gives both: what a task knows of its own rows must be of the same scan as what it sends
-    schema = "kind int, key long, data binary"
-    out = common.scratch(spark, "units")
-    rows.mapInArrow(_scan(buckets, window), schema).write.partitionBy("kind").parquet(out)
-    scan = spark.read.schema(schema).parquet(out)
-    inside = scan.filter("kind = 0").select("key", "data")
-    across = scan.filter("kind = 1").select("key", "data").groupBy("key").applyInArrow(_global, "key long, data binary")
+    # one scan gives both: what a task knows of its own rows must be of the same scan as what it sends
+    scan = rows.mapInArrow(_scan(buckets, window), "kind int, grp long, key long, data binary")
+    marks = scan.groupBy("kind", "grp").applyInArrow(_gather, "key long, data binary")
     added = ("_spans", "_units_removed", "_words_removed")
     own = [c for c in docs.columns if c not in added]
     others = [c for c in own if c not in (id_col, text_col)]
     kept = docs.select(F.col(id_col), *(F.col(f"`{c}`") for c in others)).schema
     texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"), F.struct(F.col(id_col), *(F.col(f"`{c}`") for c in others)).alias("rest"))
     texts = texts.mapInArrow(_zip_texts, StructType().add("key", "long").add("data", "binary").add("rest", kept))
-    marks = inside.unionByName(across).withColumn("rest", F.lit(None).cast(texts.schema["rest"].dataType)).withColumn("kind", F.lit(0))
+    marks = marks.withColumn("rest", F.lit(None).cast(texts.schema["rest"].dataType)).withColumn("kind", F.lit(0))
     both = marks.unionByName(texts.withColumn("kind", F.lit(1)))
     # rows without an id are dealt out evenly
     both = both.repartition(width, F.coalesce("key", F.xxhash64("data"))).sortWithinPartitions("key", "kind")
