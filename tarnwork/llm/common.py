@@ -40,6 +40,18 @@ def scratch(spark: SparkSession, what: str) -> str:
     return path
 
 
+#: Rows that go to a Python worker at once; Spark's own 10,000 whole texts are tens of megabytes, several times over.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a worker and the executor beside it hold of texts; a session that asks for still smaller batches keeps them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

@@ -478,6 +478,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted of each row."""
+    common.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     schema = rows.drop("_text").schema.add("score", "double").add("predicted", "integer")

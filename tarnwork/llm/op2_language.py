@@ -104,6 +104,7 @@ class Filters:
 
 def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
     """Filters from the rows with ``train`` true and a label."""
+    common.small_batches(docs.sparkSession)
     rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().filter(F.col("count") >= MIN_DOCS).orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
     langs = sorted(sizes)
@@ -137,6 +138,7 @@ def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
 def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns in ``keep`` (the id and the text's own stay out unless named) with lang_pred and score."""
+    common.small_batches(docs.sparkSession)
     keep = [id_col] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     keep = [c for c in keep if c not in ("lang_pred", "score")]

@@ -37,7 +37,7 @@ from tarnwork.llm import bytehash, common
 #: Words of a run of repeated units that is removed.
 MIN_RUN = 20
 BATCH_BYTES = 1 << 19
-FLUSH = 1_000_000
+FLUSH = 750_000
 _SPACE, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _MARK[[ord(c) for c in ".,!?;:\n"]] = True
@@ -241,6 +241,7 @@ def cut(text: bytes, repeated: np.ndarray, min_run: int, window: int = 0) -> tup
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, window: int = 0) -> DataFrame:
     """``docs`` with its text reduced, and _spans, _units_removed, _words_removed."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     width = common.shuffle_width(spark)
     buckets = max(256, 4 * width)
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))

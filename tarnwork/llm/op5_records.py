@@ -84,6 +84,7 @@ INDEX = "shard string, doc_id long, offset long, length long, n_tokens long"
 def write(docs: DataFrame, out: str, tokenizer: str | None = None, end_id: int = END_ID, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes ``out/data/*.rec`` and the index ``out/index``; returns the index, read back."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     if not shards:
         size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
         shards = max(common.shuffle_width(spark), -(-size // SHARD_BYTES))

@@ -40,6 +40,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece of each document."""
+    common.small_batches(docs.sparkSession)
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen = bpe.encoder(tokenizer or bpe.default_path()), 0
