@@ -79,13 +79,17 @@ def split_rows(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and row of each maximal run of bytes other than 0x20 and 0x09-0x0D, within rows."""
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~space
+    return runs((data != 32) & ((data < 9) | (data > 13)), offsets)
+
+
+def runs(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and row of each maximal run of bytes of which ``member`` is true, within rows."""
+    inside = np.zeros(len(member) + 2, bool)
+    inside[1:-1] = member
     edge = inside[1:] != inside[:-1]
-    cut = np.zeros(len(data) + 1, bool)
+    cut = np.zeros(len(member) + 1, bool)
     cut[offsets] = True
-    starts = np.flatnonzero((edge[: len(data) + 1] | cut)[: len(data)] & inside[1:-1])
+    starts = np.flatnonzero((edge[: len(member) + 1] | cut)[: len(member)] & inside[1:-1])
     ends = np.flatnonzero((edge | cut)[1:] & inside[1:-1]) + 1
     row = np.searchsorted(offsets, starts, "right") - 1
     return starts, ends, row
