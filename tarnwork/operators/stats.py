@@ -14,13 +14,25 @@ from pyspark.sql.types import DoubleType
 Z = 1.959963984540054
 
 
+def mean(value: Column | str) -> Column:
+    """The mean, from an exact sum of values taken to ten places: the same in any order of the rows."""
+    v = F.col(value) if isinstance(value, str) else value
+    return F.try_divide(F.sum(v.cast("decimal(28,10)")).cast("double"), F.count(v))
+
+
+def places(value: Column | str, n: int) -> Column:
+    """Rounded half away from zero as the decimal that it is to ten places, so that the last bits of a double don't decide."""
+    v = F.col(value) if isinstance(value, str) else value
+    return F.round(v.cast("decimal(28,10)"), n).cast("double")
+
+
 def cell_summary(grid: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
     """Every cell of ``grid``, also those without runs: (keys, seed, escaped, f1, collapsed)."""
-    g = runs.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("escaped").alias("k"), F.avg(F.when(F.col("escaped"), F.col("f1"))).alias("c"), F.avg("f1").alias("a"), F.count_if(F.col("escaped") & ~F.col("collapsed")).alias("sustained"))
+    g = runs.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("escaped").alias("k"), mean(F.when(F.col("escaped"), F.col("f1"))).alias("c"), mean("f1").alias("a"), F.count_if(F.col("escaped") & ~F.col("collapsed")).alias("sustained"))
     j = grid.join(g, keys, "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("k", F.coalesce("k", F.lit(0)))
     return j.select(
         *keys, F.when(F.col("n") > 0, "MEASURED").otherwise("NOT MEASURED").alias("status"), "n", F.col("k").alias("n_escaped"), F.when(F.col("n") > 0, F.round(F.col("k") / F.col("n"), 4)).alias("escape_rate"), F.when(F.col("n") > 0, F.concat(F.col("k").cast("string"), F.lit("/"), F.col("n").cast("string"))).alias("escape_count"),
-        F.round("c", 4).alias("conditional_f1"), F.round("a", 4).alias("all_seed_f1"), F.round(F.col("c") - F.col("a"), 4).alias("difference"), F.coalesce("sustained", F.lit(0)).alias("sustained"),
+        places("c", 4).alias("conditional_f1"), places("a", 4).alias("all_seed_f1"), places(F.col("c") - F.col("a"), 4).alias("difference"), F.coalesce("sustained", F.lit(0)).alias("sustained"),
     )
 
 
@@ -64,11 +76,11 @@ def fisher(tables: DataFrame, keys: list[str]) -> DataFrame:
 
 def moments(runs: DataFrame, keys: list[str]) -> DataFrame:
     """n, mean and sample variance over the escaped runs."""
-    return runs.filter("escaped").groupBy(*keys).agg(F.count("*").alias("n"), F.avg("f1").alias("mean"), F.var_samp("f1").alias("var"))
+    return runs.filter("escaped").groupBy(*keys).agg(F.count("*").alias("n"), mean("f1").alias("mean"), F.var_samp("f1").alias("var"))
 
 
 def seed_noise(runs: DataFrame, keys: list[str]) -> DataFrame:
-    return runs.filter("escaped").groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg("f1"), 4).alias("mean"), F.round(F.stddev_samp("f1"), 4).alias("sd"))
+    return runs.filter("escaped").groupBy(*keys).agg(F.count("*").alias("n"), places(mean("f1"), 4).alias("mean"), F.round(F.stddev_samp("f1"), 4).alias("sd"))
 
 
 def pairs(cells: DataFrame, group: list[str], condition: str) -> DataFrame:
@@ -89,7 +101,7 @@ def effect(p: DataFrame) -> DataFrame:
     se = va + vb
     df = se * se / (va * va / F.greatest(F.col("a_n") - 1, F.lit(1)) + vb * vb / F.greatest(F.col("b_n") - 1, F.lit(1)))
     good = ok & (se > 0)
-    return p.select("*", F.when(ok, "MEASURED").otherwise("NOT MEASURED").alias("status"), F.when(ok, F.round(diff, 4)).alias("diff"), F.when(good & (pooled > 0), F.round(diff / pooled, 4)).alias("cohens_d"), F.when(good, F.round(diff / F.sqrt(se), 4)).alias("t"), F.when(good, F.round(df, 3)).alias("df"), F.when(good & (noise > 0), F.round(F.abs(diff) / noise, 4)).alias("diff_over_noise"))
+    return p.select("*", F.when(ok, "MEASURED").otherwise("NOT MEASURED").alias("status"), F.when(ok, places(diff, 4)).alias("diff"), F.when(good & (pooled > 0), places(diff / pooled, 3)).alias("cohens_d"), F.when(good, F.round(diff / F.sqrt(se), 4)).alias("t"), F.when(good, F.round(df, 3)).alias("df"), F.when(good & (noise > 0), places(F.abs(diff) / noise, 2)).alias("diff_over_noise"))
 
 
 def paired(runs: DataFrame, group: list[str], condition: str, seed: str, escaped_only: bool = True) -> DataFrame:
@@ -97,9 +109,9 @@ def paired(runs: DataFrame, group: list[str], condition: str, seed: str, escaped
     r = runs.filter("escaped") if escaped_only else runs
     a, b = r.select(*group, seed, F.col(condition).alias("c1"), F.col("f1").alias("x")), r.select(*group, seed, F.col(condition).alias("c2"), F.col("f1").alias("y"))
     j = a.join(b, [*group, seed]).filter("c1 < c2").withColumn("d", F.col("y") - F.col("x"))
-    g = j.groupBy(*group, "c1", "c2").agg(F.count("*").alias("n"), F.avg("d").alias("m"), F.stddev_samp("d").alias("s"), (F.min(F.signum("d")) == F.max(F.signum("d"))).alias("same_sign"))
+    g = j.groupBy(*group, "c1", "c2").agg(F.count("*").alias("n"), mean("d").alias("m"), F.stddev_samp("d").alias("s"), (F.min(F.signum("d")) == F.max(F.signum("d"))).alias("same_sign"))
     ok = F.col("n") >= 2
-    return g.select(*group, "c1", "c2", "n", F.when(ok, "MEASURED").otherwise("NOT MEASURED").alias("status"), F.when(ok, F.round("m", 4)).alias("mean_diff"), F.when(ok & (F.col("s") > 0), F.round(F.col("m") / (F.col("s") / F.sqrt("n")), 4)).alias("t"), F.when(ok, F.col("same_sign")).alias("same_sign"))
+    return g.select(*group, "c1", "c2", "n", F.when(ok, "MEASURED").otherwise("NOT MEASURED").alias("status"), F.when(ok, places("m", 4)).alias("mean_diff"), F.when(ok & (F.col("s") > 0), F.round(F.col("m") / (F.col("s") / F.sqrt("n")), 4)).alias("t"), F.when(ok, F.col("same_sign")).alias("same_sign"))
 
 
 def holm(df: DataFrame, p: str, order: list[str], alpha: float = 0.05) -> DataFrame:
@@ -194,7 +206,7 @@ def cell_details(runs: DataFrame, keys: list[str]) -> DataFrame:
     """What a cell's summary holds besides: runs that escaped and fell back, the rate of those that stayed, the source stage's degenerate runs and mean, and the runs' places."""
     g = runs.groupBy(*keys).agg(
         F.count("*").alias("n"), F.count_if(F.col("escaped") & F.col("collapsed")).alias("n_escaped_then_collapsed"), F.count_if(F.col("escaped") & ~F.col("collapsed")).alias("s"),
-        F.count_if(F.coalesce("tr_stage_degenerate", F.lit(False))).alias("n_tr_stage_degenerate"), F.round(F.avg("tr_stage_macro_f1"), 4).alias("tr_stage_macro_f1_mean"), F.array_join(F.sort_array(F.collect_list("source_path")), ";").alias("source_paths"),
+        F.count_if(F.coalesce("tr_stage_degenerate", F.lit(False))).alias("n_tr_stage_degenerate"), places(mean("tr_stage_macro_f1"), 4).alias("tr_stage_macro_f1_mean"), F.array_join(F.sort_array(F.collect_list("source_path")), ";").alias("source_paths"),
     )
     lo, hi = wilson(F.col("s"), F.col("n"))
     return g.select(*keys, "n", "n_escaped_then_collapsed", F.round(F.col("s") / F.col("n"), 4).alias("escape_rate_sustained"), F.round(lo, 4).alias("sustained_lo"), F.round(hi, 4).alias("sustained_hi"), "n_tr_stage_degenerate", "tr_stage_macro_f1_mean", "source_paths")
@@ -202,8 +214,8 @@ def cell_details(runs: DataFrame, keys: list[str]) -> DataFrame:
 
 def test_table(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Descriptive table of the test split: escaped of all, mean test score of the escaped and of all runs, mean validation score of the escaped, mean matched delta."""
-    g = runs.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("escaped").alias("k"), F.avg(F.when(F.col("escaped"), F.col("test_macro_f1"))).alias("c"), F.avg("test_macro_f1").alias("a"), F.avg(F.when(F.col("escaped"), F.col("selected_validation_macro_f1"))).alias("v"), F.avg("delta_test_minus_validation_matched").alias("d"))
-    return g.select(*keys, "n", F.concat_ws("/", "k", "n").alias("escaped"), F.round("c", 4).alias("test_f1_conditional"), F.round("a", 4).alias("test_f1_all"), F.round("v", 4).alias("validation_f1_conditional"), F.round("d", 4).alias("delta_mean"))
+    g = runs.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("escaped").alias("k"), mean(F.when(F.col("escaped"), F.col("test_macro_f1"))).alias("c"), mean("test_macro_f1").alias("a"), mean(F.when(F.col("escaped"), F.col("selected_validation_macro_f1"))).alias("v"), mean("delta_test_minus_validation_matched").alias("d"))
+    return g.select(*keys, "n", F.concat_ws("/", "k", "n").alias("escaped"), places("c", 4).alias("test_f1_conditional"), places("a", 4).alias("test_f1_all"), places("v", 4).alias("validation_f1_conditional"), places("d", 4).alias("delta_mean"))
 
 
 def survival(health: DataFrame, least: float = 0.01) -> DataFrame:
@@ -250,6 +262,6 @@ def steadiness(steps: DataFrame, keys: list[str], warm: int = 2) -> DataFrame:
     """Of each run, the second half's mean over the first half's after the warm-up; over 1.3 degrades."""
     w = Window.partitionBy(*keys)
     d = steps.withColumn("r", F.row_number().over(w.orderBy("step"))).filter(F.col("r") > warm).withColumn("n", F.count("*").over(w))
-    g = d.groupBy(*keys).agg(F.avg(F.when(F.col("r") - warm <= F.floor(F.col("n") / 2), F.col("f1"))).alias("a"), F.avg(F.when(F.col("r") - warm > F.floor(F.col("n") / 2), F.col("f1"))).alias("b"))
+    g = d.groupBy(*keys).agg(mean(F.when(F.col("r") - warm <= F.floor(F.col("n") / 2), F.col("f1"))).alias("a"), mean(F.when(F.col("r") - warm > F.floor(F.col("n") / 2), F.col("f1"))).alias("b"))
     r = F.when(F.col("a") > 0, F.round(F.col("b") / F.col("a"), 4))
     return g.select(*keys, r.alias("ratio"), F.when(r > 1.3, "DEGRADING").when(r.isNotNull(), "STABLE").alias("state"))

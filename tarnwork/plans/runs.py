@@ -13,6 +13,19 @@ Q: dict = {}
 O: dict[str, str] = {}
 
 ESC = 140.0
+
+
+def _mean(x: str, where: str = "") -> str:
+    """SQL of a mean from an exact sum."""
+    f = f" FILTER (WHERE {where})" if where else ""
+    return f"(cast(sum(cast({x} AS decimal(28,10))){f} AS double) / count({x}){f})"
+
+
+def _round(x: str, places: int = 4) -> str:
+    """SQL that rounds by the decimal places that a double shows, half away from zero."""
+    return f"cast(round(cast({x} AS decimal(28,10)), {places}) AS double)"
+
+
 KEYS = ["base", "condition", "seed"]
 
 
@@ -98,7 +111,7 @@ def grid(s, d):
 
 
 _C = f"""{_R}, gr AS (SELECT base, condition FROM (SELECT unnest(['0', '1']) AS base), (SELECT DISTINCT event_type AS condition FROM events UNION ALL SELECT 'never_run')),
-ag AS (SELECT base, condition, count(*) AS n, count(*) FILTER (WHERE escaped) AS k, avg(f1) FILTER (WHERE escaped) AS c, avg(f1) AS a, count(*) FILTER (WHERE escaped AND NOT collapsed) AS sustained, var_samp(f1) FILTER (WHERE escaped) AS v FROM rr GROUP BY ALL),
+ag AS (SELECT base, condition, count(*) AS n, count(*) FILTER (WHERE escaped) AS k, {_mean('f1', 'escaped')} AS c, {_mean('f1')} AS a, count(*) FILTER (WHERE escaped AND NOT collapsed) AS sustained, var_samp(f1) FILTER (WHERE escaped) AS v FROM rr GROUP BY ALL),
 cl AS (SELECT base, condition, coalesce(n, 0) AS n, coalesce(k, 0) AS k, c, a, coalesce(sustained, 0) AS sustained, v FROM gr LEFT JOIN ag USING (base, condition))"""
 
 
@@ -108,7 +121,7 @@ def cells(s, d):
 
 Q["cell_summary"] = cells
 O["cell_summary"] = f"""WITH {_C} SELECT base, condition, CASE WHEN n > 0 THEN 'MEASURED' ELSE 'NOT MEASURED' END AS status, n, k AS n_escaped, CASE WHEN n > 0 THEN round(k / cast(n AS double), 4) END AS escape_rate, CASE WHEN n > 0 THEN k || '/' || n END AS escape_count,
-round(c, 4) AS conditional_f1, round(a, 4) AS all_seed_f1, round(c - a, 4) AS difference, sustained FROM cl"""
+{_round('c')} AS conditional_f1, {_round('a')} AS all_seed_f1, {_round('c - a')} AS difference, sustained FROM cl"""
 
 
 def _wilson(s, d):
@@ -120,24 +133,24 @@ Q["wilson"] = _wilson
 O["wilson"] = f"""WITH {_C}, z AS (SELECT *, k / cast(greatest(n, 1) AS double) AS p, cast(greatest(n, 1) AS double) AS m, cast({S.Z} AS double) AS z FROM cl)
 SELECT base, condition, CASE WHEN n > 0 THEN round(greatest(0, (p + z*z/(2*m)) / (1 + z*z/m) - z / (1 + z*z/m) * sqrt(p*(1-p)/m + z*z/(4*m*m))), 4) END AS lo, CASE WHEN n > 0 THEN round(least(1, (p + z*z/(2*m)) / (1 + z*z/m) + z / (1 + z*z/m) * sqrt(p*(1-p)/m + z*z/(4*m*m))), 4) END AS hi FROM z"""
 Q["seed_noise"] = lambda s, d: S.seed_noise(runs(s, d), CELL)
-O["seed_noise"] = f"WITH {_R} SELECT base, condition, count(*) AS n, round(avg(f1), 4) AS mean, round(stddev_samp(f1), 4) AS sd FROM rr WHERE escaped GROUP BY ALL"
+O["seed_noise"] = f"WITH {_R} SELECT base, condition, count(*) AS n, {_round(_mean('f1'))} AS mean, round(stddev_samp(f1), 4) AS sd FROM rr WHERE escaped GROUP BY ALL"
 
 
 def contrasts(s, d):
     return S.effect(S.pairs(S.moments(runs(s, d), CELL), ["base"], "condition"))
 
 
-_W = f"""{_R}, mo AS (SELECT base, condition, count(*) AS n, avg(f1) AS mean, var_samp(f1) AS var FROM rr WHERE escaped GROUP BY ALL), pr AS (SELECT a.base, a.condition AS c1, b.condition AS c2, a.n AS an, b.n AS bn, a.mean AS am, b.mean AS bm, a.var AS av, b.var AS bv FROM mo a JOIN mo b ON a.base = b.base AND a.condition < b.condition),
+_W = f"""{_R}, mo AS (SELECT base, condition, count(*) AS n, {_mean('f1')} AS mean, var_samp(f1) AS var FROM rr WHERE escaped GROUP BY ALL), pr AS (SELECT a.base, a.condition AS c1, b.condition AS c2, a.n AS an, b.n AS bn, a.mean AS am, b.mean AS bm, a.var AS av, b.var AS bv FROM mo a JOIN mo b ON a.base = b.base AND a.condition < b.condition),
 ef AS (SELECT *, an >= 2 AND bn >= 2 AS ok, bm - am AS diff, av / an + bv / bn AS se, sqrt(((an - 1) * av + (bn - 1) * bv) / greatest(an + bn - 2, 1)) AS pooled, sqrt((av + bv) / 2) AS noise FROM pr)"""
 Q["pair_contrasts"] = lambda s, d: contrasts(s, d).select("base", "c1", "c2", "status", "diff", "diff_over_noise")
-O["pair_contrasts"] = f"WITH {_W} SELECT base, c1, c2, CASE WHEN ok THEN 'MEASURED' ELSE 'NOT MEASURED' END AS status, CASE WHEN ok THEN round(diff, 4) END AS diff, CASE WHEN ok AND se > 0 AND noise > 0 THEN round(abs(diff) / noise, 4) END AS diff_over_noise FROM ef"
+O["pair_contrasts"] = f"WITH {_W} SELECT base, c1, c2, CASE WHEN ok THEN 'MEASURED' ELSE 'NOT MEASURED' END AS status, CASE WHEN ok THEN {_round('diff')} END AS diff, CASE WHEN ok AND se > 0 AND noise > 0 THEN {_round('abs(diff) / noise', 2)} END AS diff_over_noise FROM ef"
 Q["cohens_d"] = lambda s, d: contrasts(s, d).select("base", "c1", "c2", "cohens_d")
-O["cohens_d"] = f"WITH {_W} SELECT base, c1, c2, CASE WHEN ok AND se > 0 AND pooled > 0 THEN round(diff / pooled, 4) END AS cohens_d FROM ef"
+O["cohens_d"] = f"WITH {_W} SELECT base, c1, c2, CASE WHEN ok AND se > 0 AND pooled > 0 THEN {_round('diff / pooled', 3)} END AS cohens_d FROM ef"
 Q["welch_t"] = lambda s, d: contrasts(s, d).select("base", "c1", "c2", "t", "df")
 O["welch_t"] = f"WITH {_W} SELECT base, c1, c2, CASE WHEN ok AND se > 0 THEN round(diff / sqrt(se), 4) END AS t, CASE WHEN ok AND se > 0 THEN round(se * se / ((av/an)*(av/an) / greatest(an - 1, 1) + (bv/bn)*(bv/bn) / greatest(bn - 1, 1)), 3) END AS df FROM ef"
 Q["welch_p"] = lambda s, d: contrasts(s, d).select("base", "c1", "c2", F.round(S.student_p_column("t", "df"), 5).alias("p"))
-_PT = "SELECT a.base, a.condition AS c1, b.condition AS c2, count(*) AS n, avg(b.f1 - a.f1) AS m, stddev_samp(b.f1 - a.f1) AS s, min(sign(b.f1 - a.f1)) = max(sign(b.f1 - a.f1)) AS same_sign FROM {0} a JOIN {0} b ON a.base = b.base AND a.seed = b.seed AND a.condition < b.condition GROUP BY ALL"
-_PO = "SELECT base, c1, c2, n, CASE WHEN n >= 2 THEN 'MEASURED' ELSE 'NOT MEASURED' END AS status, CASE WHEN n >= 2 THEN round(m, 4) END AS mean_diff, CASE WHEN n >= 2 AND s > 0 THEN round(m / (s / sqrt(n)), 4) END AS t, CASE WHEN n >= 2 THEN same_sign END AS same_sign FROM g"
+_PT = f"SELECT a.base, a.condition AS c1, b.condition AS c2, count(*) AS n, {_mean('b.f1 - a.f1')} AS m, stddev_samp(b.f1 - a.f1) AS s, min(sign(b.f1 - a.f1)) = max(sign(b.f1 - a.f1)) AS same_sign FROM {{0}} a JOIN {{0}} b ON a.base = b.base AND a.seed = b.seed AND a.condition < b.condition GROUP BY ALL"
+_PO = f"SELECT base, c1, c2, n, CASE WHEN n >= 2 THEN 'MEASURED' ELSE 'NOT MEASURED' END AS status, CASE WHEN n >= 2 THEN {_round('m')} END AS mean_diff, CASE WHEN n >= 2 AND s > 0 THEN round(m / (s / sqrt(n)), 4) END AS t, CASE WHEN n >= 2 THEN same_sign END AS same_sign FROM g"
 Q["paired_t"] = lambda s, d: S.paired(runs(s, d), ["base"], "condition", "seed")
 O["paired_t"] = f"WITH {_R}, e AS (SELECT * FROM rr WHERE escaped), g AS ({_PT.format('e')}) {_PO}"
 Q["paired_t_all"] = lambda s, d: S.paired(runs(s, d), ["base"], "condition", "seed", False)
@@ -168,7 +181,7 @@ Q["holm"] = lambda s, d: S.holm(fishers(s, d), "p", ["base", "c1", "c2"]).select
 O["holm"] = f"""WITH {_FT}, {_fisher('base, c1, c2')}, h AS (SELECT *, row_number() OVER (ORDER BY p, base, c1, c2) - 1 AS r, count(*) OVER () AS m FROM fisher), a AS (SELECT *, max(least(1.0, (m - r) * p)) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING) AS adj FROM h)
 SELECT base, c1, c2, p, round(adj, 6) AS p_holm, adj < 0.05 AS survives FROM a"""
 Q["cross_base"] = lambda s, d: S.difference_of_differences(cells(s, d), "base", "condition", ("0", "1"), ("click", "purchase"), ["escape_rate", "conditional_f1"])
-O["cross_base"] = f"""WITH {_C}, v AS (SELECT base, condition, CASE WHEN n > 0 THEN round(k / cast(n AS double), 4) END AS e, round(c, 4) AS f FROM cl), x AS (SELECT max(e) FILTER (WHERE base = '0' AND condition = 'click') AS e00, max(e) FILTER (WHERE base = '0' AND condition = 'purchase') AS e01, max(e) FILTER (WHERE base = '1' AND condition = 'click') AS e10, max(e) FILTER (WHERE base = '1' AND condition = 'purchase') AS e11,
+O["cross_base"] = f"""WITH {_C}, v AS (SELECT base, condition, CASE WHEN n > 0 THEN round(k / cast(n AS double), 4) END AS e, {_round('c')} AS f FROM cl), x AS (SELECT max(e) FILTER (WHERE base = '0' AND condition = 'click') AS e00, max(e) FILTER (WHERE base = '0' AND condition = 'purchase') AS e01, max(e) FILTER (WHERE base = '1' AND condition = 'click') AS e10, max(e) FILTER (WHERE base = '1' AND condition = 'purchase') AS e11,
 max(f) FILTER (WHERE base = '0' AND condition = 'click') AS f00, max(f) FILTER (WHERE base = '0' AND condition = 'purchase') AS f01, max(f) FILTER (WHERE base = '1' AND condition = 'click') AS f10, max(f) FILTER (WHERE base = '1' AND condition = 'purchase') AS f11 FROM v),
 y AS (SELECT *, concat_ws(',', CASE WHEN e00 IS NULL THEN '0/click' END, CASE WHEN e01 IS NULL THEN '0/purchase' END, CASE WHEN e10 IS NULL THEN '1/click' END, CASE WHEN e11 IS NULL THEN '1/purchase' END) AS missing FROM x)
 SELECT round((e01 - e00) - (e11 - e10), 4) AS escape_rate_did, round((f01 - f00) - (f11 - f10), 4) AS conditional_f1_did, missing, CASE WHEN missing = '' THEN 'MEASURED' ELSE 'NOT MEASURED' END AS status FROM y"""
@@ -201,10 +214,10 @@ m AS (SELECT base, condition, b, avg(v[cast('0x' || left(md5(b || ':' || i), 8)
 Q["bootstrap_ci_pcg64"] = lambda s, d: S.pcg_bootstrap(runs(s, d).filter("escaped"), CELL, "f1", "seed")
 Q["steadiness"] = lambda s, d: S.steadiness(steps(s, d), KEYS)
 O["steadiness"] = f"""WITH {_S}, r AS (SELECT *, row_number() OVER (PARTITION BY base, condition, seed ORDER BY step) AS r FROM steps), n AS (SELECT *, count(*) OVER (PARTITION BY base, condition, seed) AS n FROM r WHERE r > 2),
-g AS (SELECT base, condition, seed, avg(f1) FILTER (WHERE r - 2 <= n // 2) AS a, avg(f1) FILTER (WHERE r - 2 > n // 2) AS b FROM n GROUP BY ALL), x AS (SELECT base, condition, seed, CASE WHEN a > 0 THEN round(b / a, 4) END AS ratio FROM g)
+g AS (SELECT base, condition, seed, {_mean('f1', 'r - 2 <= n // 2')} AS a, {_mean('f1', 'r - 2 > n // 2')} AS b FROM n GROUP BY ALL), x AS (SELECT base, condition, seed, CASE WHEN a > 0 THEN round(b / a, 4) END AS ratio FROM g)
 SELECT *, CASE WHEN ratio > 1.3 THEN 'DEGRADING' WHEN ratio IS NOT NULL THEN 'STABLE' END AS state FROM x"""
 Q["figure_series"] = lambda s, d: cells(s, d).filter("status = 'MEASURED'").select("base", "condition", "n", "escape_rate", "conditional_f1")
-O["figure_series"] = f"WITH {_C} SELECT base, condition, n, round(k / cast(n AS double), 4) AS escape_rate, round(c, 4) AS conditional_f1 FROM cl WHERE n > 0"
+O["figure_series"] = f"WITH {_C} SELECT base, condition, n, round(k / cast(n AS double), 4) AS escape_rate, {_round('c')} AS conditional_f1 FROM cl WHERE n > 0"
 
 
 def scanned(s, d):
@@ -215,10 +228,10 @@ def scanned(s, d):
 _SCAN = f"{_RS}, sn AS (SELECT *, escaped AND terminal_f1 <= 0.4 AS collapsed, round(selected_f1 / 2, 6) AS tr, round(selected_f1 * cast(0.9 AS double), 6) AS te FROM sr WHERE base <> '0')"
 _WL = "cast(greatest(n, 1) AS double)"
 Q["cell_details"] = lambda s, d: S.cell_details(scanned(s, d), CELL)
-O["cell_details"] = f"""WITH {_SCAN}, g AS (SELECT base, condition, count(*) AS n, count(*) FILTER (WHERE escaped AND collapsed) AS f, count(*) FILTER (WHERE escaped AND NOT collapsed) AS k, count(*) FILTER (WHERE selected_f1 < 0.5) AS dg, round(avg(tr), 4) AS m, string_agg(base || '/' || condition || '/' || seed, ';' ORDER BY base || '/' || condition || '/' || seed) AS sp FROM sn GROUP BY ALL),
+O["cell_details"] = f"""WITH {_SCAN}, g AS (SELECT base, condition, count(*) AS n, count(*) FILTER (WHERE escaped AND collapsed) AS f, count(*) FILTER (WHERE escaped AND NOT collapsed) AS k, count(*) FILTER (WHERE selected_f1 < 0.5) AS dg, {_round(_mean('tr'))} AS m, string_agg(base || '/' || condition || '/' || seed, ';' ORDER BY base || '/' || condition || '/' || seed) AS sp FROM sn GROUP BY ALL),
 z AS (SELECT *, k / {_WL} AS p, cast({S.Z} AS double) AS z FROM g) SELECT base, condition, n, f AS n_escaped_then_collapsed, round(k / cast(n AS double), 4) AS escape_rate_sustained, round(greatest(0, (p + z*z/(2*n)) / (1 + z*z/n) - z / (1 + z*z/n) * sqrt(p*(1-p)/n + z*z/(4*n*n))), 4) AS sustained_lo, round(least(1, (p + z*z/(2*n)) / (1 + z*z/n) + z / (1 + z*z/n) * sqrt(p*(1-p)/n + z*z/(4*n*n))), 4) AS sustained_hi, dg AS n_tr_stage_degenerate, m AS tr_stage_macro_f1_mean, sp AS source_paths FROM z"""
 Q["test_table"] = lambda s, d: S.test_table(Q["run_scan"](s, d), CELL)
-O["test_table"] = f"WITH {_SCAN} SELECT base, condition, count(*) AS n, count(*) FILTER (WHERE escaped) || '/' || count(*) AS escaped, round(avg(te) FILTER (WHERE escaped), 4) AS test_f1_conditional, round(avg(te), 4) AS test_f1_all, round(avg(selected_f1) FILTER (WHERE escaped), 4) AS validation_f1_conditional, round(avg(round(te - selected_f1, 6)), 4) AS delta_mean FROM sn GROUP BY ALL"
+O["test_table"] = f"WITH {_SCAN} SELECT base, condition, count(*) AS n, count(*) FILTER (WHERE escaped) || '/' || count(*) AS escaped, {_round(_mean('te', 'escaped'))} AS test_f1_conditional, {_round(_mean('te'))} AS test_f1_all, {_round(_mean('selected_f1', 'escaped'))} AS validation_f1_conditional, {_round(_mean('round(te - selected_f1, 6)'))} AS delta_mean FROM sn GROUP BY ALL"
 Q["difference_intervals"] = lambda s, d: S.difference_intervals(runs(s, d), ["base"], "condition", "f1", "seed", 2000)
 Q["survival"] = lambda s, d: S.survival(cells(s, d).groupBy("base").agg((F.max("escape_rate") / 100).alias("accuracy")))
 O["survival"] = f"WITH {_C}, a AS (SELECT base, max(CASE WHEN n > 0 THEN round(k / cast(n AS double), 4) END) / 100 AS a FROM cl GROUP BY base), g AS (SELECT count(*) AS n, count(*) FILTER (WHERE coalesce(a, 0) < 0.01) AS dead FROM a) SELECT n, dead, CASE WHEN dead = 0 THEN 'SURVIVED' WHEN dead = n THEN 'ALL_DESTROYED' ELSE 'SOME_DESTROYED' END AS verdict FROM g"
