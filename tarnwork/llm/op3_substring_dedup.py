@@ -6,6 +6,9 @@ smallest id, and in it the first, is kept. A repeated unit alone says little whe
 removed are runs of repeated units, next to each other, that hold ``MIN_RUN`` words or more: repeated
 lines, paragraphs, and passages inside other lines, less a broken unit at either end.
 
+With ``min_line`` every line of so many characters, from its first word to its last, is a unit as well: a line that repeats goes,
+however few words it has, all but its first occurrence. So do paragraphs, as lines. The registered query and the pipeline take lines of ``MIN_LINE`` characters.
+
 With ``window`` every run of so many words is digested as well, at each word and across all marks, so a
 passage of that length goes wherever it stands, broken units and all. A character of a script without
 spaces (``lone``) is a word of its own there. Of a repeat that overlaps its own first occurrence only what
@@ -36,25 +39,28 @@ from tarnwork.llm import bytehash, common
 
 #: Words of a run of repeated units that is removed.
 MIN_RUN = 20
+#: Characters of a line that is removed as such: shorter ones are list marks, numbers, closing brackets.
+MIN_LINE = 10
 BATCH_BYTES = 1 << 19
 FLUSH = 750_000
-_SPACE, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_SPACE, _MARK, _LINE = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _MARK[[ord(c) for c in ".,!?;:\n"]] = True
+_LINE[10] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _POWER = 0xD1342543DE82EF95
-_WINDOW = np.uint64(0x8BB84B93962EACC9)
+_WINDOW, _WHOLE = np.uint64(0x8BB84B93962EACC9), np.uint64(0x2F0B4C47A3D9E561)
 
 
-def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of rows (bytes, n + 1 offsets) the units: row, digest, words, start (its first word's) and end (its last word's)."""
+def units(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _MARK, salt: np.uint64 = np.uint64(0)) -> tuple[np.ndarray, ...]:
+    """Of rows (bytes, n + 1 offsets) the units between ``breaks``: row, digest, words, start (its first word's) and end (its last word's)."""
     low = _LOWER[data]
     starts, ends, row = bytehash.words(np.where(_MARK[low], np.uint8(32), low), offsets)
     if not len(starts):
         none = np.zeros(0, np.int64)
         return none, np.zeros(0, np.uint64), none, none, none
-    marks = np.concatenate([[0], np.cumsum(_MARK[low])])
+    marks = np.concatenate([[0], np.cumsum(breaks[low])])
     new = np.ones(len(starts), bool)
     new[1:] = (row[1:] != row[:-1]) | (marks[starts[1:]] != marks[ends[:-1]])
     first = np.flatnonzero(new)
@@ -62,10 +68,18 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     w = bytehash.slices(low, starts, ends)
     up, down = bytehash._power_tables(_POWER, len(w) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * up[: len(w)], dtype=np.uint64)])
-    digest = bytehash.mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+    digest = bytehash.mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64) + salt)
     return row[first], digest, last - first, starts[first], ends[last - 1]
 
 
+def lines(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Of rows the lines with ``least`` characters from the first word to the last: row, digest, start, end."""
+    row, digest, _, start, end = units(data, offsets, _LINE, _WHOLE)
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    long = chars[end] - chars[start] >= least
+    return row[long], digest[long], start[long], end[long]
+
+
 def lone(low: np.ndarray) -> np.ndarray:
     """Places of characters (of three bytes) of scripts without spaces: kana, Han, Thai, Lao, Myanmar, Khmer."""
     if not len(low) or low.max() < 0xE0:
@@ -97,7 +111,7 @@ def windows(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
     return starts, at, row[at], digest
 
 
-def _scan(buckets: int, window: int):
+def _scan(buckets: int, window: int, min_line: int):
     """Rows (doc_id, text). Of kind 0 the digests (packed, by document) that a smaller id in the task has; of kind 1, packed by bucket, each digest of the task with its smallest id."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,6 +123,8 @@ def _scan(buckets: int, window: int):
                 part, edges = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 row, digest, *_ = units(part, edges)
                 found = [(row, digest), windows(part, edges, window)[2:]] if window else [(row, digest)]
+                if min_line:
+                    found.append(lines(part, edges, min_line)[:2])
                 for row, digest in found:
                     digests.append(digest)
                     ids.append(key[i:j][row])
@@ -194,7 +210,7 @@ def _zip_texts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary()), *batch.columns[2:]], names=["key", "data", *batch.schema.names[2:]])
 
 
-def cut(text: bytes, repeated: np.ndarray, min_run: int, window: int = 0) -> tuple[list[tuple[int, int]], int, int]:
+def cut(text: bytes, repeated: np.ndarray, min_run: int, window: int = 0, min_line: int = 0) -> tuple[list[tuple[int, int]], int, int]:
     """Spans of the text that are kept, units of which something and words that are removed; ``repeated``: digests that smaller ids have."""
     data = np.frombuffer(text, np.uint8)
     offsets = np.array([0, len(data)])
@@ -219,6 +235,13 @@ def cut(text: bytes, repeated: np.ndarray, min_run: int, window: int = 0) -> tup
     for a, b in runs:
         change[first[a]] += 1
         change[first[b]] -= 1
+    if min_line:
+        _, whole, start, end = lines(data, offsets, min_line)
+        later = np.ones(len(whole), bool)
+        later[np.unique(whole, return_index=True)[1]] = False
+        later |= np.isin(whole, repeated)
+        np.add.at(change, np.searchsorted(starts, start[later]), 1)
+        np.add.at(change, np.searchsorted(starts, end[later]), -1)
     if window and len(found):
         distinct, place, inverse = np.unique(found, return_index=True, return_inverse=True)
         elsewhere = np.isin(distinct, repeated)[inverse]
@@ -238,7 +261,7 @@ def cut(text: bytes, repeated: np.ndarray, min_run: int, window: int = 0) -> tup
     return spans, int(np.logical_or.reduceat(gone, first[:-1]).sum()), int(words[gone].sum())
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, window: int = 0) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, window: int = 0, min_line: int = 0) -> DataFrame:
     """``docs`` with its text reduced, and _spans, _units_removed, _words_removed."""
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -246,7 +269,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_r
     buckets = max(256, 4 * width)
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
     # one scan gives both: what a task knows of its own rows must be of the same scan as what it sends
-    scan = rows.mapInArrow(_scan(buckets, window), "kind int, grp long, key long, data binary")
+    scan = rows.mapInArrow(_scan(buckets, window, min_line), "kind int, grp long, key long, data binary")
     marks = scan.groupBy("kind", "grp").applyInArrow(_gather, "key long, data binary")
     added = ("_spans", "_units_removed", "_words_removed")
     own = [c for c in docs.columns if c not in added]
@@ -277,7 +300,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_r
                     found = (None, None, 0, 0)
                 else:
                     text = codec.decompress(data)
-                    spans, n, w = cut(text, np.concatenate(repeated) if repeated else np.zeros(0, np.uint64), min_run, window) if key is not None else ([(0, len(text))], 0, 0)
+                    spans, n, w = cut(text, np.concatenate(repeated) if repeated else np.zeros(0, np.uint64), min_run, window, min_line) if key is not None else ([(0, len(text))], 0, 0)
                     chars = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
                     found = (b"".join(text[a:b] for a, b in spans).decode(), [{"start": int(chars[a]), "end": int(chars[b])} for a, b in spans], n, w)
                 for c, v in zip(cols, found):
@@ -293,5 +316,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_r
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text"), window=MIN_RUN)
+    out = dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text"), window=MIN_RUN, min_line=MIN_LINE)
     return out.select("doc_id", "text", F.col("_spans").alias("spans"), F.col("_units_removed").alias("units_removed"), F.col("_words_removed").alias("words_removed"))

@@ -2,14 +2,14 @@
 
 A record is: payload length (u64), masked CRC-32 of those eight bytes (u32), payload, masked CRC-32
 of the payload (u32); all little-endian. A payload is: document id (i64), number of ids (u32), bytes
-for each id (u8: 2 or 4), then the ids, compressed with zstd. The mask rotates the sum right by 15
+for each id (u8: 2 or 4, with the highest bit set if the document has no id), then the ids, compressed with zstd. The mask rotates the sum right by 15
 bits and adds 0xA282EAD8, so that a sum stored inside summed bytes does not upset the sum.
 
 Documents are dealt to shards by ranges of their id and written in ascending order, so the shards one
 after the other hold the corpus in id order. A task writes its shard under a name of its own and the
 index (a Parquet table: shard, doc_id, offset, length, n_tokens) names only the files of the attempts
 that Spark committed; files of repeated or lost attempts are deleted in the end. Null texts are empty and hold
-just the end id; repeated ids are kept, in any order among themselves; other columns are ignored.
+just the end id; repeated ids are kept, in any order among themselves; documents without an id come first and are read back without one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from tarnwork.llm import bpe, common
 MASK_DELTA = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 LEAD = struct.Struct("<qIB")
+NO_ID = 0x80
 
 END_ID = 2
 #: Bytes of text for a shard, about; small inputs have as many shards as shuffles have partitions.
@@ -60,15 +61,16 @@ def unframe(stream) -> Iterator[bytes]:
         yield body[:-4]
 
 
-def pack(doc_id: int, ids: np.ndarray, codec) -> bytes:
+def pack(doc_id: int | None, ids: np.ndarray, codec) -> bytes:
     wide = 2 if not len(ids) or ids.max() < 1 << 16 else 4
-    return LEAD.pack(doc_id, len(ids), wide) + codec.compress(ids.astype("<u2" if wide == 2 else "<u4").tobytes())
+    return LEAD.pack(doc_id or 0, len(ids), wide | (NO_ID if doc_id is None else 0)) + codec.compress(ids.astype("<u2" if wide == 2 else "<u4").tobytes())
 
 
-def unpack(payload: bytes, codec) -> tuple[int, np.ndarray]:
-    doc_id, n, wide = LEAD.unpack_from(payload)
+def unpack(payload: bytes, codec) -> tuple[int | None, np.ndarray]:
+    doc_id, n, kind = LEAD.unpack_from(payload)
+    wide = kind & ~NO_ID
     raw = codec.decompress(payload[LEAD.size :], max_output_size=n * wide) if n else b""
-    return doc_id, np.frombuffer(raw, "<u2" if wide == 2 else "<u4").astype("<u4")
+    return None if kind & NO_ID else doc_id, np.frombuffer(raw, "<u2" if wide == 2 else "<u4").astype("<u4")
 
 
 def open_output(uri: str):
@@ -168,7 +170,7 @@ def _table(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def seek(out: str, shard: str, offset: int) -> tuple[int, np.ndarray]:
+def seek(out: str, shard: str, offset: int) -> tuple[int | None, np.ndarray]:
     """One record by its index entry, as a shuffled reader gets it."""
     import zstandard
 

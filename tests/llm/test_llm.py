@@ -185,6 +185,33 @@ def test_substring_dedup_odd_rows(spark):
     assert op3_substring_dedup.dedup(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("window", [0, 20])
+def test_substring_dedup_whole_lines(spark, corpus, window):
+    """Every later copy of a line of ten characters goes, whatever the case and space; shorter ones stay, and so do parts of lines."""
+    r = random.Random(4)
+    stock = ["Home | About us | Contact", "home  |  about us | contact ", "All rights reserved.", "- item", "}", "", "Für Élise, für alle", "für Élise, für alle!", "a b c d e f g h"]
+    texts = ["\n".join(r.choice([*stock, f"{word(r)} {i} {word(r)} own, {word(r)}"]) for _ in range(r.randint(0, 9))) for i in range(60)] + [None, "x All rights reserved. y", "all rights reserved\n\n\nAll rights reserved"]
+    seen, want = set(), []
+    for t in texts:
+        keep, kept, at = [], "", 0
+        for m in re.finditer(r"[^\n]+", t or ""):
+            w = list(re.finditer(r"[^ \t\x0b-\x0d.,!?;:]+", m.group()))
+            if w and w[-1].end() - w[0].start() >= 10:
+                line = tuple(x.group().translate(LOWER) for x in w)
+                keep.append((m.start() + w[0].start(), line in seen))
+                seen.add(line)
+            elif w:
+                keep.append((m.start() + w[0].start(), False))
+        for k, (start, again) in enumerate(keep):
+            if again:
+                kept += t[at:start]
+                at = keep[k + 1][0] if k + 1 < len(keep) else len(t)
+        want.append(None if t is None else kept + t[at:])
+    got = {x["doc_id"]: x for x in op3_substring_dedup.dedup(docs(spark, texts).repartition(5), min_run=10**9, window=window, min_line=10).collect()}
+    assert [got[i]["text"] for i in range(len(texts))] == want
+    assert all(got[i]["text"] == "".join(t[s["start"] : s["end"]] for s in got[i]["_spans"]) for i, t in enumerate(texts) if t is not None)
+
+
 def test_substring_dedup_flushes_and_clashes(spark, corpus, monkeypatch):
     """Small flushes in each task, and columns named like those that are added."""
     monkeypatch.setattr(op3_substring_dedup, "FLUSH", 200)
@@ -240,6 +267,18 @@ def test_records(spark, corpus, tokenizer, tmp_path):
     assert op5_records.read(spark, empty).count() == 0
 
 
+def test_records_without_id(spark, tokenizer, tmp_path):
+    out = f"file://{tmp_path}/rec"
+    more = [(None, t, "en", "s", 1, 1, 2, 3) for t in ("no id", None)] + [(-5, "less", "en", "s", 1, 1, 2, 3), (1, "again", "en", "s", 1, 1, 2, 3)]
+    index = op5_records.write(docs(spark, ["zero", "one"], more).repartition(3), out, shards=3)
+    got = [tuple(r) for r in op5_records.read(spark, out).collect()]
+    assert Counter((r[0], r[2]) for r in got) == Counter((i, len(ids_of(tokenizer, t))) for i, t in ((None, "no id"), (None, None), (-5, "less"), (0, "zero"), (1, "one"), (1, "again")))
+    got.sort(key=lambda r: r[1])
+    assert [r[0] for r in got] == [None, None, -5, 0, 1, 1] and [r[1] for r in got] == np.cumsum([0] + [r[2] for r in got[:-1]]).tolist()
+    row = index.filter("doc_id IS NULL AND n_tokens = 1").first()
+    assert op5_records.seek(out, row["shard"], row["offset"])[0] is None
+
+
 @pytest.mark.parametrize("items", [5000, 25])
 def test_packing(spark, corpus, tokenizer, items):
     texts = corpus + [" ".join(corpus[10:60]) for _ in range(3)]
