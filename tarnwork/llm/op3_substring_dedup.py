@@ -155,8 +155,7 @@ def _sent(digests: list, ids: list, buckets: int) -> Iterator[pa.RecordBatch]:
         grp = bytehash.mix(batch.column(0).to_numpy().astype(np.uint64)) % np.uint64(buckets)
         yield _row(0, grp.astype(np.int64), *batch.columns)
     digest = digest[first]
-    # buckets are ranges of the digest; a bucket's documents are sent once each, with a place for each digest. The sorted
-    # digests go byte by byte, the highest of all first: those hardly change and are packed well
+    # buckets are ranges of the digest; a bucket's documents are sent once each, with a place for each digest
     group = ((digest >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     edges = np.searchsorted(group, np.arange(buckets + 1))
     table, place = np.unique(owner, return_inverse=True)
@@ -166,11 +165,19 @@ def _sent(digests: list, ids: list, buckets: int) -> Iterator[pa.RecordBatch]:
         used[place[a:b]] = True
         docs = table[used]
         at = (np.cumsum(used) - 1)[place[a:b]].astype("<u2" if len(docs) <= 1 << 16 else "<u4")
-        bytes_ = digest[a:b].astype(">u8").view(np.uint8).reshape(-1, 8).T
-        blob = np.array([b - a, at.itemsize], "<i8").tobytes() + bytes_.tobytes() + at.tobytes() + docs.astype("<i8").tobytes()
+        blob = np.array([b - a, at.itemsize], "<i8").tobytes() + _planes(digest[a:b]) + at.tobytes() + _planes(np.diff(docs, prepend=0))
         yield _row(1, np.array([g]), pa.array([None], pa.int64()), pa.array([blob], pa.binary()))
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit values byte by byte, the highest of all first: those of sorted values, or of small differences, are nearly all the same."""
+    return values.astype(f">{values.dtype.kind}8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unplanes(data: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(f">{kind}8").ravel().astype(f"{kind}8")
+
+
 def _row(kind: int, grp: np.ndarray, key: pa.Array, data: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(grp), kind, np.int32)), pa.array(grp), key, data], names=["kind", "grp", "key", "data"])
 
@@ -193,9 +200,9 @@ def _gather(table: pa.Table) -> pa.Table:
     digest, doc = [], []
     for blob in table["data"].to_pylist():
         n, width = np.frombuffer(blob, "<i8", 2).tolist()
-        digest.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, 8 * n, 16).reshape(8, n).T).view(">u8").ravel().astype(np.uint64))
         at = 16 + 8 * n
-        doc.append(np.frombuffer(blob[at + width * n :], "<i8")[np.frombuffer(blob, f"<u{width}", n, at)])
+        digest.append(_unplanes(blob[16:at], "u"))
+        doc.append(np.cumsum(_unplanes(blob[at + width * n :], "i"))[np.frombuffer(blob, f"<u{width}", n, at)])
     digest, doc, first, owner = _owned(np.concatenate(digest), np.concatenate(doc))
     owner = np.repeat(owner, np.diff(np.append(first, len(digest))))
     return pa.Table.from_batches(_by_key(doc[doc != owner], digest[doc != owner]), pa.schema([("key", pa.int64()), ("data", pa.binary())]))
