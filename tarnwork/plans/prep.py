@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnwork.functions import text as T
+from tarnwork.operators import learn as L
 from tarnwork.operators import prep as P
 from tarnwork.sources.config import eval_text
 from tarnwork.plans.common import RATED, SOURCED, norm, rated, sourced, table
@@ -87,6 +88,17 @@ O["candidate_profile"] = f"""WITH {RATED}, k AS (SELECT lang, {norm('text')} AS
 x AS (SELECT lang, (SELECT cast(sum(c) AS bigint) FROM k WHERE k.lang = l.lang) AS rows_raw, cast(sum(n) AS bigint) AS rows_after_dedup, count(*) AS n_classes, round(cast(max(n) AS double) / sum(n), 4) AS majority_share, cast(max(n) AS double) / sum(n) <= 0.9 AS majority_ok FROM l GROUP BY lang)
 SELECT *, rows_after_dedup >= 10000 AS rows_ok, n_classes >= 2 AS classes_ok, rows_after_dedup >= 10000 AND n_classes >= 2 AND majority_ok AS passes_without_headroom FROM x"""
 
+Q["headroom"] = lambda s, d: L.headroom(rated(s, d), "lang", "doc_id")
+
+
+def verdicts(s, d):
+    """Each source as a candidate, whole verdict; none of them is gated."""
+    x = rated(s, d)
+    return P.candidate_profile(x, "source", scores=L.headroom(x, "source", "doc_id").select("source", "headroom", F.lit(False).alias("gated")))
+
+
+Q["candidate_verdict"] = verdicts
+
 Q["source_by_label"] = lambda s, d: P.top_source_by_label(rated(s, d), "source")
 O["source_by_label"] = f"""WITH {RATED}, b AS (SELECT label, source, count(*) AS n FROM rated GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, source) AS r, sum(n) OVER (PARTITION BY label) AS a, count(*) OVER (PARTITION BY label) AS n_sources FROM b)
 SELECT label, source AS top_source, round(cast(n AS double) / a, 4) AS top_share, n_sources FROM r WHERE r = 1"""

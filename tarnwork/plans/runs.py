@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnwork.operators import runs as R
+from tarnwork.operators import prep as P
 from tarnwork.operators import stats as S
+from tarnwork.operators import training as L
 from tarnwork.plans.common import rated, table
 from tarnwork.sources import io
 
@@ -235,3 +237,24 @@ O["test_table"] = f"WITH {_SCAN} SELECT base, condition, count(*) AS n, count(*)
 Q["difference_intervals"] = lambda s, d: S.difference_intervals(runs(s, d), ["base"], "condition", "f1", "seed", 2000)
 Q["survival"] = lambda s, d: S.survival(cells(s, d).groupBy("base").agg((F.max("escape_rate") / 100).alias("accuracy")))
 O["survival"] = f"WITH {_C}, a AS (SELECT base, max(CASE WHEN n > 0 THEN round(k / cast(n AS double), 4) END) / 100 AS a FROM cl GROUP BY base), g AS (SELECT count(*) AS n, count(*) FILTER (WHERE coalesce(a, 0) < 0.01) AS dead FROM a) SELECT n, dead, CASE WHEN dead = 0 THEN 'SURVIVED' WHEN dead = n THEN 'ALL_DESTROYED' ELSE 'SOME_DESTROYED' END AS verdict FROM g"
+
+
+def trained(s, d):
+    """Records of two runs on the most frequent language's rated documents: alone, and after a stage on the other languages."""
+    x = rated(s, d)
+    first = x.groupBy("lang").count().orderBy(F.desc("count"), "lang").first()["lang"]
+    target = P.stratified_split(x.filter(F.col("lang") == first).select("doc_id", "text", "label"), "doc_id")
+    other = x.filter(F.col("lang") != first).select("doc_id", "text", "label")
+    how = {"base": "b1", "seed": 13, "train_size": 20_000, "settings": L.Settings(batch=256, max_steps=8, eval_every=4, epochs=2), "test": True}
+    return L.records(s, [L.run(target, "doc_id", condition="plain", **how), L.run(target, "doc_id", condition="staged", source=other, source_name="others", **how)])
+
+
+def training_history(s, d):
+    """The evaluated steps of the runs trained here, with what H2-H9 make of them."""
+    r = io.parse_runs(trained(s, d)).select("r.base", "r.condition", "r.seed", F.explode("r.step_history").alias("h"))
+    h = r.select("base", "condition", "seed", F.col("h.step").cast("long").alias("step"), F.col("h.eval_macro_f1").alias("f1"))
+    return h.join(R.summarise(h, KEYS, target_steps=2), KEYS).select(*KEYS, "step", "f1", "selected_step", "terminal_step", "verdict")
+
+
+Q["training_history"] = training_history
+Q["training_violations"] = lambda s, d: R.violations(io.parse_runs(trained(s, d)), R.record_rules())
