@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tarnwork.functions import tables
 from tarnwork.operators import vectors as X
 from tarnwork.plans.common import table
+from tarnwork.sources import tensors
 
 Q: dict = {}
 O: dict[str, str] = {}
@@ -67,6 +71,19 @@ Q["assemble_matrix"] = lambda s, d: X.assemble(base(s, d).select("id"), base(s,
 O["assemble_matrix"] = f"WITH {_E} SELECT b.id, CASE WHEN b.id IN (0, 1) THEN 'special' WHEN b.id % 3 <> 0 THEN 'anchor' ELSE 'reconstructed' END AS origin, round(list_sum(CASE WHEN b.id IN (0, 1) OR b.id % 3 <> 0 THEN b.vec ELSE m.vec END), 5) AS total FROM bas b LEFT JOIN made m USING (id)"
 
 
+def reread(s, d):
+    """The embeddings through tensor files: written by the tasks that hold them, read back in ranges of rows."""
+    path = f"{tables.shared(s)}/tensors-{uuid.uuid4().hex}"
+    s.dataSource.register(tensors.TensorRows)
+    table(s, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: x.cast("float")).alias("vec")).write.format("tensor_rows").mode("append").save(path)
+    return s.read.format("tensor_rows").load(path)
+
+
+Q["tensor_rows"] = lambda s, d: reread(s, d).select("id", F.size("vec").alias("width"), F.round(X.norm(F.col("vec")), 6).alias("norm"), F.round(F.get(X.normalise(F.col("vec")), 0), 6).alias("first"))
+O["tensor_rows"] = """WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: cast(cast(x AS float) AS double)) AS v FROM embeddings), n AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM v)
+SELECT id, cast(len(v) AS int) AS width, round(n, 6) AS norm, round(v[1] / greatest(n, 1e-8), 6) AS first FROM n"""
+
+
 def omp(s, d):
     v = donor(s, d)
     return X.omp_weights(v.filter(f"NOT ({ANCHOR})"), v.filter(ANCHOR), 6, 32)

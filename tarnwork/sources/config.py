@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 from tarnwork.functions import text as T
 
 
-def unfilled(config, mark: str = "<FILL", path: str = "") -> list[str]:
-    """Paths of values that still hold a placeholder, at any depth."""
+#: The value that stands where one is still to be filled in (fixed).
+PLACEHOLDER = "FILL"
+
+
+def unfilled(config, mark: str = PLACEHOLDER, path: str = "") -> list[str]:
+    """Paths of values that are still the placeholder, at any depth; a text that merely holds it is a value."""
     if isinstance(config, dict):
         return [p for k, v in config.items() for p in unfilled(v, mark, f"{path}.{k}" if path else str(k))]
     if isinstance(config, (list, tuple)):
         return [p for i, v in enumerate(config) for p in unfilled(v, mark, f"{path}[{i}]")]
-    return [path] if isinstance(config, str) and mark in config else []
+    return [path] if config == mark else []
 
 
 def content_hash(raw: bytes) -> str:
@@ -29,9 +33,9 @@ def content_hash(raw: bytes) -> str:
 
 
 def verify_lock(files: dict[str, bytes], lock: dict[str, str]) -> None:
-    """Raises once, with every file that is missing, unlocked or changed."""
-    wrong = [f"{n}: missing" for n in lock if n not in files] + [f"{n}: not locked" for n in files if n not in lock]
-    wrong += [f"{n}: changed" for n, raw in files.items() if n in lock and content_hash(raw) != lock[n]]
+    """Raises once, with every locked file that is missing or changed. Entries of the lock that begin with an underscore are comments; files outside it are nobody's concern."""
+    locked = {n: h for n, h in lock.items() if not n.startswith("_")}
+    wrong = [f"{n}: missing" if n not in files else f"{n}: changed" for n, h in locked.items() if n not in files or content_hash(files[n]) != h]
     if wrong:
         raise ValueError("; ".join(sorted(wrong)))
 

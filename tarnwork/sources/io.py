@@ -10,7 +10,9 @@ import json
 import math
 import os
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,6 +68,22 @@ def decode_csv(raw: bytes) -> tuple[list[dict], str]:
     raise AssertionError("the last encoding reads any bytes")
 
 
+def read_csv_folder(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all files of a folder: path, encoding (the first of ENCODINGS that fits the whole file), row (its place, from 0), values (by column).
+
+    Each file is decoded strictly, by one task, so only its size bounds it; a row with fewer fields than the header has nulls, further fields are left out.
+    """
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows, encoding = decode_csv(raw.as_py())
+                values = [[(k, v) for k, v in r.items() if k is not None] for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array([encoding] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array(values, pa.map_(pa.string(), pa.string()))], names=["path", "encoding", "row", "values"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(decode, "path string, encoding string, row long, values map<string,string>")
+
+
 def write_csv_bom(df: DataFrame, path: str, columns: list[str]) -> None:
     """A small report as CSV with a byte-order mark, columns in this order, nulls empty; streamed, not collected."""
     with open(path, "wb") as raw:
@@ -146,10 +164,33 @@ def append_ledger(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+#: A line of a run's log: time, level, logger and message between bars; STEP and STAGE messages and the note on the restored state (fixed forms).
+LOG_LINE = r"^(\d\d:\d\d:\d\d) \| (\w+)\s*\| ([\w.]+) \| (.*)$"
+STEP_LINE = r"^STEP step=(\d+) loss=(\S+) dt_sec=([\d.]+) cum_wall_sec=([\d.]+)$"
+STAGE_LINE = r"^STAGE=(\w+) (\S+)"
+RESTORED_LINE = r"^Best checkpoint restored and verified: step (\d+), val macro-F1 = ([\d.]+)"
+
+
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a folder of logs, with the run that a file's name tells (base, condition, train_size, seed, started) and each line's place in its file (block, line)."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    part = lambda pattern: F.nullif(F.regexp_extract("file", pattern, 1), F.lit(""))
+    return lines.select("file", part(r"^base=(.+?)__").alias("base"), part(r"__cond=(.+?)__").alias("condition"), part(r"__n=(\d+)__").cast("long").alias("train_size"), part(r"__seed=(\d+)__").cast("long").alias("seed"), part(r"__([0-9TZ]+)\.log$").alias("started"), "block", "line", "value")
+
+
 def parse_log(lines: DataFrame) -> DataFrame:
-    """Step lines of training logs: value -> step, seconds."""
-    step, sec = F.regexp_extract("value", r"STEP\s+(\d+)", 1), F.regexp_extract("value", r"(\d+\.\d+)\s*s", 1)
-    return lines.filter(F.col("value").contains("STEP")).select(F.when(step != "", step.cast("long")).alias("step"), F.when(sec != "", sec.cast("double")).alias("seconds"))
+    """Lines (value, and whatever is beside it) with time, level, logger, kind (step, stage, restored, other; null if it is no log line) and what the message says:
+    step, loss, dt_sec, cum_wall_sec of a step; stage and event (start, end, cache_hit=...) of a stage, with runtime_sec; step and score of the restored state."""
+    at = lambda c, pattern, i: F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
+    m = F.col("message")
+    d = lines.withColumns({c: at(F.col("value"), LOG_LINE, i + 1) for i, c in enumerate(("time", "level", "logger", "message"))})
+    step, stage, restored = (m.rlike(p) for p in (STEP_LINE, STAGE_LINE, RESTORED_LINE))
+    d = d.withColumn("kind", F.when(m.isNull(), None).when(step, "step").when(stage, "stage").when(restored, "restored").otherwise("other"))
+    # a loss may be nan: then it is null, as in a report
+    return d.withColumns({
+        "step": F.coalesce(at(m, STEP_LINE, 1), at(m, RESTORED_LINE, 1)).cast("long"), "loss": finite(at(m, STEP_LINE, 2).try_cast("double")), "dt_sec": at(m, STEP_LINE, 3).cast("double"), "cum_wall_sec": at(m, STEP_LINE, 4).cast("double"),
+        "stage": at(m, STAGE_LINE, 1), "event": at(m, STAGE_LINE, 2), "runtime_sec": at(m, r"^STAGE=.* runtime_sec=([\d.]+)", 1).cast("double"), "score": at(m, RESTORED_LINE, 2).cast("double"),
+    }).drop("message", "value")
 
 
 def markdown(df: DataFrame, columns: list[str]) -> str:

@@ -348,10 +348,10 @@ def test_random_weights_are_normal(spark):
 def test_config():
     from tarnwork.sources import config
 
-    assert config.unfilled({"a": [1, {"b": "<FILL me>"}], "c": "x"}) == ["a[1].b"]
-    lock = {"x": config.content_hash(b"a\nb"), "gone": "0"}
-    config.verify_lock({"x": b"a\r\nb"}, {"x": lock["x"]})
-    with pytest.raises(ValueError, match="gone: missing; new: not locked; x: changed"):
+    assert config.unfilled({"a": {"b": "FILL", "e": [1, "FILL"]}, "c": "to FILL in", "d": None}) == ["a.b", "a.e[1]"]
+    lock = {"x": config.content_hash(b"a\nb"), "gone": "0", "_comment": "made by hand"}
+    config.verify_lock({"x": b"a\r\nb", "beside": b""}, {"x": lock["x"], "_comment": "text"})
+    with pytest.raises(ValueError, match="^gone: missing; x: changed$"):
         config.verify_lock({"x": b"other", "new": b""}, lock)
 
 
@@ -381,14 +381,44 @@ def test_texts_and_caches(spark, tmp_path):
         config.cached(spark, f"file://{tmp_path}/cache", {"a": 1, "b": [2]}, make)
     io.write_markdown(p, ["lang", "text"], f"{tmp_path}/t.md", [lines])
     assert (tmp_path / "t.md").read_text().startswith("| lang | text |") and lines in (tmp_path / "t.md.sources.json").read_text()
-    (tmp_path / "c.yaml").write_text("a: 1\nb: [x, '<FILL me>']\n")
+    (tmp_path / "c.yaml").write_text("a: 1\nb: [x, FILL]\n")
     with pytest.raises(ValueError, match=r"b\[1\]"):
         config.load_config(f"{tmp_path}/c.yaml")
     io.append_ledger(spark.range(2), f"{tmp_path}/ledger")
     io.append_ledger(spark.range(1), f"{tmp_path}/ledger")
     assert spark.read.json(f"{tmp_path}/ledger").count() == 3
-    log = spark.createDataFrame([("x STEP 10 took 0.66 s",), ("other",), ("STEP",)], "value string")
-    assert [tuple(r) for r in io.parse_log(log).collect()] == [(10, 0.66), (None, None)]
+
+
+def test_logs(spark, tmp_path):
+    """Lines of a real run's log."""
+    lines = [
+        "20:11:04 | INFO    | src.training.finetune |   [AZ mərhələsi] 2000 nümunə | 2 sinif | init=baza",
+        "20:11:05 | INFO    | src.training.finetune | STAGE=azerbaijani start ts=2026-09-08T20:11:05.047597+00:00 n=2000 n_classes=2",
+        "20:11:06 | INFO    | src.training.finetune | STEP step=10 loss=4.1386 dt_sec=0.83 cum_wall_sec=0.8",
+        "20:13:53 | INFO    | src.training.finetune | STEP step=2000 loss=nan dt_sec=0.76 cum_wall_sec=168.2",
+        "20:13:56 | INFO    | src.training.finetune | STAGE=azerbaijani end ts=2026-09-08T20:13:56.703761+00:00 runtime_sec=171.7",
+        "20:13:58 | INFO    | src.training.finetune | Best checkpoint restored and verified: step 1600, val macro-F1 = 0.7058",
+        "Traceback (most recent call last):",
+    ]
+    (tmp_path / "base=xlm15__cond=transplant_mean__n=2000__seed=1337__20260908T201104Z.log").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    (tmp_path / "other.log").write_text("20:11:06 | WARNING | a.b | x\n")
+    got = io.parse_log(io.read_logs(spark, str(tmp_path))).orderBy("file", "block", "line").collect()
+    assert [r["kind"] for r in got] == ["other", "stage", "step", "step", "stage", "restored", None, "other"]
+    assert [(r["step"], r["loss"], r["dt_sec"], r["cum_wall_sec"]) for r in got if r["kind"] == "step"] == [(10, 4.1386, 0.83, 0.8), (2000, None, 0.76, 168.2)]
+    assert [(r["stage"], r["event"], r["runtime_sec"]) for r in got if r["kind"] == "stage"] == [("azerbaijani", "start", None), ("azerbaijani", "end", 171.7)]
+    assert (got[5]["step"], got[5]["score"], got[0]["time"], got[-1]["level"], got[-1]["logger"]) == (1600, 0.7058, "20:11:04", "WARNING", "a.b")
+    assert tuple(got[0])[1:6] == ("xlm15", "transplant_mean", 2000, 1337, "20260908T201104Z") and tuple(got[-1])[1:6] == (None,) * 5
+
+
+def test_csv_folder(spark, tmp_path):
+    """Each file in its own encoding, read by the tasks."""
+    for name, raw in (("a.csv", "idx,text\n1,söz ğ\n2,\n".encode("utf-8-sig")), ("b.csv", "idx,text\n3,ğ\n".encode("cp1254")), ("c.csv", "idx,text\n4,ə\n5\n6,x,y\n".encode()), ("d.csv", b""), ("e.csv", b"idx,text\n7,\x81\x8d\n")):
+        (tmp_path / name).write_bytes(raw)
+    got = sorted((r["path"].rsplit("/", 1)[1], r["row"], r["encoding"], r["values"]) for r in io.read_csv_folder(spark, str(tmp_path)).collect())
+    assert got == [
+        ("a.csv", 0, "utf-8-sig", {"idx": "1", "text": "söz ğ"}), ("a.csv", 1, "utf-8-sig", {"idx": "2", "text": ""}), ("b.csv", 0, "cp1254", {"idx": "3", "text": "ğ"}),
+        ("c.csv", 0, "utf-8-sig", {"idx": "4", "text": "ə"}), ("c.csv", 1, "utf-8-sig", {"idx": "5", "text": None}), ("c.csv", 2, "utf-8-sig", {"idx": "6", "text": "x"}), ("e.csv", 0, "latin-1", {"idx": "7", "text": "\x81\x8d"}),
+    ]
 
 
 def test_degenerate_and_stream_cap(spark):
