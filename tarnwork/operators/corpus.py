@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.functions import encoding
 from tarnwork.functions import text as T
+from tarnwork.operators import order as ranks
 
 #: Characters of a token of the piece tokenizer, which stands in for a trained one.
 PIECE = 3
@@ -95,9 +96,13 @@ def truncation(measured: DataFrame, by: str, caps: tuple[int, ...] = (128, 256))
 
 
 def equal_first(df: DataFrame, by: str, order: str, cap: int | None = 2000) -> DataFrame:
-    """The first n rows of each group, n the smallest group's size, ``cap`` at most if there is one (a limit that the raw overlap asks for)."""
-    n = df.groupBy(by).agg(F.count("*").alias("n")).agg(F.least(F.min("n"), F.lit(cap)).alias("_n"))
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(order))).join(F.broadcast(n)).filter("_r <= _n").drop("_r", "_n")
+    """The first n rows of each group by ``order`` (numbers, unique within a group; rows without one are out), n the smallest group's size, ``cap`` at most if there is one (a limit that the raw overlap asks for)."""
+    sizes = df.groupBy(by).agg(F.count("*").alias("n"))
+    n = sizes.agg(F.least(F.min("n"), F.lit(cap)).alias("n")).first()["n"]
+    if not n:
+        return df.limit(0)
+    last = ranks.at_ranks(df.select(by, order), [by], order, {"_last": F.lit(n - 1)}).select(F.col(by).alias("_by"), "_last")  # one row for each group
+    return df.join(F.broadcast(last), F.col(by).eqNullSafe(F.col("_by")) & (F.col(order) <= F.col("_last"))).drop("_by", "_last")
 
 
 def types(df: DataFrame, by: str, alpha: bool, text: str = "text") -> DataFrame:

@@ -5,16 +5,23 @@ from __future__ import annotations
 import math
 import warnings
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-#: Anchors whose matrix is sent to every task, at most; beyond it the join form runs.
-MOST_ANCHORS = 200_000
-#: Rows of a block of targets or anchors in the join form, about; and targets compared at once.
-BLOCK, SLICE = 20_000, 256
+from tarnwork.functions import tables
+from tarnwork.operators import order
+
+#: Bytes of an anchor matrix that is sent to every task, at most; beyond it anchors are met in cells.
+MOST_BYTES = 64 << 20
+#: Anchors, or targets, of a task's block, about; targets compared at once; targets whose candidates' vectors meet in one task; cells at most.
+BLOCK, SLICE, GROUP, MOST_CELLS = 20_000, 256, 64, 4096
+#: Slack of angles, far above the rounding of cosines to nine places.
+SLACK = 1e-4
 
 
 def norm(v: Column) -> Column:
@@ -34,10 +41,29 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _array(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one length as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-8)
+
+
+def _fits(anchors: DataFrame) -> bool:
+    """Whether the anchors' matrix may be sent to every task."""
+    size = anchors.agg(F.sum(F.size("vec")).alias("n")).first()["n"] or 0
+    return 8 * size <= MOST_BYTES
+
+
 def _matrix(anchors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    rows = anchors.select("id", "vec").orderBy("id").collect()
-    m = np.array([r["vec"] for r in rows], np.float64)
-    return np.array([r["id"] for r in rows], np.int64), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-8)
+    """ids and unit vectors of few anchors, by id."""
+    t = anchors.select(F.col("id").cast("long"), "vec").toArrow()
+    ids, m = t["id"].to_numpy(), _array(t["vec"])
+    by = np.argsort(ids, kind="stable")
+    return ids[by], _unit(m[by])
 
 
 def _best(sim: np.ndarray, k: int) -> np.ndarray:
@@ -53,59 +79,141 @@ def _best(sim: np.ndarray, k: int) -> np.ndarray:
 
 
 def cosine_topk(targets: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
-    """targets, anchors (id, vec) -> id, rank, anchor_id, cosine of the k nearest; ties by anchor id. One pass over the targets, anchors sent to the tasks; more than ``MOST_ANCHORS`` in blocks."""
-    if anchors.count() > MOST_ANCHORS:
-        return cosine_topk_join(targets, anchors, k)
+    """targets, anchors (id, vec) -> id, rank, anchor_id, cosine of the k nearest; ties by anchor id. One pass over the targets if the anchors' matrix has MOST_BYTES at most, else by cells."""
+    if not _fits(anchors):
+        return cosine_topk_cells(targets, anchors, k)
     shared = targets.sparkSession.sparkContext.broadcast(_matrix(anchors))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, m = shared.value
-        for p in parts:
-            if not len(p):
-                continue
-            t = np.stack(p["vec"].to_numpy()).astype(np.float64)
-            t /= np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-8)
-            rows = max(1, min(SLICE, (32 << 20) // 8 // max(1, len(ids))))  # similarities of 32 MB at once
-            for i in range(0, len(t), rows):
-                sim = np.round(t[i : i + rows] @ m.T, 9)
+        rows = max(1, min(SLICE, (32 << 20) // 8 // max(1, len(ids))))  # similarities of 32 MB at once
+        for batch in batches:
+            for i in range(0, batch.num_rows if len(ids) else 0, rows):
+                part = batch.slice(i, rows)
+                sim = np.round(_unit(_array(part.column(1))) @ m.T, 9)
                 best = _best(sim, k)
                 n = best.shape[1]
-                yield pd.DataFrame({"id": np.repeat(p["id"].to_numpy()[i : i + rows], n), "rank": np.tile(np.arange(1, n + 1), len(sim)), "anchor_id": ids[best].ravel(), "cosine": np.take_along_axis(sim, best, 1).ravel()})
-
-    return targets.select("id", "vec").mapInPandas(run, "id long, rank long, anchor_id long, cosine double")
-
-
-def cosine_topk_join(targets: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
-    """The same as cosine_topk: each block of targets meets each block of anchors in a task, and a target's k nearest of every block are merged."""
-    return _nearest_join(targets, anchors, k).select("id", "rank", "anchor_id", "cosine")
-
-
-def _nearest_join(targets: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
-    """_row (of the target, so that repeated ids stay apart), id, rank, anchor_id, cosine, _at (the anchor's vector), _vec (the target's own, at rank 1)."""
-    n_t, n_a = (max(1, math.ceil(d.count() / BLOCK)) for d in (targets, anchors))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    t = targets.select(F.monotonically_increasing_id().alias("_row"), "id", "vec").withColumn("_t", F.pmod(F.xxhash64("_row"), F.lit(n_t)).cast("int")).withColumn("_a", each(n_a))
-    a = anchors.select("id", "vec").withColumn("_a", F.pmod(F.xxhash64("id"), F.lit(n_a)).cast("int")).withColumn("_t", each(n_t))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            right = right.sort_values("id", kind="stable")
-            ids, raw = right["id"].to_numpy(), np.stack(right["vec"].to_numpy()).astype(np.float64)
-            m = raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-8)
-            for i in range(0, len(left), SLICE):
-                p = left.iloc[i : i + SLICE]
-                x = np.stack(p["vec"].to_numpy()).astype(np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
-                sim = np.round(x @ m.T, 9)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.tile(np.arange(1, n + 1), len(sim))), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(sim, best, 1).ravel())], names=["id", "rank", "anchor_id", "cosine"])
+
+    return targets.select(F.col("id").cast("long").alias("id"), "vec").mapInArrow(run, "id long, rank long, anchor_id long, cosine double")
+
+
+def cosine_topk_cells(targets: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
+    """The same as cosine_topk for any number of anchors, exactly."""
+    rows, near = _nearest(targets, anchors, k)
+    return near.join(rows.select("_row", "id"), "_row").select("id", "rank", "anchor_id", "cosine")
+
+
+class _Cells(NamedTuple):
+    """Centres (unit vectors), and of each cell its radius as an angle and its anchors; one more cell, the last, has the anchors without a direction: its radius is half a turn."""
+
+    centres: np.ndarray
+    radius: np.ndarray
+    count: np.ndarray
+
+    def angles(self, unit: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(unit @ self.centres.T, -1, 1))
+
+
+def _placed(df: DataFrame, centres: np.ndarray) -> DataFrame:
+    """``df`` (.., id, vec) with the cell of the nearest centre and the angle to it; vectors without a direction are in the last."""
+    sent = df.sparkSession.sparkContext.broadcast(centres)
+    schema = StructType([*df.schema.fields, StructField("_cell", IntegerType()), StructField("_angle", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            unit = _unit(_array(batch.column("vec")))
+            cell, angle = np.zeros(len(unit), np.int32), np.zeros(len(unit))
+            for i in range(0, len(unit), SLICE):
+                cos = unit[i : i + SLICE] @ sent.value.T
+                cell[i : i + SLICE] = cos.argmax(axis=1)
+                angle[i : i + SLICE] = np.arccos(np.clip(cos.max(axis=1), -1, 1))
+            odd = np.abs(np.linalg.norm(unit, axis=1) - 1) > 1e-6
+            cell[odd], angle[odd] = len(sent.value), math.pi
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(angle)], names=[*batch.schema.names, "_cell", "_angle"])
+
+    return df.mapInArrow(run, schema)
+
+
+def _meet(targets: DataFrame, anchors: DataFrame, cells: _Cells, visits: dict[int, int], k: int) -> DataFrame:
+    """targets (_row, vec, _cell), anchors (id, vec, _cell) -> _row, anchor_id, cosine of the k nearest of each pair of blocks. ``visits``: targets of each cell.
+
+    A cell's anchors, and the targets that visit it, are dealt into blocks, so neither a cell nor a crowd of targets is one task.
+    """
+    spark = targets.sparkSession
+    sizes = spark.createDataFrame([(int(c), max(1, math.ceil(n / BLOCK)), max(1, math.ceil(visits.get(c, 0) / BLOCK))) for c, n in enumerate(cells.count.tolist()) if n], "_cell int, _na int, _nt int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    a = anchors.join(F.broadcast(sizes), "_cell").select("_cell", "id", "vec", deal("id", "_na").alias("_a"), each("_nt").alias("_t"))
+    t = targets.join(F.broadcast(sizes), "_cell").select("_cell", "_row", "vec", deal("_row", "_nt").alias("_t"), each("_na").alias("_a"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[], [], []]
+        if left.num_rows and right.num_rows:
+            ids = right["id"].to_numpy()
+            by = np.argsort(ids, kind="stable")
+            ids, m = ids[by], _unit(_array(right["vec"]))[by]
+            row = left["_row"].to_numpy()
+            rows = max(1, min(SLICE, (32 << 20) // 8 // len(ids)))
+            for i in range(0, len(row), rows):
+                sim = np.round(_unit(_array(left["vec"].slice(i, rows))) @ m.T, 9)
                 best = _best(sim, k)
-                n = best.shape[1]
-                out.append(pd.DataFrame({"_row": np.repeat(p["_row"].to_numpy(), n), "id": np.repeat(p["id"].to_numpy(), n), "anchor_id": ids[best].ravel(), "cosine": np.take_along_axis(sim, best, 1).ravel(), "_at": list(raw[best.ravel()]), "_vec": [v if r == 0 else None for v in p["vec"] for r in range(n)]}))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("_row", "id", "anchor_id", "cosine", "_at", "_vec")})
+                for o, x in zip(out, (np.repeat(row[i : i + rows], best.shape[1]), ids[best].ravel(), np.take_along_axis(sim, best, 1).ravel())):
+                    o.append(x)
+        return pa.table([pa.array(np.concatenate(o) if o else np.zeros(0), t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], names=["_row", "anchor_id", "cosine"])
 
-    found = t.groupBy("_t", "_a").cogroup(a.groupBy("_t", "_a")).applyInPandas(run, "_row long, id long, anchor_id long, cosine double, _at array<double>, _vec array<double>")
-    rank = F.row_number().over(Window.partitionBy("_row").orderBy(F.desc("cosine"), "anchor_id")).cast("long")
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    keys = ["_cell", "_a", "_t"]
+    return t.groupBy(*keys).cogroup(a.groupBy(*keys)).applyInArrow(run, "_row long, anchor_id long, cosine double")
+
+
+def _nearest(targets: DataFrame, anchors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Targets with a number of their own (_row, id, vec), and (_row, rank, anchor_id, cosine) of their k nearest anchors.
+
+    Anchors are dealt to cells around some of them. A target first meets its own cell; the k-th cosine found there bounds how far the k nearest can be. It then visits only
+    the cells that this bound can't exclude: those whose centre, less the cell's radius, is no farther. Only numbers and cosines are merged.
+    """
+    spark = targets.sparkSession
+    n = anchors.count()
+    some = anchors.orderBy(F.xxhash64("id"), "id").limit(min(MOST_CELLS, max(1, math.ceil(n / BLOCK)))).select("vec").toArrow()
+    rows = tables.written(targets.select(F.monotonically_increasing_id().alias("_row"), F.col("id").cast("long").alias("id"), "vec"), "targets")
+    nothing = spark.createDataFrame([], "_row long, rank long, anchor_id long, cosine double")
+    if not n:
+        return rows, nothing
+    centres = _unit(_array(some["vec"]))
+    dealt = tables.written(_placed(anchors.select(F.col("id").cast("long").alias("id"), "vec"), centres), "anchors")
+    radius, count = np.zeros(len(centres) + 1), np.zeros(len(centres) + 1, np.int64)
+    for r in dealt.groupBy("_cell").agg(F.max("_angle").alias("r"), F.count("*").alias("n")).collect():  # one row for each cell
+        radius[r["_cell"]], count[r["_cell"]] = r["r"], r["n"]
+    cells = _Cells(centres, radius, count)
+    home = tables.written(_placed(rows.select("_row", "vec"), centres), "homes")
+    visits = lambda df: {r["_cell"]: r["n"] for r in df.groupBy("_cell").agg(F.count("*").alias("n")).collect()}
+    first = tables.written(_meet(home.select("_row", "vec", "_cell"), dealt, cells, visits(home), k), "nearest")
+    kth = first.groupBy("_row").agg(F.get(F.sort_array(F.collect_list("cosine"), False), F.lit(k - 1)).alias("_kth"))  # k of each block of one cell
+    sent = spark.sparkContext.broadcast(cells)
+
+    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """_row, _cell of the cells that a target must visit besides its own."""
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                part, c = batch.slice(i, SLICE), sent.value
+                unit = _unit(_array(part.column("vec")))
+                bound = part.column("_kth").to_numpy(zero_copy_only=False)
+                odd = np.abs(np.linalg.norm(unit, axis=1) - 1) > 1e-6
+                reach = np.where(odd | np.isnan(bound), math.pi, np.arccos(np.clip(np.nan_to_num(bound), -1, 1))) + SLACK
+                near = np.hstack([c.angles(unit) - c.radius[:-1], np.full((len(unit), 1), -math.pi)]) <= reach[:, None]
+                near &= c.count > 0
+                near[odd] = c.count > 0
+                near[np.arange(len(unit)), part.column("_cell").to_numpy()] = False
+                who, cell = np.nonzero(near)
+                yield pa.RecordBatch.from_arrays([pa.array(part.column("_row").to_numpy()[who]), pa.array(cell.astype(np.int32))], names=["_row", "_cell"])
+
+    more = tables.written(home.join(kth, "_row", "left").select("_row", "vec", "_cell", "_kth").mapInArrow(further, "_row long, _cell int"), "visits")
+    second = _meet(more.join(rows.select("_row", "vec"), "_row"), dealt, cells, visits(more), k)
+    rank = F.row_number().over(Window.partitionBy("_row").orderBy(F.desc("cosine"), "anchor_id"))
+    near = first.unionByName(second).withColumn("rank", rank).filter(F.col("rank") <= k)
+    return rows, near.select("_row", F.col("rank").cast("long").alias("rank"), "anchor_id", "cosine")
 
 
 def mean_weights(top: DataFrame, k: int) -> DataFrame:
@@ -159,34 +267,52 @@ def omp_weights(targets: DataFrame, anchors: DataFrame, k: int, candidates: int)
     width = anchors.select(F.size("vec")).first()
     if width and candidates >= width[0]:
         warnings.warn(f"{candidates} candidates for vectors of {width[0]} components: more atoms than components, greedy choices may be wrong", stacklevel=2)
-    if anchors.count() > MOST_ANCHORS:
-        near = _nearest_join(targets, anchors, candidates).groupBy("_row", "id")
-        near = near.agg(F.first("_vec", ignorenulls=True).alias("vec"), F.sort_array(F.collect_list(F.struct("rank", "anchor_id", "_at"))).alias("near"))
-
-        def joined(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for p in parts:
-                out = []
-                for key, vec, near in zip(p["id"], p["vec"], p["near"]):
-                    m = np.stack([np.asarray(x["_at"], np.float64) for x in near])
-                    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-8)
-                    out += _sparse(key, vec, np.array([x["anchor_id"] for x in near], np.int64), m, k)
-                yield pd.DataFrame(out, columns=["id", "anchor_id", "w", "error", "cosine"])
-
-        return near.select("id", "vec", "near").mapInPandas(joined, schema)
+    if not _fits(anchors):
+        return _omp_cells(targets, anchors, k, candidates, schema)
     shared = targets.sparkSession.sparkContext.broadcast(_matrix(anchors))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, m = shared.value
-        for p in parts:
-            out = []
-            for key, vec in zip(p["id"], p["vec"]):
-                t = np.asarray(vec, np.float64)
-                t = t / max(float(np.linalg.norm(t)), 1e-8)
-                near = np.lexsort((ids, -np.round(m @ t, 9)))[:candidates]
-                out += _sparse(key, vec, ids[near], m[near], k)
-            yield pd.DataFrame(out, columns=["id", "anchor_id", "w", "error", "cosine"])
-
-    return targets.select("id", "vec").mapInPandas(run, schema)
+        rows = max(1, min(SLICE, (32 << 20) // 8 // max(1, len(ids))))
+        for batch in batches:
+            for i in range(0, batch.num_rows if len(ids) else 0, rows):
+                keys, t = batch.column(0)[i : i + rows].to_pylist(), _array(batch.column(1)[i : i + rows])
+                best = _best(np.round(_unit(t) @ m.T, 9), candidates)
+                yield _weights([x for key, vec, near in zip(keys, t, best) for x in _sparse(key, vec, ids[near], m[near], k)])
+
+    return targets.select(F.col("id").cast("long").alias("id"), "vec").mapInArrow(run, schema)
+
+
+def _weights(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), *[pa.float64()] * 3))], names=["id", "anchor_id", "w", "error", "cosine"])
+
+
+def _omp_cells(targets: DataFrame, anchors: DataFrame, k: int, candidates: int, schema: str) -> DataFrame:
+    """omp_weights for any number of anchors: targets of one cell, GROUP of them at a time, meet their candidates' vectors, each of which travels once for the group."""
+    rows, near = _nearest(targets, anchors, candidates)
+    near = tables.written(near, "candidates")
+    lists = near.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("rank", "anchor_id"))).alias("near"))
+    # targets with the same nearest anchor share most of the others
+    lists = rows.join(lists, "_row").withColumn("_first", F.get("near", F.lit(0))["anchor_id"])
+    crowd = lists.groupBy("_first").agg(F.ceil(F.count("*") / GROUP).alias("_n"))
+    lists = lists.join(crowd, "_first").withColumn("_part", F.pmod(F.xxhash64("_row"), F.col("_n")).cast("int")).select("_first", "_part", "_row", "id", "vec", F.transform("near", lambda x: x["anchor_id"]).alias("near"))
+    lists = tables.written(lists, "groups")
+    wanted = lists.select(F.col("_first").alias("_f"), F.col("_part").alias("_p"), F.explode("near").alias("anchor_id")).distinct()
+    atoms = wanted.join(anchors.select(F.col("id").cast("long").alias("anchor_id"), "vec"), "anchor_id")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if left.num_rows:
+            ids = right["anchor_id"].to_numpy()
+            by = np.argsort(ids)
+            ids, m = ids[by], _unit(_array(right["vec"]))[by]
+            for key, vec, near in zip(left["id"].to_pylist(), _array(left["vec"]), left["near"].to_pylist()):
+                at = np.searchsorted(ids, near)
+                out += _sparse(key, vec, ids[at], m[at], k)
+        return pa.Table.from_batches([_weights(out)])
+
+    return lists.groupBy("_first", "_part").cogroup(atoms.groupBy("_f", "_p")).applyInArrow(run, schema)
 
 
 def random_weights(top: DataFrame, k: int, seed: str) -> DataFrame:
@@ -201,15 +327,19 @@ def random_weights(top: DataFrame, k: int, seed: str) -> DataFrame:
 
 def reconstruction(weights: DataFrame) -> DataFrame:
     """Mean error, mean and tenth-percentile cosine over the targets."""
-    one = weights.groupBy("id").agg(F.first("error").alias("e"), F.first("cosine").alias("c"))
-    return one.agg(F.count("*").alias("n"), F.round(F.avg("e"), 4).alias("mean_l2"), F.round(F.avg("c"), 4).alias("mean_cosine"), F.round(F.percentile("c", F.lit(0.1)), 4).alias("p10_cosine"))
+    one = tables.written(weights.groupBy("id").agg(F.first("error").alias("e"), F.first("cosine").alias("c")), "errors")
+    means = one.agg(F.count("*").alias("n"), F.round(F.avg("e"), 4).alias("mean_l2"), F.round(F.avg("c"), 4).alias("mean_cosine"))
+    tenth = order.percentiles(one, [], "c", {"p": 0.1}).agg(F.round(F.max("p"), 4).alias("p10_cosine"))  # one row, none without targets
+    return means.join(F.broadcast(tenth))
 
 
 def norm_report(rows: DataFrame, by: str) -> DataFrame:
     """Statistics of the norms of each set of rows."""
-    d = rows.select(by, norm(F.col("vec")).alias("n"))
+    d = tables.written(rows.select(by, norm(F.col("vec")).alias("x")), "norms")
     r = lambda c: F.round(c, 4)
-    return d.groupBy(by).agg(F.count("*").alias("rows"), r(F.median("n")).alias("median"), r(F.avg("n")).alias("mean"), r(F.stddev_pop("n")).alias("sd"), r(F.min("n")).alias("min"), r(F.max("n")).alias("max"))
+    g = d.groupBy(by).agg(F.count("*").alias("rows"), r(F.avg("x")).alias("mean"), r(F.stddev_pop("x")).alias("sd"), r(F.min("x")).alias("min"), r(F.max("x")).alias("max"))
+    mid = order.percentiles(d, [by], "x", {"median": 0.5}).select(F.col(by).alias("_by"), r(F.col("median")).alias("median"))
+    return g.join(F.broadcast(mid), F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "rows", "median", "mean", "sd", "min", "max")
 
 
 def norm_health(report: DataFrame, by: str, made: str, anchor: str) -> DataFrame:
@@ -220,7 +350,7 @@ def norm_health(report: DataFrame, by: str, made: str, anchor: str) -> DataFrame
 
 def rescale(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     """Rows at the anchors' median norm, directions kept."""
-    med = anchors.agg(F.median(norm(F.col("vec"))).alias("_m"))
+    med = order.percentiles(anchors.select(norm(F.col("vec")).alias("x")), [], "x", {"_m": 0.5}).select("_m")
     return rows.join(F.broadcast(med)).select("id", scaled(F.col("vec"), F.col("_m") / F.greatest(norm(F.col("vec")), F.lit(1e-8))).alias("vec"))
 
 

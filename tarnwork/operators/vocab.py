@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.functions import bytelevel, encoding
+from tarnwork.operators import order
 
 #: Word-boundary marks (fixed values) and the shares above which they tell the scheme, in this order.
 PIECE_MARK, BYTE_MARK, CONT_MARK, END_MARK = "▁", "Ġ", "##", "</w>"
@@ -158,4 +159,4 @@ def partition_ids(vocab: DataFrame, donor: str, anchors: DataFrame, specials: Da
 def ranked_vocab(tokens: DataFrame) -> DataFrame:
     """(tokenizer, token) occurrences -> vocabulary with ids by falling count, then token."""
     g = tokens.groupBy("tokenizer", "token").agg(F.count("*").alias("n"))
-    return g.select("tokenizer", "token", (F.row_number().over(Window.partitionBy("tokenizer").orderBy(F.desc("n"), "token")) - 1).cast("long").alias("token_id"))
+    return order.dense_ranks(g, "tokenizer", "n", "token").select("tokenizer", "token", F.col("_rank").alias("token_id"))

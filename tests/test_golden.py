@@ -510,7 +510,7 @@ def test_nearest_in_blocks(spark, monkeypatch):
     targets, anchors = frame(0, 30).unionByName(frame(4, 5)), frame(30, 90)
     every = lambda: (sorted(map(tuple, vectors.cosine_topk(targets, anchors, 5).collect())), sorted(map(tuple, vectors.omp_weights(targets, anchors, 3, 8).collect())))
     top, weights = every()
-    monkeypatch.setattr(vectors, "MOST_ANCHORS", 10)
+    monkeypatch.setattr(vectors, "MOST_BYTES", 10)
     monkeypatch.setattr(vectors, "BLOCK", 7)
     monkeypatch.setattr(vectors, "SLICE", 4)
     top_b, weights_b = every()
