@@ -34,6 +34,12 @@ def rates(runs: DataFrame) -> DataFrame:
     return g.withColumn("rate_pct", F.round(100.0 * F.col("errors") / F.col("n"), 2))
 
 
+def rates_of_rows(predictions: DataFrame) -> DataFrame:
+    """The same of a row for each prediction (condition, gold, pred)."""
+    g = predictions.groupBy("condition").agg(F.count("*").alias("n"), F.count_if(F.col("gold") != F.col("pred")).alias("errors"))
+    return g.withColumn("rate_pct", F.round(100.0 * F.col("errors") / F.col("n"), 2))
+
+
 def shares(errors: DataFrame, by: str) -> DataFrame:
     g = errors.groupBy(by, "category").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy(by))

@@ -95,3 +95,20 @@ def dense_ranks(df: DataFrame, by: str, count: str, name: str, prefix: int = 3)
     rows = df.withColumn("_begin", begin).withColumn("_own", own)
     cond = F.col(f"r.{by}").eqNullSafe(F.col(f"g.{by}")) & (F.col(f"r.{count}") == F.col(f"g.{count}")) & F.col("r._begin").eqNullSafe(F.col("g._begin"))
     return rows.alias("r").join(ranges.alias("g"), cond).select(*(f"r.{c}" for c in df.columns), (F.col("_before") + F.col("_own") - 1).alias("_rank"))
+
+
+def positions(df: DataFrame, by: str, key: str) -> DataFrame:
+    """``df`` with _at: each row's place (from 0) in its group by ``key``, finite numbers that are unique in the group.
+
+    Rows are ordered only within one of BUCKETS equal parts of their group's range, behind as many as the parts before hold.
+    """
+    x = F.col(key).cast("double")
+    ends = df.groupBy(F.col(by).alias("_by")).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))  # one row for each group
+    rows = df.join(F.broadcast(ends), F.col(by).eqNullSafe(F.col("_by")))
+    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(BUCKETS - 1), F.floor((x - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * BUCKETS))).otherwise(0).cast("int")
+    rows = rows.withColumn("_part", part).withColumn("_own", F.row_number().over(Window.partitionBy("_by", "_part").orderBy(key)))
+    counts = rows.groupBy(F.col("_by").alias("_g"), F.col("_part").alias("_p")).agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_g", "_p", F.coalesce(before, F.lit(0)).alias("_before"))
+    out = rows.join(F.broadcast(counts), F.col("_by").eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    return out.select(*df.columns, (F.col("_before") + F.col("_own") - 1).alias("_at"))

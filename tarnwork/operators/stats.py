@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tarnwork.operators import order
+
 #: The normal quantile of the 95 % interval, whatever alpha is asked for.
 Z = 1.959963984540054
 
@@ -101,7 +103,7 @@ def effect(p: DataFrame) -> DataFrame:
     se = va + vb
     df = se * se / (va * va / F.greatest(F.col("a_n") - 1, F.lit(1)) + vb * vb / F.greatest(F.col("b_n") - 1, F.lit(1)))
     good = ok & (se > 0)
-    return p.select("*", F.when(ok, "MEASURED").otherwise("NOT MEASURED").alias("status"), F.when(ok, places(diff, 4)).alias("diff"), F.when(good & (pooled > 0), places(diff / pooled, 3)).alias("cohens_d"), F.when(good, F.round(diff / F.sqrt(se), 4)).alias("t"), F.when(good, F.round(df, 3)).alias("df"), F.when(good & (noise > 0), places(F.abs(diff) / noise, 2)).alias("diff_over_noise"))
+    return p.select("*", F.when(ok, "MEASURED").otherwise("NOT MEASURED").alias("status"), F.when(ok, places(diff, 4)).alias("diff"), F.when(good & (pooled > 0), places(diff / pooled, 3)).alias("cohens_d"), F.when(good, F.round(diff / F.sqrt(se), 4)).alias("t"), F.when(good, F.round(df, 3)).alias("df"), F.when(good & (noise > 0), places(F.abs(diff) / noise, 2)).alias("diff_over_noise"), F.when(ok, F.round(noise, 4)).alias("seed_std_pooled"))
 
 
 def paired(runs: DataFrame, group: list[str], condition: str, seed: str, escaped_only: bool = True) -> DataFrame:
@@ -218,6 +220,48 @@ def test_table(runs: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, "n", F.concat_ws("/", "k", "n").alias("escaped"), places("c", 4).alias("test_f1_conditional"), places("a", 4).alias("test_f1_all"), places("v", 4).alias("validation_f1_conditional"), places("d", 4).alias("delta_mean"))
 
 
+def _apart(runs: DataFrame, group: list[str], condition: str, seed: str) -> DataFrame:
+    """Pairs c1 < c2 of conditions on shared seeds: validation and test differences."""
+    side = lambda c, k: runs.select(*group, seed, F.col(condition).alias(c), F.col("selected_validation_macro_f1").alias(f"v{k}"), F.col("test_macro_f1").alias(f"t{k}"))
+    return side("c1", 1).join(side("c2", 2), [*group, seed]).filter("c1 < c2").select(*group, "c1", "c2", (F.col("v2") - F.col("v1")).alias("v"), (F.col("t2") - F.col("t1")).alias("t"))
+
+
+def test_contrasts(runs: DataFrame, group: list[str], condition: str, seed: str) -> DataFrame:
+    """Each pair of conditions on validation and on test rows: mean differences over the seeds that escaped in both (null without any), whether they have one sign, and differences of all runs' means."""
+    keys = [*group, "c1", "c2"]
+    shared = _apart(runs.filter("escaped"), group, condition, seed).groupBy(*keys).agg(F.count("*").alias("n_shared"), places(mean("v"), 4).alias("d_val"), places(mean("t"), 4).alias("d_test"))
+    cells = runs.groupBy(*group, condition).agg(mean("selected_validation_macro_f1").alias("v"), mean("test_macro_f1").alias("t"))
+    every = pairs(cells, group, condition).select(*keys, places(F.col("b_v") - F.col("a_v"), 4).alias("d_val_all"), places(F.col("b_t") - F.col("a_t"), 4).alias("d_test_all"))
+    same = F.signum("d_val") == F.signum("d_test")
+    return every.join(shared, keys, "left").select(*keys, F.coalesce("n_shared", F.lit(0)).alias("n_shared"), "d_val", "d_test", same.alias("same_sign"), "d_val_all", "d_test_all")
+
+
+def _and_all(df: DataFrame, by: str) -> DataFrame:
+    return df.withColumn(by, F.explode(F.array(F.col(by), F.lit("ALL"))))
+
+
+def generalisation_gap(runs: DataFrame, by: str) -> DataFrame:
+    """Test less validation score of the same weights, for each group and for ALL: runs, mean, median, deviation, least, most, and how many are below nil."""
+    d = _and_all(runs.filter(F.col("delta_test_minus_validation_matched").isNotNull()).select(by, F.col("delta_test_minus_validation_matched").alias("d")), by)
+    g = d.groupBy(by).agg(F.count("*").alias("n"), places(mean("d"), 4).alias("mean"), F.round(F.stddev_samp("d"), 4).alias("sd"), F.min("d").alias("min"), F.max("d").alias("max"), F.count_if(F.col("d") < 0).alias("negative"))
+    mid = order.percentiles(d, [by], "d", {"m": 0.5}).select(by, places("m", 4).alias("median"))
+    return g.join(F.broadcast(mid), by).select(by, "n", "mean", "median", "sd", "min", "max", "negative")
+
+
+def sign_agreement(contrasts: DataFrame, by: str, clear: float = 0.01) -> DataFrame:
+    """Of test_contrasts, for each group and for ALL: pairs with shared seeds whose differences have one sign, the same among those of ``clear`` size on validation, Pearson's r, and the ratio of the mean sizes."""
+    c = _and_all(contrasts.filter("n_shared > 0"), by)
+    big = F.abs("d_val") >= clear
+    g = c.groupBy(by).agg(F.count("*").alias("n"), F.count_if("same_sign").alias("agree"), F.count_if(big).alias("n_clear"), F.count_if(big & F.col("same_sign")).alias("agree_clear"), F.corr("d_val", "d_test").alias("r"), F.try_divide(F.sum(F.abs("d_test")), F.sum(F.abs("d_val"))).alias("ratio"))
+    return g.select(by, "n", "agree", "n_clear", "agree_clear", F.round("r", 4).alias("r"), F.round("ratio", 3).alias("ratio"))
+
+
+def paired_p(report: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """``paired``'s rows with the two-sided p of their t over n - 1 degrees of freedom, null where nothing is measured."""
+    d = report.withColumn("p", F.round(student_p_column(F.col("t").cast("double"), (F.col("n") - 1).cast("double")), 5))
+    return d.withColumn("significant", F.col("p") < alpha)
+
+
 def survival(health: DataFrame, least: float = 0.01) -> DataFrame:
     """(base, accuracy) of remade models: how many of them still predict, and what that says."""
     g = health.agg(F.count("*").alias("n"), F.count_if(F.coalesce("accuracy", F.lit(0.0)) < least).alias("dead"))

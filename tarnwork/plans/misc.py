@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tarnwork.functions import tables
 from tarnwork.operators import audit as A
 from tarnwork.operators import corpus as C
 from tarnwork.operators import errors as E
 from tarnwork.operators import grid as G
+from tarnwork.operators import order
 from tarnwork.operators import stats as S
 from tarnwork.plans.common import rated, table
 from tarnwork.plans.runs import _fisher
@@ -41,8 +42,8 @@ O["grid_budget"] = f"WITH {_G}, u AS (SELECT pos, sum(size * cast(0.01 AS double
 Q["grid_disk"] = lambda s, d: queue(s, d).agg(F.count("*").alias("n"), F.count_distinct("base", "tokenizer", "seed").alias("c")).select("n", "c", F.round(G.disk_need(F.col("c"), F.col("n"), 2, True), 4).alias("gb"))
 O["grid_disk"] = f"WITH {_G} SELECT count(*) AS n, count(DISTINCT base || tokenizer || seed) AS c, round((count(DISTINCT base || tokenizer || seed) * cast(1.2 AS double) + count(*) * cast(0.00025 AS double) + 4.8) * cast(1.15 AS double), 4) AS gb FROM q"
 DONE = "event_type = 'click'"
-Q["grid_resume"] = lambda s, d: G.remaining(queue(s, d), table(s, d, "events").filter(DONE).select(F.col("user_id").cast("int").alias("seed")).filter("seed IN (13, 42)").withColumn("size", F.lit(2000)), ["seed", "size"]).select("base", "condition", "size", "seed")
-O["grid_resume"] = f"WITH {_G} SELECT base, condition, size, seed FROM q WHERE NOT (size = 2000 AND seed IN (SELECT user_id FROM events WHERE {DONE} AND user_id IN (13, 42)))"
+Q["grid_resume"] = lambda s, d: G.remaining(queue(s, d), table(s, d, "events").filter(DONE).select(F.col("user_id").cast("int").alias("seed")).distinct().withColumn("size", F.lit(2000)), ["seed", "size"]).select("base", "condition", "size", "seed")
+O["grid_resume"] = f"WITH {_G} SELECT base, condition, size, seed FROM q WHERE NOT (size = 2000 AND seed IN (SELECT user_id FROM events WHERE {DONE}))"
 Q["grid_missing_stages"] = lambda s, d: G.missing_stages(q := queue(s, d).filter("turkish"), q.filter("seed <> 87"), ["base", "tokenizer", "seed"])
 O["grid_missing_stages"] = f"WITH {_G} SELECT DISTINCT base, tokenizer, seed FROM q WHERE turkish AND seed = 87"
 
@@ -89,9 +90,13 @@ Q["audit_intervals"] = lambda s, d: A.agreement_intervals(sheets(s, d).select(F.
 
 
 def probed(s, d):
-    """Sheets as a row for each annotator and place, the places of the probes among them."""
-    x = sheets(s, d).withColumn("idx", F.row_number().over(Window.orderBy("doc_id")) - 1).filter("idx < 100")  # a sheet is small
-    return x.select("idx", F.explode(F.array(F.struct(F.lit("h1").alias("annotator"), F.col("h1").alias("label")), F.struct(F.lit("h2").alias("annotator"), F.col("h2").alias("label")))).alias("x")).select("x.annotator", "idx", "x.label")
+    """What the annotators say at the probes' places in the order of the documents; only these places are sought."""
+    x = sheets(s, d)
+    n = x.count()
+    places = {f"p{p[0]}": F.lit(p[0]) for p in A.PROBES if p[0] < n}
+    at = order.at_ranks(x.select("doc_id"), [], "doc_id", places).select(F.explode(F.array(*(F.struct(F.lit(int(c[1:])).alias("idx"), F.col(c).alias("doc_id")) for c in places))).alias("p")).select("p.*")
+    y = x.join(F.broadcast(at), "doc_id")
+    return y.select("idx", F.explode(F.array(F.struct(F.lit("h1").alias("annotator"), F.col("h1").alias("label")), F.struct(F.lit("h2").alias("annotator"), F.col("h2").alias("label")))).alias("x")).select("x.annotator", "idx", "x.label")
 
 
 Q["audit_probes"] = lambda s, d: A.probe_failures(probed(s, d), s.createDataFrame([p[:2] for p in A.PROBES], "idx int, expected string"))
@@ -140,12 +145,12 @@ O["grid_hours"] = f"WITH {_G}, c AS (SELECT count(*) AS runs, count(DISTINCT CAS
 
 
 def predictions(s, d):
-    """Predictions of a keyword rule as arrays by language, in order of the documents; they are few."""
-    x = rated(s, d).withColumn("p", F.when(F.contains("text", F.lit("***")), 0).otherwise(1))
-    return x.groupBy(F.col("lang").alias("condition")).agg(F.sort_array(F.collect_list(F.struct("doc_id", F.col("label").cast("int").alias("g"), "p"))).alias("z")).select("condition", F.col("z.g").alias("gold"), F.col("z.p").alias("pred"))
+    """Predictions of a keyword rule, a row for each document, with its place in its language's order."""
+    x = rated(s, d).select(F.col("lang").alias("condition"), "doc_id", F.col("label").cast("int").alias("gold"), F.when(F.contains("text", F.lit("***")), 0).otherwise(1).alias("pred"))
+    return order.positions(tables.written(x, "predictions"), "condition", "doc_id").withColumnRenamed("_at", "pos")
 
 
-Q["error_rows"] = lambda s, d: E.explode_predictions(predictions(s, d)).withColumn("pos", F.col("pos").cast("long"))
+Q["error_rows"] = lambda s, d: predictions(s, d).filter("gold <> pred").select("condition", "pos", "gold", "pred")
 O["error_rows"] = "SELECT lang AS condition, pos, gold, pred FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, cast(quality AS int) AS gold, CASE WHEN contains(text, '***') THEN 0 ELSE 1 END AS pred FROM documents JOIN labels USING (doc_id)) WHERE gold <> pred"
-Q["error_rates"] = lambda s, d: E.rates(predictions(s, d))
+Q["error_rates"] = lambda s, d: E.rates_of_rows(predictions(s, d))
 O["error_rates"] = "WITH x AS (SELECT lang AS condition, quality AS gold, CASE WHEN contains(text, '***') THEN 0 ELSE 1 END AS pred FROM documents JOIN labels USING (doc_id)), g AS (SELECT condition, count(*) AS n, count(*) FILTER (WHERE gold <> pred) AS errors FROM x GROUP BY condition) SELECT *, round(cast(100 AS double) * errors / n, 2) AS rate_pct FROM g"

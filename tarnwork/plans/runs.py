@@ -86,8 +86,19 @@ RULES = [
     "has_keys", "has_version", "has_settings", "has_escaped", "has_steps", "verdict_known", "history_has_keys", "steps_increase", "classes_complete", "counts_whole", "selected_in_history", "escaped_matches", "escape_step_matches",
     "terminal_step_is_last", "terminal_score_is_last", "collapse_matches", "comparison_split_matches", "selection_known", "restored_verified", "restored_matches", "matched_step", "matched_score", "test_score_where_tested", "matched_delta", "no_test_score_elsewhere",
 ]
-Q["run_record_violations"] = lambda s, d: R.violations(io.parse_runs(records(s, d)), R.record_rules())
-O["run_record_violations"] = f"WITH {_RS} SELECT rule, CASE WHEN rule = 'has_version' THEN (SELECT count(*) FROM sr WHERE base = '0') ELSE 0 END AS n FROM (SELECT unnest({RULES!r}) AS rule)"
+
+
+def broken(s, d):
+    """Parsed records of which some seeds' break rules: no known verdict, another last step, a state not restored, another split, a score that the history lacks."""
+    r, odd = F.col("r"), lambda k, m: F.col("r.seed") % k == m
+    r = r.withField("per_run_verdict", F.when(odd(7, 3), "MAYBE").otherwise(F.col("r.per_run_verdict"))).withField("terminal_step", F.col("r.terminal_step") + F.when(odd(5, 2), 1).otherwise(0))
+    r = r.withField("test_comparison.restored_validation_macro_f1", F.when(~odd(11, 4), F.col("r.test_comparison.restored_validation_macro_f1"))).withField("test_comparison.eval_split", F.when(odd(13, 6), "val").otherwise(F.col("r.test_comparison.eval_split")))
+    return io.parse_runs(records(s, d)).withColumn("r", r.withField("escape_step", F.when(odd(3, 1) & F.col("r.escaped"), F.lit(-1).cast("long")).otherwise(F.col("r.escape_step"))))
+
+
+Q["run_record_violations"] = lambda s, d: R.violations(broken(s, d), R.record_rules())
+O["run_record_violations"] = f"""WITH {_RS} SELECT rule, (SELECT count(*) FILTER (WHERE CASE rule WHEN 'has_version' THEN base = '0' WHEN 'verdict_known' THEN seed % 7 = 3 WHEN 'terminal_step_is_last' THEN seed % 5 = 2 WHEN 'restored_verified' THEN seed % 11 = 4 WHEN 'restored_matches' THEN seed % 11 = 4
+WHEN 'comparison_split_matches' THEN seed % 13 = 6 WHEN 'escape_step_matches' THEN seed % 3 = 1 AND escaped ELSE false END) FROM sr) AS n FROM (SELECT unnest({RULES!r}) AS rule)"""
 Q["matched_delta"] = lambda s, d: R.matched_delta(runs(s, d).select(*KEYS, F.col("selected_f1").alias("val"), (F.col("selected_f1") * 0.9).alias("test"), F.col("terminal_f1").alias("terminal"))).select(*KEYS, F.round("delta", 4).alias("delta"), F.round("drift", 4).alias("drift"))
 O["matched_delta"] = f"WITH {_R} SELECT base, condition, seed, round(round(selected_f1 * cast(0.9 AS double) - selected_f1, 6), 4) AS delta, round(round(selected_f1 - terminal_f1, 6), 4) AS drift FROM rr"
 
@@ -150,6 +161,9 @@ Q["cohens_d"] = lambda s, d: contrasts(s, d).select("base", "c1", "c2", "cohens_
 O["cohens_d"] = f"WITH {_W} SELECT base, c1, c2, CASE WHEN ok AND se > 0 AND pooled > 0 THEN {_round('diff / pooled', 3)} END AS cohens_d FROM ef"
 Q["welch_t"] = lambda s, d: contrasts(s, d).select("base", "c1", "c2", "t", "df")
 O["welch_t"] = f"WITH {_W} SELECT base, c1, c2, CASE WHEN ok AND se > 0 THEN round(diff / sqrt(se), 4) END AS t, CASE WHEN ok AND se > 0 THEN round(se * se / ((av/an)*(av/an) / greatest(an - 1, 1) + (bv/bn)*(bv/bn) / greatest(bn - 1, 1)), 3) END AS df FROM ef"
+Q["arm_means"] = lambda s, d: contrasts(s, d).select("base", "c1", "c2", S.places("a_mean", 4).alias("mean_baseline"), S.places("b_mean", 4).alias("mean_comparison"), "seed_std_pooled")
+O["arm_means"] = f"WITH {_W} SELECT base, c1, c2, {_round('am')} AS mean_baseline, {_round('bm')} AS mean_comparison, CASE WHEN ok THEN round(noise, 4) END AS seed_std_pooled FROM ef"
+Q["paired_p"] = lambda s, d: S.paired_p(S.paired(runs(s, d), ["base"], "condition", "seed")).select("base", "c1", "c2", "n", "p", "significant")
 Q["welch_p"] = lambda s, d: contrasts(s, d).select("base", "c1", "c2", F.round(S.student_p_column("t", "df"), 5).alias("p"))
 _PT = f"SELECT a.base, a.condition AS c1, b.condition AS c2, count(*) AS n, {_mean('b.f1 - a.f1')} AS m, stddev_samp(b.f1 - a.f1) AS s, min(sign(b.f1 - a.f1)) = max(sign(b.f1 - a.f1)) AS same_sign FROM {{0}} a JOIN {{0}} b ON a.base = b.base AND a.seed = b.seed AND a.condition < b.condition GROUP BY ALL"
 _PO = f"SELECT base, c1, c2, n, CASE WHEN n >= 2 THEN 'MEASURED' ELSE 'NOT MEASURED' END AS status, CASE WHEN n >= 2 THEN {_round('m')} END AS mean_diff, CASE WHEN n >= 2 AND s > 0 THEN round(m / (s / sqrt(n)), 4) END AS t, CASE WHEN n >= 2 THEN same_sign END AS same_sign FROM g"
@@ -234,6 +248,25 @@ O["cell_details"] = f"""WITH {_SCAN}, g AS (SELECT base, condition, count(*) AS
 z AS (SELECT *, k / {_WL} AS p, cast({S.Z} AS double) AS z FROM g) SELECT base, condition, n, f AS n_escaped_then_collapsed, round(k / cast(n AS double), 4) AS escape_rate_sustained, round(greatest(0, (p + z*z/(2*n)) / (1 + z*z/n) - z / (1 + z*z/n) * sqrt(p*(1-p)/n + z*z/(4*n*n))), 4) AS sustained_lo, round(least(1, (p + z*z/(2*n)) / (1 + z*z/n) + z / (1 + z*z/n) * sqrt(p*(1-p)/n + z*z/(4*n*n))), 4) AS sustained_hi, dg AS n_tr_stage_degenerate, m AS tr_stage_macro_f1_mean, sp AS source_paths FROM z"""
 Q["test_table"] = lambda s, d: S.test_table(Q["run_scan"](s, d), CELL)
 O["test_table"] = f"WITH {_SCAN} SELECT base, condition, count(*) AS n, count(*) FILTER (WHERE escaped) || '/' || count(*) AS escaped, {_round(_mean('te', 'escaped'))} AS test_f1_conditional, {_round(_mean('te'))} AS test_f1_all, {_round(_mean('selected_f1', 'escaped'))} AS validation_f1_conditional, {_round(_mean('round(te - selected_f1, 6)'))} AS delta_mean FROM sn GROUP BY ALL"
+
+
+def tested(s, d):
+    """The scanned records, their test scores moved by the seed."""
+    te = F.round(F.col("test_macro_f1") + (F.col("seed") % 7) * F.lit(0.013), 6)
+    return Q["run_scan"](s, d).withColumn("test_macro_f1", te).withColumn("delta_test_minus_validation_matched", F.round(F.col("test_macro_f1") - F.col("selected_validation_macro_f1"), 6))
+
+
+_TST = f"""{_RS}, ts AS (SELECT base, condition, seed, escaped, selected_f1 AS v, round(round(selected_f1 * cast(0.9 AS double), 6) + (seed % 7) * cast(0.013 AS double), 6) AS t FROM sr WHERE base <> '0'),
+sd AS (SELECT a.base, a.condition AS c1, b.condition AS c2, count(*) AS n_shared, {_round(_mean('b.v - a.v'))} AS d_val, {_round(_mean('b.t - a.t'))} AS d_test FROM ts a JOIN ts b ON a.base = b.base AND a.seed = b.seed AND a.condition < b.condition WHERE a.escaped AND b.escaped GROUP BY ALL),
+cm AS (SELECT base, condition, {_mean('v')} AS v, {_mean('t')} AS t FROM ts GROUP BY ALL), tc AS (SELECT a.base, a.condition AS c1, b.condition AS c2, coalesce(n_shared, 0) AS n_shared, d_val, d_test, sign(d_val) = sign(d_test) AS same_sign, {_round('b.v - a.v')} AS d_val_all, {_round('b.t - a.t')} AS d_test_all
+FROM cm a JOIN cm b ON a.base = b.base AND a.condition < b.condition LEFT JOIN sd ON sd.base = a.base AND c1 = a.condition AND c2 = b.condition)"""
+Q["test_contrasts"] = lambda s, d: S.test_contrasts(tested(s, d), ["base"], "condition", "seed")
+O["test_contrasts"] = f"WITH {_TST} SELECT * FROM tc"
+Q["generalisation_gap"] = lambda s, d: S.generalisation_gap(tested(s, d), "base")
+O["generalisation_gap"] = f"WITH {_TST}, g AS (SELECT unnest([base, 'ALL']) AS base, round(t - v, 6) AS d FROM ts) SELECT base, count(*) AS n, {_round(_mean('d'))} AS mean, {_round('median(d)')} AS median, round(stddev_samp(d), 4) AS sd, min(d) AS min, max(d) AS max, count(*) FILTER (WHERE d < 0) AS negative FROM g GROUP BY base"
+Q["sign_agreement"] = lambda s, d: S.sign_agreement(S.test_contrasts(tested(s, d), ["base"], "condition", "seed"), "base")
+O["sign_agreement"] = f"""WITH {_TST}, g AS (SELECT unnest([base, 'ALL']) AS base, d_val, d_test, same_sign FROM tc WHERE n_shared > 0) SELECT base, count(*) AS n, count(*) FILTER (WHERE same_sign) AS agree, count(*) FILTER (WHERE abs(d_val) >= 0.01) AS n_clear, count(*) FILTER (WHERE abs(d_val) >= 0.01 AND same_sign) AS agree_clear,
+round(corr(d_val, d_test), 4) AS r, round(sum(abs(d_test)) / sum(abs(d_val)), 3) AS ratio FROM g GROUP BY base"""
 Q["difference_intervals"] = lambda s, d: S.difference_intervals(runs(s, d), ["base"], "condition", "f1", "seed", 2000)
 Q["survival"] = lambda s, d: S.survival(cells(s, d).groupBy("base").agg((F.max("escape_rate") / 100).alias("accuracy")))
 O["survival"] = f"WITH {_C}, a AS (SELECT base, max(CASE WHEN n > 0 THEN round(k / cast(n AS double), 4) END) / 100 AS a FROM cl GROUP BY base), g AS (SELECT count(*) AS n, count(*) FILTER (WHERE coalesce(a, 0) < 0.01) AS dead FROM a) SELECT n, dead, CASE WHEN dead = 0 THEN 'SURVIVED' WHEN dead = n THEN 'ALL_DESTROYED' ELSE 'SOME_DESTROYED' END AS verdict FROM g"

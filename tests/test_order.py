@@ -57,6 +57,15 @@ def test_dense_ranks(spark):
         assert [got[g, n] for *_, n in mine] == list(range(len(mine)))
 
 
+def test_positions(spark, monkeypatch):
+    monkeypatch.setattr(order, "BUCKETS", 4)
+    r = np.random.default_rng(5)
+    groups = {"a": r.permutation(500)[:60].tolist(), "b": [7], None: [3, 1_000_000, -5, 4]}
+    rows = [(g, int(k)) for g, keys in groups.items() for k in keys]
+    got = {(x["g"], x["k"]): x["_at"] for x in order.positions(spark.createDataFrame(rows, "g string, k long").repartition(3), "g", "k").collect()}
+    assert got == {(g, k): i for g, keys in groups.items() for i, k in enumerate(sorted(keys))}
+
+
 def brute(targets, anchors, k):
     unit = lambda v: v / max(np.linalg.norm(v), 1e-8)
     out = []
