@@ -5,19 +5,23 @@ of MEASURES is built over all texts that pass the fixed base rules: a histogram
 grow by GROWTH, so a quantile is right to that factor. Such sketches are merged by adding counts, and they are
 the same in every run and partitioning.
 
-A group's quartiles are drawn towards those of its language, and these towards the whole corpus's, as if the
+A group's quantiles are drawn towards those of its language, and these towards the whole corpus's, as if the
 parent had SHRINK texts in the group: small groups mostly follow their parent, large ones themselves, and no
-size switches anything. The upper limit of a share is
+size switches anything. The upper limit of a share is the last of the group's quantiles from the median up to
+99 % below its first gap: a step to the next quantile of more than
 
-    q75 + SPREAD * (q75 - q25) + EVENTS occurrences in a text of the group's median size,
+    SPREAD * (q - q25) + DEVIATIONS standard errors of q in a text of the group's median size.
 
-word length has limits SPREAD quartile ranges above q75 and below q25. Limits are joined back by language and
+So what is usual in a group stays, to its 99 % quantile, and a tail that is cut off from the rest doesn't lift the
+limit, whether it begins at 60 % or at 98 %. Zeros have a bucket of their own; where nearly all texts have none of
+a thing, the limit is zero. Word length has limits SPREAD quartile ranges above q75 and below q25. Limits are joined back by language and
 source. A text goes if it is over a limit by more than chance allows in a text of its size: DEVIATIONS
 standard errors of its count (for word length, of the mean of its words, if these vary by half the median).
 
 Null text has no words and fails the base rules. Null language or source is a group of its own; a group without
 a text that passes the base rules has its parent's limits. Repeated rows count each. Without rows there are no
-groups and the result is empty. Other columns are ignored, whatever their names.
+groups and the result is empty. Other columns are ignored, whatever their names. Texts of any length are read whole,
+in memory that grows with the longest one.
 """
 
 from __future__ import annotations
@@ -34,11 +38,14 @@ WINDOW = 5
 MIN_WORDS = 10
 #: Base rule: repeated words in percent of the words at most.
 MAX_REPEATED = 20
-SHRINK, SPREAD, EVENTS, DEVIATIONS = 50.0, 3.0, 4.0, 4.0
+SHRINK, SPREAD, DEVIATIONS = 50.0, 3.0, 4.0
+#: Quantiles of a sketch in percent; those from the median on are the steps that limits of shares climb.
+LEVELS = [25, *range(50, 96, 5), 99]
+MEDIAN, THIRD = LEVELS.index(50), LEVELS.index(75)
 #: Factor between the bounds of a sketch's buckets.
 GROWTH = 1.01
-#: Share -> (count, size, size of one occurrence).
-SHARES = {"symbol_share": ("n_symbols", "word_chars", 1), "dup_line_share": ("n_dup_lines", "n_lines", 1), "repeat_share": ("n_repeat_words", "n_words", WINDOW)}
+#: Share -> (count, size, what one occurrence adds to the count: a repetition both of its windows).
+SHARES = {"symbol_share": ("n_symbols", "word_chars", 1), "dup_line_share": ("n_dup_lines", "n_lines", 1), "repeat_share": ("n_repeat_words", "n_words", 2 * WINDOW)}
 MEASURES = [*SHARES, "word_length", "word_chars", "n_lines", "n_words"]
 LIMITS = [*(f"up_{m}" for m in SHARES), "up_word_length", "lo_word_length"]
 #: Bucket of zero, below all others.
@@ -87,18 +94,18 @@ def sketches(measured: DataFrame, group: list[str]) -> DataFrame:
     return measured.filter(~F.col("base_failed")).select(*group, each.alias("s")).groupBy(*group, "s.measure", "s.b").agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, group: list[str]) -> DataFrame:
-    """group, measure, n (texts) and the array q of the three quartiles."""
+def quantiles(sketch: DataFrame, group: list[str]) -> DataFrame:
+    """group, measure, n (texts) and the array q of the quantiles at LEVELS."""
     keys = [*group, "measure"]
     upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("b"))
     of = F.sum("n").over(Window.partitionBy(*keys))
     ranked = sketch.withColumn("upto", upto).withColumn("of", of)
-    at = [F.min(F.when(F.col("upto") * 4 >= F.col("of") * k, F.col("b"))) for k in (1, 2, 3)]
+    at = [F.min(F.when(F.col("upto") * 100 >= F.col("of") * k, F.col("b"))) for k in LEVELS]
     return ranked.groupBy(*keys).agg(F.max("of").alias("n"), F.array(*map(value_of, at)).alias("q"))
 
 
 def _drawn(own: DataFrame, parent: DataFrame, on: list[str]) -> DataFrame:
-    """Quartiles of ``own`` drawn towards their parent's, joined by ``on`` (nulls equal) and the measure; rows without own ones have the parent's."""
+    """Quantiles of ``own`` drawn towards their parent's, joined by ``on`` (nulls equal) and the measure; rows without own ones have the parent's."""
     cond = F.col("o.measure") == F.col("p.measure")
     for c in on:
         cond = cond & F.col(f"o.{c}").eqNullSafe(F.col(f"p.{c}"))
@@ -112,11 +119,11 @@ def limits(measured: DataFrame, group: list[str]) -> DataFrame:
     first = group[0]
     sketch = common.materialise(sketches(measured, group), "sketches")
     merged = lambda by: sketch.groupBy(*by, "measure", "b").agg(F.sum("n").alias("n"))
-    whole = quartiles(merged([]), [])
-    by_first = _drawn(quartiles(merged([first]), [first]), whole, [])
+    whole = quantiles(merged([]), [])
+    by_first = _drawn(quantiles(merged([first]), [first]), whole, [])
     names = measured.select(*group).distinct()
     all_names = names.select(*group, F.explode(F.array(*map(F.lit, MEASURES))).alias("measure"))
-    found = quartiles(sketch, group)
+    found = quantiles(sketch, group)
     same = F.col("a.measure") == F.col("f.measure")
     for c in group:
         same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"f.{c}"))
@@ -130,9 +137,18 @@ def limits(measured: DataFrame, group: list[str]) -> DataFrame:
     at = lambda m: F.max(F.when(F.col("measure") == m, F.col("q")))
     flat = drawn.groupBy(*group).agg(*(at(m).alias(f"q_{m}") for m in MEASURES))
     q = lambda m, k: F.get(f"q_{m}", F.lit(k))
-    ups = [(q(m, 2) + SPREAD * (q(m, 2) - q(m, 0)) + EVENTS * unit / F.greatest(F.lit(1.0), q(size, 1))).alias(f"up_{m}") for m, (_, size, unit) in SHARES.items()]
-    length = SPREAD * (q("word_length", 2) - q("word_length", 0))
-    return flat.select(*group, *ups, (q("word_length", 2) + length).alias("up_word_length"), (q("word_length", 0) - length).alias("lo_word_length"), q("word_length", 1).alias("mid_word_length"))
+    ups = [below_gap([q(m, k) for k in range(len(LEVELS))], F.greatest(F.lit(1.0), q(size, MEDIAN)), unit).alias(f"up_{m}") for m, (_, size, unit) in SHARES.items()]
+    length = SPREAD * (q("word_length", THIRD) - q("word_length", 0))
+    return flat.select(*group, *ups, (q("word_length", THIRD) + length).alias("up_word_length"), (q("word_length", 0) - length).alias("lo_word_length"), q("word_length", MEDIAN).alias("mid_word_length"))
+
+
+def below_gap(q: list[Column], size: Column, unit: int) -> Column:
+    """The last of the quantiles from the median on before the first step that is wider than the span below it and chance explain."""
+    out = q[-1]
+    for here, above in reversed(list(zip(q[MEDIAN:], q[MEDIAN + 1 :]))):
+        error = F.sqrt(F.greatest(here * size, F.lit(float(unit))) * unit) / size
+        out = F.when(above - here > SPREAD * (here - q[0]) + DEVIATIONS * error, here).otherwise(out)
+    return out
 
 
 def clearly_over() -> Column:
@@ -162,21 +178,29 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORD = r"[^\x20\x09-\x0D]"
 _LN = f"cast('{math.log(GROWTH)!r}' AS double)"
-_Q = ", ".join(f"min(CASE WHEN upto * 4 >= n * {k} THEN b END) AS b{k}" for k in (1, 2, 3))
-_V = ", ".join(f"CASE WHEN b{k} = {ZERO} THEN 0.0 ELSE exp((b{k} + 0.5) * {_LN}) END AS q{k}" for k in (1, 2, 3))
+_Q = ", ".join(f"min(CASE WHEN upto * 100 >= n * {k} THEN b END) AS b{k}" for k in LEVELS)
+_V = ", ".join(f"CASE WHEN b{k} = {ZERO} THEN 0.0 ELSE exp((b{k} + 0.5) * {_LN}) END AS q{k}" for k in LEVELS)
 
 
-def _quartiles(by: str) -> str:
+def _quantiles(by: str) -> str:
     keys = ", ".join([*by.split(), "measure"])
     return f"""(SELECT {keys}, n, {_V} FROM (SELECT {keys}, max(n) AS n, {_Q} FROM (SELECT {keys}, b, sum(c) OVER (PARTITION BY {keys} ORDER BY b) AS upto, sum(c) OVER (PARTITION BY {keys}) AS n
 FROM (SELECT {keys}, b, sum(c) AS c FROM sk GROUP BY ALL)) GROUP BY {keys}))"""
 
 
-_DRAWN = ", ".join(f"CASE WHEN o.q{k} IS NULL THEN p.q{k} ELSE (coalesce(o.n, 0) * o.q{k} + cast({SHRINK} AS double) * p.q{k}) / (coalesce(o.n, 0) + cast({SHRINK} AS double)) END AS q{k}" for k in (1, 2, 3))
-_AT = ", ".join(f"max(CASE WHEN measure = '{m}' THEN q{k} END) AS {m}_{k}" for m in MEASURES for k in (1, 2, 3))
-_UPS = ", ".join(f"{m}_3 + {SPREAD} * ({m}_3 - {m}_1) + {EVENTS} * {unit} / greatest(1.0, {size}_2) AS up_{m}" for m, (_, size, unit) in SHARES.items())
+_DRAWN = ", ".join(f"CASE WHEN o.q{k} IS NULL THEN p.q{k} ELSE (coalesce(o.n, 0) * o.q{k} + cast({SHRINK} AS double) * p.q{k}) / (coalesce(o.n, 0) + cast({SHRINK} AS double)) END AS q{k}" for k in LEVELS)
+_QS = ", ".join(f"q{k}" for k in LEVELS)
+_AT = ", ".join(f"max(CASE WHEN measure = '{m}' THEN q{k} END) AS {m}_{k}" for m in MEASURES for k in LEVELS)
+def _below_gap(m: str, size: str, unit: int) -> str:
+    size = f"greatest(1.0, {size}_50)"
+    steps = zip(LEVELS[MEDIAN:], LEVELS[MEDIAN + 1 :])
+    whens = " ".join(f"WHEN {m}_{b} - {m}_{a} > {SPREAD} * ({m}_{a} - {m}_25) + {DEVIATIONS} * sqrt(greatest({m}_{a} * {size}, {unit}) * {unit}) / {size} THEN {m}_{a}" for a, b in steps)
+    return f"CASE {whens} ELSE {m}_{LEVELS[-1]} END AS up_{m}"
+
+
+_UPS = ", ".join(_below_gap(m, size, unit) for m, (_, size, unit) in SHARES.items())
 _OVER = " OR ".join(f"{count} > up_{m} * {size} + {DEVIATIONS} * sqrt(greatest(up_{m} * {size}, {unit}) * {unit})" for m, (count, size, unit) in SHARES.items())
-_ERROR = f"{DEVIATIONS} * word_length_2 / 2 / sqrt(cast(greatest(n_words, 1) AS double))"
+_ERROR = f"{DEVIATIONS} * word_length_50 / 2 / sqrt(cast(greatest(n_words, 1) AS double))"
 SQL = f"""
 WITH w AS MATERIALIZED (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l FROM documents),
 x AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
@@ -188,11 +212,11 @@ c AS (SELECT w.doc_id, lang, source, cast(len(w) AS bigint) AS n_words, cast(len
 m AS MATERIALIZED (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed, {", ".join(f"{count} / cast(greatest({size}, 1) AS double) AS {m}" for m, (count, size, _) in SHARES.items())}, word_chars / cast(greatest(n_words, 1) AS double) AS word_length FROM c),
 sk AS MATERIALIZED (SELECT lang, source, measure, CASE WHEN v > 0 THEN cast(floor(ln(v) / {_LN}) AS int) ELSE {ZERO} END AS b, count(*) AS c FROM (
   {" UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, cast({m} AS double) AS v FROM m WHERE NOT base_failed" for m in MEASURES)}) GROUP BY ALL),
-qa AS {_quartiles("")}, ql AS {_quartiles("lang")}, qo AS {_quartiles("lang source")},
+qa AS {_quantiles("")}, ql AS {_quantiles("lang")}, qo AS {_quantiles("lang source")},
 names AS (SELECT * FROM (SELECT DISTINCT lang, source FROM m), (SELECT unnest({MEASURES!r}) AS measure)),
-dl AS (SELECT o.lang, p.measure, {_DRAWN} FROM (SELECT x.lang, x.measure, n, q1, q2, q3 FROM (SELECT DISTINCT lang, measure FROM names) x LEFT JOIN ql ON x.lang IS NOT DISTINCT FROM ql.lang AND x.measure = ql.measure) o JOIN qa p ON o.measure = p.measure),
-d AS (SELECT o.lang, o.source, p.measure, {_DRAWN} FROM (SELECT x.lang, x.source, x.measure, n, q1, q2, q3 FROM names x LEFT JOIN qo ON x.lang IS NOT DISTINCT FROM qo.lang AND x.source IS NOT DISTINCT FROM qo.source AND x.measure = qo.measure) o JOIN dl p ON o.measure = p.measure AND o.lang IS NOT DISTINCT FROM p.lang),
+dl AS (SELECT o.lang, p.measure, {_DRAWN} FROM (SELECT x.lang, x.measure, n, {_QS} FROM (SELECT DISTINCT lang, measure FROM names) x LEFT JOIN ql ON x.lang IS NOT DISTINCT FROM ql.lang AND x.measure = ql.measure) o JOIN qa p ON o.measure = p.measure),
+d AS (SELECT o.lang, o.source, p.measure, {_DRAWN} FROM (SELECT x.lang, x.source, x.measure, n, {_QS} FROM names x LEFT JOIN qo ON x.lang IS NOT DISTINCT FROM qo.lang AND x.source IS NOT DISTINCT FROM qo.source AND x.measure = qo.measure) o JOIN dl p ON o.measure = p.measure AND o.lang IS NOT DISTINCT FROM p.lang),
 f AS (SELECT lang, source, {_AT} FROM d GROUP BY lang, source),
-lim AS (SELECT *, {_UPS}, word_length_3 + {SPREAD} * (word_length_3 - word_length_1) AS up_word_length, word_length_1 - {SPREAD} * (word_length_3 - word_length_1) AS lo_word_length FROM f),
-j AS (SELECT m.*, {", ".join(f"t.{c}" for c in LIMITS)}, word_length_2 FROM m LEFT JOIN lim t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source)
+lim AS (SELECT *, {_UPS}, word_length_75 + {SPREAD} * (word_length_75 - word_length_25) AS up_word_length, word_length_25 - {SPREAD} * (word_length_75 - word_length_25) AS lo_word_length FROM f),
+j AS (SELECT m.*, {", ".join(f"t.{c}" for c in LIMITS)}, word_length_50 FROM m LEFT JOIN lim t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce({_OVER} OR word_length > up_word_length + {_ERROR} OR word_length < lo_word_length - {_ERROR}, false) AS kept, {", ".join(f"round({c}, 6) AS {c}" for c in LIMITS)} FROM j"""

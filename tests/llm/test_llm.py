@@ -1,6 +1,7 @@
 """Training-data operators against brute force, round trips and held-out accuracy, with odd rows in every table."""
 
 import itertools
+import math
 import random
 import re
 import zlib
@@ -394,22 +395,33 @@ def test_quality(spark, corpus):
 
 
 def limits_by_force(rows):
-    """rows: (group, values of op8_quality.MEASURES) of texts that pass; the quartiles exactly, drawn towards the language's and the corpus's."""
-    def quartiles(some):
-        cols = [sorted(c) for c in zip(*some)]
-        return [[c[-(-len(c) * k // 4) - 1] for k in (1, 2, 3)] for c in cols]
+    """rows: (group, values of op8_quality.MEASURES) of texts that pass; quantiles of the values to 1 %, drawn towards the language's and the corpus's."""
+    def mid(v):
+        step = math.log(op8_quality.GROWTH)
+        return math.exp((math.floor(math.log(v) / step) + 0.5) * step) if v > 0 else 0.0
+
+    def quantiles(some):
+        cols = [sorted(map(mid, c)) for c in zip(*some)]
+        return [{k: c[-(-len(c) * k // 100) - 1] for k in (25, *range(50, 96, 5), 99)} for c in cols]
 
     def drawn(some, parent):
-        return [[(len(some) * x + op8_quality.SHRINK * y) / (len(some) + op8_quality.SHRINK) for x, y in zip(a, b)] for a, b in zip(quartiles(some), parent)]
+        return [{k: (len(some) * a[k] + op8_quality.SHRINK * b[k]) / (len(some) + op8_quality.SHRINK) for k in a} for a, b in zip(quantiles(some), parent)]
+
+    def climb(q, size, unit):
+        at = [k for k in q if k >= 50]
+        for here, above in zip(at, at[1:]):
+            if q[above] - q[here] > 3 * (q[here] - q[25]) + 4 * math.sqrt(max(q[here] * size, unit) * unit) / size:
+                return q[here]
+        return q[99]
 
-    whole = quartiles([v for _, v in rows])
+    whole = quantiles([v for _, v in rows])
     lang = {g: drawn([v for (x, _), v in rows if x == g], whole) for g in {x for (x, _), _ in rows}}
     out = {}
     for g in {g for g, _ in rows}:
         q = dict(zip(op8_quality.MEASURES, drawn([v for x, v in rows if x == g], lang[g[0]])))
-        out[g] = [q[m][2] + 3 * (q[m][2] - q[m][0]) + 4 * unit / max(1, q[size][1]) for m, (_, size, unit) in op8_quality.SHARES.items()]
-        spread = 3 * (q["word_length"][2] - q["word_length"][0])
-        out[g] += [q["word_length"][2] + spread, q["word_length"][0] - spread]
+        out[g] = [climb(q[m], max(1, q[size][50]), unit) for m, size, unit in (("symbol_share", "word_chars", 1), ("dup_line_share", "n_lines", 1), ("repeat_share", "n_words", 10))]
+        spread = 3 * (q["word_length"][75] - q["word_length"][25])
+        out[g] += [q["word_length"][75] + spread, q["word_length"][25] - spread]
     return out
 
 
@@ -428,10 +440,20 @@ def test_limits_against_exact_quantiles(spark):
     got = [{(x["lang"], x["source"]): [x[c] for c in op8_quality.LIMITS] for x in op8_quality.limits(df.repartition(n), ["lang", "source"]).collect()} for n in (1, 7)]
     assert got[0] == got[1] and set(got[0]) == set(want)
     for g, v in want.items():
-        assert got[0][g][:3] == pytest.approx(v[:3], rel=0.08) and got[0][g][3:] == pytest.approx(v[3:], abs=0.25), g  # buckets are 1 % wide
+        assert got[0][g] == pytest.approx(v, rel=1e-9), g
     assert got[0][("en", "b")][0] > 1.5 * got[0][("en", "a")][0]
 
 
+def test_limits_below_a_gap(spark):
+    """A tail that is cut off doesn't lift a limit, whatever part of the group it is; what is usual in a group stays."""
+    r = random.Random(5)
+    shares = {"clean": 0, "few": 0.03, "many": 0.3, "usual": 1}
+    rows = [(i, "en", g, 200, 1000, int(r.random() < p) and r.randint(150, 400), 20, 0, 0) for i, (g, p) in enumerate([x for x in shares.items() for _ in range(800)])]
+    df = op8_quality.shares(spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"))
+    got = {x["source"]: x["up_symbol_share"] for x in op8_quality.limits(df, ["lang", "source"]).collect()}
+    assert got["clean"] == got["few"] == 0 and got["many"] < 0.02 and got["usual"] > 0.35
+
+
 def test_quality_of_the_documents(spark):
     """Texts full of symbols go, nearly all others stay, whatever the partitions."""
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("n_lines", F.lit(1))
