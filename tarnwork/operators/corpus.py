@@ -78,6 +78,41 @@ def fertility_gain(base: DataFrame, donor: DataFrame, by: str) -> DataFrame:
     return j.withColumn("gain_pct", F.round(100.0 * (F.col("base_micro") - F.col("donor_micro")) / F.greatest("base_micro", F.lit(1e-9)), 2))
 
 
+def word_counts(df: DataFrame, by: str, text: str = "text") -> DataFrame:
+    """by, word, n: how often each word stands in each group's texts."""
+    return df.select(by, F.explode(T.words(F.col(text))).alias("word")).groupBy(by, "word").agg(F.count("*").alias("n"))
+
+
+def common_words(counts: DataFrame, least: int) -> DataFrame:
+    """The words that stand ``least`` times or more in all groups together: a vocabulary of whole words."""
+    return counts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("word")
+
+
+def lookup_fertility(counts: DataFrame, vocab: DataFrame, by: str) -> DataFrame:
+    """by, micro: tokens a word where the vocabulary's words are one token and all others one for each character. Groups without words have no row."""
+    j = counts.join(vocab.select("word", F.lit(1).alias("one")), "word", "left")
+    g = j.groupBy(by).agg(F.sum(F.col("n") * F.coalesce("one", F.char_length("word"))).alias("t"), F.sum("n").alias("w"))
+    return g.select(by, F.round(F.col("t") / F.col("w"), 4).alias("micro"))
+
+
+def accent_confound(plain: DataFrame, stripped: DataFrame, vocab: DataFrame, by: str, lost: list[str], apart: list[str], kept: list[str], rare: int = 10) -> DataFrame:
+    """Whether a vocabulary learned without accents could use texts that keep them, for each group.
+
+    ``plain`` and ``stripped`` are (by, micro) of texts with and without accents, ``vocab`` holds the tokens (word). Letters fall in
+    three kinds: ``lost`` ones carry a mark that stripping takes, ``apart`` ones are letters of their own, ``kept`` ones carry no mark.
+    n_lost, n_apart and n_kept count tokens by letter (a token with two of them counts for each). Keeping accents is worse if it takes
+    more tokens; GONE: worse, and no token holds a lost letter; HELPS: not worse; MIXED: worse though some tokens hold them.
+    """
+    kinds = {"lost": lost, "apart": apart, "kept": kept}
+    hits = vocab.agg(*(F.count_if(F.contains("word", F.lit(x))).alias(f"{k}_{i}") for k, some in kinds.items() for i, x in enumerate(some)))
+    total = lambda k: sum((F.col(f"{k}_{i}") for i in range(len(kinds[k]))), F.lit(0)).cast("long")
+    seen = hits.select(*(total(k).alias(f"n_{k}") for k in kinds))
+    j = plain.select(by, F.col("micro").alias("plain")).join(stripped.select(by, F.col("micro").alias("stripped")), by).join(F.broadcast(seen))
+    j = j.withColumn("delta", F.round(F.col("plain") - F.col("stripped"), 4)).withColumn("worse", F.col("plain") > F.col("stripped"))
+    verdict = F.when(~F.col("worse"), "HELPS").when(F.col("n_lost") == 0, "GONE").otherwise("MIXED")
+    return j.select(by, "plain", "stripped", "delta", "worse", "n_lost", "n_apart", "n_kept", F.col("n_apart").between(1, rare).alias("apart_rare"), verdict.alias("verdict"))
+
+
 def length_stats(measured: DataFrame, by: str) -> DataFrame:
     """Exact statistics of n_tokens; lengths are counted by value first, so no task holds a group's texts."""
     counted = measured.groupBy(by, "n_tokens").agg(F.count("*").alias("c"))
@@ -154,9 +189,10 @@ def mask_positions(tokens: Column, special: Column, key: Column, seed: str = "17
     return F.transform(F.when(F.size(chosen) > 0, chosen).otherwise(F.slice(F.array_sort(at), 1, 1)), lambda x: x["i"])
 
 
-def bits_per_char(lines: DataFrame, vocab_size: int | None = None) -> DataFrame:
-    """Over lines (nats, masked, tokens, chars, correct): bits a character, top-1 accuracy; with a vocabulary's size also a random guess's accuracy and how often better."""
-    g = lines.agg(*(F.sum(c).alias(c) for c in ("nats", "masked", "tokens", "chars", "correct")))
+def bits_per_char(lines: DataFrame, vocab_size: int | str | None = None) -> DataFrame:
+    """Over lines (nats, masked, tokens, chars, correct): bits a character, top-1 accuracy; with a vocabulary's size (a number, or the column of ``lines`` that holds it) also a random guess's accuracy and how often better."""
+    size = F.max(vocab_size) if isinstance(vocab_size, str) else F.lit(vocab_size)
+    g = lines.agg(*(F.sum(c).alias(c) for c in ("nats", "masked", "tokens", "chars", "correct")), size.cast("long").alias("v"))
     bits = F.col("nats") / F.greatest("masked", F.lit(1)) * F.col("tokens") / F.log(F.lit(2.0))
-    guess = [] if vocab_size is None else [F.round(F.lit(1.0 / vocab_size), 8).alias("random_guess"), F.round(F.col("correct") / F.greatest("masked", F.lit(1)) * vocab_size, 2).alias("over_random")]
+    guess = [] if vocab_size is None else [F.round(1.0 / F.col("v"), 8).alias("random_guess"), F.round(F.col("correct") / F.greatest("masked", F.lit(1)) * F.col("v"), 2).alias("over_random")]
     return g.select("masked", "tokens", "chars", *guess, F.round(bits / F.greatest("chars", F.lit(1)), 4).alias("bpc"), F.round(F.col("correct") / F.greatest("masked", F.lit(1)), 4).alias("top1"))

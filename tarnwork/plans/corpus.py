@@ -79,15 +79,56 @@ WHERE length(l) BETWEEN 40 AND 400 AND len(list_filter(string_split(trim(regexp_
 
 
 TOKENIZER, OTHER = "byte_bpe_50k.json", "word_bpe_49k.json"
-Q["bpc_baseline"] = lambda s, d: C.bits_per_char(measured(s, d).select(F.lit(1.0).alias("nats"), F.lit(4).cast("long").alias("masked"), F.col("n_tokens").alias("tokens"), F.char_length("text").cast("long").alias("chars"), F.lit(1).cast("long").alias("correct")), 50_257).select("random_guess", "over_random", "top1")
-O["bpc_baseline"] = "SELECT round(cast(1 AS double) / 50257, 8) AS random_guess, round(cast(0.25 AS double) * 50257, 2) AS over_random, cast(0.25 AS double) AS top1"
+
+
+def guessing(s, d):
+    """A model that always says the corpus's most frequent word, and is as sure of each word as of any other, on the masked places of ``mask_counts``."""
+    x = table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("w", T.split_words(F.col("text")))
+    top = x.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n")).agg(F.count("*").alias("v"), F.max_by("word", F.struct("n", "word")).alias("top"))
+    x = x.withColumn("m", C.mask_positions(F.col("w"), F.transform("w", lambda y: F.char_length(y) < 2), F.col("doc_id"))).join(F.broadcast(top))
+    right = F.size(F.filter("m", lambda k: F.get("w", k) == F.col("top")))
+    return x.select((F.size("m") * F.ln("v")).alias("nats"), F.size("m").cast("long").alias("masked"), F.size("w").cast("long").alias("tokens"), F.char_length("text").cast("long").alias("chars"), right.cast("long").alias("correct"), "v")
+
+
+Q["bpc_baseline"] = lambda s, d: C.bits_per_char(guessing(s, d), "v")
+O["bpc_baseline"] = r"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '[\s\x0B\x1C-\x1F\x85\p{Z}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents), e AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM w),
+f AS (SELECT count(*) AS v, arg_max(x, {'n': n, 'x': x}) AS top FROM (SELECT x, count(*) AS n FROM e GROUP BY x)), h AS (SELECT doc_id, x, i, left(md5('17:' || doc_id || ':' || i), 8) AS h FROM e WHERE length(x) >= 2),
+g AS (SELECT doc_id, count(*) FILTER (WHERE h < '26666666') AS k, arg_min(i, {'h': h, 'i': i}) AS b FROM h GROUP BY doc_id), p AS (SELECT h.x FROM h JOIN g USING (doc_id) WHERE h < '26666666' OR (k = 0 AND i = b)),
+t AS (SELECT (SELECT count(*) FROM p) AS masked, (SELECT count(*) FROM p, f WHERE x = top) AS correct, cast(sum(len(w)) AS bigint) AS tokens, cast(sum(length(text)) AS bigint) AS chars FROM w)
+SELECT masked, tokens, chars, round(cast(1 AS double) / v, 8) AS random_guess, round(correct / cast(masked AS double) * v, 2) AS over_random, round(ln(v) * tokens / ln(2) / chars, 4) AS bpc, round(correct / cast(masked AS double), 4) AS top1 FROM t, f"""
 Q["fertility_encoded"] = lambda s, d: C.sample_fertility(C.encoded_lengths(table(s, d, "documents").select("lang", "text"), TOKENIZER), "lang")
 Q["truncation_between"] = lambda s, d: (lambda x: C.truncation_between(C.encoded_lengths(x, TOKENIZER), C.encoded_lengths(x, OTHER), "lang"))(table(s, d, "documents").select("lang", "text"))
 Q["accent_flag_delta"] = lambda s, d: (lambda x: C.sample_fertility(C.encoded_lengths(x, TOKENIZER), "lang").select("lang", F.col("fertility").alias("plain")).join(C.sample_fertility(C.encoded_lengths(x.withColumn("text", B.strip_accents(F.lower("text"))), TOKENIZER), "lang").select("lang", F.col("fertility").alias("stripped")), "lang").withColumn("delta", F.round(F.col("plain") - F.col("stripped"), 3)))(table(s, d, "documents").select("lang", F.coalesce("text", F.lit("")).alias("text")))
 PROBE_WORDS = ["gəlmişdilər", "qanunvericilik", "təyyarə", "kompüter", "xəstəxanalarımızda", "əməkdaşlıq", "işləyirlər"]  # fixed values
 Q["probe_words"] = lambda s, d: encoding.encoded(s.createDataFrame([(w,) for w in PROBE_WORDS], "word string"), "word", TOKENIZER).select("word", F.size("ids").cast("long").alias("n_pieces"))
-Q["fertility_gain"] = lambda s, d: C.fertility_gain(C.fertility(measured(s, d), "lang"), C.fertility(measured(s, d).withColumn("n_tokens", F.col("n_words")), "lang"), "lang")
-O["fertility_gain"] = f"WITH {_FERT} SELECT lang, micro AS base_micro, cast(1 AS double) AS donor_micro, round(cast(100 AS double) * (micro - 1) / greatest(micro, 1e-9), 2) AS gain_pct FROM f"
+#: A vocabulary holds the words that stand this often.
+LEAST = 5
+LOST, APART, KEPT = ["é", "ñ", "ä", "ö", "ü", "ç"], ["ß"], ["w"]
+_COUNTS = r"c AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS word FROM documents) GROUP BY ALL)"
+_LOOKUP = "(SELECT lang, round(sum(n * CASE WHEN word IN (FROM {v}) THEN 1 ELSE length(word) END) / cast(sum(n) AS double), 4) AS micro FROM {t} GROUP BY lang)"
+
+
+def counted(s, d):
+    return C.word_counts(table(s, d, "documents").select("lang", "text"), "lang")
+
+
+Q["fertility_gain"] = lambda s, d: C.fertility_gain(C.fertility(measured(s, d), "lang"), C.lookup_fertility(c := counted(s, d), C.common_words(c, LEAST), "lang"), "lang")
+O["fertility_gain"] = f"WITH {_FERT}, {_COUNTS}, v AS (SELECT word FROM c GROUP BY word HAVING sum(n) >= {LEAST}), l AS {_LOOKUP.format(v='v', t='c')} SELECT lang, f.micro AS base_micro, l.micro AS donor_micro, round(cast(100 AS double) * (f.micro - l.micro) / greatest(f.micro, 1e-9), 2) AS gain_pct FROM f JOIN l USING (lang)"
+
+
+def confound(s, d):
+    """A vocabulary of words without accents, on texts with and without them."""
+    c = counted(s, d)
+    bare = c.withColumn("word", B.strip_accents("word")).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    vocab = C.common_words(bare, LEAST)
+    return C.accent_confound(C.lookup_fertility(c, vocab, "lang"), C.lookup_fertility(bare, vocab, "lang"), vocab, "lang", LOST, APART, KEPT)
+
+
+_SEEN = lambda some: " + ".join(f"count(*) FILTER (WHERE contains(word, '{x}'))" for x in some)
+Q["accent_confound"] = confound
+O["accent_confound"] = f"""WITH {_COUNTS}, b AS (SELECT lang, strip_accents(lower(word)) AS word, sum(n) AS n FROM c GROUP BY ALL), v AS (SELECT word FROM b GROUP BY word HAVING sum(n) >= {LEAST}),
+p AS {_LOOKUP.format(v='v', t='c')}, s AS {_LOOKUP.format(v='v', t='b')}, k AS (SELECT {_SEEN(LOST)} AS n_lost, {_SEEN(APART)} AS n_apart, {_SEEN(KEPT)} AS n_kept FROM v)
+SELECT lang, p.micro AS plain, s.micro AS stripped, round(p.micro - s.micro, 4) AS delta, p.micro > s.micro AS worse, n_lost, n_apart, n_kept, n_apart BETWEEN 1 AND 10 AS apart_rare, CASE WHEN p.micro <= s.micro THEN 'HELPS' WHEN n_lost = 0 THEN 'GONE' ELSE 'MIXED' END AS verdict FROM p JOIN s USING (lang), k"""
 Q["mask_counts"] = lambda s, d: table(s, d, "documents").select("doc_id", T.split_words(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), C.mask_positions(F.col("w"), F.transform("w", lambda x: F.char_length(x) < 2), F.col("doc_id")).alias("m")).select("doc_id", "n", F.size("m").cast("long").alias("masked"), F.array_min("m").cast("long").alias("first"))
 O["mask_counts"] = r"""WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(text, '[\s\x0B\x1C-\x1F\x85\p{Z}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents), e AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM w),
 h AS (SELECT doc_id, i, left(md5('17:' || doc_id || ':' || i), 8) AS h FROM e WHERE length(x) >= 2), g AS (SELECT doc_id, count(*) FILTER (WHERE h < '26666666') AS k, min(i) FILTER (WHERE h < '26666666') AS f, arg_min(i, {'h': h, 'i': i}) AS b FROM h GROUP BY doc_id)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarnwork.functions import tables
@@ -17,33 +18,38 @@ from tarnwork.plans.runs import _fisher
 Q: dict = {}
 O: dict[str, str] = {}
 
-SIZES = [500, 2000, 10000, 20937]
+#: Sizes of training parts, besides all rows of a language; the first ones are also those of the intermediate stage.
+SIZES, MIDDLE, REFERENCE = [25, 100, 500, 2000, 10000], [25, 100], 100
 SEEDS, FEW = [13, 21, 42, 87, 2024], [13, 42, 2024]
+CONDITIONS = [("plain", 0, "orig", False, None), ("swapped", 1, "new", False, None), ("plain_mid", 2, "orig", True, MIDDLE), ("swapped_mid", 3, "new", True, MIDDLE)]
 
 
 def queue(s, d):
-    bases = s.createDataFrame([("b1", 0, SIZES), ("b2", 1, [2000, 500])], "base string, base_pos int, sizes array<int>")
-    conds = s.createDataFrame([("plain", 0, "orig", False, None), ("swapped", 1, "new", False, None), ("plain_mid", 2, "orig", True, [500, 2000]), ("swapped_mid", 3, "new", True, [500, 2000])], "condition string, cond_pos int, tokenizer string, turkish boolean, sizes array<int>")
-    return G.expand(bases, conds, 2000, SEEDS, FEW)
-
-
-_G = """ba AS (SELECT * FROM (VALUES ('b1', 0, [500, 2000, 10000, 20937]), ('b2', 1, [2000, 500])) t(base, bp, sizes)), bs AS (SELECT base, bp, unnest(sizes) AS size, generate_subscripts(sizes, 1) AS sp FROM ba),
-co AS (SELECT * FROM (VALUES ('plain', 0, 'orig', false, NULL), ('swapped', 1, 'new', false, NULL), ('plain_mid', 2, 'orig', true, [500, 2000]), ('swapped_mid', 3, 'new', true, [500, 2000])) t(condition, cp, tokenizer, turkish, only_)),
-j AS (SELECT * FROM bs JOIN co ON only_ IS NULL OR list_contains(only_, size)), e AS (SELECT *, CASE WHEN size <= 2000 THEN [13, 21, 42, 87, 2024] ELSE [13, 42, 2024] END AS se FROM j), x AS (SELECT *, unnest(se) AS seed, generate_subscripts(se, 1) AS dp FROM e),
-q AS (SELECT base, size, condition, tokenizer, turkish, seed, row_number() OVER (ORDER BY size <> 2000, bp, CASE WHEN size <> 2000 THEN sp ELSE 0 END, cp, dp) - 1 AS pos FROM x)"""
+    """The grid over the languages of the documents, each in the sizes that its rows allow."""
+    n = table(s, d, "documents").filter("lang IS NOT NULL").groupBy("lang").agg(F.count("*").cast("int").alias("n"))
+    sizes = F.concat(F.filter(F.array(*map(F.lit, SIZES)), lambda x: x < F.col("n")), F.array("n"))
+    bases = n.select(F.col("lang").alias("base"), F.row_number().over(Window.orderBy("lang")).alias("base_pos"), sizes.alias("sizes"))  # a row a language
+    conds = s.createDataFrame(CONDITIONS, "condition string, cond_pos int, tokenizer string, turkish boolean, sizes array<int>")
+    return G.expand(bases, conds, REFERENCE, SEEDS, FEW)
+
+
+_G = f"""ba AS (SELECT lang AS base, row_number() OVER (ORDER BY lang) AS bp, list_concat(list_filter({SIZES!r}, lambda x: x < n), [n]) AS sizes FROM (SELECT lang, cast(count(*) AS int) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang)), bs AS (SELECT base, bp, unnest(sizes) AS size, generate_subscripts(sizes, 1) AS sp FROM ba),
+co AS (SELECT * FROM (VALUES ('plain', 0, 'orig', false, NULL), ('swapped', 1, 'new', false, NULL), ('plain_mid', 2, 'orig', true, {MIDDLE!r}), ('swapped_mid', 3, 'new', true, {MIDDLE!r})) t(condition, cp, tokenizer, turkish, only_)),
+j AS (SELECT * FROM bs JOIN co ON only_ IS NULL OR list_contains(only_, size)), e AS (SELECT *, CASE WHEN size <= 2000 THEN {SEEDS!r} ELSE {FEW!r} END AS se FROM j), x AS (SELECT *, unnest(se) AS seed, generate_subscripts(se, 1) AS dp FROM e),
+q AS (SELECT base, size, condition, tokenizer, turkish, seed, row_number() OVER (ORDER BY size <> {REFERENCE}, bp, CASE WHEN size <> {REFERENCE} THEN sp ELSE 0 END, cp, dp) - 1 AS pos FROM x)"""
 Q["grid_queue"] = queue
 O["grid_queue"] = f"WITH {_G} SELECT * FROM q"
 Q["grid_shared_stages"] = lambda s, d: G.shared_stages(queue(s, d), "turkish", ["base", "tokenizer", "seed"])
 O["grid_shared_stages"] = f"WITH {_G} SELECT count(*) AS requests, count(DISTINCT base || tokenizer || seed) AS builds FROM q WHERE turkish"
 Q["grid_injective"] = lambda s, d: G.injective(queue(s, d), ["base", "condition", "size", "seed"])
-O["grid_injective"] = f"WITH {_G} SELECT count(*) AS n, count(*) AS n_distinct, true AS ok FROM q"
+O["grid_injective"] = f"WITH {_G} SELECT count(*) AS n, count(DISTINCT concat_ws(':', base, condition, size, seed)) AS n_distinct, count(*) = count(DISTINCT concat_ws(':', base, condition, size, seed)) AS ok FROM q"
 Q["grid_budget"] = lambda s, d: G.admit(queue(s, d), F.col("size") * 0.01 + 20, 2500.0).select("pos", F.round("until", 2).alias("until"), "admitted")
 O["grid_budget"] = f"WITH {_G}, u AS (SELECT pos, sum(size * cast(0.01 AS double) + 20) OVER (ORDER BY pos) AS u FROM q) SELECT pos, round(u, 2) AS until, u <= 2500 AS admitted FROM u"
 Q["grid_disk"] = lambda s, d: queue(s, d).agg(F.count("*").alias("n"), F.count_distinct("base", "tokenizer", "seed").alias("c")).select("n", "c", F.round(G.disk_need(F.col("c"), F.col("n"), 2, True), 4).alias("gb"))
 O["grid_disk"] = f"WITH {_G} SELECT count(*) AS n, count(DISTINCT base || tokenizer || seed) AS c, round((count(DISTINCT base || tokenizer || seed) * cast(1.2 AS double) + count(*) * cast(0.00025 AS double) + 4.8) * cast(1.15 AS double), 4) AS gb FROM q"
 DONE = "event_type = 'click'"
-Q["grid_resume"] = lambda s, d: G.remaining(queue(s, d), table(s, d, "events").filter(DONE).select(F.col("user_id").cast("int").alias("seed")).distinct().withColumn("size", F.lit(2000)), ["seed", "size"]).select("base", "condition", "size", "seed")
-O["grid_resume"] = f"WITH {_G} SELECT base, condition, size, seed FROM q WHERE NOT (size = 2000 AND seed IN (SELECT user_id FROM events WHERE {DONE}))"
+Q["grid_resume"] = lambda s, d: G.remaining(queue(s, d), table(s, d, "events").filter(DONE).select(F.col("user_id").cast("int").alias("seed")).distinct().withColumn("size", F.lit(REFERENCE)), ["seed", "size"]).select("base", "condition", "size", "seed")
+O["grid_resume"] = f"WITH {_G} SELECT base, condition, size, seed FROM q WHERE NOT (size = {REFERENCE} AND seed IN (SELECT user_id FROM events WHERE {DONE}))"
 Q["grid_missing_stages"] = lambda s, d: G.missing_stages(q := queue(s, d).filter("turkish"), q.filter("seed <> 87"), ["base", "tokenizer", "seed"])
 O["grid_missing_stages"] = f"WITH {_G} SELECT DISTINCT base, tokenizer, seed FROM q WHERE turkish AND seed = 87"
 
@@ -138,8 +144,8 @@ Q["error_taxonomy"] = lambda s, d: E.shares(errors(s, d), "lang")
 O["error_taxonomy"] = f"WITH {_E}, g AS (SELECT lang, category, count(*) AS n FROM er GROUP BY ALL) SELECT lang, category, n, round(cast(100 AS double) * n / sum(n) OVER (PARTITION BY lang), 2) AS share_pct FROM g"
 Q["error_sample"] = lambda s, d: E.sample(errors(s, d), "lang", "doc_id", 5)
 O["error_sample"] = f"WITH {_E} SELECT doc_id, lang, category FROM er QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 5"
-Q["grid_tranche"] = lambda s, d: G.tranche(queue(s, d), ["b1"], ["plain", "swapped"], [2000]).select("base", "condition", "size", "seed")
-O["grid_tranche"] = f"WITH {_G} SELECT base, condition, size, seed FROM q WHERE base = 'b1' AND condition IN ('plain', 'swapped') AND size = 2000"
+Q["grid_tranche"] = lambda s, d: G.tranche(queue(s, d), ["en", "fr"], ["plain", "swapped"], [REFERENCE]).select("base", "condition", "size", "seed")
+O["grid_tranche"] = f"WITH {_G} SELECT base, condition, size, seed FROM q WHERE base IN ('en', 'fr') AND condition IN ('plain', 'swapped') AND size = {REFERENCE}"
 Q["grid_hours"] = lambda s, d: G.projected_hours(queue(s, d), "turkish", ["base", "tokenizer", "seed"], 2000, 1126, 0.066, 0.07)
 O["grid_hours"] = f"WITH {_G}, c AS (SELECT count(*) AS runs, count(DISTINCT CASE WHEN turkish THEN base || tokenizer || seed END) AS stages FROM q) SELECT *, round((runs * cast(132 AS double) + stages * cast(78.82 AS double)) / 3600, 2) AS hours FROM c"
 

@@ -524,3 +524,29 @@ def test_alpha_overlap_is_not_capped(spark, tmp_path):
     rows = [(2 * i + k, lang, "abc" if i < 2050 else "xyz") for i in range(2100) for k, lang in enumerate(("fr", "es"))]
     spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(corpus.Q[q](spark, str(tmp_path)).first())[1:4] for q in ("type_overlap_alpha", "type_overlap")] == [(2, 2, 2), (1, 1, 1)]
+
+
+def test_lookup_fertility_and_accents(spark):
+    rows = [("a", "şəkər ev ev 12", 0), ("a", None, 1), ("b", "sekar ev", 2), (None, "ev", 3), ("c", "", 4)]
+    counts = corpus.word_counts(spark.createDataFrame(rows, "lang string, text string, lang2 int"), "lang")
+    assert {(r["lang"], r["word"]): r["n"] for r in counts.collect()} == {("a", "şəkər"): 1, ("a", "ev"): 2, ("a", "12"): 1, ("b", "sekar"): 1, ("b", "ev"): 1, (None, "ev"): 1}
+    vocab = corpus.common_words(counts, 2)
+    assert [r["word"] for r in vocab.collect()] == ["ev"]
+    assert {r["lang"]: r["micro"] for r in corpus.lookup_fertility(counts, vocab, "lang").collect()} == {"a": 2.25, "b": 3.0, None: 1.0}
+
+    def verdicts(tokens, plain, stripped):
+        v = spark.createDataFrame([(t,) for t in tokens], "word string")
+        f = lambda x: spark.createDataFrame(x, "lang string, micro double")
+        got = corpus.accent_confound(f(plain), f(stripped), v, "lang", ["ş", "ç"], ["ə"], ["ı"], 2).collect()
+        return {r["lang"]: (r["delta"], r["worse"], r["n_lost"], r["n_apart"], r["n_kept"], r["apart_rare"], r["verdict"]) for r in got}
+
+    two = [("az", 3.2), ("tr", 1.8)]
+    assert verdicts(["ə", "sa", "qı"], two, [("az", 3.0), ("tr", 1.8)]) == {"az": (0.2, True, 0, 1, 1, True, "GONE"), "tr": (0.0, False, 0, 1, 1, True, "HELPS")}
+    assert verdicts(["şəç", "ə", "bə"], two, [("az", 3.0), ("tr", 1.9)]) == {"az": (0.2, True, 2, 3, 0, False, "MIXED"), "tr": (-0.1, False, 2, 3, 0, False, "HELPS")}
+    assert verdicts([], [], []) == {}
+
+
+def test_guess_over_a_column_of_sizes(spark):
+    lines = spark.createDataFrame([(2.0, 4, 8, 10, 1, 50), (2.0, 4, 8, 10, 0, 50)], "nats double, masked long, tokens long, chars long, correct long, v long")
+    assert corpus.bits_per_char(lines, "v").collect() == corpus.bits_per_char(lines, 50).collect()
+    assert corpus.bits_per_char(lines, "v").first()["over_random"] == 6.25
