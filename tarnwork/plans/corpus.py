@@ -100,7 +100,6 @@ Q["fertility_encoded"] = lambda s, d: C.sample_fertility(C.encoded_lengths(table
 Q["truncation_between"] = lambda s, d: (lambda x: C.truncation_between(C.encoded_lengths(x, TOKENIZER), C.encoded_lengths(x, OTHER), "lang"))(table(s, d, "documents").select("lang", "text"))
 Q["accent_flag_delta"] = lambda s, d: (lambda x: C.sample_fertility(C.encoded_lengths(x, TOKENIZER), "lang").select("lang", F.col("fertility").alias("plain")).join(C.sample_fertility(C.encoded_lengths(x.withColumn("text", B.strip_accents(F.lower("text"))), TOKENIZER), "lang").select("lang", F.col("fertility").alias("stripped")), "lang").withColumn("delta", F.round(F.col("plain") - F.col("stripped"), 3)))(table(s, d, "documents").select("lang", F.coalesce("text", F.lit("")).alias("text")))
 PROBE_WORDS = ["gəlmişdilər", "qanunvericilik", "təyyarə", "kompüter", "xəstəxanalarımızda", "əməkdaşlıq", "işləyirlər"]  # fixed values
-Q["probe_words"] = lambda s, d: encoding.encoded(s.createDataFrame([(w,) for w in PROBE_WORDS], "word string"), "word", TOKENIZER).select("word", F.size("ids").cast("long").alias("n_pieces"))
 #: A vocabulary holds the words that stand this often.
 LEAST = 5
 LOST, APART, KEPT = ["é", "ñ", "ä", "ö", "ü", "ç"], ["ß"], ["w"]
@@ -116,6 +115,17 @@ Q["fertility_gain"] = lambda s, d: C.fertility_gain(C.fertility(measured(s, d),
 O["fertility_gain"] = f"WITH {_FERT}, {_COUNTS}, v AS (SELECT word FROM c GROUP BY word HAVING sum(n) >= {LEAST}), l AS {_LOOKUP.format(v='v', t='c')} SELECT lang, f.micro AS base_micro, l.micro AS donor_micro, round(cast(100 AS double) * (f.micro - l.micro) / greatest(f.micro, 1e-9), 2) AS gain_pct FROM f JOIN l USING (lang)"
 
 
+def probes(s, d):
+    """Pieces of the probe words and of all words that stand often, and how often each stands in the documents."""
+    n = counted(s, d).groupBy("word").agg(F.sum("n").alias("n"))
+    fixed = s.createDataFrame([(w,) for w in PROBE_WORDS], "word string")
+    each = fixed.join(n, "word", "full").filter((F.col("n") >= LEAST) | F.col("word").isin(PROBE_WORDS)).select("word", F.coalesce("n", F.lit(0)).alias("n"))
+    return encoding.encoded(each, "word", TOKENIZER).select("word", "n", F.size("ids").cast("long").alias("n_pieces"))
+
+
+Q["probe_words"] = probes
+
+
 def confound(s, d):
     """A vocabulary of words without accents, on texts with and without them."""
     c = counted(s, d)

@@ -60,15 +60,24 @@ Q["donor_partition"] = lambda s, d: V.partition_ids(v := vocab(s, d), "de", V.an
 O["donor_partition"] = f"WITH {_V} SELECT token_id AS donor_id, CASE WHEN token_id IN (SELECT donor_id FROM a_fun) THEN 'anchor' WHEN token_id IN (0, 1, 2, 3, 4, 5) THEN 'special' ELSE 'unfamiliar' END AS part FROM vocab WHERE tokenizer = 'de'"
 
 DONOR_ROLES = [("cls", 2), ("sep", 3), ("eos", 4), ("pad", 0), ("unk", 1), ("mask", 5)]
-BASE_ROLES = [("bos", 0), ("sep", 2), ("pad", 1), ("unk", 3), ("mask", 250001)]
-Q["special_align"] = lambda s, d: V.align_specials(s.createDataFrame(DONOR_ROLES, "role string, token_id long"), s.createDataFrame(BASE_ROLES, "role string, token_id long"))
-O["special_align"] = "SELECT * FROM (VALUES ('cls', cast(2 AS bigint), cast(0 AS bigint)), ('sep', 3, 2), ('eos', 4, 2), ('pad', 0, 1), ('unk', 1, 3), ('mask', 5, 250001)) t(role, donor_id, base_id)"
+BASE_ROLES = [("bos", 0), ("sep", 2), ("pad", 1), ("unk", 3)]
+
+
+def specials(s, d):
+    """The donor's special tokens in the base, whose mask stands behind its vocabulary."""
+    mask = vocab(s, d).filter("tokenizer = 'en'").agg(F.lit("mask").alias("role"), (F.coalesce(F.max("token_id"), F.lit(-1)) + 1).alias("token_id"))
+    named = lambda rows: s.createDataFrame(rows, "role string, token_id long")
+    return V.align_specials(named(DONOR_ROLES), named(BASE_ROLES).unionByName(mask))
+
+
+Q["special_align"] = specials
+O["special_align"] = f"WITH {_V} SELECT * FROM (VALUES ('cls', cast(2 AS bigint), cast(0 AS bigint)), ('sep', 3, 2), ('eos', 4, 2), ('pad', 0, 1), ('unk', 1, 3)) t(role, donor_id, base_id) UNION ALL SELECT 'mask', 5, count(*) FROM vocab WHERE tokenizer = 'en'"
 
 
 def by_encoding(s, d):
-    """Anchors of one public vocabulary in another, by encoding."""
+    """Anchors of the documents' vocabulary in a public one, by encoding."""
     refused = s.createDataFrame([(i,) for i in sorted(encoding.load(encoding.public_path("byte_bpe_50k.json")).refused)], "token_id long")
-    return V.anchors_by_encoding(encoding.vocabulary(s, "words", "word_bpe_49k.json"), "words", "byte_bpe_50k.json", refused)
+    return V.anchors_by_encoding(vocab(s, d), "de", "byte_bpe_50k.json", refused)
 
 
 Q["anchors_by_encoding"] = by_encoding
