@@ -94,7 +94,24 @@ Q["omp_reconstruction"] = lambda s, d: X.reconstruction(omp(s, d))
 Q["random_coef_weights"] = lambda s, d: X.random_weights(top(s, d), 3, "17")
 
 
-CROSS = [("b1", "t", 900, 100, "t", 0.5, 1.4, False, 0.9), ("b2", "t", 800, 300, "t", -0.2, 1.0, True, 0.7), ("b3", "t", 10, 0, "old", -3.0, 1.0, True, 0.99)]
-Q["cross_base_quality"] = lambda s, d: X.cross_base(s.createDataFrame(CROSS, "base string, tag string, n_anchor long, n_unfamiliar long, measured_tag string, delta_bpc double, norm_ratio double, healthy boolean, mean_cosine double"))
-O["cross_base_quality"] = """SELECT * FROM (VALUES ('b1', 90.0::double, 0.9::double, 0.5::double, false, 1.4::double, false, true, true), ('b2', 72.73, 0.7, -0.2, false, 1.0, true, false, NULL), ('b3', 100.0, 0.99, NULL, true, 1.0, true, false, NULL))
-t(base, anchor_share_pct, mean_cosine, delta_bpc, withheld, norm_ratio, healthy, worse, corroborated)"""
+def reports(s, d):
+    """A report on each label's remade vectors as if it were a base of its own; the change in bits is a stand-in, one less the mean of the nearest anchors' cosines, measured on another artefact for every fourth label."""
+    e = table(s, d, "embeddings").filter("label IS NOT NULL").select(F.col("vec_id").alias("id"), "label")
+    kept = F.expr(ANCHOR)
+    n = e.groupBy("label").agg(F.count_if(kept).alias("n_anchor"), F.count_if(~kept).alias("n_unfamiliar"))
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+    old = base(s, d).filter(ANCHOR).join(e, "id").groupBy("label").agg(F.avg(norm).alias("o"))
+    new = made(s, d).join(e, "id").groupBy("label").agg(F.avg(norm).alias("m"))
+    near = top(s, d).filter("rank = 1").join(e, "id").groupBy("label").agg(F.round(F.avg("cosine"), 4).alias("mean_cosine"))
+    ratio = F.round(F.col("m") / F.col("o"), 3)
+    j = n.join(old, "label").join(new, "label").join(near, "label")
+    return j.select(F.col("label").cast("string").alias("base"), F.lit("t").alias("tag"), "n_anchor", "n_unfamiliar", F.when(F.col("label") % 4 == 0, "old").otherwise("t").alias("measured_tag"), F.round(1 - F.col("mean_cosine"), 4).alias("delta_bpc"), ratio.alias("norm_ratio"), ratio.between(0.45, 1.15).alias("healthy"), "mean_cosine")
+
+
+Q["cross_base_quality"] = lambda s, d: X.cross_base(reports(s, d))
+O["cross_base_quality"] = f"""WITH {_E}, lb AS (SELECT vec_id AS id, label FROM embeddings WHERE label IS NOT NULL), n AS (SELECT label, count(*) FILTER (WHERE id % 3 <> 0) AS a, count(*) AS n FROM lb GROUP BY label),
+o AS (SELECT label, avg(sqrt(list_dot_product(vec, vec))) AS o FROM bas JOIN lb USING (id) WHERE id % 3 <> 0 GROUP BY label), m AS (SELECT label, avg(sqrt(list_dot_product(vec, vec))) AS m FROM made JOIN lb USING (id) GROUP BY label),
+c AS (SELECT label, round(avg(cosine), 4) AS mean_cosine FROM top JOIN lb USING (id) WHERE rank = 1 GROUP BY label),
+r AS (SELECT cast(label AS varchar) AS base, round(cast(100 AS double) * a / n, 2) AS anchor_share_pct, mean_cosine, CASE WHEN label % 4 <> 0 THEN round(1 - mean_cosine, 4) END AS delta_bpc, label % 4 = 0 AS withheld, round(m / o, 3) AS norm_ratio, round(m / o, 3) BETWEEN 0.45 AND 1.15 AS healthy FROM n JOIN o USING (label) JOIN m USING (label) JOIN c USING (label)),
+w AS (SELECT *, coalesce(delta_bpc = (SELECT max(delta_bpc) FROM r) AND (SELECT count(DISTINCT delta_bpc) FROM r) >= 2, false) AS worse FROM r)
+SELECT *, CASE WHEN worse THEN NOT healthy AND (SELECT bool_or(healthy) FROM r) END AS corroborated FROM w"""

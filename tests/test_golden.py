@@ -550,3 +550,11 @@ def test_guess_over_a_column_of_sizes(spark):
     lines = spark.createDataFrame([(2.0, 4, 8, 10, 1, 50), (2.0, 4, 8, 10, 0, 50)], "nats double, masked long, tokens long, chars long, correct long, v long")
     assert corpus.bits_per_char(lines, "v").collect() == corpus.bits_per_char(lines, 50).collect()
     assert corpus.bits_per_char(lines, "v").first()["over_random"] == 6.25
+
+
+def test_cross_base(spark):
+    """Changes measured on another artefact are withheld; the worse base is corroborated by its norms only if another one is sound."""
+    rows = [("b1", "t", 900, 100, "t", 0.5, 1.4, False, 0.9), ("b2", "t", 800, 300, "t", -0.2, 1.0, True, 0.7), ("b3", "t", 10, 0, "old", -3.0, 1.0, True, 0.99)]
+    df = spark.createDataFrame(rows, "base string, tag string, n_anchor long, n_unfamiliar long, measured_tag string, delta_bpc double, norm_ratio double, healthy boolean, mean_cosine double")
+    got = {r["base"]: (r["anchor_share_pct"], r["delta_bpc"], r["withheld"], r["worse"], r["corroborated"]) for r in vectors.cross_base(df).collect()}
+    assert got == {"b1": (90.0, 0.5, False, True, True), "b2": (72.73, -0.2, False, False, None), "b3": (100.0, None, True, False, None)}
