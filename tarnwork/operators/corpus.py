@@ -184,9 +184,14 @@ def letter_counts(words_df: DataFrame, letters: list[str], by: str) -> DataFrame
 
 def mask_positions(tokens: Column, special: Column, key: Column, seed: str = "17", part: float = 0.15) -> Column:
     """Places to mask of an array of tokens: each place that ``special`` (an array of booleans) doesn't bar by a seeded hash, and the first by it where none is chosen."""
-    at = F.filter(F.transform(tokens, lambda _, i: F.struct(F.substring(T.seeded(seed, key, i), 1, 8).alias("h"), i.alias("i"))), lambda x: ~F.coalesce(F.get(special, x["i"]), F.lit(False)))
-    chosen = F.filter(at, lambda x: x["h"] < F.lit(f"{int(part * (1 << 32)):08x}"))
-    return F.transform(F.when(F.size(chosen) > 0, chosen).otherwise(F.slice(F.array_sort(at), 1, 1)), lambda x: x["i"])
+    barred = F.zip_with(tokens, F.slice(special, F.lit(1), F.size(tokens)), lambda _, x: F.coalesce(x, F.lit(False)))  # once a text, not once a place
+    at = F.filter(F.transform(barred, lambda x, i: F.struct(F.when(~x, F.substring(T.seeded(seed, key, i), 1, 8)).alias("h"), i.alias("i"))), lambda x: x["h"].isNotNull())
+
+    def picked(at: Column) -> Column:
+        chosen = F.filter(at, lambda x: x["h"] < F.lit(f"{int(part * (1 << 32)):08x}"))
+        return F.transform(F.when(F.size(chosen) > 0, chosen).when(F.size(at) > 0, F.array(F.array_min(at))).otherwise(at), lambda x: x["i"])
+
+    return F.get(F.transform(F.array(at), picked), F.lit(0))  # the lambda's argument keeps the hashes from being made for each use
 
 
 def bits_per_char(lines: DataFrame, vocab_size: int | str | None = None) -> DataFrame:
