@@ -53,10 +53,22 @@ _POWER = 0xD1342543DE82EF95
 _WINDOW, _WHOLE = np.uint64(0x8BB84B93962EACC9), np.uint64(0x2F0B4C47A3D9E561)
 
 
-def units(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _MARK, salt: np.uint64 = np.uint64(0)) -> tuple[np.ndarray, ...]:
-    """Of rows (bytes, n + 1 offsets) the units between ``breaks``: row, digest, words, start (its first word's) and end (its last word's)."""
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What units, lines and windows of the same rows have in common: lower-cased bytes, the words' starts, ends and rows, sums of their hashes."""
     low = _LOWER[data]
     starts, ends, row = bytehash.words(np.where(_MARK[low], np.uint8(32), low), offsets)
+    return low, starts, ends, row, _sums(low, starts, ends)
+
+
+def _sums(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    w = bytehash.slices(low, starts, ends)
+    up, _ = bytehash._power_tables(_POWER, len(w) + 1)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * up[: len(w)], dtype=np.uint64)])
+
+
+def units(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _MARK, salt: np.uint64 = np.uint64(0), found: tuple | None = None) -> tuple[np.ndarray, ...]:
+    """Of rows (bytes, n + 1 offsets; ``found``: their ``_words``, if known) the units between ``breaks``: row, digest, words, start (its first word's) and end (its last word's)."""
+    low, starts, ends, row, sums = found or _words(data, offsets)
     if not len(starts):
         none = np.zeros(0, np.int64)
         return none, np.zeros(0, np.uint64), none, none, none
@@ -65,16 +77,14 @@ def units(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _MARK, sal
     new[1:] = (row[1:] != row[:-1]) | (marks[starts[1:]] != marks[ends[:-1]])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts))
-    w = bytehash.slices(low, starts, ends)
-    up, down = bytehash._power_tables(_POWER, len(w) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * up[: len(w)], dtype=np.uint64)])
+    _, down = bytehash._power_tables(_POWER, len(sums))
     digest = bytehash.mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64) + salt)
     return row[first], digest, last - first, starts[first], ends[last - 1]
 
 
-def lines(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+def lines(data: np.ndarray, offsets: np.ndarray, least: int, found: tuple | None = None) -> tuple[np.ndarray, ...]:
     """Of rows the lines with ``least`` characters from the first word to the last: row, digest, start, end."""
-    row, digest, _, start, end = units(data, offsets, _LINE, _WHOLE)
+    row, digest, _, start, end = units(data, offsets, _LINE, _WHOLE, found)
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     long = chars[end] - chars[start] >= least
     return row[long], digest[long], start[long], end[long]
@@ -91,10 +101,9 @@ def lone(low: np.ndarray) -> np.ndarray:
     return np.flatnonzero(found)
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+def windows(data: np.ndarray, offsets: np.ndarray, size: int, found: tuple | None = None) -> tuple[np.ndarray, ...]:
     """Of rows the starts of their words, and of each run of ``size`` words: its first word, row and digest."""
-    low = _LOWER[data]
-    starts, ends, row = bytehash.words(np.where(_MARK[low], np.uint8(32), low), offsets)
+    low, starts, ends, row, sums = found or _words(data, offsets)
     own = lone(low)
     if len(own):
         behind = own + 3
@@ -102,10 +111,9 @@ def windows(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
         cuts = np.unique(np.concatenate([starts, own, behind]))
         word = np.searchsorted(starts, cuts, "right") - 1
         starts, ends, row = cuts, np.minimum(np.append(cuts[1:], len(low)), ends[word]), row[word]
+        sums = _sums(low, starts, ends)
     n = max(0, len(starts) - size + 1)
-    w = bytehash.slices(low, starts, ends)
-    up, down = bytehash._power_tables(_POWER, len(w) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * up[: len(w)], dtype=np.uint64)])
+    _, down = bytehash._power_tables(_POWER, len(sums))
     at = np.flatnonzero(row[:n] == row[size - 1 :][:n])
     digest = bytehash.mix((sums[at + size] - sums[at]) * down[at] + _WINDOW)
     return starts, at, row[at], digest
@@ -121,10 +129,11 @@ def _scan(buckets: int, window: int, min_line: int):
             data, offsets = bytehash.buffers(batch.column(1))
             for i, j in bytehash.split_rows(offsets, BATCH_BYTES):
                 part, edges = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                row, digest, *_ = units(part, edges)
-                found = [(row, digest), windows(part, edges, window)[2:]] if window else [(row, digest)]
+                words = _words(part, edges)
+                row, digest, *_ = units(part, edges, found=words)
+                found = [(row, digest), windows(part, edges, window, words)[2:]] if window else [(row, digest)]
                 if min_line:
-                    found.append(lines(part, edges, min_line)[:2])
+                    found.append(lines(part, edges, min_line, words)[:2])
                 for row, digest in found:
                     digests.append(digest)
                     ids.append(key[i:j][row])
@@ -217,14 +226,23 @@ def _zip_texts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary()), *batch.columns[2:]], names=["key", "data", *batch.schema.names[2:]])
 
 
+def _among(digest: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which digests are in the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(digest), bool)
+    return known[np.minimum(np.searchsorted(known, digest), len(known) - 1)] == digest
+
+
 def cut(text: bytes, repeated: np.ndarray, min_run: int, window: int = 0, min_line: int = 0) -> tuple[list[tuple[int, int]], int, int]:
     """Spans of the text that are kept, units of which something and words that are removed; ``repeated``: digests that smaller ids have."""
     data = np.frombuffer(text, np.uint8)
     offsets = np.array([0, len(data)])
-    _, digest, n, start, end = units(data, offsets)
+    made = _words(data, offsets)
+    _, digest, n, start, end = units(data, offsets, found=made)
     if not len(digest):
         return [(0, len(text))] if text else [], 0, 0
-    again = np.isin(digest, repeated)
+    repeated = np.sort(repeated)
+    again = _among(digest, repeated)
     seen = np.ones(len(digest), bool)
     seen[np.unique(digest, return_index=True)[1]] = False
     again |= seen
@@ -234,7 +252,7 @@ def cut(text: bytes, repeated: np.ndarray, min_run: int, window: int = 0, min_li
         starts, first = start, np.arange(len(start) + 1)
         words = n
     else:
-        starts, at, _, found = windows(data, offsets, window)
+        starts, at, _, found = windows(data, offsets, window, made)
         first = np.append(np.searchsorted(starts, start), len(starts))
         words = np.ones(len(starts), np.int64)
     # +1 where removed words (units without windows) begin, -1 behind their end
@@ -243,15 +261,15 @@ def cut(text: bytes, repeated: np.ndarray, min_run: int, window: int = 0, min_li
         change[first[a]] += 1
         change[first[b]] -= 1
     if min_line:
-        _, whole, start, end = lines(data, offsets, min_line)
+        _, whole, start, end = lines(data, offsets, min_line, made)
         later = np.ones(len(whole), bool)
         later[np.unique(whole, return_index=True)[1]] = False
-        later |= np.isin(whole, repeated)
+        later |= _among(whole, repeated)
         np.add.at(change, np.searchsorted(starts, start[later]), 1)
         np.add.at(change, np.searchsorted(starts, end[later]), -1)
     if window and len(found):
         distinct, place, inverse = np.unique(found, return_index=True, return_inverse=True)
-        elsewhere = np.isin(distinct, repeated)[inverse]
+        elsewhere = _among(distinct, repeated)[inverse]
         begin = np.where(elsewhere, at, np.maximum(at, at[place][inverse] + window))
         gone = elsewhere | (at != at[place][inverse])
         np.add.at(change, begin[gone], 1)
