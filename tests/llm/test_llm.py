@@ -797,3 +797,35 @@ def test_pipeline(spark, tokenizer):
     assert {r["doc_id"] for r in out} == set(s) and sum(r["length"] for r in out) == sum(len(ids_of(tokenizer, t)) for t in s.values())
     empty = p.packing(spark, p.mixture(spark, p.repeated_passages(spark, p.near_duplicates(spark, p.language(spark, source.limit(0), SF), SF), SF), SF), SF)
     assert empty.count() == 0
+
+
+def test_substring_words_are_cut_once(monkeypatch):
+    """Units, windows and lines of a text share its words; each used to cut and hash them again."""
+    import numpy as np
+
+    from tarnwork.llm import bytehash
+    from tarnwork.llm import op3_substring_dedup as op3
+
+    calls, words = [], bytehash.words
+    monkeypatch.setattr(bytehash, "words", lambda *a: calls.append(1) or words(*a))
+    text = ("one two three four five. " * 9 + "\na line of its own\na line of its own").encode()
+    spans, *_ = op3.cut(text, np.zeros(0, np.uint64), 20, 20, 10)
+    assert len(calls) == 1 and b"".join(text[a:b] for a, b in spans).count(b"a line of its own") == 1
+
+
+def test_shuffles_go_with_written_tables(spark, monkeypatch):
+    """Shuffle files of a written table are deleted soon after, not when the driver happens to collect."""
+    import time
+    from pathlib import Path
+
+    from tarnwork.llm import common
+
+    monkeypatch.setattr(common, "TIDY_S", 0.0, raising=False)
+    local = Path(spark.conf.get("spark.local.dir", "/tmp"))
+    files = lambda: {p for d in local.glob("blockmgr-*") for p in d.rglob("shuffle_*.data")}
+    before = files()
+    common.release(common.materialise(spark.range(100_000).repartition(4, "id"), "tidied"))
+    end = time.time() + 15
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
