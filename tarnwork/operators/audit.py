@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -75,31 +77,48 @@ def polarity_subset(sheets: DataFrame, gold: str, a: str, b: str) -> DataFrame:
     return g.select("n", F.when(F.col("n") > 0, F.round(100.0 * F.col("k") / F.greatest("n", F.lit(1)), 2)).alias("hh_agreement_pct"))
 
 
+#: Draws of one resample that are made at once.
+PICKS = 1 << 20
+
+
 def agreement_intervals(pairs: DataFrame, by: list[str], a: str, b: str, order: str, draws: int = 10_000) -> DataFrame:
-    """95 % intervals of percent agreement and kappa over the rows that b answers, by PCG64 resampling in ``order``; a sheet is small, so one task draws it."""
-    names = ", ".join(f"{k} {t}" for k, t in pairs.select(*by).dtypes)
+    """95 % intervals of percent agreement and kappa over the rows that b answers, by PCG64 resampling in ``order``.
+
+    A resample counts only how often each pair of labels is drawn, so the rows travel in order as numbers of their pairs, two bytes each (four with
+    over 256 labels). PCG64's one stream makes one task of a group draw; beside those bytes it holds ``PICKS`` draws.
+    """
+    spark = pairs.sparkSession
+    rows = pairs.filter(F.col(b) != "unclear").select(*by, order, a, b)
+    names = sorted(r[0] for r in rows.select(F.explode(F.array(a, b)).alias("l")).filter("l IS NOT NULL").distinct().collect())  # the labels
+    k = len(names) + 1  # null is one
+    kind = "<u2" if k <= 256 else "<u4"
+    place = lambda c: F.coalesce(F.array_position(F.lit(names).cast("array<string>"), F.col(c)), F.lit(0))
+    at = F.col(order).asc_nulls_last()
+    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    coded = rows.select(*by, order, (place(a) * k + place(b)).cast("int").alias("_code")).repartitionByRange(width, *by, at).sortWithinPartitions(*by, at)
+
+    def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for key, g in pdf.groupby(by, sort=False, dropna=False):
+                yield pd.DataFrame([(*key, g[order].iloc[0], g["_code"].to_numpy().astype(kind).tobytes())], columns=[*by, order, "data"])
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        codes = pd.factorize(pd.concat([pdf[a], pdf[b]], ignore_index=True))[0]
-        x, y, n, k = codes[: len(pdf)], codes[len(pdf) :], len(pdf), int(codes.max()) + 1
-        out = []
-        for what in range(2):
-            rng, draw = np.random.default_rng(0), []
-            for at in range(0, draws, 500):
-                pick = rng.integers(0, n, size=(min(500, draws - at), n))
-                same = (x[pick] == y[pick]).mean(1)
-                if what:
-                    row = np.arange(len(pick))[:, None] * k
-                    share = [np.bincount((row + z[pick]).ravel(), minlength=len(pick) * k).reshape(len(pick), k) / n for z in (x, y)]
-                    chance = (share[0] * share[1]).sum(1)
-                    draw.append(np.where(np.abs(1 - chance) < 1e-12, np.nan, (same - chance) / np.where(chance == 1, np.nan, 1 - chance)))
-                else:
-                    draw.append(100.0 * same)
-            out += [round(float(v), 4) for v in np.percentile(np.concatenate(draw), [2.5, 97.5])]
+        code = np.frombuffer(b"".join(pdf.sort_values(order)["data"]), kind)
+        rng, n, same, kappa = np.random.default_rng(0), len(code), [], []
+        for _ in range(draws):
+            hits = np.zeros(k * k, np.int64)
+            for first in range(0, n, PICKS):
+                hits += np.bincount(code[rng.integers(0, n, size=min(PICKS, n - first))], minlength=k * k)
+            hits = hits.reshape(k, k)
+            po, chance = np.trace(hits) / n, float((hits.sum(1) / n * (hits.sum(0) / n)).sum())
+            same.append(100.0 * po)
+            kappa.append(np.nan if abs(1 - chance) < 1e-12 else (po - chance) / (1 - chance))
+        out = [round(float(v), 4) for x in (same, kappa) for v in np.percentile(x, [2.5, 97.5])]
         return pd.DataFrame([(*key, *out)], columns=[*by, "agree_lo", "agree_hi", "kappa_lo", "kappa_hi"])
 
-    return pairs.filter(F.col(b) != "unclear").select(*by, order, a, b).groupBy(*by).applyInPandas(run, f"{names}, agree_lo double, agree_hi double, kappa_lo double, kappa_hi double")
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.select(*by).dtypes)
+    parts = coded.mapInPandas(packed, f"{kinds}, {order} {dict(rows.dtypes)[order]}, data binary")
+    return parts.groupBy(*by).applyInPandas(run, f"{kinds}, agree_lo double, agree_hi double, kappa_lo double, kappa_hi double")
 
 
 def decompose(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:

@@ -814,7 +814,7 @@ def test_substring_words_are_cut_once(monkeypatch):
 
 
 def test_shuffles_go_with_written_tables(spark, monkeypatch):
-    """Shuffle files of a written table are deleted soon after, not when the driver happens to collect."""
+    """Shuffle files of a written table are deleted while the next ones are written, not when the driver happens to collect."""
     import time
     from pathlib import Path
 
@@ -825,7 +825,8 @@ def test_shuffles_go_with_written_tables(spark, monkeypatch):
     files = lambda: {p for d in local.glob("blockmgr-*") for p in d.rglob("shuffle_*.data")}
     before = files()
     common.release(common.materialise(spark.range(100_000).repartition(4, "id"), "tidied"))
-    end = time.time() + 15
-    while files() - before and time.time() < end:
+    made, end = files() - before, time.time() + 15
+    while made & files() and time.time() < end:
+        common.release(common.materialise(spark.range(10), "next"))
         time.sleep(0.2)
-    assert not files() - before
+    assert not made & files()

@@ -44,3 +44,22 @@ def test_baseline_of_a_long_text(spark, tmp_path):
     row = __spark_entry__.queries()["bpc_baseline"](spark, str(tmp_path)).first()
     assert time.time() - start < 30
     assert row["masked"] == sum(len(masked((t or "").split(), i)) for i, t in enumerate(texts)) and row["tokens"] == sum(len((t or "").split()) for t in texts)
+
+
+def test_intervals_in_parts(spark, monkeypatch):
+    """Draws made in parts, however long the sheet, are those of one call; against plain numpy."""
+    import numpy as np
+
+    from tarnwork.operators import audit
+
+    labels = F.array(*map(F.lit, ("positive", "negative", "neutral")))
+    sheet = lambda n: spark.range(n).select(F.lit("x").alias("pair"), "id", F.get(labels, F.pmod(F.xxhash64("id"), F.lit(3)).cast("int")).alias("a"), F.get(labels, F.pmod(F.xxhash64("id") + F.col("id") % 2, F.lit(3)).cast("int")).alias("b"))
+    monkeypatch.setattr(audit, "PICKS", 64)
+    d = sheet(500)
+    rows = d.orderBy("id").collect()
+    x, y = (np.array([["positive", "negative", "neutral"].index(r[c]) for r in rows]) for c in ("a", "b"))
+    pick = np.random.default_rng(0).integers(0, 500, size=(300, 500))
+    same = (x[pick] == y[pick]).mean(1)
+    chance = sum((x[pick] == c).mean(1) * (y[pick] == c).mean(1) for c in range(3))
+    want = [round(float(v), 4) for z in (100 * same, (same - chance) / (1 - chance)) for v in np.percentile(z, [2.5, 97.5])]
+    assert audit.agreement_intervals(d.repartition(3), ["pair"], "a", "b", "id", 300).collect() == [("x", *want)]
