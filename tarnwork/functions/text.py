@@ -31,7 +31,7 @@ def words(c: Column) -> Column:
 
 def split_words(c: Column) -> Column:
     """White-space separated words."""
-    return F.filter(F.split(collapse(c), " "), lambda w: w != "")
+    return F.filter(F.split(c, SPACE), lambda w: w != "")
 
 
 def is_alpha(c: Column) -> Column:

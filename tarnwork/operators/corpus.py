@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,18 +184,38 @@ def letter_counts(words_df: DataFrame, letters: list[str], by: str) -> DataFrame
     return hit.groupBy(by, "letter").agg(F.count_distinct("word").alias("n"))
 
 
+def _mask_hash(seed: str, key: Column, place: Column) -> Column:
+    return F.substring(T.seeded(seed, key, place), 1, 8)
+
+
+def _mask_limit(part: float) -> Column:
+    return F.lit(f"{int(part * (1 << 32)):08x}")
+
+
 def mask_positions(tokens: Column, special: Column, key: Column, seed: str = "17", part: float = 0.15) -> Column:
     """Places to mask of an array of tokens: each place that ``special`` (an array of booleans) doesn't bar by a seeded hash, and the first by it where none is chosen."""
     barred = F.zip_with(tokens, F.slice(special, F.lit(1), F.size(tokens)), lambda _, x: F.coalesce(x, F.lit(False)))  # once a text, not once a place
-    at = F.filter(F.transform(barred, lambda x, i: F.struct(F.when(~x, F.substring(T.seeded(seed, key, i), 1, 8)).alias("h"), i.alias("i"))), lambda x: x["h"].isNotNull())
+    at = F.filter(F.transform(barred, lambda x, i: F.struct(F.when(~x, _mask_hash(seed, key, i)).alias("h"), i.alias("i"))), lambda x: x["h"].isNotNull())
 
     def picked(at: Column) -> Column:
-        chosen = F.filter(at, lambda x: x["h"] < F.lit(f"{int(part * (1 << 32)):08x}"))
+        chosen = F.filter(at, lambda x: x["h"] < _mask_limit(part))
         return F.transform(F.when(F.size(chosen) > 0, chosen).when(F.size(at) > 0, F.array(F.array_min(at))).otherwise(at), lambda x: x["i"])
 
     return F.get(F.transform(F.array(at), picked), F.lit(0))  # the lambda's argument keeps the hashes from being made for each use
 
 
+def masked_word_counts(df: DataFrame, key: str, tokens: str, bar: Callable[[Column], Column], seed: str = "17", part: float = 0.15) -> DataFrame:
+    """word, n, masked: how often each token stands in the rows' arrays, and on how many places that ``mask_positions`` gives (``bar`` tells of a token if it is special).
+
+    Tokens are hashed as rows, in compiled code. Rows in which none is chosen are looked for apart, up to the first chosen one, and only they take the way by arrays.
+    """
+    chosen = lambda word, place: ~F.coalesce(bar(word), F.lit(False)) & (_mask_hash(seed, F.col(key), place) < _mask_limit(part))
+    each = df.select(key, F.posexplode(tokens).alias("_place", "word")).select("word", F.lit(1).alias("_n"), chosen(F.col("word"), F.col("_place")).cast("int").alias("_m"))
+    without = df.filter(~F.exists(F.transform(tokens, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: chosen(p["x"], p["i"])))
+    first = without.select(tokens, F.explode(mask_positions(F.col(tokens), F.transform(tokens, bar), F.col(key), seed, part)).alias("_place")).select(F.get(F.col(tokens), F.col("_place")).alias("word"), F.lit(0).alias("_n"), F.lit(1).alias("_m"))
+    return each.unionByName(first).groupBy("word").agg(F.sum("_n").alias("n"), F.sum("_m").alias("masked"))
+
+
 def bits_per_char(lines: DataFrame, vocab_size: int | str | None = None) -> DataFrame:
     """Over lines (nats, masked, tokens, chars, correct): bits a character, top-1 accuracy; with a vocabulary's size (a number, or the column of ``lines`` that holds it) also a random guess's accuracy and how often better."""
     size = F.max(vocab_size) if isinstance(vocab_size, str) else F.lit(vocab_size)

@@ -46,6 +46,27 @@ def test_baseline_of_a_long_text(spark, tmp_path):
     assert row["masked"] == sum(len(masked((t or "").split(), i)) for i, t in enumerate(texts)) and row["tokens"] == sum(len((t or "").split()) for t in texts)
 
 
+def test_masked_words_are_counted_as_rows(spark):
+    """The counts of the masks by place; rows of a few words often have none chosen, and some have only barred ones."""
+    texts = [" ".join(f"w{i * k % 7}" if i % 4 else "x" for i in range(k % 9)) for k in range(300)] + ["x x x", "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", T.split_words(F.col("t")).alias("w"))
+    counts = corpus.masked_word_counts(d, "id", "w", lambda y: F.char_length(y) < 2)
+    want: dict = {}
+    for i, t in enumerate(texts):
+        words = (t or "").split()
+        at = set(masked(words, i))
+        for k, w in enumerate(words):
+            n, m = want.get(w, (0, 0))
+            want[w] = n + 1, m + (k in at)
+    assert {r["word"]: (r["n"], r["masked"]) for r in counts.collect()} == want
+
+
+def test_baseline_without_words(spark, tmp_path):
+    spark.createDataFrame([(1, " ", "en", "s", 1), (2, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    row = __spark_entry__.queries()["bpc_baseline"](spark, str(tmp_path)).first()
+    assert row["chars"] == 1 and row["random_guess"] is None and row["bpc"] is None
+
+
 def test_intervals_in_parts(spark, monkeypatch):
     """Draws made in parts, however long the sheet, are those of one call; against plain numpy."""
     import numpy as np
