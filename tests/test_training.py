@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,23 @@ def test_refusals(spark, target):
 
 def test_records_are_json(spark):
     assert json.loads(tr.records(spark, [{"base": "b", "condition": "c", "train_size": 1, "seed": 2}]).first()["value"])["seed"] == 2
+
+
+def test_chained_steps_are_single_steps(spark, target, monkeypatch):
+    """Steps that a task takes after each other, against those of each batch by itself, with buckets and a whole part that hold no rows; a job for each part, not for each step."""
+    monkeypatch.setattr(tr, "CHAIN_ROWS", 32)
+    shape, how = tr.Shape(4, 2), EASY._replace(batch=16)
+    rows, buckets = tr.features(target.filter("split = 'train'"), "doc_id", 0, 16)
+    rows = rows.filter("bucket NOT IN (4, 5, 7)")
+    steps, start = buckets + 3, tr.with_new_head(tr.base_model("b", shape), 4, 2, 0)
+    spark.sparkContext.setJobGroup("chained", "")
+    end, history, best = tr.train(rows, buckets, start, shape, how, steps)
+    spark.sparkContext.setJobGroup("other", "")
+    assert buckets == 10 and not history and not best and len(spark.sparkContext.statusTracker().getJobIdsForGroup("chained")) == 7
+    data, now = rows.toArrow(), (start, np.zeros(shape.size), np.zeros(shape.size))
+    for t in range(1, steps + 1):
+        sums = np.zeros(2 + shape.size)
+        for batch in data.filter(pc.field("bucket") == (t - 1) % buckets).combine_chunks().to_batches():
+            tr._add_gradient(sums, now[0], shape, *tr._columns(batch))
+        now = tr._stepped(*now, sums, t, steps, how)
+    assert np.allclose(end, now[0], rtol=0, atol=1e-9) and not np.allclose(end, start, rtol=0, atol=1e-3)
