@@ -279,6 +279,7 @@ def trained(s, d):
     target = P.stratified_split(x.filter(F.col("lang") == first).select("doc_id", "text", "label"), "doc_id")
     other = x.filter(F.col("lang") != first).select("doc_id", "text", "label")
     how = {"base": "b1", "seed": 13, "train_size": 20_000, "settings": L.Settings(batch=256, max_steps=8, eval_every=4, epochs=2), "test": True}
+    target = L.ready(target, "doc_id", how["seed"], how["train_size"], how["settings"].batch, test=True)
     return L.records(s, [L.run(target, "doc_id", condition="plain", **how), L.run(target, "doc_id", condition="staged", source=other, source_name="others", **how)])
 
 

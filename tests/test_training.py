@@ -122,3 +122,8 @@ def test_chained_steps_are_single_steps(spark, target, monkeypatch):
             tr._add_gradient(sums, now[0], shape, *tr._columns(batch))
         now = tr._stepped(*now, sums, t, steps, how)
     assert np.allclose(end, now[0], rtol=0, atol=1e-9) and not np.allclose(end, start, rtol=0, atol=1e-3)
+
+
+def test_runs_share_what_is_ready(spark, target):
+    how = {"base": "b", "condition": "plain", "seed": 3, "train_size": 100, "settings": EASY, "test": True}
+    assert tr.run(tr.ready(target, "doc_id", 3, 100, EASY.batch, test=True), "doc_id", **how) == tr.run(target, "doc_id", **how)
